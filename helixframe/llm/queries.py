@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, packing, quality, token_files, url_filter
+from . import chat, decontaminate, packing, quality, token_files, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,6 +22,10 @@ def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_token_files(manifest)
 
 
+def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op5_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digest(chat.formatted(chat.with_probe(_table(spark, sf_dir, "conversations"))))
 
@@ -38,6 +42,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_best_fit_packing": op1_best_fit_packing,
         "op2_token_files": op2_token_files,
+        "op3_benchmark_decontamination": op3_benchmark_decontamination,
         "op5_chat_formatting": op5_chat_formatting,
         "op6_url_filters": op6_url_filters,
         "op7_quality_classifier": op7_quality_classifier,
@@ -45,4 +50,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_chat_formatting": chat.ORACLE}
+    return {"op3_benchmark_decontamination": decontaminate.ORACLE, "op5_chat_formatting": chat.ORACLE}
