@@ -14,7 +14,7 @@ words contain equal K-grams, hence an equal smallest one: every shared window is
 Items shorter than ``SPAN`` have one fingerprint, the hash of all their words; documents are hashed at those lengths
 too, which costs one pass per distinct short length (at most ``SPAN - 1``, none if there are no short items).
 
-Benchmark tables are broadcast only below ``BROADCAST_ROWS`` rows, counted first; beyond that Spark shuffles the join.
+Benchmark tables are broadcast only up to ``common.BROADCAST_ROWS`` rows, counted first; beyond that Spark shuffles the join.
 
 Edge cases: null texts and texts without words have no windows and n_words 0; rows that repeat a doc_id are told
 apart by their text, and equal ones share one result each; empty tables give no hits; an item repeated under
@@ -28,11 +28,10 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import bounded, materialise
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 SPAN, K = 10, 7
-BROADCAST_ROWS = 500_000
 
 
 def words(text: Column) -> Column:
@@ -46,11 +45,6 @@ def _grams(hashes: str, n: int) -> Column:
     return F.when(F.size(hashes) >= n, F.transform(at, lambda i: F.xxhash64(*[F.get(hashes, i + j) for j in range(n)])))
 
 
-def _bounded(df: DataFrame) -> DataFrame:
-    """A broadcast hint for tables of few rows only."""
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
-
-
 def fingerprints(rows: DataFrame, keep: list[str], lengths: list[int], span: int, k: int) -> DataFrame:
     """One row per fingerprint: ``keep``, n (0: winnowed, else the short length), h and at."""
     width = span - k + 1
@@ -76,37 +70,46 @@ def benchmark_windows(items: DataFrame, span: int) -> DataFrame:
     return split.select("item_id", F.when(n >= span, 0).otherwise(n).alias("n"), F.explode(at).alias("i"), "words").select("item_id", "n", F.array_join(F.slice("words", F.col("i"), span), " ").alias("window")).distinct()
 
 
-def contamination(docs: DataFrame, items: DataFrame, span: int = SPAN, k: int = K) -> DataFrame:
-    """doc_id, n_words, n_hit, n_items, items_sha256 and contaminated of every document."""
-    keyed = docs.select("doc_id", "text").withColumn("text_key", F.xxhash64("text"))
+def _matches(keyed: DataFrame, items: DataFrame, span: int, k: int) -> DataFrame:
+    """doc_id, text_key, n (0: ``span`` words), at, item_id of all occurrences of items' windows."""
     split = items.where("item_id IS NOT NULL").select(words(F.col("text")).alias("words")).where("size(words) > 0")
     # At most span - 1 numbers.
     lengths = sorted(r[0] for r in split.where(F.size("words") < span).select(F.size("words")).distinct().collect())
     # Short items count as a whole only, long ones by winnowing only.
-    wanted = materialise(fingerprints(split, ["words"], lengths, span, k).where("n = 0 AND size(words) >= %d OR n = size(words)" % span).select("n", "h").distinct())
+    own = fingerprints(split, ["words"], lengths, span, k).where(f"n = 0 AND size(words) >= {span} OR n = size(words)")
+    wanted = materialise(own.select("n", "h").distinct())
     found = fingerprints(keyed.withColumn("words", words(F.col("text"))), ["doc_id", "text_key"], lengths, span, k)
-    hits = found.join(_bounded(wanted), ["n", "h"], "left_semi").distinct()
+    hits = found.join(bounded(wanted), ["n", "h"], "left_semi").distinct()
     # The places of a document's hits: no more than it has words.
     candidates = materialise(hits.groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("n", "at")).alias("hits")))
-
     windows = materialise(benchmark_windows(items, span))
-    small = _bounded(candidates)
     same = [keyed["doc_id"].eqNullSafe(candidates["doc_id"]), keyed["text_key"] == candidates["text_key"]]
-    texts = keyed.join(small, same, "inner").select(keyed["doc_id"], keyed["text_key"], words(F.col("text")).alias("words"), "hits").dropDuplicates(["doc_id", "text_key"])
+    texts = keyed.join(bounded(candidates), same, "inner").select(keyed["doc_id"], keyed["text_key"], words(F.col("text")).alias("words"), "hits")
     # A gram at place p lies in the windows that start from p - (span - k) to p; a short item's window starts at p.
-    starts = F.flatten(F.transform("hits", lambda t: F.when(t["n"] > 0, F.array(F.struct(t["n"].alias("n"), t["at"].alias("at")))).otherwise(
-        F.transform(F.sequence(F.greatest(t["at"] - (span - k), F.lit(0)), t["at"]), lambda i: F.struct(t["n"].alias("n"), i.alias("at"))))))
-    placed = texts.select("doc_id", "text_key", "words", F.explode(F.array_distinct(starts)).alias("s")).where("s.n > 0 OR s.at + %d <= size(words)" % span)
-    spelled = placed.select("doc_id", "text_key", "s.n", "s.at", F.array_join(F.slice("words", F.col("s.at") + 1, F.when(F.col("s.n") > 0, F.col("s.n")).otherwise(span)), " ").alias("window"))
-    matched = spelled.join(_bounded(windows), ["n", "window"])
+    place = lambda t, at: F.struct(t["n"].alias("n"), at.alias("at"))
+    reach = lambda t: F.transform(F.sequence(F.greatest(t["at"] - (span - k), F.lit(0)), t["at"]), lambda i: place(t, i))
+    starts = F.flatten(F.transform("hits", lambda t: F.when(t["n"] > 0, F.array(place(t, t["at"]))).otherwise(reach(t))))
+    placed = texts.select("doc_id", "text_key", "words", F.explode(F.array_distinct(starts)).alias("s")).where(f"s.n > 0 OR s.at + {span} <= size(words)")
+    size = F.when(F.col("s.n") > 0, F.col("s.n")).otherwise(span)
+    spelled = placed.select("doc_id", "text_key", "s.n", "s.at", F.array_join(F.slice("words", F.col("s.at") + 1, size), " ").alias("window"))
+    return spelled.join(bounded(windows), ["n", "window"]).select("doc_id", "text_key", "n", "at", "item_id")
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    return docs.select("doc_id", "text").withColumn("text_key", F.xxhash64("text"))
+
+
+def contamination(docs: DataFrame, items: DataFrame, span: int = SPAN, k: int = K) -> DataFrame:
+    """doc_id, n_words, n_hit, n_items, items_sha256 and contaminated of every document."""
+    keyed = _keyed(docs)
     covered = F.sequence(F.col("at"), F.col("at") + F.when(F.col("n") > 0, F.col("n")).otherwise(span) - 1)
-    per_doc = matched.groupBy("doc_id", "text_key").agg(
+    per_doc = _matches(keyed, items, span, k).groupBy("doc_id", "text_key").agg(
         F.size(F.array_distinct(F.flatten(F.collect_set(covered)))).cast("long").alias("n_hit"),
         F.sort_array(F.collect_set("item_id")).alias("items"),
     )
     results = materialise(per_doc)
     counted = keyed.select("doc_id", "text_key", F.size(words(F.col("text"))).cast("long").alias("n_words"))
-    out = counted.join(_bounded(results), [counted["doc_id"].eqNullSafe(results["doc_id"]), counted["text_key"] == results["text_key"]], "left")
+    out = counted.join(bounded(results), [counted["doc_id"].eqNullSafe(results["doc_id"]), counted["text_key"] == results["text_key"]], "left")
     listed = F.coalesce(F.array_join("items", ","), F.lit(""))
     return out.select(
         counted["doc_id"],
@@ -118,6 +121,18 @@ def contamination(docs: DataFrame, items: DataFrame, span: int = SPAN, k: int =
     )
 
 
+def contaminated_keys(docs: DataFrame, items: DataFrame, span: int = SPAN, k: int = K) -> DataFrame:
+    """(doc_id, text_key) of the contaminated documents."""
+    return materialise(_matches(_keyed(docs), items, span, k).select("doc_id", "text_key").distinct())
+
+
+def without(docs: DataFrame, keys: DataFrame) -> DataFrame:
+    """The documents whose (doc_id, text_key) is not in ``keys``."""
+    keyed = docs.withColumn("_text_key", F.xxhash64("text"))
+    found = bounded(keys.select(F.col("doc_id").alias("_doc_id"), F.col("text_key").alias("_found_key")))
+    return keyed.join(found, keyed["doc_id"].eqNullSafe(F.col("_doc_id")) & (F.col("_text_key") == F.col("_found_key")), "left_anti").select(*docs.columns)
+
+
 ORACLE = r"""
 WITH d AS (
   SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),

@@ -17,6 +17,7 @@ repeated rows come back as often; an empty table gives no rows; extra columns ar
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -24,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, shuffle_width
+from .common import bounded, materialise, shuffle_width
 from .graph import components
 
 SEED = 42
@@ -33,7 +34,7 @@ BLOCK = 1024
 FINE_TILES = 1 << 22
 
 
-def fingerprint(text: str | None, shingle: int = 3) -> int:
+def fingerprint(text: str | None, shingle: int = 3, seed: int = SEED) -> int:
     """The 64-bit fingerprint of a text."""
     from xxhash import xxh64_intdigest
 
@@ -45,34 +46,40 @@ def fingerprint(text: str | None, shingle: int = 3) -> int:
     ends = np.cumsum(size + 1) - 1
     starts = ends - size
     n = max(len(words) - shingle + 1, 1)
-    hashes = np.fromiter((xxh64_intdigest(joined[a:b], SEED) for a, b in zip(starts[:n].tolist(), ends[-n:].tolist(), strict=True)), np.uint64, n)
+    hashes = np.fromiter((xxh64_intdigest(joined[a:b], seed) for a, b in zip(starts[:n].tolist(), ends[-n:].tolist(), strict=True)), np.uint64, n)
     ones = np.zeros(64, np.int64)
     for i in range(0, n, 65_536):
         ones += np.unpackbits(hashes[i : i + 65_536].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
     return int(np.packbits(2 * ones > n, bitorder="little").view("<u8")[0])
 
 
-def with_fingerprint(docs: DataFrame, shingle: int = 3) -> DataFrame:
-    """doc_id and ``fp``, the fingerprint as a signed 64-bit integer."""
+def with_fingerprint(docs: DataFrame, shingle: int = 3, words: int = 1) -> DataFrame:
+    """doc_id and ``fp``: ``words`` fingerprints (of seeds 42, 43, ...) as signed 64-bit integers."""
 
-    @F.pandas_udf("long")
+    @F.pandas_udf("array<long>")
     def fp(texts: pd.Series) -> pd.Series:
-        return pd.Series(np.array([fingerprint(t if isinstance(t, str) else None, shingle) for t in texts], np.uint64).view(np.int64))
+        found = ([fingerprint(t if isinstance(t, str) else None, shingle, SEED + i) for i in range(words)] for t in texts)
+        return pd.Series([np.array(x, np.uint64).view(np.int64) for x in found])
 
     return docs.select("doc_id", fp("text").alias("fp"))
 
 
-def _slice_counts(parts: int) -> list:
-    """Population counts of the slices of ``fp``, as columns."""
+def _tile(parts: int, width: int, words: int) -> list:
+    """The tile of ``fp``: population counts of slices of each word (``parts`` of them), or of all words together, over ``width``."""
     wide = 64 // parts
-    return [F.bit_count(F.shiftrightunsigned("fp", i * wide).bitwiseAND(F.lit((1 << wide) - 1))) for i in range(parts)]
+    counts = [F.bit_count(F.shiftrightunsigned(F.get("fp", F.lit(w)), i * wide).bitwiseAND(F.lit((1 << wide) - 1 if wide < 64 else -1))) for w in range(words) for i in range(parts)]
+    if parts == 1:
+        counts = [sum(counts[1:], counts[0])]
+    return [F.floor(c / width).cast("int") for c in counts]
 
 
-def _neighbour_moves(parts: int, radius: int) -> list[list[int]]:
-    """All changes of the slices' counts whose sizes sum to the radius at most."""
-    if parts == 1:
-        return [[d] for d in range(-radius, radius + 1)]
-    return [[d, *rest] for d in range(-radius, radius + 1) for rest in _neighbour_moves(parts - 1, radius - abs(d))]
+def _neighbour_moves(parts: int, radius: int, width: int = 1) -> list[list[int]]:
+    """All changes of the tile at which bits may still differ in ``radius`` places or fewer."""
+    if parts == 0:
+        return [[]]
+    least = lambda d: 0 if d == 0 else (abs(d) - 1) * width + 1
+    reach = range(-radius // width - 1, radius // width + 2)
+    return [[d, *rest] for d in reach if least(d) <= radius for rest in _neighbour_moves(parts - 1, radius - least(d), width)]
 
 
 def by_key(frame: DataFrame, keys: list[str], run: Callable[[dict[str, np.ndarray]], pd.DataFrame | None], schema: str) -> DataFrame:
@@ -126,52 +133,94 @@ def forest(n: int, u: np.ndarray, v: np.ndarray) -> np.ndarray:
             return label
 
 
-def links(fps: DataFrame, radius: int, parts: int) -> DataFrame:
-    """A spanning forest (u, v) of the links among distinct fingerprints ``fp``."""
-    tiled = fps.select("fp", F.array(*_slice_counts(parts)).alias("tile"))
-    sizes = tiled.groupBy("tile").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("blocks"))
+def links(fps: DataFrame, radius: int, parts: int = 4, width: int = 1, block: int = BLOCK, words: int = 1) -> DataFrame:
+    """A spanning forest (u, v) over ``node`` of the links among distinct fingerprints ``fp``."""
+    tiled = fps.select("node", "fp", F.array(*_tile(parts, width, words)).alias("tile"))
+    sizes = tiled.groupBy("tile").agg(F.ceil(F.count("*") / F.lit(block)).cast("int").alias("blocks"))
     sizes = materialise(sizes.select("tile", "blocks"))
-    own = tiled.join(sizes, "tile").select("fp", "tile", F.pmod(F.xxhash64("fp"), "blocks").cast("int").alias("block"))
-    moves = F.array(*[F.array(*map(F.lit, m)) for m in _neighbour_moves(parts, radius)])
+    own = tiled.join(sizes, "tile").select("node", "fp", "tile", F.pmod(F.xxhash64("node"), "blocks").cast("int").alias("block"))
+    moves = F.array(*[F.array(*map(F.lit, m)) for m in _neighbour_moves(1 if parts == 1 else parts * words, radius, width)])
     # Each unordered pair of tiles is compared once, at the later one.
-    near = own.select("fp", "tile", "block", F.explode(F.transform(moves, lambda m: F.zip_with("tile", m, lambda a, b: a + b))).alias("at")).where("at >= tile")
+    near = own.select("node", "fp", "tile", "block", F.explode(F.transform(moves, lambda m: F.zip_with("tile", m, lambda a, b: a + b))).alias("at")).where("at >= tile")
     met = near.join(sizes.withColumnRenamed("tile", "at"), "at")
-    sent = met.select("fp", "at", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("at_block"), "tile", "block").where("at > tile OR at_block >= block")
-    rows = sent.select(F.xxhash64("at", "at_block").alias("place"), "fp", ((F.col("at") == F.col("tile")) & (F.col("at_block") == F.col("block"))).alias("home"))
+    sent = met.select("node", "fp", "at", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("at_block"), "tile", "block").where("at > tile OR at_block >= block")
+    home = (F.col("at") == F.col("tile")) & (F.col("at_block") == F.col("block"))
+    rows = sent.select(F.xxhash64("at", "at_block").alias("place"), "node", *[F.get("fp", F.lit(w)).alias(f"fp{w}") for w in range(words)], home.alias("home"))
 
     def compare(x: dict[str, np.ndarray]) -> pd.DataFrame | None:
         home = x["home"].astype(bool)
         if not home.any():
             return None
-        fp = np.concatenate([x["fp"][home], x["fp"][~home]]).view(np.uint64)
-        n, found_u, found_v = int(home.sum()), [], []
-        step = max(1, 4_000_000 // len(fp))
+        order = np.concatenate([np.flatnonzero(home), np.flatnonzero(~home)])
+        fp = [x[f"fp{w}"][order].view(np.uint64) for w in range(words)]
+        node, n = x["node"][order], int(home.sum())
+        found_u, found_v, held = [], [], 0
+        step = max(1, 2_000_000 // len(node))
         for i in range(0, n, step):
-            u, v = np.nonzero(np.bitwise_count(fp[i : min(i + step, n), None] ^ fp[None, :]) <= radius)
+            differing = np.bitwise_count(fp[0][i : min(i + step, n), None] ^ fp[0][None, :])
+            for f in fp[1:]:
+                differing += np.bitwise_count(f[i : min(i + step, n), None] ^ f[None, :])
+            u, v = np.nonzero(differing <= radius)
             keep = u + i < v
             found_u.append(u[keep] + i)
             found_v.append(v[keep])
+            held += int(keep.sum())
+            if held > 4_000_000:  # a dense group: keep its forest only
+                label = forest(len(node), np.concatenate(found_u), np.concatenate(found_v))
+                moved = np.flatnonzero(label != np.arange(len(label)))
+                found_u, found_v, held = [moved], [label[moved]], 0
         u, v = np.concatenate(found_u), np.concatenate(found_v)
         if not len(u):
             return None
-        label = forest(len(fp), u, v)
-        moved = np.flatnonzero(label != np.arange(len(fp)))
-        signed = fp.view(np.int64)
-        return pd.DataFrame({"u": signed[moved], "v": signed[label[moved]]})
+        label = forest(len(node), u, v)
+        moved = np.flatnonzero(label != np.arange(len(node)))
+        return pd.DataFrame({"u": node[moved], "v": node[label[moved]]})
 
     return by_key(rows, ["place"], compare, "u long, v long")
 
 
-def near_duplicates(docs: DataFrame, radius: int = 2, shingle: int = 3) -> DataFrame:
-    """doc_id, fp, and component_id, the least doc_id that links reach, of every document."""
-    own = materialise(with_fingerprint(docs, shingle))
-    nodes = materialise(own.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    parts = 4 if nodes.count() <= FINE_TILES else 8
-    rooted = components(links(nodes, radius, parts)).withColumnRenamed("node", "fp")
-    grouped = nodes.join(rooted, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+def near_duplicates(docs: DataFrame, radius: int = 2, shingle: int = 3, words: int = 1) -> DataFrame:
+    """doc_id, fp, and component_id, the least doc_id that links reach, of every document.
+
+    ``words`` fingerprints of 64 bits make a longer one, which tells similarities apart more sharply. For a small radius
+    tiles follow slices of the bits; for a wide one, where counts prune little, the total count in steps of 8
+    and larger blocks.
+    """
+    own = materialise(with_fingerprint(docs, shingle, words))
+    nodes = own.groupBy("fp").agg(F.min("doc_id").alias("least"))
+    nodes = materialise(nodes.withColumn("node", F.get("fp", F.lit(0)) if words == 1 else F.xxhash64("fp")))
+    if radius <= 3:
+        found = links(nodes, radius, 4 if nodes.count() <= FINE_TILES else 8, words=words)
+    else:
+        found = links(nodes, radius, 1, 8, 16 * BLOCK, words)
+    grouped = nodes.join(components(found), "node", "left").select("fp", "least", F.coalesce("root", "node").alias("root"))
     ids = grouped.join(grouped.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "component_id")
     return own.join(ids, "fp").select("doc_id", "fp", "component_id")
 
 
 def digest(found: DataFrame) -> DataFrame:
-    return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    return found.select("doc_id", F.lpad(F.lower(F.hex(F.get("fp", F.lit(0)))), 16, "0").alias("fingerprint"), "component_id")
+
+
+def similarity_radius(similarity: float, bits: int) -> int:
+    """Number of bits in which texts of this Jaccard similarity of shingle sets differ on average.
+
+    Sets of similarity s have a cosine of 2 s / (1 + s), and each bit differs with probability arccos(cosine) / pi.
+    """
+    return math.ceil(bits * math.acos(2 * similarity / (1 + similarity)) / math.pi)
+
+
+def keep_one(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, words: int = 2) -> DataFrame:
+    """The documents without near copies: of each group the one of least doc_id stays (of rows that repeat it, one).
+
+    Documents are near copies if their ``64 * words`` bits over shingles of five words differ in no more bits than sets
+    of the given similarity do on average; groups are the connected components. Rows without doc_id stay.
+    """
+    found = materialise(near_duplicates(docs, similarity_radius(similarity, 64 * words), shingle, words))
+    dropped = found.where("doc_id > component_id").select("doc_id").distinct()
+    kept = docs.join(bounded(dropped), "doc_id", "left_anti")
+    twice = materialise(found.where("doc_id = component_id").groupBy("doc_id").count().where("count > 1").select("doc_id"))
+    if not twice.isEmpty():
+        again = kept.join(bounded(twice), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+        kept = kept.join(bounded(twice), "doc_id", "left_anti").unionByName(again)
+    return kept.select(*docs.columns)
