@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, chat, decontaminate, line_dedup, packing, quality, simhash, token_files, url_filter
+from . import ann, chat, decontaminate, line_dedup, packing, quality, simhash, suffix_dedup, token_files, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -51,6 +51,10 @@ def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.digest(simhash.near_duplicates(_table(spark, sf_dir, "documents")))
 
 
+def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.digest(suffix_dedup.remove_repeats(_table(spark, sf_dir, "documents")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_best_fit_packing": op1_best_fit_packing,
@@ -62,6 +66,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op7_quality_classifier": op7_quality_classifier,
         "op8_line_dedup": op8_line_dedup,
         "op9_simhash_near_dedup": op9_simhash_near_dedup,
+        "op10_suffix_array_dedup": op10_suffix_array_dedup,
     }
 
 

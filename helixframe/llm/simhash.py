@@ -82,8 +82,11 @@ def _neighbour_moves(parts: int, radius: int, width: int = 1) -> list[list[int]]
     return [[d, *rest] for d in reach if least(d) <= radius for rest in _neighbour_moves(parts - 1, radius - least(d), width)]
 
 
-def by_key(frame: DataFrame, keys: list[str], run: Callable[[dict[str, np.ndarray]], pd.DataFrame | None], schema: str) -> DataFrame:
-    """Run a function on all rows of each key; rows of a key are dealt to one task and sorted together."""
+def by_key(frame: DataFrame, keys: list[str], run: Callable[[dict[str, np.ndarray]], pd.DataFrame | None], schema: str, at_once: int = 1) -> DataFrame:
+    """Run a function on all rows of each key; rows of a key are dealt to one task and sorted together.
+
+    ``at_once``: whole keys are handed over together until they have so many rows.
+    """
     dealt = frame.repartition(shuffle_width(frame.sparkSession), *keys).sortWithinPartitions(*keys)
 
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -93,6 +96,12 @@ def by_key(frame: DataFrame, keys: list[str], run: Callable[[dict[str, np.ndarra
         def work(rows: pd.DataFrame) -> None:
             ids = rows[keys].to_numpy()
             cuts = [0, *(np.flatnonzero((ids[1:] != ids[:-1]).any(axis=1)) + 1).tolist(), len(rows)]
+            if at_once > 1:
+                ends = [0]
+                for c in cuts[1:-1]:
+                    if c - ends[-1] >= at_once:
+                        ends.append(c)
+                cuts = [*ends, len(rows)]
             columns = {c: rows[c].to_numpy() for c in rows.columns}
             for a, b in zip(cuts, cuts[1:]):
                 if (found := run({c: v[a:b] for c, v in columns.items()})) is not None:
