@@ -1,13 +1,162 @@
-"""Registered queries of the polymorphism engine with their SQL."""
+"""Registered queries of the polymorphism engine, on DNA derived from the driver's tables."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import cached_property
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from helixframe.operators import align, kmer, primer, reads, reference, tools, vcf, verify
+from helixframe.plans.fixtures import tables
+from helixframe.plans.oracle import ORACLES
+
 FLAGSHIP = "snp_genotypes"
+TARGET, CONTROL = "target", "control"
+#: Reads of the fixture have one length.
+LENGTH = 100
+
+
+class Run:
+    """The plan of one folder; every step is a lazy DataFrame built once."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str):
+        self.spark, self.sf_dir = spark, sf_dir
+
+    @cached_property
+    def _tables(self) -> tuple[DataFrame, DataFrame]:
+        return tables(self.spark, self.sf_dir)
+
+    @cached_property
+    def reads(self) -> DataFrame:
+        return self._tables[1]
+
+    @cached_property
+    def chunks(self) -> DataFrame:
+        return reference.ref_chunks(self._tables[0])
+
+    @cached_property
+    def uniq(self) -> DataFrame:
+        return reads.both_strands(self.reads)
+
+    @cached_property
+    def ref20(self) -> DataFrame:
+        return reference.ref20_unique(self.chunks)
+
+    @cached_property
+    def counts(self) -> DataFrame:
+        return kmer.kmer_count(self.uniq)
+
+    @cached_property
+    def lbc(self) -> DataFrame:
+        return kmer.last_base_pivot(self.counts)
+
+    @cached_property
+    def joined(self) -> DataFrame:
+        return kmer.kmer_join(self.lbc, TARGET, CONTROL)
+
+    @cached_property
+    def edges(self) -> DataFrame:
+        return kmer.kmer_edges(self.joined)
+
+    @cached_property
+    def mapped(self) -> DataFrame:
+        return kmer.kmer_map(self.edges, self.ref20)
+
+    @cached_property
+    def heads(self) -> DataFrame:
+        return align.head_seeds(self.uniq, self.ref20, TARGET)
+
+    @cached_property
+    def pairs(self) -> DataFrame:
+        return align.seed_pairs(self.heads, self.ref20)
+
+    @cached_property
+    def headed(self) -> DataFrame:
+        return align.with_head(self.pairs, self.chunks)
+
+    @cached_property
+    def snps(self) -> DataFrame:
+        return align.align_snps(self.headed)
+
+    @cached_property
+    def support(self) -> DataFrame:
+        return align.snp_support(self.snps)
+
+    @cached_property
+    def events(self) -> DataFrame:
+        return align.sv_junctions(self.headed, self.chunks)
+
+    @cached_property
+    def bi_snp(self) -> DataFrame:
+        return verify.snp_genotypes(self.support, self.chunks, self.uniq, TARGET, CONTROL, LENGTH, LENGTH)
+
+    @cached_property
+    def sv(self) -> DataFrame:
+        return verify.sv_genotypes(self.events, self.chunks, self.uniq, TARGET, CONTROL, LENGTH, LENGTH)
+
+    @cached_property
+    def kmer_snp(self) -> DataFrame:
+        return verify.kmer_genotypes(self.mapped, self.chunks, self.uniq, TARGET, CONTROL, LENGTH, LENGTH)
+
+    @cached_property
+    def probes(self) -> DataFrame:
+        return verify.snp_probes(verify.linked_snps(self.support, LENGTH), self.chunks, LENGTH, TARGET, "t")
+
+    @cached_property
+    def uneven(self) -> DataFrame:
+        """Reads cut to different lengths by their number, for the clipping operators."""
+        return self.reads.withColumn("seq", F.substring("seq", F.lit(1), F.when(F.col("id") % 10 == 0, 80).when(F.col("id") % 10 < 4, 90).otherwise(100)))
+
+
+def _genotype_matrix(r: Run) -> DataFrame:
+    """The target's genotypes beside those of its positions in even hundreds, as a second target."""
+    second = r.bi_snp.where(F.floor(F.col("pos") / 100) % 2 == 0)
+    return tools.genotype_matrix({"t1": r.bi_snp, "t2": second})
+
+
+PLANS: dict[str, Callable[[Run], DataFrame]] = {
+    "reads_uniq": lambda r: r.uniq,
+    "kmer_count": lambda r: r.counts,
+    "ref_kmers": lambda r: reference.ref_kmers(r.chunks),
+    "ref20_unique": lambda r: r.ref20,
+    "ref_control_reads": lambda r: reference.control_reads(r.chunks, "ref"),
+    "last_base_pivot": lambda r: r.lbc,
+    "kmer_join": lambda r: r.joined,
+    "kmer_edges": lambda r: r.edges,
+    "kmer_map": lambda r: r.mapped,
+    "cnv_counts": lambda r: kmer.cnv_counts(r.counts, r.ref20, TARGET, CONTROL),
+    "head_seed_map": lambda r: r.heads,
+    "seed_pairs": lambda r: r.pairs,
+    "align_snps": lambda r: r.snps,
+    "snp_read_support": lambda r: r.support,
+    "snp_probes": lambda r: r.probes,
+    "snp_probe_hits": lambda r: verify.probe_hits(r.probes, r.uniq),
+    "snp_genotypes": lambda r: r.bi_snp,
+    "sv_junctions": lambda r: r.events.drop("head", "tail"),
+    "sv_read_support": lambda r: align.sv_support(r.events),
+    "sv_genotypes": lambda r: r.sv,
+    "kmer_genotypes": lambda r: r.kmer_snp,
+    "vcf_snp": lambda r: vcf.vcf_snp(r.bi_snp),
+    "vcf_kmer": lambda r: vcf.vcf_kmer(r.kmer_snp),
+    "vcf_sv": lambda r: vcf.vcf_sv(r.sv, r.events, r.chunks),
+    "vcf_full": lambda r: vcf.full_vcf(vcf.vcf_snp(r.bi_snp), vcf.vcf_sv(r.sv, r.events, r.chunks)),
+    "vcf_count": lambda r: vcf.vcf_count(r.support),
+    "clip_reads": lambda r: reads.clip_reads(r.reads.select("sample", "id", "seq"), 30),
+    "auto_clip": lambda r: reads.auto_clip(r.uneven),
+    "length_histogram": lambda r: reads.length_histogram(r.uneven),
+    "search_alignment": lambda r: align.search_alignment(align.render_snp(r.snps), "1", 200),
+    "genotype_matrix": _genotype_matrix,
+    "primer_candidates": lambda r: primer.primer_candidates(primer.snp_regions(r.bi_snp, r.chunks), ["chr", "pos", "ref", "alt"]),
+    "primer_pairs": lambda r: primer.primer_pairs(primer.snp_regions(r.bi_snp, r.chunks)),
+    "sv_primer_pairs": lambda r: primer.primer_pairs(primer.sv_regions(r.sv, r.chunks), structural=True),
+}
 
 
-def queries() -> dict:
-    return {}
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return {name: (lambda spark, sf_dir, plan=plan: plan(Run(spark, sf_dir))) for name, plan in PLANS.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLES)
