@@ -3,14 +3,16 @@
 The strings that decide are compared by merging Burrows-Wheeler transforms of shards by iterative interleave
 refinement: an interleave of all suffixes, first shard after shard, is refined by a stable distribution on the
 character in front of each suffix. After h rounds it is ordered by the first h characters; a boundary that appears
-in round h is a common prefix of h - 1. Suffixes that no boundary parts after ``length`` rounds form the repeated intervals.
+in round h is a common prefix of h - 1. Suffixes that no boundary parts in the last round form the repeated intervals.
 
 Only strings that can repeat enter the merge. The texts are sampled by content:
 
 * An *anchor* is the place of the least hash among ``WINDOW`` neighbouring 8-byte grams. A string of ``length`` bytes
   fixes all anchors well inside it, so equal strings have the same first anchor at the same offset. Every string start
   thus belongs to one anchor, the first that lies at least ``WINDOW - 1`` bytes behind it.
-* The *core* of an anchor are the bytes that all its strings share, its *block* the bytes that they cover together.
+* The *core* of an anchor are the bytes that all its strings share (all but ``WINDOW - 1`` of them), its *block* the bytes
+  that they cover together. In the merge a core is one character, so a string has ``WINDOW`` characters and the
+  interleave is complete after as many rounds.
 
 Three passes read the texts, which are never shuffled; shards are the splits of a table in the shared folder.
 
@@ -195,41 +197,41 @@ def answered(messages: DataFrame, hot: int | None) -> DataFrame:
     return by_key(messages, ["bucket"], run, ANSWER)
 
 
-def merged_repeats(strings: list[bytes], shards: np.ndarray, starts: np.ndarray, length: int) -> np.ndarray:
-    """For each string, a bit mask of its first ``starts`` places whose ``length`` bytes occur at another place too.
+def merged_repeats(strings: list[bytes], left: np.ndarray, cores: np.ndarray, shards: np.ndarray, starts: np.ndarray, rounds: int) -> np.ndarray:
+    """For each string, a bit mask of its first ``starts`` places whose ``rounds`` characters occur at another place too.
 
-    The merge itself. Every string ends in a sentinel; suffix j stands at place j of the strings laid end to end, shard by
+    A string is given without its core, which stands behind ``left`` bytes and is one character of its own.
+    The merge itself: every string ends in a sentinel; suffix j stands at place j of the strings laid end to end, shard by
     shard, which is the first interleave. Round h brings the suffixes in front of the interleave's suffixes into the order
     of (their character, the interleave), by one stable distribution; boundaries move with them.
     """
     order = np.argsort(shards, kind="stable")
-    size = np.array([len(strings[i]) + 1 for i in order])
-    text = np.frombuffer(b"".join(strings[i] + b"\0" for i in order), np.uint8)
-    n, ends = len(text), np.cumsum(size)
-    sentinel = ends - 1
-    # Ranks of blocks in the interleave: suffixes in one block agree on the first h characters. A sentinel is its own block.
-    front = np.arange(-1, n - 1, dtype=np.int32)
-    front[ends - size] = sentinel
+    size = np.array([len(strings[i]) + 2 for i in order])
+    ends = np.cumsum(size)
+    begin, sentinel, n = ends - size, ends - 1, int(ends[-1])
+    text = np.frombuffer(b"".join(strings[i][: left[i]] + b"\0" + strings[i][left[i] :] + b"\0" for i in order), np.uint8)
     character = text.astype(np.uint16) + 1
+    character[begin + left[order]] = 257 + np.unique(cores, return_inverse=True)[1][order]
     character[sentinel] = 0
+    front = np.arange(-1, n - 1, dtype=np.int32)
+    front[begin] = sentinel
+    # ``block`` numbers the parts of the interleave in its own order: suffixes of a part agree on their first h characters.
     interleave, block = np.arange(n, dtype=np.int32), np.zeros(n, np.int32)
-    for _ in range(length):
+    new = np.empty(n, bool)
+    for _ in range(rounds):
         before = front[interleave]
-        move = np.argsort(character[before], kind="stable")
-        old = block[interleave][move]
-        interleave = before[move]
-        c = character[interleave]
-        new = np.empty(n, bool)
+        c = character[before]
+        move = np.argsort(c, kind="stable")
+        interleave, c, old = before[move], c[move], block[move]
         new[0] = True
         np.not_equal(c[1:], c[:-1], out=new[1:])
         new[1:] |= old[1:] != old[:-1]
         new |= c == 0
-        block = np.empty(n, np.int32)
-        block[interleave] = np.cumsum(new, dtype=np.int32)
-    count = np.bincount(block)
-    repeated = count[block] > 1
+        block = np.cumsum(new, dtype=np.int32)
+    repeated = np.empty(n, bool)
+    repeated[interleave] = (np.bincount(block) > 1)[block]
     masks = np.zeros(len(strings), np.uint64)
-    for i, at in zip(order, ends - size, strict=True):
+    for i, at in zip(order, begin.tolist(), strict=True):
         k = int(starts[i])
         masks[i] = np.packbits(np.concatenate([repeated[at : at + k], np.zeros(64 - k, bool)]), bitorder="little").view("<u8")[0]
     return masks
@@ -293,16 +295,19 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, hot: int = HOT) -> Dat
                 pick = np.flatnonzero((state == OPEN) | (state == ASKED) & leads)
                 raw = s.raw.tobytes()
                 if len(pick):
-                    lo, count = s.lo[pick], s.count[pick]
-                    yield pd.DataFrame({"place": s.core[pick].view(np.int64), "shard": name, "chunk": chunk, "entry": pick.astype(np.int32), "starts": count.astype(np.int32), "string": [raw[a : a + c - 1 + length] for a, c in zip(lo.tolist(), count.tolist(), strict=True)]})
+                    lo, stop = s.lo[pick], s.lo[pick] + s.count[pick] - 1 + length
+                    core = s.at[pick] - WINDOW + 1
+                    cuts = zip(lo.tolist(), core.tolist(), (core + length - WINDOW + 1).tolist(), stop.tolist(), strict=True)
+                    strings = [raw[a:b] + raw[c:d] for a, b, c, d in cuts]
+                    yield pd.DataFrame({"place": s.core[pick].view(np.int64), "shard": name, "chunk": chunk, "entry": pick.astype(np.int32), "starts": s.count[pick].astype(np.int32), "left": (core - lo).astype(np.int32), "string": strings})
 
     def merge(x: dict[str, np.ndarray]) -> pd.DataFrame:
-        masks = merged_repeats(list(x["string"]), pd.factorize(x["shard"])[0], x["starts"], length)
+        masks = merged_repeats(list(x["string"]), x["left"], x["place"], pd.factorize(x["shard"])[0], x["starts"], WINDOW)
         return pd.DataFrame({"shard": x["shard"], "chunk": x["chunk"], "entry": x["entry"], "mask": masks.view(np.int64)})
 
     second_answers = scratch_path(spark, "suffix-masks")
-    opened = texts.mapInPandas(send_open, "place long, shard string, chunk int, entry int, starts int, string binary")
-    by_key(opened, ["place"], merge, "shard string, chunk int, entry int, mask long", at_once=MERGE // (length + WINDOW)).write.partitionBy("shard").parquet(second_answers)
+    opened = texts.mapInPandas(send_open, "place long, shard string, chunk int, entry int, starts int, left int, string binary")
+    by_key(opened, ["place"], merge, "shard string, chunk int, entry int, mask long", at_once=MERGE // (2 * WINDOW)).write.partitionBy("shard").parquet(second_answers)
 
     def hot_starts(s: Sampled, state: np.ndarray, leads: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(entry, start, name) of the strings of hot entries."""
