@@ -56,9 +56,8 @@ def fingerprints(rows: DataFrame, keep: list[str], lengths: list[int], span: int
     chosen = F.filter(at, lambda i: reduce(lambda a, b: a | b, [F.coalesce(F.get("minima", F.when(i >= s, i - s)) == F.get("grams", i), F.lit(False)) for s in range(width)]))
     winnowed = F.when(F.size("grams") >= width, F.transform(chosen, lambda i: F.struct(F.lit(0).alias("n"), F.get("grams", i).alias("h"), i.alias("at"))))
     parts = [F.coalesce(winnowed, F.array().cast("array<struct<n:int,h:bigint,at:int>>"))]
-    for n in lengths:
-        short = F.transform(_grams("hashes", n), lambda h, i, n=n: F.struct(F.lit(n).alias("n"), h.alias("h"), i.alias("at")))
-        parts.append(F.coalesce(short, F.array().cast("array<struct<n:int,h:bigint,at:int>>")))
+    whole = lambda n: F.transform(_grams("hashes", n), lambda h, i: F.struct(F.lit(n).alias("n"), h.alias("h"), i.alias("at")))
+    parts += [F.coalesce(whole(n), F.array().cast("array<struct<n:int,h:bigint,at:int>>")) for n in lengths]
     return grams.select(*keep, F.explode(F.concat(*parts)).alias("f")).select(*keep, "f.n", "f.h", "f.at")
 
 
