@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -31,20 +33,27 @@ def linked_snps(support: DataFrame, length: int) -> DataFrame:
     return listed.withColumn("linked", near).drop("own", "region", "seen")
 
 
-def _tagged(df: DataFrame, keys: list[str], column: str, length: int, sample: str, tag: str) -> DataFrame:
-    """All windows of a sequence column as probes."""
-    wins = windows(df.select(*keys, F.col(column).alias("seq")), keys, length)
-    return wins.select(F.lit(sample).alias("sample"), F.col("win").alias("seq"), *keys, F.lit(tag).alias("tag"))
+def _tagged(df: DataFrame, keys: list[str], length: int, samples: dict[str, str]) -> DataFrame:
+    """All windows of the columns wild (tag w) and mutant (m) as probes of each sample, whose tags get its prefix.
+
+    The variants' plan runs once: both sequences and all samples are exploded from its rows.
+    """
+    both = F.array(*[F.struct(F.lit(t).alias("t"), F.col(c).alias("s")) for t, c in (("w", "wild"), ("m", "mutant"))])
+    wins = windows(df.select(*keys, F.explode(both).alias("_b")).select(*keys, F.col("_b.t").alias("_t"), F.col("_b.s").alias("seq")), [*keys, "_t"], length)
+    asked = F.array(*[F.struct(F.lit(s).alias("sample"), F.lit(p).alias("p")) for s, p in samples.items()])
+    return wins.select("*", F.explode(asked).alias("_a")).select("_a.sample", F.col("win").alias("seq"), *keys, F.concat("_a.p", "_t").alias("tag"))
+
 
+def snp_probes(linked: DataFrame, chunks: DataFrame, length: int, samples: dict[str, str]) -> DataFrame:
+    """Probes of the samples' read length over each SNP: ``w`` of the reference, ``m`` of the mutant sequence.
 
-def snp_probes(linked: DataFrame, chunks: DataFrame, length: int, sample: str, prefix: str) -> DataFrame:
-    """Probes of a sample's read length over each SNP: ``w`` of the reference, ``m`` of the mutant sequence."""
+    ``samples``: prefix of the tags by sample.
+    """
     wide = with_window(linked, chunks, "chr", F.col("pos") - length, F.lit(2 * length - 1), "wild")
     mutant = F.concat(F.substring("wild", 1, length - 1), F.col("alt"), F.substring("wild", length + 1, length))
     place = lambda x: (x["pos"] - (F.col("pos") - length)).cast("int")  # noqa: E731  1-based
     folded = F.aggregate("linked", mutant, lambda s, x: F.overlay(s, x["alt"], place(x), F.lit(1)))
-    both = wide.withColumn("mutant", folded)
-    return _tagged(both, VARIANT, "wild", length, sample, prefix + "w").unionByName(_tagged(both, VARIANT, "mutant", length, sample, prefix + "m"))
+    return _tagged(wide.withColumn("mutant", folded), VARIANT, length, samples)
 
 
 def probe_hits(probes: DataFrame, uniq: DataFrame) -> DataFrame:
@@ -67,12 +76,18 @@ def hit_counts(hits: DataFrame, keys: list[str]) -> DataFrame:
 
 def snp_genotypes(support: DataFrame, chunks: DataFrame, uniq: DataFrame, target: str, control: str, length: int, control_length: int) -> DataFrame:
     """chr, pos, ref, alt, cw, cm, tw, tm and genotype; positions below a read length go."""
-    t = snp_probes(linked_snps(support, length), chunks, length, target, "t")
-    c = snp_probes(linked_snps(support, control_length), chunks, control_length, control, "c")
-    hits = probe_hits(t.unionByName(c), uniq)
+    probes = [snp_probes(linked_snps(support, n), chunks, n, samples) for n, samples in _by_length(target, control, length, control_length)]
+    hits = probe_hits(reduce(DataFrame.unionByName, probes), uniq)
     return hit_counts(hits, VARIANT).where(F.col("pos") >= max(length, control_length))
 
 
+def _by_length(target: str, control: str, length: int, control_length: int) -> list[tuple[int, dict[str, str]]]:
+    """Samples of one read length share their probes."""
+    if length == control_length:
+        return [(length, {target: "t", control: "c"})]
+    return [(length, {target: "t"}), (control_length, {control: "c"})]
+
+
 def kmer_candidates(mapped: DataFrame) -> DataFrame:
     """Mapped k-mer edges as SNPs of support 25, with the control's base taken out of the alternative once."""
     alt = F.when(F.instr("alt", F.col("cont")) > 0, F.overlay("alt", F.lit(""), F.expr("instr(alt, cont)"), F.lit(1))).otherwise(F.col("alt"))
@@ -93,7 +108,7 @@ def sv_representatives(events: DataFrame) -> DataFrame:
     return events.select("hchr", "hpos", "tchr", "tpos", "dir", "type", "size", "hi", "ti", "seq").distinct().withColumn("k", F.row_number().over(order)).where("k = 1").drop("k")
 
 
-def sv_probes(events: DataFrame, chunks: DataFrame, length: int, sample: str, prefix: str) -> DataFrame:
+def sv_probes(events: DataFrame, chunks: DataFrame, length: int, samples: dict[str, str]) -> DataFrame:
     """Probes over each event's junction; the mutant joins head, inside and tail of the two places.
 
     Reads end before the junctions overlap (hi < ti), meet (hi = ti) or pass each other (hi > ti).
@@ -114,10 +129,10 @@ def sv_probes(events: DataFrame, chunks: DataFrame, length: int, sample: str, pr
     rows = with_window(rows, chunks, "hchr", F.col("wild_at"), F.lit(2 * length - 1), "wild")
     turned = F.when(forward, F.col("tail_part")).otherwise(revcomp(F.col("tail_part")))
     rows = rows.withColumn("mutant", F.concat("head_part", "inside", turned))
-    return _tagged(rows, SV_KEY, "wild", length, sample, prefix + "w").unionByName(_tagged(rows, SV_KEY, "mutant", length, sample, prefix + "m"))
+    return _tagged(rows, SV_KEY, length, samples)
 
 
 def sv_genotypes(events: DataFrame, chunks: DataFrame, uniq: DataFrame, target: str, control: str, length: int, control_length: int) -> DataFrame:
     """hchr, hpos, tchr, tpos, dir, type, size, inside, cw, cm, tw, tm and genotype."""
-    probes = sv_probes(events, chunks, length, target, "t").unionByName(sv_probes(events, chunks, control_length, control, "c"))
-    return hit_counts(probe_hits(probes, uniq), SV_KEY).where((F.col("hpos") >= max(length, control_length)))
+    probes = [sv_probes(events, chunks, n, samples) for n, samples in _by_length(target, control, length, control_length)]
+    return hit_counts(probe_hits(reduce(DataFrame.unionByName, probes), uniq), SV_KEY).where((F.col("hpos") >= max(length, control_length)))

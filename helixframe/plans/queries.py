@@ -102,7 +102,7 @@ class Run:
 
     @cached_property
     def probes(self) -> DataFrame:
-        return verify.snp_probes(verify.linked_snps(self.support, LENGTH), self.chunks, LENGTH, TARGET, "t")
+        return verify.snp_probes(verify.linked_snps(self.support, LENGTH), self.chunks, LENGTH, {TARGET: "t"})
 
     @cached_property
     def uneven(self) -> DataFrame:
