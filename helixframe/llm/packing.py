@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import stored, tokenizer_path
-from .tokens import encoder
+from .tokens import encoded_slices
 
 CAPACITY = 2048
 END_ID = 0
@@ -42,10 +42,9 @@ def token_pieces(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", end_id:
     path = tokenizer_path(tokenizer)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            ids, counts = encoder(path).encode(batch["text"].where(batch["text"].notna(), None).tolist())
+        for part, ids, counts in (x for batch in batches for x in encoded_slices(path, batch)):
             rows, at = [], 0
-            for doc_id, n in zip(batch["doc_id"], counts.tolist(), strict=True):
+            for doc_id, n in zip(part["doc_id"], counts.tolist(), strict=True):
                 own = np.append(ids[at : at + n], end_id).astype("<u4")
                 at += n
                 for piece, (start, length) in enumerate(cut(len(own), capacity)):

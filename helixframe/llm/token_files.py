@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import scratch_path, shuffle_width, stored, tokenizer_path
-from .tokens import encoder
+from .tokens import encoded_slices, encoder
 
 MAGIC = b"TIDSHRD1"
 END_ID = 1
@@ -188,12 +188,11 @@ def write_token_files(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", end
         import uuid
 
         keys, counts, flat, vocabulary = [], [], [], encoder(path).tokenizer.get_vocab_size()
-        for batch in batches:
-            ids, n = encoder(path).encode(batch["text"].where(batch["text"].notna(), None).tolist())
+        for part, ids, n in (x for batch in batches for x in encoded_slices(path, batch)):
             stop = np.cumsum(n)
             flat.append(np.insert(ids, stop, end_id).astype(np.uint16 if max(vocabulary, end_id + 1) <= 1 << 16 else np.uint32))
             counts.append(n + 1)
-            keys.append(batch["key"].to_numpy(np.int64))
+            keys.append(part["key"].to_numpy(np.int64))
         if keys:
             name = f"{folder}/shard-{uuid.uuid4().hex}.bin"
             k, c, f = np.concatenate(keys), np.concatenate(counts), np.concatenate(flat)

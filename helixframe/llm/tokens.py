@@ -15,13 +15,14 @@ from __future__ import annotations
 
 import os
 import unicodedata
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 
-MAX_CACHED = 3_000_000
+MAX_CACHED = 1_500_000
 #: Code points handled at once; bounds the memory of the vectorised steps.
-CHUNK_CHARS = 2_000_000
+CHUNK_CHARS = 500_000
 
 LETTER, NUMBER, SPACE, OTHER = 0, 1, 2, 3
 WHITE_SPACE = [*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
@@ -267,6 +268,17 @@ class Encoder:
         counts.append(np.bincount(owner, weights=size, minlength=len(group)).astype(np.int64))
 
 
+#: Texts encoded at once by the operators; their ids are held together.
+SLICE = 256
+
+
+def encoded_slices(path: str, batch) -> Iterator[tuple]:
+    """(part of a pandas batch with a column text, ids of its texts, number of ids of each)."""
+    for i in range(0, len(batch), SLICE):
+        part = batch.iloc[i : i + SLICE]
+        yield part, *encoder(path).encode(part["text"].where(part["text"].notna(), None).tolist())
+
+
 @lru_cache(2)
 def encoder(path: str) -> Encoder:
     """One per Python worker and file."""
