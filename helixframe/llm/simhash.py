@@ -30,6 +30,7 @@ from .graph import components
 
 SEED = 42
 BLOCK = 1024
+WIDE_BLOCK = 1 << 22
 #: Distinct fingerprints above which tiles use eight slices in place of four.
 FINE_TILES = 1 << 22
 
@@ -188,12 +189,22 @@ def links(fps: DataFrame, radius: int, parts: int = 4, width: int = 1, block: in
     return by_key(rows, ["place"], compare, "u long, v long")
 
 
+def wide_block(n: int, partitions: int) -> int:
+    """Block size for a wide radius, where nearly every pair of blocks is compared.
+
+    Each fingerprint is sent to about half of the blocks, so their number must not grow with the fingerprints: it is
+    what gives every partition a pair. ``WIDE_BLOCK`` bounds a task's memory (16 bytes and more a fingerprint).
+    """
+    blocks = max(16, math.ceil(math.sqrt(2 * partitions)))
+    return min(WIDE_BLOCK, max(BLOCK, math.ceil(n / blocks)))
+
+
 def near_duplicates(docs: DataFrame, radius: int = 2, shingle: int = 3, words: int = 1) -> DataFrame:
     """doc_id, fp, and component_id, the least doc_id that links reach, of every document.
 
     ``words`` fingerprints of 64 bits make a longer one, which tells similarities apart more sharply. For a small radius
     tiles follow slices of the bits; for a wide one, where counts prune little, the total count in steps of 8
-    and larger blocks.
+    and blocks as ``wide_block`` says.
     """
     own = materialise(with_fingerprint(docs, shingle, words))
     nodes = own.groupBy("fp").agg(F.min("doc_id").alias("least"))
@@ -201,7 +212,7 @@ def near_duplicates(docs: DataFrame, radius: int = 2, shingle: int = 3, words: i
     if radius <= 3:
         found = links(nodes, radius, 4 if nodes.count() <= FINE_TILES else 8, words=words)
     else:
-        found = links(nodes, radius, 1, 8, 16 * BLOCK, words)
+        found = links(nodes, radius, 1, 8, wide_block(nodes.count(), shuffle_width(docs.sparkSession)), words)
     grouped = nodes.join(components(found), "node", "left").select("fp", "least", F.coalesce("root", "node").alias("root"))
     ids = grouped.join(grouped.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "component_id")
     return own.join(ids, "fp").select("doc_id", "fp", "component_id")
