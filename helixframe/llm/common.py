@@ -5,12 +5,16 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from functools import reduce
+from operator import add
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-#: Tables are broadcast up to this many rows, counted first; larger ones are shuffled.
+#: Tables are broadcast up to so many rows and bytes, measured first; larger ones are shuffled.
 BROADCAST_ROWS = 500_000
+BROADCAST_BYTES = 64 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -60,6 +64,19 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def _size(value: Column, kind: T.DataType) -> Column:
+    """Bytes that a value takes in a row, about."""
+    if isinstance(kind, T.StringType | T.BinaryType):
+        return F.coalesce(F.octet_length(value), F.lit(0)).cast("long") + 16
+    if isinstance(kind, T.ArrayType):
+        return F.coalesce(F.aggregate(value, F.lit(16).cast("long"), lambda total, x: total + _size(x, kind.elementType)), F.lit(16).cast("long"))
+    if isinstance(kind, T.StructType):
+        return reduce(add, [_size(value[f.name], f.dataType) for f in kind.fields], F.lit(16).cast("long"))
+    return F.lit(8).cast("long")
+
+
 def bounded(df: DataFrame) -> DataFrame:
-    """The table with a broadcast hint if it has ``BROADCAST_ROWS`` rows at most, else as it is."""
-    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+    """The table with a broadcast hint if it has ``BROADCAST_ROWS`` rows and ``BROADCAST_BYTES`` at most, else as it is."""
+    size = reduce(add, [_size(df[f.name], f.dataType) for f in df.schema.fields], F.lit(16).cast("long"))
+    rows, taken = df.select(size.alias("size")).limit(BROADCAST_ROWS + 1).agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
+    return F.broadcast(df) if rows <= BROADCAST_ROWS and taken <= BROADCAST_BYTES else df

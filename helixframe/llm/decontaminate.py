@@ -14,7 +14,7 @@ words contain equal K-grams, hence an equal smallest one: every shared window is
 Items shorter than ``SPAN`` have one fingerprint, the hash of all their words; documents are hashed at those lengths
 too, which costs one pass per distinct short length (at most ``SPAN - 1``, none if there are no short items).
 
-Benchmark tables are broadcast only up to ``common.BROADCAST_ROWS`` rows, counted first; beyond that Spark shuffles the join.
+Benchmark tables are broadcast only within the rows and bytes of ``common.bounded``, measured first; beyond that Spark shuffles the join.
 
 Edge cases: null texts and texts without words have no windows and n_words 0; rows that repeat a doc_id are told
 apart by their text, and equal ones share one result each; empty tables give no hits; an item repeated under
