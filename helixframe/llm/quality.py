@@ -62,7 +62,7 @@ def features(text: str | None) -> tuple[np.ndarray, np.ndarray]:
         len(set(words)) / n_words,
         1 - len(set(lines)) / max(len(lines), 1),
         counts.max() / n,
-        sum(map(bytes.isalpha, words[:: max(1, len(words) // 500)])) / min(n_words, max(1, len(words[:: max(1, len(words) // 500)]))),
+        sum(map(bytes.isalpha, words)) / n_words,
         np.log1p(len(words)) / 12,
         np.log1p(len(text or "")) / 14,
     ]
