@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from helixframe.llm import ann, chat, decontaminate, graph, line_dedup, packing, quality, simhash, suffix_dedup, token_files, url_filter
+from helixframe.llm import ann, chat, common, decontaminate, graph, line_dedup, packing, quality, simhash, suffix_dedup, token_files, url_filter
 from helixframe.llm.common import tokenizer_path
 from helixframe.llm.tokens import Encoder
 
@@ -263,6 +263,14 @@ def test_line_dedup_drops_templates_and_keeps_copies(spark):
     assert line_dedup.drop_recurring(documents(spark, [])).count() == 0
 
 
+def test_line_dedup_drops_whole_blocks(spark):
+    block = ["This text is free to share", "under the terms set out below", "without warranty of any kind"]
+    rows = [(i, "\n".join([words(9, 700 + i), *block, words(9, 800 + i), words(9, 900 + i)])) for i in range(12)]
+    rows += [(50 + i, f"one short line that is all of this document {'abcdef'[i]}") for i in range(6)]
+    for r in line_dedup.drop_recurring(documents(spark, rows)).collect():
+        assert r.n_dropped == (3 if r.doc_id < 50 else 0)
+
+
 def test_leaf_generalises_names(spark):
     names = ["anna", "bert", "carl", "dora", "emil"]
     rows = [(i, f"{words(9, 70 + i)}\nThis page was last edited and approved by {n} of staff\n{words(9, 80 + i)}") for i, n in enumerate(names)]
@@ -321,6 +329,17 @@ def test_near_duplicates_by_brute_force(spark, monkeypatch, radius, block):
     assert simhash.near_duplicates(documents(spark, [])).count() == 0
 
 
+def test_broadcasts_are_bounded_by_rows_and_bytes(spark, monkeypatch):
+    table = spark.createDataFrame([(i, ["x" * 50, None], [(1, "y")]) for i in range(20)] + [(None, None, None)], "a long, b array<string>, c array<struct<d:int,e:string>>")
+    hinted = lambda: "broadcast" in common.bounded(table)._jdf.queryExecution().toString().lower()
+    assert hinted()
+    monkeypatch.setattr(common, "BROADCAST_BYTES", 1000)
+    assert not hinted()
+    monkeypatch.setattr(common, "BROADCAST_BYTES", 10**6)
+    monkeypatch.setattr(common, "BROADCAST_ROWS", 20)
+    assert not hinted()
+
+
 def test_keep_one(spark):
     base = words(300, 1, 5000).split()
     near = [*base[:150], "changed", *base[151:]]
