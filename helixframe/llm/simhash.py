@@ -22,7 +22,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import bounded, materialise, shuffle_width
@@ -54,15 +54,15 @@ def fingerprint(text: str | None, shingle: int = 3, seed: int = SEED) -> int:
     return int(np.packbits(2 * ones > n, bitorder="little").view("<u8")[0])
 
 
-def with_fingerprint(docs: DataFrame, shingle: int = 3, words: int = 1) -> DataFrame:
-    """doc_id and ``fp``: ``words`` fingerprints (of seeds 42, 43, ...) as signed 64-bit integers."""
+def with_fingerprint(docs: DataFrame, shingle: int = 3, words: int = 1, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """``keep`` and ``fp``: ``words`` fingerprints (of seeds 42, 43, ...) as signed 64-bit integers."""
 
     @F.pandas_udf("array<long>")
     def fp(texts: pd.Series) -> pd.Series:
         found = ([fingerprint(t if isinstance(t, str) else None, shingle, SEED + i) for i in range(words)] for t in texts)
         return pd.Series([np.array(x, np.uint64).view(np.int64) for x in found])
 
-    return docs.select("doc_id", fp("text").alias("fp"))
+    return docs.select(*keep, fp("text").alias("fp"))
 
 
 def _tile(parts: int, width: int, words: int) -> list:
@@ -199,21 +199,28 @@ def wide_block(n: int, partitions: int) -> int:
     return min(WIDE_BLOCK, max(BLOCK, math.ceil(n / blocks)))
 
 
-def near_duplicates(docs: DataFrame, radius: int = 2, shingle: int = 3, words: int = 1) -> DataFrame:
-    """doc_id, fp, and component_id, the least doc_id that links reach, of every document.
+def _rooted(own: DataFrame, least: Column, radius: int, words: int) -> DataFrame:
+    """(fp, least, root) of each distinct fingerprint: the least of its rows, and the name of its group.
 
-    ``words`` fingerprints of 64 bits make a longer one, which tells similarities apart more sharply. For a small radius
-    tiles follow slices of the bits; for a wide one, where counts prune little, the total count in steps of 8
-    and blocks as ``wide_block`` says.
+    For a small radius tiles follow slices of the bits; for a wide one, where counts prune little, the total count in steps
+    of 8 and blocks as ``wide_block`` says.
     """
-    own = materialise(with_fingerprint(docs, shingle, words))
-    nodes = own.groupBy("fp").agg(F.min("doc_id").alias("least"))
+    nodes = own.groupBy("fp").agg(F.min(least).alias("least"))
     nodes = materialise(nodes.withColumn("node", F.get("fp", F.lit(0)) if words == 1 else F.xxhash64("fp")))
     if radius <= 3:
         found = links(nodes, radius, 4 if nodes.count() <= FINE_TILES else 8, words=words)
     else:
-        found = links(nodes, radius, 1, 8, wide_block(nodes.count(), shuffle_width(docs.sparkSession)), words)
-    grouped = nodes.join(components(found), "node", "left").select("fp", "least", F.coalesce("root", "node").alias("root"))
+        found = links(nodes, radius, 1, 8, wide_block(nodes.count(), shuffle_width(own.sparkSession)), words)
+    return nodes.join(components(found), "node", "left").select("fp", "least", F.coalesce("root", "node").alias("root"))
+
+
+def near_duplicates(docs: DataFrame, radius: int = 2, shingle: int = 3, words: int = 1) -> DataFrame:
+    """doc_id, fp, and component_id, the least doc_id that links reach, of every document.
+
+    ``words`` fingerprints of 64 bits make a longer one, which tells similarities apart more sharply.
+    """
+    own = materialise(with_fingerprint(docs, shingle, words))
+    grouped = _rooted(own, F.col("doc_id"), radius, words)
     ids = grouped.join(grouped.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "component_id")
     return own.join(ids, "fp").select("doc_id", "fp", "component_id")
 
@@ -231,16 +238,29 @@ def similarity_radius(similarity: float, bits: int) -> int:
 
 
 def keep_one(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, words: int = 2) -> DataFrame:
-    """The documents without near copies: of each group the one of least doc_id stays (of rows that repeat it, one).
+    """The documents without near copies: of each group one row of the least (doc_id, hash of the text), null ids last.
 
     Documents are near copies if their ``64 * words`` bits over shingles of five words differ in no more bits than sets
-    of the given similarity do on average; groups are the connected components. Rows without doc_id stay.
+    of the given similarity do on average; groups are the connected components. Rows that repeat a doc_id with another text
+    are documents of their own, and so are rows without doc_id.
     """
-    found = materialise(near_duplicates(docs, similarity_radius(similarity, 64 * words), shingle, words))
-    dropped = found.where("doc_id > component_id").select("doc_id").distinct()
-    kept = docs.join(bounded(dropped), "doc_id", "left_anti")
-    twice = materialise(found.where("doc_id = component_id").groupBy("doc_id").count().where("count > 1").select("doc_id"))
+    keyed = docs.withColumn("_key", F.xxhash64("text"))
+    own = materialise(with_fingerprint(keyed.withColumn("text_key", F.col("_key")), shingle, words, ("doc_id", "text_key")))
+    least = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "text_key")
+    grouped = _rooted(own, least, similarity_radius(similarity, 64 * words), words)
+    ids = grouped.join(grouped.groupBy("root").agg(F.min("least").alias("first")), "root").select("fp", "first")
+    return _only_first(keyed, own.join(ids, "fp")).select(*docs.columns)
+
+
+def _only_first(keyed: DataFrame, grouped: DataFrame) -> DataFrame:
+    """Of ``keyed``, without the rows of ``grouped`` (doc_id, text_key, first) that are not their group's first; one row of each first."""
+    is_first = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("text_key") == F.col("first.text_key"))
+    counted = materialise(grouped.groupBy(F.col("doc_id").alias("_id"), F.col("text_key").alias("_text_key"), is_first.alias("is_first")).count())
+    same = keyed["doc_id"].eqNullSafe(F.col("_id")) & (keyed["_key"] == F.col("_text_key"))
+    gone = counted.where("NOT is_first").select("_id", "_text_key")
+    kept = keyed.join(bounded(gone), same, "left_anti")
+    twice = counted.where("is_first AND count > 1").select("_id", "_text_key")
     if not twice.isEmpty():
-        again = kept.join(bounded(twice), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-        kept = kept.join(bounded(twice), "doc_id", "left_anti").unionByName(again)
-    return kept.select(*docs.columns)
+        again = kept.join(bounded(twice), same, "left_semi").dropDuplicates(["doc_id", "_key"])
+        kept = kept.join(bounded(twice), same, "left_anti").unionByName(again)
+    return kept

@@ -348,6 +348,15 @@ def test_keep_one(spark):
     assert sorted(str(r.doc_id) for r in kept.collect()) == ["2", "3", "9", "None"] and kept.columns == documents(spark, rows).columns
 
 
+def test_keep_one_tells_texts_under_one_id_apart(spark):
+    base = words(300, 1, 5000).split()
+    first, near = " ".join(base), " ".join([*base[:150], "changed", *base[151:]])
+    lone = [words(300, s, 5000) for s in range(10, 14)]
+    rows = [(1, first), (7, near), (7, lone[0]), (7, lone[1]), (8, lone[2]), (8, lone[2]), (None, lone[3]), (None, lone[3]), (None, first)]
+    kept = simhash.keep_one(documents(spark, rows)).collect()
+    assert Counter((r.doc_id, r.text) for r in kept) == Counter([(1, first), (7, lone[0]), (7, lone[1]), (8, lone[2]), (None, lone[3])])
+
+
 def test_components_of_a_path_and_a_star(spark):
     edges = [(i, i + 1) for i in range(200)] + [(1000, 1000 + i) for i in range(1, 300)] + [(5000, 5000)]
     got = {r.node: r.root for r in graph.components(spark.createDataFrame(edges, "u long, v long")).collect()}
