@@ -35,23 +35,28 @@ WIDE_BLOCK = 1 << 22
 FINE_TILES = 1 << 22
 
 
-def fingerprint(text: str | None, shingle: int = 3, seed: int = SEED) -> int:
-    """The 64-bit fingerprint of a text."""
+def shingle_hashes(text: str | None, shingle: int, seed: int = SEED) -> np.ndarray:
+    """The XXH64 hashes of a text's word shingles, in their order; none without words."""
     from xxhash import xxh64_intdigest
 
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not words:
-        return 0
+        return np.zeros(0, np.uint64)
     joined = b" ".join(words)
     size = np.fromiter(map(len, words), np.int64, len(words))
     ends = np.cumsum(size + 1) - 1
     starts = ends - size
     n = max(len(words) - shingle + 1, 1)
-    hashes = np.fromiter((xxh64_intdigest(joined[a:b], seed) for a, b in zip(starts[:n].tolist(), ends[-n:].tolist(), strict=True)), np.uint64, n)
+    return np.fromiter((xxh64_intdigest(joined[a:b], seed) for a, b in zip(starts[:n].tolist(), ends[-n:].tolist(), strict=True)), np.uint64, n)
+
+
+def fingerprint(text: str | None, shingle: int = 3, seed: int = SEED) -> int:
+    """The 64-bit fingerprint of a text."""
+    hashes = shingle_hashes(text, shingle, seed)
     ones = np.zeros(64, np.int64)
-    for i in range(0, n, 65_536):
+    for i in range(0, len(hashes), 65_536):
         ones += np.unpackbits(hashes[i : i + 65_536].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * ones > n, bitorder="little").view("<u8")[0])
+    return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<u8")[0])
 
 
 def with_fingerprint(docs: DataFrame, shingle: int = 3, words: int = 1, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -229,27 +234,27 @@ def digest(found: DataFrame) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex(F.get("fp", F.lit(0)))), 16, "0").alias("fingerprint"), "component_id")
 
 
-def similarity_radius(similarity: float, bits: int) -> int:
-    """Number of bits in which texts of this Jaccard similarity of shingle sets differ on average.
-
-    Sets of similarity s have a cosine of 2 s / (1 + s), and each bit differs with probability arccos(cosine) / pi.
-    """
-    return math.ceil(bits * math.acos(2 * similarity / (1 + similarity)) / math.pi)
-
-
-def keep_one(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, words: int = 2) -> DataFrame:
+def keep_one(docs: DataFrame, similarity: float = 0.8, shingle: int = 5) -> DataFrame:
     """The documents without near copies: of each group one row of the least (doc_id, hash of the text), null ids last.
 
-    Documents are near copies if their ``64 * words`` bits over shingles of five words differ in no more bits than sets
-    of the given similarity do on average; groups are the connected components. Rows that repeat a doc_id with another text
-    are documents of their own, and so are rows without doc_id.
+    Documents are near copies if their sets of shingles of five words have the given Jaccard similarity, compared in
+    full; groups are the connected components (see ``near_copies``). Rows that repeat a doc_id with another text are documents
+    of their own, and so are rows without doc_id.
     """
+    from . import near_copies
+
     keyed = docs.withColumn("_key", F.xxhash64("text"))
-    own = materialise(with_fingerprint(keyed.withColumn("text_key", F.col("_key")), shingle, words, ("doc_id", "text_key")))
+    texts = keyed.select("doc_id", F.col("_key").alias("text_key"), "text")
+    signed = materialise(near_copies.with_signature(texts, shingle))
     least = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "text_key")
-    grouped = _rooted(own, least, similarity_radius(similarity, 64 * words), words)
-    ids = grouped.join(grouped.groupBy("root").agg(F.min("least").alias("first")), "root").select("fp", "first")
-    return _only_first(keyed, own.join(ids, "fp")).select(*docs.columns)
+    nodes = materialise(signed.groupBy("node").agg(F.min(least).alias("least"), F.first("bands").alias("bands"), F.count("*").alias("rows")))
+    found = near_copies.groups(texts, nodes.select("node", "bands", "least.doc_id", "least.text_key"), similarity, shingle)
+    # Nodes of one row that link to no other are left out: their rows stay.
+    rooted = nodes.join(found.withColumnRenamed("node", "_node"), F.col("node") == F.col("_node"), "left").where("root IS NOT NULL OR rows > 1")
+    rooted = rooted.select("node", "least", F.coalesce("root", "node").alias("root"))
+    firsts = rooted.groupBy("root").agg(F.min("least").alias("first"))
+    ids = materialise(rooted.join(bounded(materialise(firsts)), "root").select("node", "first"))
+    return _only_first(keyed, signed.join(bounded(ids), "node")).select(*docs.columns)
 
 
 def _only_first(keyed: DataFrame, grouped: DataFrame) -> DataFrame:

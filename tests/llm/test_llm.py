@@ -357,6 +357,19 @@ def test_keep_one_tells_texts_under_one_id_apart(spark):
     assert Counter((r.doc_id, r.text) for r in kept) == Counter([(1, first), (7, lone[0]), (7, lone[1]), (8, lone[2]), (None, lone[3])])
 
 
+def edited(base, places, mark):
+    return " ".join(f"{mark}n{i}" if i in places else w for i, w in enumerate(base.split()))
+
+
+def test_keep_one_decides_by_exact_similarity(spark):
+    rows = []
+    for i in range(60):  # 180 shingles: four words apart are 160 of 200, five words apart 155 of 205
+        base = words(184, 700 + i, 10**6)
+        rows += [(1000 + i, base), (2000 + i, edited(base, {20, 60, 100, 140}, f"a{i}")), (3000 + i, edited(base, {30, 70, 110, 150, 170}, f"b{i}"))]
+    kept = {r.doc_id for r in simhash.keep_one(documents(spark, rows)).collect()}
+    assert kept == {1000 + i for i in range(60)} | {3000 + i for i in range(60)}
+
+
 def test_components_of_a_path_and_a_star(spark):
     edges = [(i, i + 1) for i in range(200)] + [(1000, 1000 + i) for i in range(1, 300)] + [(5000, 5000)]
     got = {r.node: r.root for r in graph.components(spark.createDataFrame(edges, "u long, v long")).collect()}
