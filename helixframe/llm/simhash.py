@@ -17,7 +17,6 @@ repeated rows come back as often; an empty table gives no rows; extra columns ar
 
 from __future__ import annotations
 
-import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -30,7 +29,6 @@ from .graph import components
 
 SEED = 42
 BLOCK = 1024
-WIDE_BLOCK = 1 << 22
 #: Distinct fingerprints above which tiles use eight slices in place of four.
 FINE_TILES = 1 << 22
 
@@ -194,28 +192,18 @@ def links(fps: DataFrame, radius: int, parts: int = 4, width: int = 1, block: in
     return by_key(rows, ["place"], compare, "u long, v long")
 
 
-def wide_block(n: int, partitions: int) -> int:
-    """Block size for a wide radius, where nearly every pair of blocks is compared.
-
-    Each fingerprint is sent to about half of the blocks, so their number must not grow with the fingerprints: it is
-    what gives every partition a pair. ``WIDE_BLOCK`` bounds a task's memory (16 bytes and more a fingerprint).
-    """
-    blocks = max(16, math.ceil(math.sqrt(2 * partitions)))
-    return min(WIDE_BLOCK, max(BLOCK, math.ceil(n / blocks)))
-
-
 def _rooted(own: DataFrame, least: Column, radius: int, words: int) -> DataFrame:
     """(fp, least, root) of each distinct fingerprint: the least of its rows, and the name of its group.
 
     For a small radius tiles follow slices of the bits; for a wide one, where counts prune little, the total count in steps
-    of 8 and blocks as ``wide_block`` says.
+    of 8. A place of a wide comparison gathers nearly all fingerprints, so it is for small tables only; no query uses it.
     """
     nodes = own.groupBy("fp").agg(F.min(least).alias("least"))
     nodes = materialise(nodes.withColumn("node", F.get("fp", F.lit(0)) if words == 1 else F.xxhash64("fp")))
     if radius <= 3:
         found = links(nodes, radius, 4 if nodes.count() <= FINE_TILES else 8, words=words)
     else:
-        found = links(nodes, radius, 1, 8, wide_block(nodes.count(), shuffle_width(own.sparkSession)), words)
+        found = links(nodes, radius, 1, 8, BLOCK, words)
     return nodes.join(components(found), "node", "left").select("fp", "least", F.coalesce("root", "node").alias("root"))
 
 

@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from helixframe.llm import ann, chat, common, decontaminate, graph, line_dedup, packing, quality, simhash, suffix_dedup, token_files, url_filter
+from helixframe.llm import ann, chat, common, decontaminate, graph, line_dedup, near_copies, packing, quality, simhash, suffix_dedup, token_files, url_filter
 from helixframe.llm.common import tokenizer_path
 from helixframe.llm.tokens import Encoder
 
@@ -370,6 +370,18 @@ def test_keep_one_decides_by_exact_similarity(spark):
     assert kept == {1000 + i for i in range(60)} | {3000 + i for i in range(60)}
 
 
+def test_keep_one_gathers_no_place_and_links_copies_by_their_original(spark, monkeypatch):
+    def gathered(*_, **__):
+        raise AssertionError("a place is gathered whole")
+
+    monkeypatch.setattr(simhash, "by_key", gathered)
+    monkeypatch.setattr(near_copies, "CHUNK", 16)
+    base = words(54, 1, 10**6)  # 50 shingles: a copy shares 45 of 55 with the base, with another copy 40 of 60 or less
+    rows = [(i, edited(base, {5 + i % 44}, f"c{i}")) for i in range(1, 101)] + [(500, base)] + [(600 + i, words(54, 50 + i, 10**6)) for i in range(100)]
+    kept = {r.doc_id for r in simhash.keep_one(documents(spark, rows)).collect()}
+    assert kept == {1} | {600 + i for i in range(100)}
+
+
 def test_components_of_a_path_and_a_star(spark):
     edges = [(i, i + 1) for i in range(200)] + [(1000, 1000 + i) for i in range(1, 300)] + [(5000, 5000)]
     got = {r.node: r.root for r in graph.components(spark.createDataFrame(edges, "u long, v long")).collect()}
