@@ -4,8 +4,8 @@ Everything runs in Spark's JVM: features are column expressions and the trees ar
 
 The trees learn from labelled URLs, a table (url, label) with label 1 for pages to block. Where no such table is
 given, ``weak_labels`` makes one: a URL whose host has a label holding one of ``SPAM_WORDS`` is 1, any other 0.
-At most ``TRAIN_ROWS`` labelled rows are used, those with the smallest hash of the URL, so the fit and the suffix
-table (block rates of the last one and two host labels, smoothed) stay bounded at any corpus size.
+The suffix table (block rates of the last one and two host labels, smoothed) counts all labelled rows. The trees are fitted on at most
+``TRAIN_ROWS`` distinct labelled URLs, those with the smallest hash, so the fit stays bounded at any corpus size.
 
 Features: lengths of URL, host and path, depth of the path, labels of the host, digit, upper-case and
 punctuation ratios, entropy of the characters, parameters and their length, hyphens in the host, digits in the
@@ -22,7 +22,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import bounded, materialise
 
 TRAIN_ROWS = 20_000
 RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
@@ -75,6 +75,11 @@ def with_rule(parts: DataFrame, rules: list[tuple[str, str, str]]) -> DataFrame:
     return parts.join(hosts, "host", "left").withColumn("best", best).withColumns({"rule": F.col("best.rule"), "rule_verdict": F.col("best.kind")}).drop("best", "rules")
 
 
+def suffix(labels: Column, n: int) -> Column:
+    """The last ``n`` of a host's labels."""
+    return F.array_join(F.slice(labels, F.greatest(F.size(labels) - (n - 1), F.lit(1)), n), ".")
+
+
 def with_features(parts: DataFrame) -> DataFrame:
     """Lexical features of ``_url``, ``host`` and ``path``, without the suffix statistics, and the two suffixes."""
     url, host = F.col("_url"), F.col("host")
@@ -104,8 +109,8 @@ def with_features(parts: DataFrame) -> DataFrame:
         "f_host_digits": count(host, "[^0-9]"),
         "f_longest": F.array_max(F.transform(labels, lambda x: F.length(x))).cast("double"),
         "f_fragment": F.instr(url, "#").cast("boolean").cast("double"),
-        "suffix1": F.element_at(labels, -1),
-        "suffix2": F.array_join(F.slice(labels, F.greatest(F.size(labels) - 1, F.lit(1)), 2), "."),
+        "suffix1": suffix(labels, 1),
+        "suffix2": suffix(labels, 2),
     })
 
 
@@ -126,8 +131,7 @@ class UrlModel:
         out = featured
         for k in ("1", "2"):
             table = self.suffixes.where(F.col("kind") == k).select(F.col("suffix").alias(f"suffix{k}"), F.col("rate").alias(f"f_suffix{k}"))
-            # At most two rows for each of the TRAIN_ROWS training rows.
-            out = out.join(F.broadcast(table), f"suffix{k}", "left").fillna({f"f_suffix{k}": self.prior})
+            out = out.join(bounded(table), f"suffix{k}", "left").fillna({f"f_suffix{k}": self.prior})
         return out
 
     def score(self, parts: DataFrame) -> DataFrame:
@@ -139,14 +143,16 @@ class UrlModel:
 
 
 def fit(labelled: DataFrame, train_rows: int = TRAIN_ROWS, trees: int = 12, depth: int = 4, smoothing: float = 20.0) -> UrlModel:
-    """Train on at most ``train_rows`` rows of (url, label)."""
+    """Suffix rates of all rows of (url, label), and trees trained on at most ``train_rows`` distinct ones."""
     rows = labelled.where("url IS NOT NULL AND label IN (0, 1)").select("url", F.col("label").cast("double").alias("label"))
-    sample = materialise(with_features(with_parts(rows.orderBy(F.xxhash64("url"), "url", "label").limit(train_rows))))
-    n, ones = sample.agg(F.count("*"), F.coalesce(F.sum("label"), F.lit(0.0))).first()
-    if not 0 < ones < n:
-        return UrlModel(None, None, float(bool(n) and ones == n))
+    sample = materialise(with_features(with_parts(rows.distinct().orderBy(F.xxhash64("url"), "url", "label").limit(train_rows))))
+    n, ones = rows.agg(F.count("*"), F.coalesce(F.sum("label"), F.lit(0.0))).first()
+    if sample.select("label").distinct().count() < 2:
+        return UrlModel(None, None, float(bool(n) and 2 * ones >= n))
     prior = ones / n
-    both = sample.select("label", F.explode(F.array(F.struct(F.lit("1").alias("kind"), F.col("suffix1").alias("suffix")), F.struct(F.lit("2").alias("kind"), F.col("suffix2").alias("suffix")))).alias("s"))
+    labels = F.split("host", r"\.")
+    kinds = F.array(*[F.struct(F.lit(str(k)).alias("kind"), suffix(labels, k).alias("suffix")) for k in (1, 2)])
+    both = with_parts(rows).select("label", F.explode(kinds).alias("s"))
     suffixes = materialise(both.groupBy("s.kind", "s.suffix").agg(((F.sum("label") + smoothing * prior) / (F.count("*") + smoothing)).alias("rate")))
     model = UrlModel(None, suffixes, prior)
     ready = VectorAssembler(inputCols=FEATURES, outputCol="features").transform(model._complete(sample)).select("features", "label")

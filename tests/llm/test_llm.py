@@ -210,6 +210,20 @@ def test_url_model_learns(spark):
     assert joined.agg(F.avg("right")).first()[0] >= 0.9
 
 
+def test_url_suffixes_count_all_rows_and_copies_fill_no_sample(spark):
+    rows = [(f"http://h{i}.s{i % 40}.test/", int(i % 40 < 10)) for i in range(400)]
+    first = spark.createDataFrame(rows, "url string, label int").orderBy(F.xxhash64("url")).first()
+    model = url_filter.fit(spark.createDataFrame(rows + [tuple(first)] * 200, "url string, label int"), train_rows=50)
+    assert model.trees is not None
+    rates = {r.suffix: r.rate for r in model.suffixes.where("kind = '2'").collect()}
+    n, ones = 600, 100 + 200 * first.label
+    own = ".".join(first.url.split("/")[2].split(".")[-2:])
+    assert set(rates) == {f"s{i}.test" for i in range(40)}
+    for i in range(40):
+        more = 200 * (f"s{i}.test" == own)
+        assert rates[f"s{i}.test"] == pytest.approx(((10 + more) * (i < 10) + 20 * ones / n) / (10 + more + 20))
+
+
 # --- quality
 
 
