@@ -18,16 +18,17 @@ BROADCAST_BYTES = 64 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; a temporary one only where the session names none."""
+    """The folder of ``spark.checkpoint.dir``. A local session without one, as in tests, gets a temporary one; a cluster has to name it."""
     sc = spark.sparkContext
+    known = sc._jsc.sc().getCheckpointDir()
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named is None:
-        known = sc._jsc.sc().getCheckpointDir()
         if known.isDefined():
             return known.get()
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         named = tempfile.mkdtemp(prefix="helixframe-")
-        sc.setCheckpointDir(named)
-    elif sc._jsc.sc().getCheckpointDir().isEmpty():
+    if known.isEmpty():
         sc.setCheckpointDir(named)
     return named
 
@@ -75,6 +76,14 @@ def _size(value: Column, kind: T.DataType) -> Column:
     return F.lit(8).cast("long")
 
 
+def free_name(name: str, *taken: list[str]) -> str:
+    """A column name that none of the given lists of columns holds, in any case of letters."""
+    used = {c.lower() for columns in taken for c in columns}
+    while name.lower() in used:
+        name = f"_{name}"
+    return name
+
+
 def bounded(df: DataFrame) -> DataFrame:
     """The table with a broadcast hint if it has ``BROADCAST_ROWS`` rows and ``BROADCAST_BYTES`` at most, else as it is."""
     size = reduce(add, [_size(df[f.name], f.dataType) for f in df.schema.fields], F.lit(16).cast("long"))

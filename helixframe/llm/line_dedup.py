@@ -1,23 +1,23 @@
 """Line dedup with a log-template tree.
 
-Every line descends a tree of fixed depth: first its number of tokens, then its ``DEPTH`` leading tokens. Variable
-fields are generalised in two ways. Tokens that hold a digit, an "@" or "://" become ``<*>`` before the descent,
-unless they are more than half of the line.
-In a leaf that several different lines of up to ``MAX_TOKENS`` tokens reach, a place in which no token has
-``MAJORITY`` of the distinct lines becomes ``<*>`` too, if at least ``CONSTANT`` of the places stay constant;
-lines that agree with a leaf's constant places share its template, all others keep their own.
-
-A template recurs if it stands in at least ``MIN_DOCS`` different contexts, each from another document. A line's
-context is the least and the greatest hash among the document's other templates. So every line of a boilerplate
-block is found wherever the block is pasted, while the lines of a document that was copied as a whole keep their
-context and are left to document-level deduplication.
-Lines of recurring templates are dropped from every document, first occurrence included.
-
-Lines of fewer than ``MIN_TOKENS`` tokens are never dropped; blank lines stay as they are.
-
-Edge cases: null text stays null with no lines; rows that repeat a doc_id are told apart by their text, equal rows
-get equal results and count as one document, as do all copies of a text; a null doc_id works like any other;
-empty tables give no rows; extra columns are carried along, except those named like the result's.
+Every line descends a tree of fixed depth: first its number of tokens, then its ``DEPTH`` leading tokens. Tokens that hold a
+digit, an "@" or "://" are variable fields, ``<*>``, before the descent, unless they are more than half of the line. In its leaf a line belongs
+to templates: the rest of its tokens is cut into a first, middle and last third, and a template keeps two thirds
+as constants and generalises the other one. So a line of ``SPLIT`` tokens or more has three templates, and lines that differ in a
+run of fields within one third share one; shorter lines are their own template. There is no other limit on the length of a line, on templates in a leaf or
+on lines of a template.
+
+A template recurs if ``MIN_DOCS`` *independent* documents hold a line of it; copies of a text count once. A document
+is independent if it has a line of its own: one that resembles no line of another text. (Lines resemble each other if they share one of
+four windows of ``WINDOW`` words, two from either end.) All documents without a line of their own
+count as one more document together. So a block of boilerplate is found however long it is beside the text around it, and groups of near copies, whose
+lines all resemble each other, are left to document-level deduplication.
+
+All lines of recurring templates are dropped from every document, first occurrence included. Blank lines stay.
+
+Edge cases: null text stays null with no lines; rows are judged by their text alone, so repeated rows, ids and null ids
+work like any others; empty tables give no rows; extra columns are carried along under any name, except that the
+result's ``n_lines`` and ``n_dropped`` take the place of columns of those names.
 """
 
 from __future__ import annotations
@@ -25,20 +25,20 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded, materialise, stored
+from .common import bounded, free_name, stored
 
 DEPTH = 3
-MIN_TOKENS = 3
-MAX_TOKENS = 24
-MAJORITY = 0.6
-CONSTANT = 0.7
+SPLIT = DEPTH + 3
+WINDOW = 4
 MIN_DOCS = 3
 VARIABLE = re.compile(r"[0-9@]|://")
-LINES = "doc_id long, text_key long, line int, leaf long, template long, context long, tokens array<int>"
+TEMPLATES, WINDOWS = ["t0", "t1", "t2"], ["w0", "w1", "w2", "w3"]
+LINES = "text_key long, line int, line_key long, " + ", ".join(f"{c} long" for c in TEMPLATES + WINDOWS)
 
 
 def masked(line: str) -> list[str]:
@@ -50,79 +50,99 @@ def masked(line: str) -> list[str]:
     return general if 2 * general.count("<*>") <= len(tokens) else tokens
 
 
+def templates(tokens: list[str]) -> list[str]:
+    """The templates of a line: its leaf and what is constant behind the leading tokens."""
+    n = len(tokens)
+    leaf = f"{n} {' '.join(tokens[:DEPTH])}"
+    rest = tokens[DEPTH:]
+    if n < SPLIT:
+        return [f"{leaf}\n{' '.join(rest)}"]
+    a, b = len(rest) // 3, 2 * len(rest) // 3
+    first, middle, last = " ".join(rest[:a]), " ".join(rest[a:b]), " ".join(rest[b:])
+    return [f"{leaf}\n{first}\n{middle}\n<*>", f"{leaf}\n{first}\n<*>\n{last}", f"{leaf}\n<*>\n{middle}\n{last}"]
+
+
+def ends(tokens: list[str]) -> list[str]:
+    """Windows of WINDOW words: the first two and, for lines that have more words, the last two."""
+    n = len(tokens)
+    starts = {0} if n <= WINDOW else {0, n - WINDOW} if n <= 2 * WINDOW else {0, WINDOW, n - 2 * WINDOW, n - WINDOW}
+    return [" ".join(tokens[i : i + WINDOW]) for i in sorted(starts)]
+
+
 def parse(docs: DataFrame) -> DataFrame:
-    """One row per line of at least MIN_TOKENS tokens; ``tokens`` are hashes, for lines that may be generalised."""
+    """One row per line that is not blank: hashes of its place, its templates and its windows (the first again where there are fewer)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        from xxhash import xxh64_intdigest as h
+        from xxhash import xxh64_intdigest
 
-        signed = lambda x: x - (1 << 64) if x >> 63 else x
+        def h(text: str) -> int:
+            x = xxh64_intdigest(text.encode("utf-8", "surrogatepass"))
+            return x - (1 << 64) if x >> 63 else x
 
-        def context(ordered: list[int], own: int) -> int:
-            if len(ordered) == 1:
-                return 0
-            low, high = ordered[ordered[0] == own], ordered[-2 if ordered[-1] == own else -1]
-            return signed(h(f"{low} {high}".encode()))
+        def frame(rows: list[tuple]) -> pd.DataFrame:
+            return pd.DataFrame(np.array(rows, np.int64), columns=["text_key", "line", "line_key", *TEMPLATES, *WINDOWS]).astype({"line": np.int32})
 
+        rows: list[tuple] = []
         for batch in batches:
-            rows = []
-            for doc_id, key, text in zip(batch["doc_id"], batch["text_key"], batch["text"], strict=True):
-                if not isinstance(text, str):
-                    continue
-                found = []
+            for key, text in zip(batch["text_key"], batch["text"], strict=True):
                 for i, line in enumerate(text.split("\n")):
                     tokens = masked(line)
                     if tokens:
-                        found.append((i, tokens, signed(h(" ".join(tokens).encode("utf-8", "surrogatepass")))))
-                ordered = sorted({t for _, _, t in found})
-                for i, tokens, template in found:
-                    if len(tokens) >= MIN_TOKENS:
-                        leaf = signed(h(f"{len(tokens)} {' '.join(tokens[:DEPTH])}".encode("utf-8", "surrogatepass")))
-                        small = [h(t.encode("utf-8", "surrogatepass")) & 0x7FFFFFFF for t in tokens] if DEPTH + 1 < len(tokens) <= MAX_TOKENS else None
-                        rows.append((doc_id, key, i, leaf, template, context(ordered, template), small))
-            out = pd.DataFrame(rows, columns=["doc_id", "text_key", "line", "leaf", "template", "context", "tokens"])
-            yield out.astype({"doc_id": "Int64"})
-
-    return docs.select("doc_id", F.xxhash64("text").alias("text_key"), "text").mapInPandas(run, LINES)
-
-
-def leaf_templates(lines: DataFrame) -> DataFrame:
-    """(leaf, constants) of leaves that generalise; constants is an array of (place, token hash)."""
-    distinct = lines.where("tokens IS NOT NULL").groupBy("leaf", "template").agg(F.first("tokens").alias("tokens"))
-    many = distinct.groupBy("leaf").agg(F.count("*").alias("n")).where("n > 1")
-    placed = distinct.join(many, "leaf").select("leaf", "n", F.size("tokens").alias("size"), F.posexplode("tokens").alias("place", "token"))
-    counts = placed.groupBy("leaf", "n", "size", "place", "token").agg(F.count("*").alias("k"))
-    constant = counts.where(F.col("k") >= MAJORITY * F.col("n")).groupBy("leaf", "size", "place").agg(F.max_by("token", F.struct("k", "token")).alias("token"))
-    leaves = constant.groupBy("leaf", "size").agg(F.sort_array(F.collect_list(F.struct("place", "token"))).alias("constants"))  # at most MAX_TOKENS places
-    return leaves.where((F.size("constants") >= CONSTANT * F.col("size")) & (F.size("constants") < F.col("size"))).select("leaf", "constants")
-
-
-def recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS) -> tuple[DataFrame, DataFrame]:
-    """(all lines with their final template, the templates that recur)."""
+                        own, near = [h(t) for t in templates(tokens)], [h(t) for t in ends(tokens)]
+                        rows.append((key, i, h(f"{key} {i}"), *own, *own[:1] * (3 - len(own)), *near, *near[:1] * (4 - len(near))))
+                        if len(rows) >= 50_000:
+                            yield frame(rows)
+                            rows = []
+        if rows:
+            yield frame(rows)
+
+    return docs.where("text IS NOT NULL").select(F.xxhash64("text").alias("text_key"), "text").mapInPandas(run, LINES)
+
+
+def _each(lines: DataFrame, columns: list[str], name: str, *keep: str) -> DataFrame:
+    return lines.select(*keep, F.explode(F.array_distinct(F.array(*columns))).alias(name))
+
+
+def independent(lines: DataFrame) -> DataFrame:
+    """text_key of the texts with a line none of whose windows stands in another line, copies of the text apart."""
+    seen = _each(lines.withColumn("n", F.size(F.array_distinct(F.array(*WINDOWS)))), WINDOWS, "window", "text_key", "line_key", "n")
+    lone = seen.groupBy("window").agg(*[f(c).alias(a) for f, c, a in [(F.min, "line_key", "line_key"), (F.max, "line_key", "other"), (F.min, "text_key", "text_key"), (F.min, "n", "n")]]).where("line_key = other")
+    return lone.groupBy("line_key").agg(F.count("*").alias("lone"), F.min("n").alias("n"), F.min("text_key").alias("text_key")).where("lone = n").select("text_key").distinct()
+
+
+def recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
+    """text_key and ``gone`` (whether a line goes, by its number) of the texts that lose lines."""
     lines = stored(parse(docs), "lines")
-    general = materialise(leaf_templates(lines))
-    agree = F.forall("constants", lambda c: F.get("tokens", c["place"]) == c["token"])
-    final = F.when(F.coalesce(agree, F.lit(False)), F.xxhash64("leaf", "constants")).otherwise(F.col("template"))
-    lines = lines.join(bounded(general), "leaf", "left").select("doc_id", "text_key", "line", final.alias("template"), "context")
-    around = lines.groupBy("template", "context").agg(F.min("text_key").alias("text_key"))
-    seen = around.groupBy("template", "text_key").agg(F.lit(1).alias("one")).groupBy("template").agg(F.count("*").alias("n"))
-    return lines, seen.where(F.col("n") >= min_docs).select("template")
-
-
-def drop_recurring(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
-    """The documents with ``text`` less its recurring lines, and n_lines and n_dropped."""
-    lines, recurring = recurring_lines(docs, min_docs)
-    recurring = materialise(recurring)
-    # A document's dropped lines are no more than it has lines.
-    dropped = materialise(lines.join(bounded(recurring), "template", "left_semi").distinct().groupBy("doc_id", "text_key").agg(F.collect_set("line").alias("dropped")))
-    keyed = docs.drop("n_lines", "n_dropped", "_key").withColumn("_key", F.xxhash64("text"))
-    small = bounded(dropped.select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_text_key"), "dropped"))
-    joined = keyed.join(small, keyed["doc_id"].eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_text_key")), "left")
+    rows = _each(lines, TEMPLATES, "template", "text_key", "line")
+    twice = rows.groupBy("template").agg(F.min("text_key").alias("a"), F.max("text_key").alias("b")).where("a <> b").select("template")
+    shared = stored(rows.join(bounded(stored(twice, "templates-twice")), "template", "left_semi"), "lines-shared")
+    texts = shared.select("template", "text_key").distinct()
+    many = stored(texts.groupBy("template").agg(F.count("*").alias("n")).where(F.col("n") >= min_docs).select("template"), "templates-many")
+    texts = stored(texts.join(bounded(many), "template", "left_semi"), "texts-many")
+    asked = stored(texts.select("text_key").distinct(), "texts-asked")
+    own = stored(independent(lines.join(bounded(asked), "text_key", "left_semi")), "texts-own")
+    counted = texts.join(bounded(own.withColumn("own", F.lit(True))), "text_key", "left").groupBy("template").agg(F.count("own").alias("n"), F.max(F.col("own").isNull().cast("int")).alias("copies"))
+    recurring = stored(counted.where(F.col("n") + F.col("copies") >= min_docs).select("template"), "templates-recurring")
+    # A text's dropped lines are no more than it has lines.
+    dropped = shared.join(bounded(recurring), "template", "left_semi").select("text_key", "line").distinct()
+    dropped = dropped.groupBy("text_key").agg(F.sort_array(F.collect_list("line")).alias("lines"))
+    before = lambda i: F.coalesce(F.get("lines", F.when(i > 0, i - 1)), F.lit(-1))
+    flags = F.transform("lines", lambda x, i: F.concat(F.array_repeat(F.lit(False), x - before(i) - 1), F.array(F.lit(True))))
+    return stored(dropped.select("text_key", F.flatten(flags).alias("gone")), "lines-dropped")
+
+
+def drop_recurring(docs: DataFrame, min_docs: int = MIN_DOCS, counts: bool = True) -> DataFrame:
+    """The documents with ``text`` less its recurring lines, and n_lines and n_dropped unless ``counts`` is false."""
+    key, flags = free_name("text_key", docs.columns), free_name("gone", docs.columns)
+    gone = recurring_lines(docs, min_docs).select(F.col("text_key").alias(key), F.col("gone").alias(flags))
+    joined = docs.withColumn(key, F.xxhash64("text")).join(bounded(gone), key, "left")
     split = F.split("text", "\n")
-    kept = F.array_join(F.filter(split, lambda _, i: ~F.array_contains("dropped", i)), "\n")
-    names = [c for c in docs.columns if c not in ("n_lines", "n_dropped", "_key")]
+    kept = F.array_join(F.filter(split, lambda _, i: ~F.coalesce(F.get(flags, i), F.lit(False))), "\n")
+    text = F.when(F.col(flags).isNull() | F.col("text").isNull(), F.col("text")).otherwise(kept).alias("text")
+    if not counts:
+        return joined.select(*[text if c == "text" else F.col(f"`{c}`") for c in docs.columns])
     return joined.select(
-        *[F.when(F.col("dropped").isNull(), F.col("text")).otherwise(kept).alias("text") if c == "text" else F.col(c) for c in names],
+        *[text if c == "text" else F.col(f"`{c}`") for c in docs.columns if c.lower() not in ("n_lines", "n_dropped")],
         F.when(F.col("text").isNull(), 0).otherwise(F.size(split)).cast("long").alias("n_lines"),
-        F.coalesce(F.size("dropped"), F.lit(0)).cast("long").alias("n_dropped"),
+        F.coalesce(F.size(F.filter(flags, lambda x: x)), F.lit(0)).cast("long").alias("n_dropped"),
     )

@@ -256,6 +256,43 @@ def test_quality_is_learned_from_labels_outside_the_hold_out(spark):
 # --- lines
 
 
+def lines_by_brute_force(rows, min_docs=3):
+    """(doc_id, n_lines, n_dropped, text) by the definitions, without hashes."""
+    texts = {t for _, t in rows if t is not None}
+    parts = {t: [(i, line_dedup.masked(line)) for i, line in enumerate(t.split("\n")) if line.split()] for t in texts}
+    near, holders = {}, {}
+    for t, lines in parts.items():
+        for i, tokens in lines:
+            for w in line_dedup.ends(tokens):
+                near.setdefault(w, set()).add((t, i))
+            for x in line_dedup.templates(tokens):
+                holders.setdefault(x, set()).add(t)
+    asked = {t for own in holders.values() if len(own) >= min_docs for t in own}
+    alone = lambda t, i, tokens: all({o for o in near[w] if o[0] in asked} == {(t, i)} for w in line_dedup.ends(tokens))
+    own = {t for t in asked if any(alone(t, i, tokens) for i, tokens in parts[t])}
+    recurring = {x for x, held in holders.items() if len(held) >= min_docs and len(held & own) + bool(held - own) >= min_docs}
+    out = Counter()
+    for doc_id, t in rows:
+        if t is None:
+            out[doc_id, 0, 0, None] += 1
+            continue
+        gone = {i for i, tokens in parts[t] if set(line_dedup.templates(tokens)) & recurring}
+        kept = [line for i, line in enumerate(t.split("\n")) if i not in gone]
+        out[doc_id, t.count("\n") + 1, len(gone), "\n".join(kept)] += 1
+    return out
+
+
+def deduplicated(spark, rows):
+    table = documents(spark, rows)
+    for name in ("_id", "_text_key", "text_key", "dropped", "gone", "_key", "line", "template"):
+        table = table.withColumn(name, F.lit("clash"))
+    found = line_dedup.drop_recurring(table)
+    assert set(table.columns) <= set(found.columns) and found.where("gone <> 'clash' OR dropped <> 'clash'").count() == 0
+    got = Counter((r.doc_id, r.n_lines, r.n_dropped, r.text) for r in found.select("doc_id", "n_lines", "n_dropped", "text").collect())
+    assert got == lines_by_brute_force(rows)
+    return {r[0]: r for r in got}
+
+
 def test_line_dedup_drops_templates_and_keeps_copies(spark):
     body = {i: [words(12, 100 * i + j) for j in range(4)] for i in range(8)}
     rows = []
@@ -266,29 +303,44 @@ def test_line_dedup_drops_templates_and_keeps_copies(spark):
         rows.append((i, "\n".join(lines)))
     rows += [(50 + i, "\n".join(body[7])) for i in range(5)]  # copies of a whole document
     rows += [(60, None), (61, ""), (62, "\n\n"), (None, "All rights reserved worldwide."), (0, rows[0][1])]
-    got = line_dedup.drop_recurring(documents(spark, rows)).collect()
-    assert len(got) == len(rows)
-    for r in got:
-        if r.doc_id is not None and r.doc_id < 6:
-            assert r.text == "\n".join(body[r.doc_id]) and r.n_dropped == 2 and r.n_lines == 6
-        elif r.doc_id is not None and 50 <= r.doc_id < 60:
-            assert r.text == "\n".join(body[7]) and r.n_dropped == 0
-    assert {r.doc_id: r.text for r in got}[60] is None
+    got = deduplicated(spark, rows)
+    for i in range(6):
+        assert got[i] == (i, 6, 2, "\n".join(body[i]))
+    assert all(got[50 + i][2] == 0 for i in range(5))
     assert line_dedup.drop_recurring(documents(spark, [])).count() == 0
 
 
-def test_line_dedup_drops_whole_blocks(spark):
-    block = ["This text is free to share", "under the terms set out below", "without warranty of any kind"]
-    rows = [(i, "\n".join([words(9, 700 + i), *block, words(9, 800 + i), words(9, 900 + i)])) for i in range(12)]
+@pytest.mark.parametrize("documents_with_block", [6, 12])
+def test_line_dedup_drops_a_long_block_beside_one_own_line(spark, documents_with_block):
+    block = [words(9, 5000 + i, 10**6) for i in range(20)]
+    rows = [(i, "\n".join([*block, words(9, 700 + i, 10**6)])) for i in range(documents_with_block)]
     rows += [(50 + i, f"one short line that is all of this document {'abcdef'[i]}") for i in range(6)]
-    for r in line_dedup.drop_recurring(documents(spark, rows)).collect():
-        assert r.n_dropped == (3 if r.doc_id < 50 else 0)
+    got = deduplicated(spark, rows)
+    assert [got[i][2] for i in range(documents_with_block)] == [20] * documents_with_block
+    assert [got[50 + i][2] for i in range(6)] == [0] * 6
+
+
+@pytest.mark.parametrize("n", [6, 9, 24, 25, 30, 200])
+def test_line_dedup_generalises_lines_of_any_length(spark, n):
+    names = ["anna", "bert", "carl", "dora", "emil", "fritz"]
+    base = words(n, 9, 10**6).split()
+    rows = [(i, "\n".join([words(9, 70 + i, 10**6), " ".join([*base[:-1], name]), words(9, 80 + i, 10**6)])) for i, name in enumerate(names)]
+    got = deduplicated(spark, rows)
+    assert [got[i][2] for i in range(6)] == [1] * 6
 
 
-def test_leaf_generalises_names(spark):
-    names = ["anna", "bert", "carl", "dora", "emil"]
-    rows = [(i, f"{words(9, 70 + i)}\nThis page was last edited and approved by {n} of staff\n{words(9, 80 + i)}") for i, n in enumerate(names)]
-    assert [r.n_dropped for r in line_dedup.drop_recurring(documents(spark, rows)).collect()] == [1] * 5
+def test_line_dedup_leaves_edited_copies_and_finds_families_in_one_leaf(spark):
+    base = [words(14, 300 + j, 10**6).split() for j in range(12)]
+    rows = []
+    for i in range(40):
+        lines = [list(x) for x in base]
+        lines[i % 12][i % 14] = f"edit{'xyz'[i % 3]}{'abcdefgh'[i % 8]}"
+        rows.append((i, "\n".join(map(" ".join, lines))))
+    first, second = "this page was seen last by {} of the staff here", "this page was made to show {} how things are done"
+    rows += [(100 + i, f"{words(9, 900 + i, 10**6)}\n{first.format(words(1, i, 10**6))}\n{second.format(words(1, 50 + i, 10**6))}") for i in range(5)]
+    got = deduplicated(spark, rows)
+    assert [got[i][2] for i in range(40)] == [0] * 40
+    assert [got[100 + i][2] for i in range(5)] == [2] * 5
 
 
 # --- SimHash
