@@ -12,7 +12,8 @@ Fitting uses at most ``TRAIN_ROWS`` labelled documents, those with the smallest
 whose sparse rows the driver trains on with AdaGrad. Scoring reads every whole text.
 
 Edge cases: null text counts as empty; empty texts get a score from the bins alone; a doc_id that is null is scored and
-never held out or learned from; labels that repeat a doc_id count once (the smaller quality); null labels are ignored;
+never held out or learned from; labels that repeat a doc_id count once (the smaller quality), and so do documents (the least
+features); null labels are ignored;
 labels of one class, or none, give the constant score of that class (1.0 if there is none); extra columns are ignored.
 """
 
@@ -136,10 +137,11 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", train_rows:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = [features(t) for t in batch["text"].where(batch["text"].notna(), None)]
-            yield pd.DataFrame({"y": batch["y"], "at": [r[0].astype("<i4").tobytes() for r in rows], "x": [r[1].astype("<f4").tobytes() for r in rows]})
+            yield pd.DataFrame({"doc_id": batch["doc_id"], "y": batch["y"], "at": [r[0].astype("<i4").tobytes() for r in rows], "x": [r[1].astype("<f4").tobytes() for r in rows]})
 
-    # The sample has at most ``train_rows`` rows, so it may be broadcast, and its features gathered.
-    rows = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").select("y", "text").limit(2 * train_rows).mapInPandas(run, "y int, at binary, x binary").toPandas()
+    # Features are made where the texts lie; of a repeated doc_id one row counts, so no more than ``train_rows`` rows are gathered.
+    rows = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").mapInPandas(run, "doc_id long, y int, at binary, x binary")
+    rows = rows.groupBy("doc_id").agg(F.min(F.struct("at", "x", "y")).alias("row")).select("row.*").toPandas()
     y = rows["y"].to_numpy(float)
     if not len(y) or y.min() == y.max():
         return float(y[0]) if len(y) else 1.0
@@ -150,11 +152,11 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", train_rows:
     return machine
 
 
-def score(docs: DataFrame, machine: FactorisationMachine | float, keep: list[str] | None = None) -> DataFrame:
-    """Columns ``keep`` (doc_id if not given) and ``score`` of every document."""
-    keep = keep or ["doc_id"]
+def score(docs: DataFrame, machine: FactorisationMachine | float, keep: list[str] | None = None, name: str = "score") -> DataFrame:
+    """Columns ``keep`` (doc_id if not given) and the score, called ``name``, of every document."""
+    keep = [f"`{c}`" for c in keep or ["doc_id"]]
     if isinstance(machine, float):
-        return docs.select(*keep, F.lit(machine).alias("score"))
+        return docs.select(*keep, F.lit(machine).alias(name))
     # The machine has a fixed size of DIMENSION * (FACTORS + 1) floats, 2.4 MB.
     shared = docs.sparkSession.sparkContext.broadcast((machine.bias, machine.linear, machine.factors))
     @F.pandas_udf("double")
@@ -163,7 +165,7 @@ def score(docs: DataFrame, machine: FactorisationMachine | float, keep: list[str
         own.bias, own.linear, own.factors = shared.value
         return pd.Series(own.score(texts.where(texts.notna(), None).tolist()))
 
-    return docs.select(*keep, scored("text").alias("score"))
+    return docs.select(*keep, scored("text").alias(name))
 
 
 def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:

@@ -236,6 +236,36 @@ def test_sum_of_squares_identity():
     assert got[0] == pytest.approx(pairs, rel=1e-3)
 
 
+def test_features_by_definition():
+    text = "Good  words, GOOD 42!\nGood words\tüß\nGood words\tüß\n\n" + "x" * 9
+    raw = text.encode()
+    tokens, lines = raw.split(), [x for x in raw.split(b"\n") if x]
+    n, letters = len(raw), sum(chr(b).isalpha() and b < 128 or b >= 128 for b in raw)
+    other = sum(b < 128 and not chr(b).isalnum() and chr(b) not in " \t\r\n" for b in raw)
+    stats = [
+        sum(65 <= b <= 90 for b in raw) / letters, sum(48 <= b <= 57 for b in raw) / n, other / n, sum(b >= 128 for b in raw) / n,
+        sum(chr(b) in " \t\r" for b in raw) / n, min(1, 20 * raw.count(b"\n") / n), sum(chr(b) in "!|#$%&*{}<>=_~^" for b in raw) / len(tokens) / 2,
+        sum(chr(b) not in " \t\r\n" for b in raw) / len(tokens) / 25, len(set(tokens)) / len(tokens), 1 - len(set(lines)) / len(lines),
+        max(Counter(raw).values()) / n, sum(t.isalpha() for t in tokens) / len(tokens), np.log1p(len(tokens)) / 12, np.log1p(len(text)) / 14,
+    ]
+    weight = {}
+    for t, k in Counter(tokens).items():
+        weight[zlib.crc32(t) % 2**quality.BITS] = 1 + np.log(k)
+    length = np.sqrt(sum(w * w for w in weight.values()))
+    want = {i: w / length for i, w in weight.items()} | {2**quality.BITS + i * quality.BINS + min(quality.BINS - 1, int(quality.BINS * s**0.5)): 0.5 for i, s in enumerate(stats)}
+    index, value = quality.features(text)
+    assert dict(zip(index.tolist(), value.tolist(), strict=True)) == pytest.approx(want)
+    assert len(quality.features(None)[0]) == len(quality.features("")[0]) == quality.STATS
+
+
+def test_training_rows_are_bounded_when_ids_repeat(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(quality.FactorisationMachine, "fit", lambda self, rows, labels: seen.append((len(rows), sorted(labels))))
+    rows = [(3, words(20, i)) for i in range(50)] + [(i, words(20, i)) for i in range(10, 60)]
+    quality.fit(documents(spark, rows), spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, quality int"), train_rows=30)
+    assert len(seen) == 1 and seen[0][0] <= 30
+
+
 def test_quality_is_learned_from_labels_outside_the_hold_out(spark):
     rows, labels = [], []
     for i in range(600):
