@@ -3,11 +3,10 @@
 A fingerprint has 64 bits: a bit is 1 if it is set in over half of the XXH64 hashes of the text's word shingles.
 Fingerprints link at ``radius`` or fewer differing bits, exactly.
 
-Distinct fingerprints are dealt to tiles by their population counts. A tile holds the fingerprints that have the
-same count in each of ``parts`` equal slices of the 64 bits, in blocks of ``BLOCK``. Differing bits are at least
-the sum of the slices' count differences, so a pair of tiles that lies further apart than the radius is skipped. Every
-other pair of tiles is compared as a whole: numpy exclusive-or and bit counts. A task keeps, of the links
-it finds, a spanning forest only, so a large group of near copies never becomes all its pairs; connected
+Distinct fingerprints are dealt to tiles by the bits of two of ``radius + 2`` slices and by their population count. Fingerprints within
+the radius agree in two slices at least and their counts differ by no more than the radius, so other pairs of tiles are skipped. Every
+other pair of tiles is compared as a whole, a pair of blocks of about ``BLOCK`` at a time: numpy exclusive-or and bit counts. A task keeps,
+of the links it finds, a spanning forest only, so a large group of near copies never becomes all its pairs; connected
 components of the forests are those of all links. Copies share a fingerprint, which is compared once.
 
 Edge cases: null and empty texts, and texts without words, have fingerprint zero and link like any other; fewer words than a
@@ -18,19 +17,18 @@ repeated rows come back as often; an empty table gives no rows; extra columns ar
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded, materialise, shuffle_width
+from .common import bounded, materialise, shuffle_width, stored
 from .graph import components
 
 SEED = 42
 BLOCK = 1024
-#: Distinct fingerprints above which tiles use eight slices in place of four.
-FINE_TILES = 1 << 22
 
 
 def shingle_hashes(text: str | None, shingle: int, seed: int = SEED) -> np.ndarray:
@@ -57,33 +55,26 @@ def fingerprint(text: str | None, shingle: int = 3, seed: int = SEED) -> int:
     return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<u8")[0])
 
 
-def with_fingerprint(docs: DataFrame, shingle: int = 3, words: int = 1, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """``keep`` and ``fp``: ``words`` fingerprints (of seeds 42, 43, ...) as signed 64-bit integers."""
+def with_fingerprint(docs: DataFrame, shingle: int = 3) -> DataFrame:
+    """doc_id and ``fp``, the fingerprint as a signed 64-bit integer."""
 
-    @F.pandas_udf("array<long>")
+    @F.pandas_udf("long")
     def fp(texts: pd.Series) -> pd.Series:
-        found = ([fingerprint(t if isinstance(t, str) else None, shingle, SEED + i) for i in range(words)] for t in texts)
-        return pd.Series([np.array(x, np.uint64).view(np.int64) for x in found])
+        return pd.Series(np.array([fingerprint(t if isinstance(t, str) else None, shingle) for t in texts], np.uint64).view(np.int64))
 
-    return docs.select(*keep, fp("text").alias("fp"))
+    return docs.select("doc_id", fp("text").alias("fp"))
 
 
-def _tile(parts: int, width: int, words: int) -> list:
-    """The tile of ``fp``: population counts of slices of each word (``parts`` of them), or of all words together, over ``width``."""
-    wide = 64 // parts
-    counts = [F.bit_count(F.shiftrightunsigned(F.get("fp", F.lit(w)), i * wide).bitwiseAND(F.lit((1 << wide) - 1 if wide < 64 else -1))) for w in range(words) for i in range(parts)]
-    if parts == 1:
-        counts = [sum(counts[1:], counts[0])]
-    return [F.floor(c / width).cast("int") for c in counts]
+def bands(fp: Column, radius: int) -> Column:
+    """Array of (band, value): of radius + 2 slices of the bits, every choice of two, with what the fingerprint has there.
 
-
-def _neighbour_moves(parts: int, radius: int, width: int = 1) -> list[list[int]]:
-    """All changes of the tile at which bits may still differ in ``radius`` places or fewer."""
-    if parts == 0:
-        return [[]]
-    least = lambda d: 0 if d == 0 else (abs(d) - 1) * width + 1
-    reach = range(-radius // width - 1, radius // width + 2)
-    return [[d, *rest] for d in reach if least(d) <= radius for rest in _neighbour_moves(parts - 1, radius - least(d), width)]
+    Fingerprints that differ in ``radius`` bits or fewer agree in two slices at least.
+    """
+    n = radius + 2
+    cuts = [64 * i // n for i in range(n + 1)]
+    masks = [((1 << (b - a)) - 1) << a for a, b in zip(cuts, cuts[1:])]
+    signed = lambda m: m - (1 << 64) if m >> 63 else m
+    return F.array(*[F.struct(F.lit(k).alias("band"), fp.bitwiseAND(F.lit(signed(masks[i] | masks[j]))).alias("value")) for k, (i, j) in enumerate(combinations(range(n), 2))])
 
 
 def by_key(frame: DataFrame, keys: list[str], run: Callable[[dict[str, np.ndarray]], pd.DataFrame | None], schema: str, at_once: int = 1) -> DataFrame:
@@ -146,34 +137,41 @@ def forest(n: int, u: np.ndarray, v: np.ndarray) -> np.ndarray:
             return label
 
 
-def links(fps: DataFrame, radius: int, parts: int = 4, width: int = 1, block: int = BLOCK, words: int = 1) -> DataFrame:
-    """A spanning forest (u, v) over ``node`` of the links among distinct fingerprints ``fp``."""
-    tiled = fps.select("node", "fp", F.array(*_tile(parts, width, words)).alias("tile"))
-    sizes = tiled.groupBy("tile").agg(F.ceil(F.count("*") / F.lit(block)).cast("int").alias("blocks"))
-    sizes = materialise(sizes.select("tile", "blocks"))
-    own = tiled.join(sizes, "tile").select("node", "fp", "tile", F.pmod(F.xxhash64("node"), "blocks").cast("int").alias("block"))
-    moves = F.array(*[F.array(*map(F.lit, m)) for m in _neighbour_moves(1 if parts == 1 else parts * words, radius, width)])
-    # Each unordered pair of tiles is compared once, at the later one.
-    near = own.select("node", "fp", "tile", "block", F.explode(F.transform(moves, lambda m: F.zip_with("tile", m, lambda a, b: a + b))).alias("at")).where("at >= tile")
-    met = near.join(sizes.withColumnRenamed("tile", "at"), "at")
-    sent = met.select("node", "fp", "at", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("at_block"), "tile", "block").where("at > tile OR at_block >= block")
-    home = (F.col("at") == F.col("tile")) & (F.col("at_block") == F.col("block"))
-    rows = sent.select(F.xxhash64("at", "at_block").alias("place"), "node", *[F.get("fp", F.lit(w)).alias(f"fp{w}") for w in range(words)], home.alias("home"))
+def places(fps: DataFrame, radius: int, block: int = BLOCK) -> DataFrame:
+    """place, node and home: what is compared where. A place holds the rows of one block (home) and of one other at most.
+
+    A tile is a band's value and the population count of all bits; it is cut in blocks of about ``block``. A pair of tiles of
+    one value whose counts differ beyond the radius is skipped; of any other pair each pair of blocks is one place.
+    """
+    rows = fps.select("node", F.explode(bands(F.col("node"), radius)).alias("b")).select("node", "b.band", "b.value", F.bit_count("node").alias("ones"))
+    tiles = rows.groupBy("band", "value", "ones").agg(F.count("*").alias("n"))
+    # A value has 65 tiles at most.
+    shared = tiles.groupBy("band", "value").agg(F.sum("n").alias("n"), F.collect_list(F.struct("ones", F.ceil(F.col("n") / F.lit(block)).cast("int").alias("blocks"))).alias("tiles")).where("n > 1").drop("n")
+    met = rows.join(shared, ["band", "value"])
+    own = F.filter("tiles", lambda t: t["ones"] == F.col("ones"))[0]["blocks"]
+    met = met.withColumn("block", F.pmod(F.xxhash64("node"), own).cast("int"))
+    near = F.filter("tiles", lambda t: F.abs(t["ones"] - F.col("ones")) <= radius)
+    others = F.flatten(F.transform(near, lambda t: F.transform(F.sequence(F.lit(0), t["blocks"] - 1), lambda k: F.struct(t["ones"].alias("ones"), k.alias("block")))))
+    mine = F.struct(F.col("ones").alias("ones"), F.col("block").alias("block"))
+    sent = met.select("node", "band", "value", mine.alias("mine"), F.explode(others).alias("other"))
+    place = F.xxhash64("band", "value", F.least("mine", "other"), F.greatest("mine", "other"))
+    return sent.select(place.alias("place"), "node", (F.col("mine") <= F.col("other")).alias("home"))
+
+
+def links(fps: DataFrame, radius: int, block: int = BLOCK) -> DataFrame:
+    """A spanning forest (u, v) over ``node``, distinct fingerprints, of the links among them."""
 
     def compare(x: dict[str, np.ndarray]) -> pd.DataFrame | None:
+        # Small places are handed over together; a link between two of them is a link too.
         home = x["home"].astype(bool)
-        if not home.any():
-            return None
-        order = np.concatenate([np.flatnonzero(home), np.flatnonzero(~home)])
-        fp = [x[f"fp{w}"][order].view(np.uint64) for w in range(words)]
-        node, n = x["node"][order], int(home.sum())
+        node, first = np.unique(np.concatenate([x["node"][home], x["node"][~home]]), return_index=True)
+        order = np.argsort(first, kind="stable")
+        node, n = node[order], len(np.unique(x["node"][home]))
+        fp = node.view(np.uint64)
         found_u, found_v, held = [], [], 0
         step = max(1, 2_000_000 // len(node))
         for i in range(0, n, step):
-            differing = np.bitwise_count(fp[0][i : min(i + step, n), None] ^ fp[0][None, :])
-            for f in fp[1:]:
-                differing += np.bitwise_count(f[i : min(i + step, n), None] ^ f[None, :])
-            u, v = np.nonzero(differing <= radius)
+            u, v = np.nonzero(np.bitwise_count(fp[i : min(i + step, n), None] ^ fp[None, :]) <= radius)
             keep = u + i < v
             found_u.append(u[keep] + i)
             found_v.append(v[keep])
@@ -182,44 +180,27 @@ def links(fps: DataFrame, radius: int, parts: int = 4, width: int = 1, block: in
                 label = forest(len(node), np.concatenate(found_u), np.concatenate(found_v))
                 moved = np.flatnonzero(label != np.arange(len(label)))
                 found_u, found_v, held = [moved], [label[moved]], 0
-        u, v = np.concatenate(found_u), np.concatenate(found_v)
-        if not len(u):
+        if not held:
             return None
-        label = forest(len(node), u, v)
+        label = forest(len(node), np.concatenate(found_u), np.concatenate(found_v))
         moved = np.flatnonzero(label != np.arange(len(node)))
         return pd.DataFrame({"u": node[moved], "v": node[label[moved]]})
 
-    return by_key(rows, ["place"], compare, "u long, v long")
-
+    return by_key(places(fps, radius, block), ["place"], compare, "u long, v long", at_once=2 * block)
 
-def _rooted(own: DataFrame, least: Column, radius: int, words: int) -> DataFrame:
-    """(fp, least, root) of each distinct fingerprint: the least of its rows, and the name of its group.
 
-    For a small radius tiles follow slices of the bits; for a wide one, where counts prune little, the total count in steps
-    of 8. A place of a wide comparison gathers nearly all fingerprints, so it is for small tables only; no query uses it.
-    """
-    nodes = own.groupBy("fp").agg(F.min(least).alias("least"))
-    nodes = materialise(nodes.withColumn("node", F.get("fp", F.lit(0)) if words == 1 else F.xxhash64("fp")))
-    if radius <= 3:
-        found = links(nodes, radius, 4 if nodes.count() <= FINE_TILES else 8, words=words)
-    else:
-        found = links(nodes, radius, 1, 8, BLOCK, words)
-    return nodes.join(components(found), "node", "left").select("fp", "least", F.coalesce("root", "node").alias("root"))
-
-
-def near_duplicates(docs: DataFrame, radius: int = 2, shingle: int = 3, words: int = 1) -> DataFrame:
-    """doc_id, fp, and component_id, the least doc_id that links reach, of every document.
-
-    ``words`` fingerprints of 64 bits make a longer one, which tells similarities apart more sharply.
-    """
-    own = materialise(with_fingerprint(docs, shingle, words))
-    grouped = _rooted(own, F.col("doc_id"), radius, words)
-    ids = grouped.join(grouped.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "component_id")
+def near_duplicates(docs: DataFrame, radius: int = 2, shingle: int = 3, block: int = BLOCK) -> DataFrame:
+    """doc_id, fp, and component_id, the least doc_id that links reach, of every document."""
+    own = stored(with_fingerprint(docs, shingle), "fingerprints")
+    nodes = stored(own.groupBy(F.col("fp").alias("node")).agg(F.min("doc_id").alias("least")), "fingerprint-nodes")
+    found = components(links(nodes, radius, block))
+    rooted = nodes.join(found, "node", "left").select(F.col("node").alias("fp"), "least", F.coalesce("root", "node").alias("root"))
+    ids = rooted.join(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "component_id")
     return own.join(ids, "fp").select("doc_id", "fp", "component_id")
 
 
 def digest(found: DataFrame) -> DataFrame:
-    return found.select("doc_id", F.lpad(F.lower(F.hex(F.get("fp", F.lit(0)))), 16, "0").alias("fingerprint"), "component_id")
+    return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def keep_one(docs: DataFrame, similarity: float = 0.8, shingle: int = 5) -> DataFrame:

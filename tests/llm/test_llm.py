@@ -410,8 +410,7 @@ def test_fingerprint_by_definition():
 
 
 @pytest.mark.parametrize("radius, block", [(2, 1024), (2, 4), (6, 4)])
-def test_near_duplicates_by_brute_force(spark, monkeypatch, radius, block):
-    monkeypatch.setattr(simhash, "BLOCK", block)
+def test_near_duplicates_by_brute_force(spark, radius, block):
     base = words(400, 1).split()
     rows = list(ODD)
     for i in range(60):
@@ -420,11 +419,22 @@ def test_near_duplicates_by_brute_force(spark, monkeypatch, radius, block):
             edited[(37 * i + 91 * k) % 400] = f"e{i}"
         rows.append((100 + i, " ".join(edited)))
     rows += [(200 + i, words(60, 300 + i)) for i in range(60)]
-    got = simhash.near_duplicates(documents(spark, rows), radius).collect()
-    assert Counter((r.doc_id, r.fp[0] % 2**64, r.component_id) for r in got) == components_by_brute_force(rows, radius, 3)
+    got = simhash.near_duplicates(documents(spark, rows), radius, block=block).collect()
+    assert Counter((r.doc_id, r.fp % 2**64, r.component_id) for r in got) == components_by_brute_force(rows, radius, 3)
     assert simhash.near_duplicates(documents(spark, [])).count() == 0
 
 
+def test_places_are_bounded_and_few(spark):
+    rng = random.Random(1)
+    signed = lambda x: x - 2**64 if x >> 63 else x
+    dense = {sum(1 << b for b in rng.sample(range(0, 32, 2), 5)) for _ in range(2000)}  # all agree in the upper half
+    far = {rng.getrandbits(64) for _ in range(20_000)}
+    fps = spark.createDataFrame([(signed(x),) for x in dense | far], "node long")
+    found = simhash.places(fps, 2, 256).groupBy("place").agg(F.count("*").alias("n"), F.sum(F.col("home").cast("int")).alias("home")).collect()
+    assert max(r.n for r in found) <= 2 * 256 * 1.5
+    assert sum(r.n for r in found) < 40 * (len(dense) + len(far))
+
+
 def test_broadcasts_are_bounded_by_rows_and_bytes(spark, monkeypatch):
     table = spark.createDataFrame([(i, ["x" * 50, None], [(1, "y")]) for i in range(20)] + [(None, None, None)], "a long, b array<string>, c array<struct<d:int,e:string>>")
     hinted = lambda: "broadcast" in common.bounded(table)._jdf.queryExecution().toString().lower()
