@@ -11,17 +11,15 @@ Only strings that can repeat enter the merge. The texts are sampled by content:
   fixes all anchors well inside it, so equal strings have the same first anchor at the same offset. Every string start
   thus belongs to one anchor, the first that lies at least ``WINDOW - 1`` bytes behind it.
 * The *core* of an anchor are the bytes that all its strings share (all but ``WINDOW - 1`` of them), its *block* the bytes
-  that they cover together. In the merge a core is one character, so a string has ``WINDOW`` characters and the
-  interleave is complete after as many rounds.
+  that they cover together. An anchor with its strings is an *entry*.
 
-Three passes read the texts, which are never shuffled; shards are the splits of a table in the shared folder.
-
-1. Shards send, for each distinct block, the names (hashes) of its core and of itself to the core's bucket, packed.
-   A bucket tells for each entry: its core is unique (no string repeats); its block is repeated (all its strings do);
-   or it is open, for its core has other blocks beside it. Of a repeated block with open neighbours one copy is asked for.
-2. Shards send the blocks asked for, and the merge decides their strings. Blocks of a core with more than ``HOT``
-   open ones are not gathered: their strings are named and counted like blocks in pass 1.
-3. Shards gather what was decided and cut the bytes.
+1. Entries whose core is unique hold no repeated string; a count of core names finds the others. Names only select here.
+2. Entries of one block are copies: all their strings repeat. Blocks are named by 128 bits.
+3. A core with several blocks is open: its distinct blocks go to the merge, copies as one with their number. Starts with
+   few bytes before the core and starts with few behind it are merged apart (``parts``): for each part the core grows by the bytes
+   that all its strings share, and is one character of the merge, compared byte by byte. So a core that stands in very
+   many texts is split by the bytes around it, and equal strings are counted before they are gathered.
+4. The repeated ranges of each text are collected and cut.
 
 Edge cases: null texts are empty; texts shorter than ``length`` keep all bytes; rows that repeat a text (or a doc_id)
 repeat every string of it; overlapping places of one document count as elsewhere; empty tables give no rows;
@@ -38,17 +36,16 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import scratch_path, shuffle_width
+from .common import bounded, stored
 from .simhash import by_key
 
 LENGTH = 200
-WINDOW = 48
+WINDOW = 64
 GRAM = 8
-HOT = 4096
-#: Bytes of text that a shard handles at once; bounds the memory of the vectorised steps.
+#: Bytes of text that are sampled at once; bounds the memory of the vectorised steps.
 CHUNK = 1 << 21
-#: Bytes of strings in one merge.
-MERGE = 1 << 18
+#: Strings in one merge, small cores together.
+MERGE = 4096
 
 _RNG = np.random.default_rng(200)
 _BYTE = _RNG.integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -75,7 +72,8 @@ def _mix(x: np.ndarray) -> np.ndarray:
 class Sampled:
     """Texts laid one after another, with their anchors and the names of cores and blocks.
 
-    Per entry (an anchor that has strings): ``lo``, the first string start; ``count``, how many starts; ``at``, the anchor.
+    Per entry (an anchor that has strings): ``lo``, the first string start; ``count``, how many starts; ``at``, the anchor;
+    ``owner``, the number of its text.
     """
 
     def __init__(self, texts: list[bytes], length: int):
@@ -85,7 +83,7 @@ class Sampled:
         self.raw = np.frombuffer(b"".join(texts), np.uint8)
         n = len(self.raw)
         none = np.zeros(0, np.int64)
-        self.at, self.lo, self.count, self.core, self.block = none, none, none, none.view(np.uint64), none.view(np.uint64)
+        self.at, self.lo, self.count, self.owner, self.core = none, none, none, none, none.view(np.uint64)
         if n < length:
             return
         grams = np.ndarray((n - GRAM + 1,), "<u8", self.raw.tobytes(), strides=(1,)).astype(np.uint64)
@@ -112,93 +110,55 @@ class Sampled:
         lo = np.where(same, np.maximum(before - WINDOW + 2, first), first)
         hi = np.minimum(at - WINDOW + 1, last)
         keep = hi >= lo
-        self.at, self.lo, self.count = at[keep], lo[keep], (hi - lo + 1)[keep]
+        self.at, self.lo, self.count, self.owner = at[keep], lo[keep], (hi - lo + 1)[keep], owner[keep]
         with np.errstate(over="ignore"):
             prefix = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_BYTE[self.raw] * _powers("up", _BASE, n)[:n], dtype=np.uint64)])
-            self.prefix = prefix
-            self.core = self.name(self.at - WINDOW + 1, self.at + length - 2 * (WINDOW - 1))
-            self.block = _mix(self.name(self.lo, self.lo + self.count - 1 + length) + (self.at - self.lo).astype(np.uint64))
-
-    def name(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """Names of the byte ranges [a, b)."""
-        with np.errstate(over="ignore"):
-            return _mix((self.prefix[b] - self.prefix[a]) * _powers("down", _INVERSE, len(self.raw) + 1)[a] + (b - a).astype(np.uint64))
-
-
-def sampled_chunks(texts: Iterator[list[bytes]], length: int) -> Iterator[tuple[int, Sampled]]:
-    """(chunk number, its texts) of a shard; chunks hold about CHUNK bytes, a long text more."""
-    held, size, number = [], 0, 0
-    for batch in texts:
-        for t in batch:
-            held.append(t)
-            size += len(t)
-            if size >= CHUNK:
-                yield number, Sampled(held, length)
-                held, size, number = [], 0, number + 1
-    if held:
-        yield number, Sampled(held, length)
-
-
-def bucketed(names: np.ndarray, blocks: np.ndarray, buckets: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """Per bucket: places of its entries, and of its distinct blocks the first place, the entries' numbers and whether one repeats."""
-    bucket = ((names >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
-    order = np.argsort(bucket, kind="stable")
-    cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
-    for b in range(buckets):
-        own = order[cuts[b] : cuts[b + 1]]
-        if len(own):
-            _, first, back, n = np.unique(blocks[own], return_index=True, return_inverse=True, return_counts=True)
-            yield b, own, own[first], back, n > 1
+            a, b = self.at - WINDOW + 1, self.at + length - 2 * (WINDOW - 1)
+            self.core = _mix((prefix[b] - prefix[a]) * _powers("down", _INVERSE, n + 1)[a] + (b - a).astype(np.uint64))
 
+    def blocks(self) -> np.ndarray:
+        """128-bit names of the entries' blocks, as two columns."""
+        from xxhash import xxh3_128_digest
 
-UNIQUE, REPEATED, OPEN, ASKED, HOT_OPEN, HOT_ASKED = range(6)
+        raw = memoryview(self.raw)
+        ends = (self.lo + self.count - 1 + self.length).tolist()
+        named = (xxh3_128_digest(raw[a:b], seed) for a, b, seed in zip(self.lo.tolist(), ends, (self.at - self.lo).tolist(), strict=True))
+        return np.frombuffer(b"".join(named), "<i8").reshape(-1, 2)
 
 
-def decide(names: np.ndarray, blocks: np.ndarray, multiple: np.ndarray, hot: int | None) -> np.ndarray:
-    """The state of each entry of a bucket; entries of all shards together."""
-    order = np.lexsort((blocks, names))
-    name, block, many = names[order], blocks[order], multiple[order].astype(np.int64) + 1
-    new_name = np.concatenate([[True], name[1:] != name[:-1]])
-    new_block = new_name | np.concatenate([[True], block[1:] != block[:-1]])
-    block_of, name_of = np.cumsum(new_block) - 1, np.cumsum(new_name) - 1
-    repeated = np.bincount(block_of, many) > 1
-    lone = np.bincount(name_of[new_block], ~repeated)
-    kinds = np.bincount(name_of[new_block])
-    state = np.where(repeated[block_of], REPEATED, UNIQUE)
-    if hot is not None:
-        mixed = (kinds > 1)[name_of] & (lone > 0)[name_of]
-        state[mixed & ~repeated[block_of]] = OPEN
-        state[mixed & repeated[block_of] & new_block] = ASKED
-        state[(state >= OPEN) & (kinds > hot)[name_of]] += 2
-    out = np.empty(len(names), np.uint8)
-    out[order] = state
-    return out
+def sampled_chunks(batches: Iterator[pd.DataFrame], length: int) -> Iterator[tuple[np.ndarray, Sampled]]:
+    """(numbers of the rows, their texts); chunks hold about CHUNK bytes, a long text more."""
+    for batch in batches:
+        texts, rows = list(map(bytes, batch["raw"])), batch["row"].to_numpy(np.int64)
+        cuts = np.cumsum([len(t) for t in texts]) // CHUNK
+        for part in np.split(np.arange(len(texts)), np.flatnonzero(np.diff(cuts)) + 1):
+            if len(part):
+                yield rows[part], Sampled([texts[i] for i in part], length)
 
 
-MESSAGE = "shard string, chunk int, bucket int, names binary, blocks binary, multiple binary"
-ANSWER = "shard string, chunk int, bucket int, state binary"
+def parts(window: int = WINDOW) -> list[tuple[int, int]]:
+    """Ranges of the number of bytes before the core, finer towards both ends: 0, 1, 2-3, 4-7, ... and mirrored."""
+    near, a = [(0, 0)], 1
+    while a < window // 2:
+        near.append((a, min(2 * a, window // 2) - 1))
+        a *= 2
+    return near + [(window - 1 - b, window - 1 - a) for a, b in reversed(near)]
 
 
-def message(shard: str, chunk: int, bucket: int, names: np.ndarray, blocks: np.ndarray, multiple: np.ndarray) -> dict:
-    return {"shard": shard, "chunk": chunk, "bucket": bucket, "names": (names & np.uint64(0xFFFFFFFF)).astype("<u4").tobytes(), "blocks": blocks.astype("<u8").tobytes(), "multiple": np.packbits(multiple).tobytes()}
+def part_strings(raw: bytes, lo: int, count: int, at: int, length: int) -> Iterator[tuple[int, int, int, bytes, bytes, bytes]]:
+    """(part, first start, rounds, left, core, right) of an entry's strings, part by part."""
+    core = at - WINDOW + 1
+    stop, most = core + length - WINDOW + 1, core - lo
+    least = most - count + 1
+    for k, (a, b) in enumerate(parts()):
+        high, low = min(b, most), max(a, least)
+        if low <= high:
+            inner, outer = core - a, stop + WINDOW - 1 - b
+            yield k, core - high, b - a + 1, raw[core - high : inner], raw[inner:outer], raw[outer : stop + WINDOW - 1 - low]
 
 
-def answered(messages: DataFrame, hot: int | None) -> DataFrame:
-    """Buckets decide their entries; every message gets the states of its entries."""
-
-    def run(x: dict[str, np.ndarray]) -> pd.DataFrame:
-        names = [np.frombuffer(v, "<u4") for v in x["names"]]
-        size = [len(n) for n in names]
-        multiple = np.concatenate([np.unpackbits(np.frombuffer(v, np.uint8))[:k] for v, k in zip(x["multiple"], size, strict=True)])
-        state = decide(np.concatenate(names), np.concatenate([np.frombuffer(v, "<u8") for v in x["blocks"]]), multiple, hot)
-        cuts = np.split(state, np.cumsum(size)[:-1])
-        return pd.DataFrame({"shard": x["shard"], "chunk": x["chunk"], "bucket": x["bucket"], "state": [c.tobytes() for c in cuts]})
-
-    return by_key(messages, ["bucket"], run, ANSWER)
-
-
-def merged_repeats(strings: list[bytes], left: np.ndarray, cores: np.ndarray, shards: np.ndarray, starts: np.ndarray, rounds: int) -> np.ndarray:
-    """For each string, a bit mask of its first ``starts`` places whose ``rounds`` characters occur at another place too.
+def merged_repeats(strings: list[bytes], left: np.ndarray, cores: np.ndarray, shards: np.ndarray, starts: np.ndarray, rounds: int, copies: np.ndarray) -> np.ndarray:
+    """For each string, a bit mask of its first ``starts`` places whose ``rounds`` characters occur at another place too, or have copies.
 
     A string is given without its core, which stands behind ``left`` bytes and is one character of its own.
     The merge itself: every string ends in a sentinel; suffix j stands at place j of the strings laid end to end, shard by
@@ -229,7 +189,8 @@ def merged_repeats(strings: list[bytes], left: np.ndarray, cores: np.ndarray, sh
         new |= c == 0
         block = np.cumsum(new, dtype=np.int32)
     repeated = np.empty(n, bool)
-    repeated[interleave] = (np.bincount(block) > 1)[block]
+    weight = np.repeat(copies[order], size)
+    repeated[interleave] = (np.bincount(block, weight[interleave]) > 1)[block]
     masks = np.zeros(len(strings), np.uint64)
     for i, at in zip(order, begin.tolist(), strict=True):
         k = int(starts[i])
@@ -237,143 +198,95 @@ def merged_repeats(strings: list[bytes], left: np.ndarray, cores: np.ndarray, sh
     return masks
 
 
-def _own(folder: str, shard: str, schema: list[str]) -> pd.DataFrame:
-    """The rows of a shard in a table written by shard."""
-    import pyarrow as pa
-    import pyarrow.parquet as pq
-    from pyarrow import fs
-
-    system, path = fs.FileSystem.from_uri(folder) if "://" in folder or folder.startswith("file:") else (fs.LocalFileSystem(), folder)
-    found = [f.path for f in system.get_file_info(fs.FileSelector(f"{path}/shard={shard}", allow_not_found=True)) if f.path.endswith(".parquet")]
-    tables = [pq.read_table(system.open_input_file(f)) for f in sorted(found)]
-    return pa.concat_tables(tables).to_pandas() if tables else pd.DataFrame({c: [] for c in schema})
-
-
-def remove_repeats(docs: DataFrame, length: int = LENGTH, hot: int = HOT) -> DataFrame:
+def repeated_ranges(texts: DataFrame, length: int) -> DataFrame:
+    """row, first and stop of the repeated strings of ``texts`` (row, raw), and ``merged``, whether the merge found them; ranges may overlap."""
+
+    def core_names(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for _, s in sampled_chunks(batches, length):
+            yield pd.DataFrame({"core": s.core.view(np.int64)})
+
+    def entry_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows, s in sampled_chunks(batches, length):
+            if len(s.at):
+                names, begin = s.blocks(), (s.ends - s.size)[s.owner]
+                yield pd.DataFrame({"core": s.core.view(np.int64), "b1": names[:, 0], "b2": names[:, 1], "row": rows[s.owner], "lo": (s.lo - begin).astype(np.int32), "count": s.count.astype(np.int32), "at": (s.at - begin).astype(np.int32)})
+
+    cores = texts.mapInPandas(core_names, "core long").groupBy("core").agg(F.count("*").alias("n")).where("n > 1").select("core")
+    entries = texts.mapInPandas(entry_rows, "core long, b1 long, b2 long, row long, lo int, count int, at int")
+    met = stored(entries.join(bounded(stored(cores, "cores")), "core", "left_semi"), "entries")
+    block = ["core", "b1", "b2"]
+    blocks = stored(met.groupBy(*block).agg(F.count("*").alias("n")), "blocks")
+    whole = met.join(bounded(blocks.where("n > 1").select(*block)), block, "left_semi").select("row", F.col("lo").alias("first"), (F.col("lo") + F.col("count") - 1 + length).alias("stop"), F.lit(False).alias("merged"))
+
+    open_cores = blocks.groupBy("core").agg(F.count("*").alias("kinds"), F.min("n").alias("least")).where("kinds > 1 AND least = 1").select("core")
+    opened = met.join(bounded(stored(open_cores, "open-cores")), "core", "left_semi")
+    one = opened.groupBy(*block).agg(F.count("*").alias("n"), F.min(F.struct("row", "lo", "count", "at")).alias("e"))
+    asked = one.select(F.col("e.row").alias("row"), F.struct("e.lo", "e.count", "e.at", F.least("n", F.lit(2)).alias("copies")).alias("e")).groupBy("row").agg(F.collect_list("e").alias("entries"))
+    asked = stored(asked, "open-entries")
+
+    def send(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from xxhash import xxh3_128_digest
+
+        names = ["row", "part", "first", "rounds", "left", "core", "right"]
+        for batch in batches:
+            found = []
+            for row, raw, entries in zip(batch["row"], batch["raw"], batch["entries"], strict=True):
+                raw = bytes(raw)
+                for e in entries:
+                    for x in part_strings(raw, e["lo"], e["count"], e["at"], length):
+                        found.append((row, *x, e["copies"], *np.frombuffer(xxh3_128_digest(b"%d %d %d " % (x[0], len(x[3]), len(x[4])) + x[3] + x[4] + x[5]), "<i8"), int(np.frombuffer(xxh3_128_digest(x[4], x[0]), "<i8")[0])))
+            if found:
+                yield pd.DataFrame(found, columns=[*names, "copies", "s1", "s2", "place"])
+
+    strings = stored(texts.join(bounded(asked), "row").select("row", "raw", "entries").mapInPandas(send, "row long, part int, first int, rounds int, left binary, core binary, right binary, copies long, s1 long, s2 long, place long"), "open-strings")
+    distinct = strings.groupBy("s1", "s2").agg(*[F.first(c).alias(c) for c in ("place", "part", "rounds", "left", "core", "right")], F.sum("copies").alias("copies"))
+
+    def merge(x: dict[str, np.ndarray]) -> pd.DataFrame | None:
+        out = []
+        for k in np.unique(x["part"]):
+            own = np.flatnonzero(x["part"] == k)
+            left = np.array([len(b) for b in x["left"][own]])
+            rounds = int(x["rounds"][own[0]])
+            both = [bytes(a) + bytes(b) for a, b in zip(x["left"][own], x["right"][own], strict=True)]
+            starts = np.array([len(b) for b in both]) + 2 - rounds
+            core = pd.factorize(pd.Series(list(map(bytes, x["core"][own]))))[0]
+            masks = merged_repeats(both, left, core, x["s1"][own] & 7, starts, rounds, np.minimum(x["copies"][own], 2))
+            string, start = np.nonzero(np.unpackbits(masks.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little"))
+            out.append(pd.DataFrame({"s1": x["s1"][own][string], "s2": x["s2"][own][string], "start": start.astype(np.int32)}))
+        return pd.concat(out)
+
+    hits = stored(by_key(distinct, ["place"], merge, "s1 long, s2 long, start int", at_once=MERGE), "repeated-starts")
+    found = strings.select("row", "first", "s1", "s2").join(bounded(hits), ["s1", "s2"]).select("row", (F.col("first") + F.col("start")).alias("first"))
+    return whole.unionByName(found.select("row", "first", (F.col("first") + length).alias("stop"), F.lit(True).alias("merged")))
+
+
+def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and kept (the remaining bytes) of every document."""
-    if length < 4 * WINDOW:
-        raise ValueError(f"strings need {4 * WINDOW} bytes at least")
-    spark = docs.sparkSession
-    buckets = shuffle_width(spark)
-    path = scratch_path(spark, "suffix-texts")
-    docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text")).write.parquet(path)
-    shard = F.sha1(F.concat_ws(":", F.input_file_name(), F.input_file_block_start().cast("string")))
-    texts = spark.read.parquet(path).select("doc_id", F.encode("text", "utf-8").alias("raw"), shard.alias("shard"))
-
-    def by_shard(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[str, Iterator[pd.DataFrame]]]:
-        """A task may read several splits, one after another."""
-        from itertools import chain, groupby
-
-        pieces = (part for batch in batches for _, part in batch.groupby("shard", sort=False))
-        for name, parts in groupby(pieces, key=lambda p: p["shard"].iloc[0]):
-            yield name, chain(parts)
-
-    def send_blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for name, parts in by_shard(batches):
-            for chunk, s in sampled_chunks((list(map(bytes, p["raw"])) for p in parts), length):
-                out = [message(name, chunk, b, s.core[first], s.block[first], many) for b, _, first, _, many in bucketed(s.core, s.block, buckets)]
-                if out:
-                    yield pd.DataFrame(out)
-
-    def states(name: str, chunk: int, s: Sampled, answers: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
-        """(state, whether it is the first of its block here) of each entry."""
-        own = {r.bucket: np.frombuffer(r.state, np.uint8) for r in answers[answers["chunk"] == chunk].itertuples()}
-        state, leads = np.zeros(len(s.at), np.uint8), np.zeros(len(s.at), bool)
-        for b, places, first, back, _ in bucketed(s.core, s.block, buckets):
-            state[places] = own[b][back]
-            leads[first] = True
-        return state, leads
-
-    first_answers = scratch_path(spark, "suffix-states")
-    answered(texts.mapInPandas(send_blocks, MESSAGE), hot).write.partitionBy("shard").parquet(first_answers)
-
-    def send_open(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for name, parts in by_shard(batches):
-            answers = _own(first_answers, name, ["chunk", "bucket", "state"])
-            for chunk, s in sampled_chunks((list(map(bytes, p["raw"])) for p in parts), length):
-                state, leads = states(name, chunk, s, answers)
-                pick = np.flatnonzero((state == OPEN) | (state == ASKED) & leads)
-                raw = s.raw.tobytes()
-                if len(pick):
-                    lo, stop = s.lo[pick], s.lo[pick] + s.count[pick] - 1 + length
-                    core = s.at[pick] - WINDOW + 1
-                    cuts = zip(lo.tolist(), core.tolist(), (core + length - WINDOW + 1).tolist(), stop.tolist(), strict=True)
-                    strings = [raw[a:b] + raw[c:d] for a, b, c, d in cuts]
-                    yield pd.DataFrame({"place": s.core[pick].view(np.int64), "shard": name, "chunk": chunk, "entry": pick.astype(np.int32), "starts": s.count[pick].astype(np.int32), "left": (core - lo).astype(np.int32), "string": strings})
-
-    def merge(x: dict[str, np.ndarray]) -> pd.DataFrame:
-        masks = merged_repeats(list(x["string"]), x["left"], x["place"], pd.factorize(x["shard"])[0], x["starts"], WINDOW)
-        return pd.DataFrame({"shard": x["shard"], "chunk": x["chunk"], "entry": x["entry"], "mask": masks.view(np.int64)})
-
-    second_answers = scratch_path(spark, "suffix-masks")
-    opened = texts.mapInPandas(send_open, "place long, shard string, chunk int, entry int, starts int, left int, string binary")
-    by_key(opened, ["place"], merge, "shard string, chunk int, entry int, mask long", at_once=MERGE // (2 * WINDOW)).write.partitionBy("shard").parquet(second_answers)
-
-    def hot_starts(s: Sampled, state: np.ndarray, leads: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(entry, start, name) of the strings of hot entries."""
-        pick = np.flatnonzero((state == HOT_OPEN) | (state == HOT_ASKED) & leads)
-        entry = np.repeat(pick, s.count[pick])
-        start = np.arange(len(entry)) - np.repeat(np.cumsum(s.count[pick]) - s.count[pick], s.count[pick]) + s.lo[entry]
-        return entry, start, s.name(start, start + length) if len(start) else np.zeros(0, np.uint64)
-
-    def send_hot(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for name, parts in by_shard(batches):
-            answers = _own(first_answers, name, ["chunk", "bucket", "state"])
-            if not any((np.frombuffer(v, np.uint8) >= HOT_OPEN).any() for v in answers["state"]):
-                continue
-            for chunk, s in sampled_chunks((list(map(bytes, p["raw"])) for p in parts), length):
-                _, _, key = hot_starts(s, *states(name, chunk, s, answers))
-                out = [message(name, chunk, b, key[first], _mix(key[first]), many) for b, _, first, _, many in bucketed(key, key, buckets)] if len(key) else []
-                if out:
-                    yield pd.DataFrame(out)
-
-    third_answers = scratch_path(spark, "suffix-hot")
-    answered(texts.mapInPandas(send_hot, MESSAGE), None).write.partitionBy("shard").parquet(third_answers)
+    if length < 3 * WINDOW + GRAM - 3:
+        raise ValueError(f"strings need {3 * WINDOW + GRAM - 3} bytes at least")
+    texts = docs.select("doc_id", F.monotonically_increasing_id().alias("row"), F.encode(F.coalesce(F.col("text"), F.lit("")), "utf-8").alias("raw"))
+    texts = stored(texts, "suffix-texts")
+    ranges = repeated_ranges(texts.select("row", "raw"), length).select("row", F.shiftleft(F.col("first").cast("long"), 32).bitwiseOR(F.col("stop").cast("long")).alias("range"))
+    # A text has no more ranges than bytes.
+    ranges = stored(ranges.groupBy("row").agg(F.collect_list("range").alias("ranges")), "repeated-ranges")
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for name, parts in by_shard(batches):
-            answers, masks, hots = _own(first_answers, name, ["chunk", "bucket", "state"]), _own(second_answers, name, ["chunk", "entry", "mask"]), _own(third_answers, name, ["chunk", "bucket", "state"])
-            ids: list = []
-
-            def listed(parts: Iterator[pd.DataFrame]) -> Iterator[list[bytes]]:
-                for p in parts:
-                    ids.extend(None if pd.isna(v) else int(v) for v in p["doc_id"])
-                    yield list(map(bytes, p["raw"]))
-
-            done = 0
-            for chunk, s in sampled_chunks(listed(parts), length):
-                yield cut_chunk(s, ids[done : done + len(s.size)], *states(name, chunk, s, answers), masks[masks["chunk"] == chunk], hots[hots["chunk"] == chunk])
-                done += len(s.size)
-
-    def cut_chunk(s: Sampled, ids: list, state: np.ndarray, leads: np.ndarray, masks: pd.DataFrame, hots: pd.DataFrame) -> pd.DataFrame:
-        n = len(s.raw)
-        change = np.zeros(n + 1, np.int32)
-        whole = (state == REPEATED) | (state == ASKED) | (state == HOT_ASKED)
-        np.add.at(change, s.lo[whole], 1)
-        np.add.at(change, s.lo[whole] + s.count[whole] - 1 + length, -1)
-        starts = []
-        if len(masks):
-            bits = np.unpackbits(masks["mask"].to_numpy(np.int64).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").astype(bool)
-            row, bit = np.nonzero(bits)
-            starts.append(s.lo[masks["entry"].to_numpy(np.int64)[row]] + bit)
-        if len(hots):
-            _, start, key = hot_starts(s, state, leads)
-            own = {r.bucket: np.frombuffer(r.state, np.uint8) for r in hots.itertuples()}
-            for b, places, _, back, _ in bucketed(key, key, buckets):
-                starts.append(start[places[own[b][back] == REPEATED]])
-        for at in starts:
-            np.add.at(change, at, 1)
-            np.add.at(change, at + length, -1)
-        gone = np.cumsum(change[:-1]) > 0
-        rows, raw = [], s.raw
-        for doc_id, end, size in zip(ids, s.ends.tolist(), s.size.tolist(), strict=True):
-            g = gone[end - size : end]
-            kept = raw[end - size : end][~g].tobytes()
-            runs = int(g[0]) + int((g[1:] & ~g[:-1]).sum()) if size else 0
-            rows.append((doc_id, size, int(g.sum()), runs, hashlib.sha256(kept).hexdigest(), kept))
-        return pd.DataFrame(rows, columns=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"]).astype({"doc_id": "Int64"})
-
-    return texts.mapInPandas(cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+        for batch in batches:
+            rows = []
+            for doc_id, raw, ranges in zip(batch["doc_id"], batch["raw"], batch["ranges"], strict=True):
+                raw, n_removed, runs = bytes(raw), 0, 0
+                size = len(raw)
+                if ranges is not None:
+                    ranges = np.asarray(ranges, np.int64)
+                    change = np.bincount(ranges >> 32, minlength=size + 1) - np.bincount(ranges & 0xFFFFFFFF, minlength=size + 1)
+                    gone = np.cumsum(change[:-1]) > 0
+                    n_removed, runs = int(gone.sum()), int(gone[0]) + int((gone[1:] & ~gone[:-1]).sum())
+                    raw = np.frombuffer(raw, np.uint8)[~gone].tobytes()
+                rows.append((doc_id, size, n_removed, runs, hashlib.sha256(raw).hexdigest(), raw))
+            yield pd.DataFrame(rows, columns=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"]).astype({"doc_id": "Int64"})
+
+    joined = texts.join(bounded(ranges), "row", "left").select("doc_id", "raw", "ranges")
+    return joined.mapInPandas(cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
 
 
 def digest(found: DataFrame) -> DataFrame:

@@ -512,18 +512,39 @@ def removed_by_brute_force(rows, length):
     return out
 
 
-@pytest.mark.parametrize("hot", [4096, 1, 3])
-def test_repeats_by_brute_force(spark, hot):
+def test_repeats_by_brute_force(spark, monkeypatch):
     passage = words(120, 50, 10**6)
     rows = list(ODD) + [(30, "a" * 700), (31, "ab" * 400), (32, passage[:199]), (33, passage[:200])]
     for i in range(25):
         cut = (i * 13) % 40
         rows.append((100 + i, words(30 + i, 900 + i, 10**6) + passage[cut : len(passage) - 3 * i] + words(20, 950 + i, 10**6)))
     rows += [(200, words(80, 7, 10**6) + words(80, 7, 10**6)), (201, passage + passage[:250])]
-    got = suffix_dedup.digest(suffix_dedup.remove_repeats(documents(spark, rows), hot=hot))
-    assert Counter(tuple(r) for r in got.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256").collect()) == removed_by_brute_force(rows, 200)
-    if hot == 1:
-        assert suffix_dedup.remove_repeats(documents(spark, [])).count() == 0
+    # Short texts around one string: every start of the string is the last or the first that repeats.
+    rows += [(300 + i, words(3, i, 10**6)[: i % 70] + passage[300 : 500 + i % 9] + words(9, 60 + i, 10**6)[: i % 31]) for i in range(60)]
+    rows += [(400, words(2000, 77, 10**6)), (401, "x" + words(2000, 77, 10**6)[:9000])]
+    want = removed_by_brute_force(rows, 200)
+    for merge in (4096, 16):
+        monkeypatch.setattr(suffix_dedup, "MERGE", merge)
+        got = suffix_dedup.digest(suffix_dedup.remove_repeats(documents(spark, rows)))
+        assert Counter(tuple(r) for r in got.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256").collect()) == want
+    assert suffix_dedup.remove_repeats(documents(spark, [])).count() == 0
+
+
+def test_parts_cover_all_starts():
+    for window in (2, 4, 48, 64):
+        assert [j for a, b in suffix_dedup.parts(window) for j in range(a, b + 1)] == list(range(window))
+
+
+def test_a_core_in_many_texts_is_split(spark):
+    passage = words(60, 3, 10**6)
+    rows = [(i, words(30, 10_000 + i, 10**6) + passage + words(30, 20_000 + i, 10**6)) for i in range(600)]
+    texts = spark.createDataFrame([(i, t.encode()) for i, t in rows], "row long, raw binary")
+    found = suffix_dedup.repeated_ranges(texts, 200).select("row", "first", "stop").distinct().groupBy("row").agg(F.min("first").alias("a"), F.max("stop").alias("b")).collect()
+    for r in found:
+        text = rows[r.row][1]
+        at = text.index(passage)
+        assert r.a <= at and at - r.a < 8 and r.b >= at + len(passage) and r.b - at - len(passage) < 8
+    assert len(found) == 600
 
 
 def test_merge_by_brute_force():
@@ -534,10 +555,14 @@ def test_merge_by_brute_force():
         left.append(n)
         strings.append(bytes(rng.choice(b"ab") for _ in range(n + rng.randrange(2, 8))))
     cores = np.array([rng.randrange(3) for _ in strings])
+    copies = np.array([1 + (rng.random() < 0.05) for _ in strings])
     symbol = [s[:k].decode() + "XYZ"[c] + s[k:].decode() for s, k, c in zip(strings, left, cores, strict=True)]
     starts = np.array([min(k + 1, len(s) - 2) for s, k in zip(symbol, left, strict=True)])
-    got = suffix_dedup.merged_repeats(strings, np.array(left), cores, np.array([i % 3 for i in range(200)]), starts, 3)
-    count = Counter(s[i : i + 3] for s in symbol for i in range(len(s) - 2))
+    got = suffix_dedup.merged_repeats(strings, np.array(left), cores, np.array([i % 3 for i in range(200)]), starts, 3, copies)
+    count = Counter()
+    for s, n in zip(symbol, copies.tolist(), strict=True):
+        for i in range(len(s) - 2):
+            count[s[i : i + 3]] += n
     for s, k, mask in zip(symbol, starts, got.tolist(), strict=True):
         assert [mask >> i & 1 == 1 for i in range(k)] == [count[s[i : i + 3]] > 1 for i in range(k)]
 
