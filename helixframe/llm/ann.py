@@ -1,22 +1,27 @@
 """Approximate nearest neighbours by inner product: inverted file, product-quantised residuals, exact reranking.
 
 Fit (on the driver, from at most ``SAMPLE`` vectors, those with the smallest hash of their id): coarse centroids by
-k-means, and one codebook per slice of the dimensions for the residuals. The number of cells that a query probes
-is the least that finds ``TARGET`` of the true neighbours inside the sample; vectors without clusters make
-it large, clustered ones small.
+k-means, as many as the square root of the number of rows (``MAX_CELLS`` at most), how far each cell's vectors spread around
+its centroid, and one codebook per slice of the dimensions for the residuals.
+
+A vector of a cell with centroid c reaches an inner product with q of about q.c + z |q| s, where s is the cell's spread along a direction; cells are
+ranked and chosen by that bound, so vectors of any length are found. ``z`` is fitted: the least that would find ``TARGET`` of the sample's
+true neighbours.
 
 Index: every vector gets its cell and its codes; the table is written to the shared folder.
 
-Search: cells are packed into blocks of about ``BLOCK`` rows, a cell that outgrows a block is split over several, and
-queries go in chunks to the blocks that hold one of their cells. A task computes asymmetric distances from tables (query
-slices against codebooks). The quantisation error of a vector turns a query's product by about |query| |error| / sqrt(d); every row
+Search: cells are packed into blocks of about ``BLOCK`` rows, a cell that outgrows a block is split over several. Rows go to their block
+once; queries go to the blocks of the cells that they probe and stream past the rows there. A task computes asymmetric distances from
+tables (query slices against codebooks). The quantisation error of a vector turns a query's product by about |query| |error| / sqrt(d); every row
 that can be among the best within ``margin`` times that is scored exactly, in double precision, on the original
-vectors: however many near copies a vector has, none is cut off by a fixed number. The best of all blocks are the
-answer; ties go to the smaller vec_id.
+vectors: however many near copies a vector has, none is cut off by a fixed number. Ties go to the smaller vec_id. Queries search twice:
+
+1. in their best cells, as many as hold ``SEED_ROWS`` times k rows; the k-th best score found is their bar;
+2. in every cell whose bound reaches the bar. A query without k rows has no bar and searches all cells.
 
 Edge cases: vectors that are null, zero, or hold null or non-finite components take no part, nor do those of another length
-than most of the sample and rows without vec_id; rows that repeat a vec_id count once (the least vector); fewer candidates than
-asked for are all returned; an empty table gives no rows; extra columns are ignored.
+than most of the sample, with which there is no product, and rows without vec_id. Rows that repeat a vec_id are rows of their own: each is a
+query, and a candidate for the others. Fewer candidates than asked for are all returned; an empty table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -31,13 +36,14 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stored
-from .simhash import by_key
+from .common import bounded, shuffle_width, stored
 
-SAMPLE = 8192
+SAMPLE = 16_384
+MAX_CELLS = 1024
 BLOCK = 8192
-QUERY_CHUNK = 4096
-TARGET = 0.96
+SEED_ROWS = 4
+TARGET = 0.98
+INDEX = "row long, vec_id long, cell int, codes binary, error float, raw binary, asked boolean"
 
 
 def kmeans(x: np.ndarray, k: int, rounds: int = 8, seed: int = 7) -> np.ndarray:
@@ -57,39 +63,39 @@ def nearest(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Index:
-    """Coarse centroids (cells, d), codebooks (slices, codes, d / slices) and cells to probe."""
+    """Coarse centroids (cells, d), their spreads (cells), codebooks (slices, codes, d / slices) and z of the bound."""
 
     centroids: np.ndarray
+    spreads: np.ndarray
     books: np.ndarray
-    probes: int
+    z: float
 
     @classmethod
     def fit(cls, x: np.ndarray, k: int = 20, target: float = TARGET, cells: int | None = None) -> Index:
-        d = x.shape[1]
+        n, d = x.shape
         slices = max(s for s in range(1, min(16, d) + 1) if d % s == 0)
-        centroids = kmeans(x, cells or max(1, round(math.sqrt(len(x)))))
-        residual = x - centroids[nearest(x, centroids)]
-        books = np.stack([_padded(kmeans(part, 256), 256) for part in np.split(residual, slices, axis=1)])
+        centroids = kmeans(x, max(1, min(cells or round(math.sqrt(n)), n // 8 or 1)))
         own = nearest(x, centroids)
-        asked = np.arange(0, len(x), max(1, len(x) // 256))
+        residual = x - centroids[own]
+        count = np.bincount(own, minlength=len(centroids))
+        square = np.bincount(own, (residual * residual).sum(axis=1), minlength=len(centroids))
+        # Cells with few samples lean on the spread of all.
+        spreads = np.sqrt((square + 4 * square.sum() / n) / (count + 4) / d)
+        books = np.stack([_padded(kmeans(part[:8192], 256), 256) for part in np.split(residual, slices, axis=1)])
+        asked = np.arange(0, n, max(1, n // 256))
         score = x[asked] @ x.T
         score[np.arange(len(asked)), asked] = -np.inf
-        top = np.argsort(-score, axis=1)[:, : min(k, len(x) - 1)]
-        place = np.argsort(np.argsort(cls._order(x[asked], centroids), axis=1), axis=1)
-        need = np.sort(np.take_along_axis(place, own[top], axis=1).ravel())
-        probes = int(need[min(len(need) - 1, int(target * len(need)))]) + 1 if len(need) else 1
-        return cls(centroids.astype(np.float32), books.astype(np.float32), probes)
-
-    @staticmethod
-    def _order(q: np.ndarray, centroids: np.ndarray) -> np.ndarray:
-        return (centroids * centroids).sum(1) - 2 * (q @ centroids.T)
-
-    def probed(self, q: np.ndarray) -> np.ndarray:
-        """(queries, cells): whether the query probes the cell."""
-        distance = self._order(q, self.centroids)
-        out = np.zeros(distance.shape, bool)
-        np.put_along_axis(out, np.argpartition(distance, min(self.probes, distance.shape[1]) - 1, axis=1)[:, : self.probes], True, axis=1)
-        return out
+        top = np.argsort(-score, axis=1)[:, : min(k, n - 1)]
+        z = 0.0
+        if top.shape[1]:
+            bar = np.take_along_axis(score, top[:, -1:], axis=1)
+            need = (bar - np.take_along_axis(x[asked] @ centroids.T, own[top], axis=1)) / (np.linalg.norm(x[asked], axis=1)[:, None] * spreads[own[top]] + 1e-12)
+            z = max(0.0, float(np.quantile(need, target)))
+        return cls(centroids.astype(np.float32), spreads.astype(np.float32), books.astype(np.float32), z)
+
+    def bounds(self, q: np.ndarray) -> np.ndarray:
+        """(queries, cells): about the largest product that a vector of the cell reaches."""
+        return q @ self.centroids.T + self.z * np.linalg.norm(q, axis=1)[:, None] * self.spreads
 
     def encode(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Cell, codes and length of the quantisation error of each vector."""
@@ -116,32 +122,37 @@ def usable(vectors: DataFrame) -> DataFrame:
     """vec_id and vector (array of float) of the rows that take part."""
     e = F.col("embedding")
     sound = e.isNotNull() & ~F.exists(e, lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf"))) & F.exists(e, lambda v: v != 0)
-    rows = vectors.where(F.col("vec_id").isNotNull() & F.coalesce(sound, F.lit(False)))
-    return rows.groupBy(F.col("vec_id").cast("long").alias("vec_id")).agg(F.min("embedding").alias("vector"))
+    return vectors.where(F.col("vec_id").isNotNull() & F.coalesce(sound, F.lit(False))).select(F.col("vec_id").cast("long").alias("vec_id"), e.alias("vector"))
 
 
 def _matrix(vectors) -> np.ndarray:
     return np.stack([np.asarray(v, np.float32) for v in vectors])
 
 
-def build_index(vectors: DataFrame, k: int = 20, sample: int = SAMPLE, target: float = TARGET) -> tuple[Index | None, DataFrame | None]:
-    """The fitted index and the table vec_id, cell, codes, error, raw (the vector's floats as bytes)."""
-    rows = usable(vectors)
-    picked = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).collect()
+def _raws(raws) -> np.ndarray:
+    return np.stack([np.frombuffer(r, np.float32) for r in raws])
+
+
+def build_index(vectors: DataFrame, asked: Column, k: int = 20, sample: int = SAMPLE, target: float = TARGET) -> tuple[Index | None, DataFrame | None]:
+    """The fitted index and its table: row (a number), vec_id, cell, codes, error, raw (the vector's floats as bytes), asked."""
+    rows = usable(vectors).withColumn("asked", F.coalesce(asked, F.lit(False)))
+    picked = rows.select("vec_id", "vector").orderBy(F.xxhash64("vec_id", "vector"), "vec_id").limit(sample).collect()
     if not picked:
         return None, None
     size = Counter(len(r["vector"]) for r in picked).most_common(1)[0][0]
-    index = Index.fit(_matrix([r["vector"] for r in picked if len(r["vector"]) == size]).astype(np.float64), k, target)
-    shared = rows.sparkSession.sparkContext.broadcast(index)  # of fixed size: at most about 1 MB
+    rows = rows.where(F.size("vector") == size)
+    index = Index.fit(_matrix([r["vector"] for r in picked if len(r["vector"]) == size]).astype(np.float64), k, target, min(MAX_CELLS, round(math.sqrt(rows.count()))))
+    shared = rows.sparkSession.sparkContext.broadcast(index)  # of bounded size: MAX_CELLS centroids and 256 codes a slice
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             if len(batch):
                 x = _matrix(batch["vector"])
                 cell, codes, error = shared.value.encode(x)
-                yield pd.DataFrame({"vec_id": batch["vec_id"], "cell": cell.astype(np.int32), "codes": [c.tobytes() for c in codes], "error": error.astype(np.float32), "raw": [v.tobytes() for v in x]})
+                yield pd.DataFrame({"row": batch["row"], "vec_id": batch["vec_id"], "cell": cell.astype(np.int32), "codes": [c.tobytes() for c in codes], "error": error.astype(np.float32), "raw": [v.tobytes() for v in x], "asked": batch["asked"]})
 
-    return index, stored(rows.where(F.size("vector") == size).mapInPandas(run, "vec_id long, cell int, codes binary, error float, raw binary"), "ann-index")
+    numbered = rows.withColumn("row", F.monotonically_increasing_id())
+    return index, stored(numbered.mapInPandas(run, INDEX), "ann-index")
 
 
 def _blocks(counts: dict[int, int], cells: int, block: int) -> tuple[np.ndarray, np.ndarray]:
@@ -156,72 +167,118 @@ def _blocks(counts: dict[int, int], cells: int, block: int) -> tuple[np.ndarray,
     return first, number
 
 
-def search(index: Index | None, table: DataFrame | None, asked: Column, k: int = 20, margin: float = 2.5, block: int = BLOCK, spark=None) -> DataFrame:
-    """The ``k`` nearest found of each row where ``asked`` holds: query_id, rank, vec_id, score."""
-    schema = "query_id long, rank int, vec_id long, score double"
-    if index is None or table is None:
-        return spark.createDataFrame([], schema)
-    # One row for each cell, of which there are at most sqrt(SAMPLE).
-    counts = {r["cell"]: r["count"] for r in table.groupBy("cell").count().collect()}
-    first, number = _blocks(counts, len(index.centroids), block)
-    chunks = max(1, math.ceil(table.where(asked).count() / QUERY_CHUNK))
-    shared = table.sparkSession.sparkContext.broadcast((index, first, number))
+def _mixed(row: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return (row.astype(np.int64) * np.int64(-7046029254386353131) >> np.int64(20)) & np.int64(0x7FFFFFFF)
+
+
+def scan(shared, table: DataFrame, asked: DataFrame, k: int, margin: float, seeds: bool) -> DataFrame:
+    """The ``k`` best rows of each query in each block that it probes: query, query_id, row, vec_id, score.
+
+    ``shared``: broadcast index, first block and number of blocks of each cell, and its rows. ``asked``: row, vec_id, raw, and bar unless ``seeds``.
+    """
+    schema = "block int, query boolean, row long, vec_id long, cell int, codes binary, error float, raw binary, bar double"
 
-    def spread(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """Rows go to their block, once for each chunk of queries; queries go to the blocks of the cells they probe."""
-        index, first, number = shared.value
+    def probed(index: Index, q: np.ndarray, bar: np.ndarray, rows: np.ndarray) -> np.ndarray:
+        bound = index.bounds(q)
+        if not seeds:
+            return bound >= bar[:, None]
+        order = np.argsort(-bound, axis=1)
+        before = np.cumsum(rows[order], axis=1) - rows[order]
+        out = np.zeros(bound.shape, bool)
+        np.put_along_axis(out, order, before < SEED_ROWS * k + 1, axis=1)
+        return out
+
+    def send(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        index, first, number, rows = shared.value
         for batch in batches:
-            if not len(batch):
-                continue
-            mixed = (batch["vec_id"].to_numpy(np.int64) * np.int64(2654435761) >> np.int64(8)) & np.int64(0x7FFFFFFF)
-            cell = batch["cell"].to_numpy()
-            for chunk in range(chunks):
-                yield pd.DataFrame({"block": first[cell] + mixed % number[cell], "chunk": chunk, "query": False, "vec_id": batch["vec_id"], "cell": cell, "codes": batch["codes"], "error": batch["error"], "raw": batch["raw"]}).astype({"block": "int32", "chunk": "int32"})
-            own = batch[batch["asked"]]
-            if len(own):
-                at, cells = np.nonzero(index.probed(np.stack([np.frombuffer(r, np.float32) for r in own["raw"]])))
-                at, cells = np.repeat(at, number[cells]), np.repeat(cells, number[cells])
-                step = np.arange(len(cells)) - np.maximum.accumulate(np.where(np.concatenate([[True], (cells[1:] != cells[:-1]) | (at[1:] != at[:-1])]), np.arange(len(cells)), 0))
-                pairs = np.unique(np.stack([at, first[cells] + step], axis=1), axis=0)
+            for i in range(0, len(batch), 512):
+                own = batch.iloc[i : i + 512]
+                bar = own["bar"].to_numpy(float)
+                at, cells = np.nonzero(probed(index, _raws(own["raw"]), bar, rows))
+                at, step = np.repeat(at, number[cells]), np.concatenate([np.arange(n) for n in number[cells]]) if len(cells) else at
+                pairs = np.unique(np.stack([at, np.repeat(first[cells], number[cells]) + step], axis=1), axis=0)
                 picked = own.iloc[pairs[:, 0]]
-                yield pd.DataFrame({"block": pairs[:, 1], "chunk": (mixed[batch["asked"].to_numpy()] % chunks)[pairs[:, 0]], "query": True, "vec_id": picked["vec_id"].to_numpy(), "cell": picked["cell"].to_numpy(), "codes": None, "error": np.float32(0), "raw": picked["raw"].to_numpy()}).astype({"block": "int32", "chunk": "int32"})
-
-    def compare(x: dict[str, np.ndarray]) -> pd.DataFrame | None:
-        is_query = x["query"].astype(bool)
-        if is_query.all() or not is_query.any():
-            return None
-        index = shared.value[0]
-        rows = np.flatnonzero(~is_query)
-        rows = rows[np.argsort(x["vec_id"][rows], kind="stable")]
-        ids, cell = x["vec_id"][rows], x["cell"][rows]
-        error = x["error"][rows].astype(np.float32) * np.float32(margin / math.sqrt(index.centroids.shape[1]))
-        codes = np.stack([np.frombuffer(c, np.uint8) for c in x["codes"][rows]])
-        vectors = np.stack([np.frombuffer(r, np.float32) for r in x["raw"][rows]]).astype(np.float64)
-        out, queries = [], np.flatnonzero(is_query)
-        for i in range(0, len(queries), 256):
-            part = queries[i : i + 256]
-            q = np.stack([np.frombuffer(r, np.float32) for r in x["raw"][part]])
-            near = index.distances(q, cell, codes)
-            near[~index.probed(q)[:, cell]] = -np.inf
-            near[x["vec_id"][part][:, None] == ids[None, :]] = -np.inf
-            slack = error[None, :] * np.sqrt((q * q).sum(axis=1, keepdims=True))
-            sure = near - slack
-            least = np.partition(sure, max(len(ids) - k, 0), axis=1)[:, max(len(ids) - k, 0)]
-            open_ = (near + slack >= least[:, None]) & (near > -np.inf)
-            for j, query_id in enumerate(x["vec_id"][part]):
-                best = np.flatnonzero(open_[j])
-                score = (vectors[best] * q[j].astype(np.float64)).sum(axis=1)
-                top = np.lexsort((ids[best], -score))[:k]
-                out.append((np.full(len(top), query_id), ids[best][top], score[top]))
-        return pd.DataFrame({"query_id": np.concatenate([o[0] for o in out]), "vec_id": np.concatenate([o[1] for o in out]), "score": np.concatenate([o[2] for o in out])})
-
-    sent = table.withColumn("asked", asked).mapInPandas(spread, "block int, chunk int, query boolean, vec_id long, cell int, codes binary, error float, raw binary")
-    found = by_key(sent, ["block", "chunk"], compare, "query_id long, vec_id long, score double")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+                yield pd.DataFrame({"block": pairs[:, 1].astype(np.int32), "query": True, "row": picked["row"].to_numpy(), "vec_id": picked["vec_id"].to_numpy(), "cell": np.int32(0), "codes": None, "error": np.float32(0), "raw": picked["raw"].to_numpy(), "bar": bar[pairs[:, 0]]})
+
+    def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        _, first, number, _ = shared.value
+        for batch in batches:
+            cell = batch["cell"].to_numpy()
+            yield pd.DataFrame({"block": (first[cell] + _mixed(batch["row"].to_numpy()) % number[cell]).astype(np.int32), "query": False, "row": batch["row"], "vec_id": batch["vec_id"], "cell": cell, "codes": batch["codes"], "error": batch["error"], "raw": batch["raw"], "bar": 0.0})
+
+    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Rows of a block come first and are held; its queries stream past them."""
+        index, block, held, block_rows = shared.value[0], None, [], None
+        for batch in batches:
+            ids = batch["block"].to_numpy()
+            for part in np.split(np.arange(len(batch)), np.flatnonzero(np.diff(ids)) + 1):
+                if not len(part):
+                    continue
+                own = batch.iloc[part]
+                if ids[part[0]] != block:
+                    block, held, block_rows = ids[part[0]], [], None
+                is_query = own["query"].to_numpy(bool)
+                if not is_query.all():
+                    held.append(own[~is_query])
+                if is_query.any() and held:
+                    block_rows = block_rows or Block(index, pd.concat(held), margin)
+                    asked = own[is_query]
+                    for i in range(0, len(asked), 256):
+                        yield block_rows.best(asked.iloc[i : i + 256], k)
+
+    rows = table.mapInPandas(deal, schema).unionByName(asked.mapInPandas(send, schema))
+    dealt = rows.repartition(max(shuffle_width(table.sparkSession), 1), "block").sortWithinPartitions("block", "query")
+    return dealt.mapInPandas(compare, "query long, query_id long, row long, vec_id long, score double")
+
+
+class Block:
+    """Rows of one block, which queries are compared with."""
+
+    def __init__(self, index: Index, rows: pd.DataFrame, margin: float):
+        rows = rows.sort_values(["vec_id", "row"])
+        self.index, self.row, self.ids, self.cell = index, rows["row"].to_numpy(), rows["vec_id"].to_numpy(), rows["cell"].to_numpy()
+        self.error = rows["error"].to_numpy(np.float32) * np.float32(margin / math.sqrt(index.centroids.shape[1]))
+        self.codes = np.stack([np.frombuffer(c, np.uint8) for c in rows["codes"]])
+        self.vectors = _raws(rows["raw"]).astype(np.float64)
+
+    def best(self, asked: pd.DataFrame, k: int) -> pd.DataFrame:
+        q = _raws(asked["raw"])
+        near = self.index.distances(q, self.cell, self.codes)
+        near[asked["row"].to_numpy()[:, None] == self.row[None, :]] = -np.inf
+        slack = self.error[None, :] * np.sqrt((q * q).sum(axis=1, keepdims=True))
+        sure = near - slack
+        least = np.partition(sure, max(len(self.ids) - k, 0), axis=1)[:, max(len(self.ids) - k, 0)]
+        least = np.maximum(least, asked["bar"].to_numpy(np.float64)) if len(asked) else least
+        open_ = (near + slack >= least[:, None]) & (near > -np.inf)
+        out = []
+        for j, (query, query_id) in enumerate(zip(asked["row"], asked["vec_id"], strict=True)):
+            found = np.flatnonzero(open_[j])
+            score = (self.vectors[found] * q[j].astype(np.float64)).sum(axis=1)
+            top = np.lexsort((self.ids[found], -score))[:k]
+            out.append((np.full(len(top), query), np.full(len(top), query_id), self.row[found][top], self.ids[found][top], score[top]))
+        return pd.DataFrame({c: np.concatenate([o[i] for o in out]) for i, c in enumerate(["query", "query_id", "row", "vec_id", "score"])})
+
+
+def search(index: Index | None, table: DataFrame | None, k: int = 20, margin: float = 2.5, block: int | None = None, spark=None) -> DataFrame:
+    """The ``k`` nearest found of each row of the index that is asked for: query_id, rank, vec_id, score."""
+    if index is None or table is None:
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    # One row for each cell, of which there are MAX_CELLS at most.
+    counts = {r["cell"]: r["count"] for r in table.groupBy("cell").count().collect()}
+    block = block or max(256, min(BLOCK, sum(counts.values()) // (4 * shuffle_width(table.sparkSession))))
+    first, number = _blocks(counts, len(index.centroids), block)
+    shared = table.sparkSession.sparkContext.broadcast((index, first, number, np.array([counts.get(c, 0) for c in range(len(index.centroids))])))
+    order = Window.partitionBy("query").orderBy(F.desc("score"), "vec_id", "row")
+    rows, asked = table.select("row", "vec_id", "cell", "codes", "error", "raw"), table.where("asked").select("row", "vec_id", "raw")
+    first_pass = scan(shared, rows, asked.withColumn("bar", F.lit(float("-inf"))), k, margin, True)
+    bars = first_pass.withColumn("rank", F.row_number().over(order)).where(F.col("rank") == k).select(F.col("query").alias("row"), F.col("score").alias("bar"))
+    barred = stored(asked.join(bounded(stored(bars, "ann-bars")), "row", "left").fillna(float("-inf"), ["bar"]), "ann-queries")
+    found = scan(shared, rows, barred, k, margin, False)
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def nearest_neighbours(vectors: DataFrame, every: int = 20, k: int = 20) -> DataFrame:
     """The ``k`` nearest of every row whose vec_id is divisible by ``every``, among all other rows."""
-    index, table = build_index(vectors, k)
-    return search(index, table, F.col("vec_id") % every == 0, k, spark=vectors.sparkSession)
+    index, table = build_index(vectors, F.col("vec_id") % every == 0, k)
+    return search(index, table, k, spark=vectors.sparkSession)

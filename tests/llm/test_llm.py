@@ -137,31 +137,50 @@ def test_decontamination_by_brute_force(spark):
 # --- nearest neighbours
 
 
+def exact_neighbours(ids, vectors, q, k=20):
+    score = (vectors * vectors[q]).sum(axis=1)
+    score[q] = -np.inf
+    return np.lexsort((ids, -score))[:k], score
+
+
+def recall(got, ids, vectors, queries):
+    share = []
+    for q in queries:
+        want, score = exact_neighbours(ids, vectors, q)
+        own = got[got.query_id == ids[q]].sort_values("rank")
+        assert own["rank"].tolist() == list(range(1, len(want) + 1))
+        assert (np.diff(own["score"]) <= 0).all()
+        np.testing.assert_allclose(own["score"], score[np.searchsorted(ids, own.vec_id)], atol=1e-9)
+        share.append(np.isin(own.vec_id, ids[want]).mean())
+    return np.mean(share)
+
+
 def test_neighbours_recall_ties_and_odd_vectors(spark):
     rng = np.random.default_rng(5)
     base = rng.normal(size=(1500, 16))
     base[300:360] = base[20]  # more copies than neighbours asked for
     rows = [(i, v.astype(np.float32).tolist(), 0) for i, v in enumerate(base)]
-    rows += [(9000, None, 0), (9020, [0.0] * 16, 0), (9040, [float("nan")] * 16, 0), (9060, [1.0] * 15 + [float("inf")], 0), (9080, [1.0] * 15 + [None], 0), (None, [1.0] * 16, 0), (9100, [], 0), (9120, [1.0] * 3, 0), (40, rows[40][1], 1)]
-    got = ann.nearest_neighbours(spark.createDataFrame(rows, "vec_id long, embedding array<float>, rank int")).toPandas()
-    exact = base.astype(np.float32).astype(float)
-    share = []
-    for q in range(0, 1500, 20):
-        score = (exact * exact[q]).sum(axis=1)
-        score[q] = -np.inf
-        want = np.lexsort((np.arange(1500), -score))[:20]
-        own = got[got.query_id == q].sort_values("rank")
-        assert own["rank"].tolist() == list(range(1, 21))
-        np.testing.assert_allclose(own["score"], score[own.vec_id], atol=1e-12)
-        share.append(np.isin(own.vec_id, want).mean())
-        if q == 20:
-            assert own.vec_id.tolist() == want.tolist()
-    assert np.mean(share) >= 0.9 and set(got.query_id) == set(range(0, 1500, 20))
+    odd = [(9000, None, 0), (9020, [0.0] * 16, 0), (9040, [float("nan")] * 16, 0), (9060, [1.0] * 15 + [float("inf")], 0), (9080, [1.0] * 15 + [None], 0), (None, [1.0] * 16, 0), (9100, [], 0), (9120, [1.0] * 3, 0)]
+    got = ann.nearest_neighbours(spark.createDataFrame(rows + odd, "vec_id long, embedding array<float>, rank int")).toPandas()
+    exact, ids = base.astype(np.float32).astype(float), np.arange(1500)
+    assert recall(got, ids, exact, range(0, 1500, 20)) >= 0.9 and set(got.query_id) == set(range(0, 1500, 20))
+    assert got[got.query_id == 20].sort_values("rank").vec_id.tolist() == exact_neighbours(ids, exact, 20)[0].tolist()
     few = ann.nearest_neighbours(spark.createDataFrame(rows[:3], "vec_id long, embedding array<float>, rank int"))
     assert few.count() == 2
+    again = ann.nearest_neighbours(spark.createDataFrame([(0, [1.0, 0.0]), (0, [0.5, 0.0]), (3, [2.0, 0.0])], "vec_id long, embedding array<float>")).collect()
+    assert sorted(map(tuple, again)) == [(0, 1, 3, 1.0), (0, 1, 3, 2.0), (0, 2, 0, 0.5), (0, 2, 0, 0.5)]
     assert ann.nearest_neighbours(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
 
+def test_neighbours_of_varying_lengths_and_beside_a_huge_cluster(spark):
+    rng = np.random.default_rng(6)
+    free = rng.normal(size=(1000, 16)) * rng.lognormal(0, 1, size=(1000, 1))
+    cluster = rng.normal(size=16) * 3 + rng.normal(size=(2000, 16)) * 0.05
+    vectors = np.concatenate([free, cluster]).astype(np.float32)
+    got = ann.nearest_neighbours(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "vec_id long, embedding array<float>")).toPandas()
+    assert recall(got, np.arange(3000), vectors.astype(float), range(0, 3000, 20)) >= 0.9
+
+
 # --- chat
 
 
