@@ -3,7 +3,7 @@
 The plan never sees documents. Piece lengths are counted, best-fit-decreasing runs over the counts
 (at most ``capacity`` distinct lengths, however large the corpus), and yields patterns: a list of
 lengths that fill one sequence and how many sequences repeat it. Every piece then gets its rank
-within its length, and the rank names its planned slot. Only the histogram reaches the driver.
+within its length, and takes its planned slot by a join on length and rank. Only the histogram reaches the driver.
 
 Edge cases: a null text counts as empty and still gives its end-of-document id; an empty table gives
 no rows; repeated rows are packed each on its own (ties in rank broken by doc_id, piece and row order
@@ -19,14 +19,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import stored, tokenizer_path
+from .common import shuffle_width, stored, tokenizer_path
 from .tokens import encoded_slices
 
 CAPACITY = 2048
 END_ID = 0
+#: Slots of one length that one row of the plan unrolls at once, and pieces of one bucket of ranks.
+RUN = 1 << 16
+BUCKET = 1 << 19
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -98,22 +101,25 @@ def plan(histogram: dict[int, int], capacity: int) -> list[tuple[list[int], int]
     return [(list(content), n) for left in rooms for content, n in room[left].items()]
 
 
-def slots(patterns: list[tuple[list[int], int]], capacity: int) -> dict[str, np.ndarray]:
-    """The plan as sorted runs of ranks: ranks [lo, lo + n) of a length take ``offset`` in sequences from ``first``.
-
-    ``key`` is length << 40 | lo, so one binary search finds a piece's run.
-    """
+def slots(patterns: list[tuple[list[int], int]]) -> list[tuple[int, int, int, int, int]]:
+    """The plan as runs of ranks: ranks [lo, lo + n) of a length take ``offset`` in the sequences from ``first``: (length, lo, n, first, offset)."""
     runs, taken, first = [], Counter(), 0
     for content, n in patterns:
         offset = 0
         for length in content:
-            runs.append((length << 40 | taken[length], first, offset))
+            runs.append((length, taken[length], n, first, offset))
             taken[length] += n
             offset += length
         first += n
-    runs.sort()
-    table = np.array(runs, np.int64).reshape(-1, 3)
-    return {"key": table[:, 0], "first": table[:, 1], "offset": table[:, 2]}
+    return runs
+
+
+def planned(spark: SparkSession, runs: list[tuple[int, int, int, int, int]]) -> DataFrame:
+    """One row per planned slot: length, rank, sequence_id and offset. Runs are unrolled in two steps, so a long one is made by many tasks."""
+    table = spark.createDataFrame(runs, "length long, lo long, n long, first long, offset long")
+    cut = table.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / RUN))).alias("k")).repartition(shuffle_width(spark), "length", "lo", "k")
+    inside = F.sequence(F.col("k") * RUN, F.least("n", (F.col("k") + 1) * RUN) - 1)
+    return cut.select("length", "lo", "first", "offset", F.explode(inside).alias("i")).select("length", (F.col("lo") + F.col("i")).alias("rank"), (F.col("first") + F.col("i")).alias("sequence_id"), "offset")
 
 
 def ranked(pieces: DataFrame, buckets: int) -> DataFrame:
@@ -129,23 +135,15 @@ def ranked(pieces: DataFrame, buckets: int) -> DataFrame:
     return split.withColumn("own", own).join(before, ["length", "bucket"]).withColumn("rank", F.col("own") + F.col("before")).drop("bucket", "own", "before")
 
 
-def best_fit_pack(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str = "byte_bpe_50k.json", end_id: int = END_ID, buckets: int = 256) -> DataFrame:
+def best_fit_pack(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str = "byte_bpe_50k.json", end_id: int = END_ID) -> DataFrame:
     """Pieces of all documents with the sequence and offset that the plan gives them."""
+    spark = docs.sparkSession
     pieces = stored(token_pieces(docs, tokenizer, end_id, capacity), "pieces")
     histogram = {r["length"]: r["count"] for r in pieces.groupBy("length").count().collect()}
-    table = slots(plan(histogram, capacity), capacity)
-
-    def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            key = batch["length"].to_numpy() << 40 | batch["rank"].to_numpy()
-            i = np.searchsorted(table["key"], key, side="right") - 1
-            batch["sequence_id"] = table["first"][i] + key - table["key"][i]
-            batch["offset"] = table["offset"][i]
-            batch["doc_id"] = batch["doc_id"].astype("Int64")
-            yield batch.drop(columns="rank")
-
-    out = ranked(pieces, buckets).select("doc_id", "piece", "start", "length", "ids_crc32", "rank")
-    return out.mapInPandas(place, PIECES + ", sequence_id long, offset long")
+    buckets = max(shuffle_width(spark), sum(histogram.values()) // BUCKET)
+    # Both sides have one row for each piece, spread over (length, rank).
+    placed = ranked(pieces, buckets).join(planned(spark, slots(plan(histogram, capacity))), ["length", "rank"])
+    return placed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
 def pack_summary(packed: DataFrame, capacity: int = CAPACITY) -> DataFrame:
