@@ -82,23 +82,45 @@ def test_perfect_hash():
     assert sorted(index.lookup(keys)) == list(range(len(keys)))
 
 
-def test_token_files_round_trip(spark):
-    docs = documents(spark, ODD)
-    manifest = token_files.write_token_files(docs, shards=3)
+@pytest.mark.parametrize("shard_ids", [1 << 23, 64])
+def test_token_files_round_trip(spark, shard_ids):
+    rows_in = ODD + [(-(2**63), "least id"), (2**63 - 1, "largest id")] + [(1, words(30, 40 + i)) for i in range(6)]
+    docs = documents(spark, rows_in)
+    manifest = token_files.write_token_files(docs, ranges=3, shard_ids=shard_ids)
+    assert shard_ids > 64 or manifest.count() > 3
     rows = sorted(token_files.read_token_files(manifest).collect(), key=lambda r: r.start)
     tok = Encoder(tokenizer_path("word_bpe_49k.json")).tokenizer
-    start = 0
-    order = sorted(ODD, key=lambda x: (x[0] is not None, x[0] or 0, x[1] is not None, x[1] or ""))
-    for r, (doc_id, text) in zip(rows, order, strict=True):
+    encoded = Counter()
+    for doc_id, text in rows_in:
         ids = tok.encode(text or "", add_special_tokens=False).ids + [1]
-        assert (r.doc_id, r.start, r.n_tokens, r.ids_crc32, r.found) == (doc_id, start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()), True)
-        start += len(ids)
-    asked = spark.createDataFrame([(1,), (5,), (99,)], "doc_id long")
-    got = Counter(r.doc_id for r in token_files.lookup_documents(manifest, asked).collect())
-    assert got == {1: 2, 5: 1}
+        encoded[doc_id, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())] += 1
+    assert Counter((r.doc_id, r.n_tokens, r.ids_crc32) for r in rows) == encoded
+    assert [r.start for r in rows] == [0, *np.cumsum([r.n_tokens for r in rows])[:-1].tolist()]
+    named = [r.doc_id for r in rows if r.doc_id is not None]
+    assert named == sorted(named) and rows[0].doc_id is None
+    asked = spark.createDataFrame([(1,), (5,), (99,), (None,), (-(2**63),), (2**63 - 1,)], "doc_id long")
+    got = token_files.lookup_documents(manifest, asked).collect()
+    want = Counter((i, tuple(tok.encode(t or "", add_special_tokens=False).ids + [1])) for i, t in rows_in if i in (1, 5, -(2**63), 2**63 - 1))
+    assert Counter((r.doc_id, tuple(r.ids)) for r in got) == want
     assert token_files.read_token_files(token_files.write_token_files(documents(spark, []))).count() == 0
 
 
+def test_lookups_read_a_few_bytes(spark, tmp_path):
+    keys = np.arange(0, 300_000, 3)
+    token_files.write_shard(str(tmp_path / "s"), keys, np.full(len(keys), 2), np.arange(2 * len(keys)) % 60_000, 60_000)
+    with token_files.Shard(str(tmp_path / "s")) as shard:
+        read, plain = [], shard.part
+
+        def counted(*x):
+            read.append(x[2] if len(x) > 2 else 10**9)
+            return plain(*x)
+
+        shard.part = counted
+        for key in (0, 299_997, 3 * 777):
+            assert [x.tolist() for x in shard.get(key)] == [[2 * key // 3 % 60_000, (2 * key // 3 + 1) % 60_000]]
+        assert shard.get(1) == [] and sum(read) < 200
+
+
 # --- decontamination
 
 
