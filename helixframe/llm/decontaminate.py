@@ -28,9 +28,11 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded, materialise
+from .common import bounded, free_name, materialise, stored
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: The same words before A-Z are lower-cased, for counting.
+ANY_CASE = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 SPAN, K = 10, 7
 
 
@@ -69,8 +71,11 @@ def benchmark_windows(items: DataFrame, span: int) -> DataFrame:
     return split.select("item_id", F.when(n >= span, 0).otherwise(n).alias("n"), F.explode(at).alias("i"), "words").select("item_id", "n", F.array_join(F.slice("words", F.col("i"), span), " ").alias("window")).distinct()
 
 
-def _matches(keyed: DataFrame, items: DataFrame, span: int, k: int) -> DataFrame:
-    """doc_id, text_key, n (0: ``span`` words), at, item_id of all occurrences of items' windows."""
+def _matches(keyed: DataFrame, items: DataFrame, span: int, k: int) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, text_key, n (0: ``span`` words), at and holders of all occurrences of items' windows; holders and their item_ids).
+
+    ``holders`` names the set of items that hold a window, so a passage of many items and documents does not become a row for each two of them.
+    """
     split = items.where("item_id IS NOT NULL").select(words(F.col("text")).alias("words")).where("size(words) > 0")
     # At most span - 1 numbers.
     lengths = sorted(r[0] for r in split.where(F.size("words") < span).select(F.size("words")).distinct().collect())
@@ -81,7 +86,8 @@ def _matches(keyed: DataFrame, items: DataFrame, span: int, k: int) -> DataFrame
     hits = found.join(bounded(wanted), ["n", "h"], "left_semi").distinct()
     # The places of a document's hits: no more than it has words.
     candidates = materialise(hits.groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("n", "at")).alias("hits")))
-    windows = materialise(benchmark_windows(items, span))
+    windows = benchmark_windows(items, span).groupBy("n", "window").agg(F.sort_array(F.collect_set("item_id")).alias("items"))
+    windows = stored(windows.withColumn("holders", F.sha2(F.array_join("items", ","), 256)), "benchmark-windows")
     same = [keyed["doc_id"].eqNullSafe(candidates["doc_id"]), keyed["text_key"] == candidates["text_key"]]
     texts = keyed.join(bounded(candidates), same, "inner").select(keyed["doc_id"], keyed["text_key"], words(F.col("text")).alias("words"), "hits")
     # A gram at place p lies in the windows that start from p - (span - k) to p; a short item's window starts at p.
@@ -91,7 +97,8 @@ def _matches(keyed: DataFrame, items: DataFrame, span: int, k: int) -> DataFrame
     placed = texts.select("doc_id", "text_key", "words", F.explode(F.array_distinct(starts)).alias("s")).where(f"s.n > 0 OR s.at + {span} <= size(words)")
     size = F.when(F.col("s.n") > 0, F.col("s.n")).otherwise(span)
     spelled = placed.select("doc_id", "text_key", "s.n", "s.at", F.array_join(F.slice("words", F.col("s.at") + 1, size), " ").alias("window"))
-    return spelled.join(bounded(windows), ["n", "window"]).select("doc_id", "text_key", "n", "at", "item_id")
+    found = spelled.join(bounded(windows.select("n", "window", "holders")), ["n", "window"]).select("doc_id", "text_key", "n", "at", "holders")
+    return found, windows.select("holders", "items").dropDuplicates(["holders"])
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -102,34 +109,40 @@ def contamination(docs: DataFrame, items: DataFrame, span: int = SPAN, k: int =
     """doc_id, n_words, n_hit, n_items, items_sha256 and contaminated of every document."""
     keyed = _keyed(docs)
     covered = F.sequence(F.col("at"), F.col("at") + F.when(F.col("n") > 0, F.col("n")).otherwise(span) - 1)
-    per_doc = _matches(keyed, items, span, k).groupBy("doc_id", "text_key").agg(
+    found, holders = _matches(keyed, items, span, k)
+    per_doc = found.groupBy("doc_id", "text_key").agg(
         F.size(F.array_distinct(F.flatten(F.collect_set(covered)))).cast("long").alias("n_hit"),
-        F.sort_array(F.collect_set("item_id")).alias("items"),
+        F.sort_array(F.collect_set("holders")).alias("sets"),
     )
-    results = materialise(per_doc)
-    counted = keyed.select("doc_id", "text_key", F.size(words(F.col("text"))).cast("long").alias("n_words"))
+    per_doc = stored(per_doc.withColumn("list", F.sha2(F.array_join("sets", ","), 256)), "contaminated")
+    # Documents with the same windows have one list of items, which is made once.
+    lists = per_doc.select("list", "sets").dropDuplicates(["list"]).select("list", F.explode("sets").alias("holders"))
+    lists = lists.join(bounded(holders), "holders").select("list", F.explode("items").alias("item_id")).distinct()
+    lists = lists.groupBy("list").agg(F.count("*").alias("n_items"), F.sha2(F.array_join(F.sort_array(F.collect_list("item_id")), ","), 256).alias("items_sha256"))
+    results = stored(per_doc.drop("sets").join(bounded(stored(lists, "item-lists")), "list").drop("list"), "contamination")
+    counted = keyed.select("doc_id", "text_key", F.coalesce(F.regexp_count("text", F.lit(ANY_CASE)), F.lit(0)).cast("long").alias("n_words"))
     out = counted.join(bounded(results), [counted["doc_id"].eqNullSafe(results["doc_id"]), counted["text_key"] == results["text_key"]], "left")
-    listed = F.coalesce(F.array_join("items", ","), F.lit(""))
     return out.select(
         counted["doc_id"],
         "n_words",
         F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"),
-        F.coalesce(F.size("items").cast("long"), F.lit(0).cast("long")).alias("n_items"),
-        F.sha2(listed, 256).alias("items_sha256"),
+        F.coalesce("n_items", F.lit(0).cast("long")).alias("n_items"),
+        F.coalesce("items_sha256", F.sha2(F.lit(""), 256)).alias("items_sha256"),
         (F.coalesce("n_hit", F.lit(0).cast("long")) > 0).alias("contaminated"),
     )
 
 
 def contaminated_keys(docs: DataFrame, items: DataFrame, span: int = SPAN, k: int = K) -> DataFrame:
     """(doc_id, text_key) of the contaminated documents."""
-    return materialise(_matches(_keyed(docs), items, span, k).select("doc_id", "text_key").distinct())
+    return materialise(_matches(_keyed(docs), items, span, k)[0].select("doc_id", "text_key").distinct())
 
 
 def without(docs: DataFrame, keys: DataFrame) -> DataFrame:
     """The documents whose (doc_id, text_key) is not in ``keys``."""
-    keyed = docs.withColumn("_text_key", F.xxhash64("text"))
-    found = bounded(keys.select(F.col("doc_id").alias("_doc_id"), F.col("text_key").alias("_found_key")))
-    return keyed.join(found, keyed["doc_id"].eqNullSafe(F.col("_doc_id")) & (F.col("_text_key") == F.col("_found_key")), "left_anti").select(*docs.columns)
+    key, doc, found_key = (free_name(c, docs.columns) for c in ("own_key", "found_doc", "found_key"))
+    keyed = docs.withColumn(key, F.xxhash64("text"))
+    found = bounded(keys.select(F.col("doc_id").alias(doc), F.col("text_key").alias(found_key)))
+    return keyed.join(found, keyed["doc_id"].eqNullSafe(F.col(doc)) & (F.col(key) == F.col(found_key)), "left_anti").select(*docs.columns)
 
 
 ORACLE = r"""

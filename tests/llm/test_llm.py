@@ -147,7 +147,7 @@ def hits_by_brute_force(docs, items):
 
 def test_decontamination_by_brute_force(spark):
     passage = words(30, 100)
-    items = [(1, passage), (2, "short ITEM é"), (3, words(10, 101)), (None, words(20, 102)), (4, ""), (5, None), (10, "short item É"), (6, words(12, 103, 2)), (7, "one")]
+    items = [(1, passage), (2, "short ITEM é"), (3, words(10, 101)), (None, words(20, 102)), (4, ""), (5, None), (10, "short item É"), (6, words(12, 103, 2)), (7, "one")] + [(100 + i, f"{words(5, i)} {passage} {words(5, 50 + i)}") for i in range(12)]
     docs = ODD + [(20, words(40, 8) + " " + passage.upper() + "! " + words(9, 9)), (21, " ".join(passage.split()[5:15])), (22, " ".join(passage.split()[5:14])), (23, "a short, item. é b"), (24, words(400, 104, 2)), (25, words(10, 101)), (26, "one " * 40)]
     got = decontaminate.contamination(documents(spark, docs), spark.createDataFrame(items, "item_id long, text string"))
     assert Counter(map(tuple, got.collect())) == hits_by_brute_force(docs, items)
