@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded, materialise, shuffle_width, stored
+from .common import bounded, free_name, materialise, shuffle_width, stored
 from .graph import components
 
 SEED = 42
@@ -212,8 +212,9 @@ def keep_one(docs: DataFrame, similarity: float = 0.8, shingle: int = 5) -> Data
     """
     from . import near_copies
 
-    keyed = docs.withColumn("_key", F.xxhash64("text"))
-    texts = keyed.select("doc_id", F.col("_key").alias("text_key"), "text")
+    key = free_name("text_key", docs.columns)
+    keyed = docs.withColumn(key, F.xxhash64("text"))
+    texts = keyed.select("doc_id", F.col(key).alias("text_key"), "text")
     signed = materialise(near_copies.with_signature(texts, shingle))
     least = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "text_key")
     nodes = materialise(signed.groupBy("node").agg(F.min(least).alias("least"), F.first("bands").alias("bands"), F.count("*").alias("rows")))
@@ -223,18 +224,19 @@ def keep_one(docs: DataFrame, similarity: float = 0.8, shingle: int = 5) -> Data
     rooted = rooted.select("node", "least", F.coalesce("root", "node").alias("root"))
     firsts = rooted.groupBy("root").agg(F.min("least").alias("first"))
     ids = materialise(rooted.join(bounded(materialise(firsts)), "root").select("node", "first"))
-    return _only_first(keyed, signed.join(bounded(ids), "node")).select(*docs.columns)
+    return _only_first(keyed, key, signed.join(bounded(ids), "node")).select(*docs.columns)
 
 
-def _only_first(keyed: DataFrame, grouped: DataFrame) -> DataFrame:
+def _only_first(keyed: DataFrame, key: str, grouped: DataFrame) -> DataFrame:
     """Of ``keyed``, without the rows of ``grouped`` (doc_id, text_key, first) that are not their group's first; one row of each first."""
+    doc, text = (free_name(c, keyed.columns) for c in ("found_doc", "found_key"))
     is_first = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("text_key") == F.col("first.text_key"))
-    counted = materialise(grouped.groupBy(F.col("doc_id").alias("_id"), F.col("text_key").alias("_text_key"), is_first.alias("is_first")).count())
-    same = keyed["doc_id"].eqNullSafe(F.col("_id")) & (keyed["_key"] == F.col("_text_key"))
-    gone = counted.where("NOT is_first").select("_id", "_text_key")
+    counted = materialise(grouped.groupBy(F.col("doc_id").alias(doc), F.col("text_key").alias(text), is_first.alias("is_first")).count())
+    same = keyed["doc_id"].eqNullSafe(F.col(doc)) & (keyed[key] == F.col(text))
+    gone = counted.where("NOT is_first").select(doc, text)
     kept = keyed.join(bounded(gone), same, "left_anti")
-    twice = counted.where("is_first AND count > 1").select("_id", "_text_key")
+    twice = counted.where("is_first AND count > 1").select(doc, text)
     if not twice.isEmpty():
-        again = kept.join(bounded(twice), same, "left_semi").dropDuplicates(["doc_id", "_key"])
+        again = kept.join(bounded(twice), same, "left_semi").dropDuplicates(["doc_id", key])
         kept = kept.join(bounded(twice), same, "left_anti").unionByName(again)
     return kept
