@@ -12,7 +12,8 @@ it says (``</s>[INST]`` included). The loss mask is a list of (start, length) sp
 in characters (code points), that cover the escaped text of each assistant turn and nothing else.
 
 A conversation may hold very many turns, so turns are collected in two steps: first by conversation and
-block of ``CHUNK`` turns, then by conversation over those chunks.
+block of ``CHUNK`` turns, then by conversation over slices of those chunks; the work is linear in the turns. What is formatted is one string,
+so a conversation may have no more than 2 GB.
 
 Edge cases: null text is empty; a null role is the empty role; null turn sorts first; equal turns are ordered
 by role, then text; repeated rows each count; a null conv_id is a conversation of its own; other columns of
@@ -21,10 +22,12 @@ the input are ignored; an empty table gives no conversation.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 CHUNK = 64
+#: Characters of a window in which loss spans are looked up.
+READ = 4096
 OPEN, SEP, CLOSE = "<s>", "<|sep|>", "</s>"
 HEAD_L, HEAD_R = "<|role:", "|>"
 LOSS_ROLE = "assistant"
@@ -42,8 +45,8 @@ def unescaped(text: Column) -> Column:
     return F.regexp_replace(text, r"(?s)\\(.)", "$1")
 
 
-def sorted_turns(rows: DataFrame) -> DataFrame:
-    """conv_id and its turns, an array of (role, text) in order."""
+def sorted_slices(rows: DataFrame) -> DataFrame:
+    """conv_id, chunk, slice and turns: an array of at most CHUNK (role, text) in order; slices follow each other by (chunk, slice)."""
     role, text = F.coalesce(F.col("role").cast("string"), F.lit("")), F.coalesce(F.col("text").cast("string"), F.lit(""))
     turn = F.col("turn").cast("long")
     chunks = (
@@ -51,81 +54,68 @@ def sorted_turns(rows: DataFrame) -> DataFrame:
         .groupBy("conv_id", "chunk")
         .agg(F.sort_array(F.collect_list("t")).alias("turns"))
     )
-    whole = chunks.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("chunk", "turns"))).alias("chunks"))
-    return whole.select("conv_id", F.flatten(F.transform("chunks", lambda c: F.transform(c["turns"], lambda t: F.struct(t["role"], t["text"])))).alias("turns"))
+    starts = F.sequence(F.lit(0), F.floor((F.size("turns") - 1) / CHUNK).cast("int"))
+    cut = F.transform(starts, lambda k: F.transform(F.slice("turns", k * CHUNK + 1, CHUNK), lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text"))))
+    return chunks.select("conv_id", "chunk", F.posexplode(cut).alias("slice", "turns"))
 
 
 def formatted(rows: DataFrame) -> DataFrame:
     """conv_id, ``formatted`` and ``loss_spans`` (array of start and length, from 0).
 
     Neighbours of one role are merged by array aggregation: a turn opens a block where its role differs from the
-    turn before; pieces of the template are laid one after another with their lengths, and the running sum of
-    the lengths gives the spans.
+    turn before. The pieces of a slice are laid one after another, the running sum of
+    their lengths gives the spans; where a slice begins follows from the running sum over the slices before. So work grows with the number of turns.
     """
-    turns = sorted_turns(rows)
-    pieces = turns.select(
-        "conv_id",
+    order = Window.partitionBy("conv_id").orderBy(F.col("chunk").asc_nulls_first(), "slice")
+    slices = sorted_slices(rows).withColumn("before", F.lag(F.element_at("turns", -1)["role"]).over(order))
+    previous = lambda i: F.when(i == 0, F.col("before")).otherwise(F.get("turns", F.when(i > 0, i - 1))["role"])
+    head = lambda t, i: F.concat(F.when(previous(i).isNull(), F.lit(OPEN)).otherwise(F.lit(CLOSE)), F.lit(HEAD_L), escaped_role(t["role"]), F.lit(HEAD_R))
+    laid = slices.select(
+        "conv_id", "chunk", "slice",
         F.transform(
             "turns",
             lambda t, i: F.struct(
-                t["role"].alias("role"),
-                F.when(i == 0, F.lit(OPEN)).when(F.get("turns", i - 1)["role"] != t["role"], F.lit(CLOSE)).otherwise(F.lit("")).alias("before"),
-                ((i == 0) | (F.get("turns", i - 1)["role"] != t["role"])).alias("opens"),
+                F.when(previous(i).isNull() | (previous(i) != t["role"]), head(t, i)).otherwise(F.lit(SEP)).alias("mark"),
                 escaped(t["text"]).alias("body"),
-            ),
-        ).alias("turns"),
-    )
-    laid = pieces.select(
-        "conv_id",
-        F.transform(
-            "turns",
-            lambda t: F.struct(
-                F.when(t["opens"], F.concat(t["before"], F.lit(HEAD_L), escaped_role(t["role"]), F.lit(HEAD_R))).otherwise(F.lit(SEP)).alias("mark"),
-                t["body"].alias("body"),
                 (t["role"] == LOSS_ROLE).alias("loss"),
             ),
         ).alias("turns"),
     )
-    empty = F.struct(F.lit(0).cast("int").alias("at"), F.array().cast("array<struct<start:int,length:int>>").alias("spans"))
-    spans = F.aggregate(
-        "turns",
-        empty,
-        lambda acc, t: F.struct(
-            (acc["at"] + F.length(t["mark"]) + F.length(t["body"])).alias("at"),
-            F.when(t["loss"], F.concat(acc["spans"], F.array(F.struct((acc["at"] + F.length(t["mark"])).alias("start"), F.length(t["body"]).alias("length"))))).otherwise(acc["spans"]).alias("spans"),
-        ),
-        lambda acc: acc["spans"],
-    )
-    text = F.concat(F.array_join(F.transform("turns", lambda t: F.concat(t["mark"], t["body"])), ""), F.lit(CLOSE))
-    return laid.select("conv_id", text.alias("formatted"), spans.alias("loss_spans"))
+    size = lambda t: (F.length(t["mark"]) + F.length(t["body"])).cast("long")
+    laid = laid.select("*", F.aggregate("turns", F.lit(0).cast("long"), lambda n, t: n + size(t)).alias("n"))
+    laid = laid.withColumn("at", F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("n"))
+    # A slice has CHUNK turns at most, so its own running sums may be made anew for each turn.
+    begin = lambda i: F.aggregate(F.slice("turns", F.lit(1), i), F.col("at"), lambda n, x: n + size(x))
+    spans = F.transform("turns", lambda t, i: F.struct((begin(i) + F.length(t["mark"])).alias("start"), F.length(t["body"]).cast("long").alias("length"), t["loss"].alias("loss")))
+    spans = F.transform(F.filter(spans, lambda x: x["loss"]), lambda x: F.struct(x["start"].alias("start"), x["length"].alias("length")))
+    text = F.array_join(F.transform("turns", lambda t: F.concat(t["mark"], t["body"])), "")
+    pieces = laid.select("conv_id", F.struct("at", text.alias("text"), spans.alias("spans")).alias("p"))
+    whole = pieces.groupBy("conv_id").agg(F.sort_array(F.collect_list("p")).alias("p"))
+    return whole.select("conv_id", F.concat(F.array_join("p.text", ""), F.lit(CLOSE)).alias("formatted"), F.flatten("p.spans").alias("loss_spans"))
 
 
 def parsed(chats: DataFrame) -> DataFrame:
     """Read formatted strings back: conv_id, turns (role, text) and the unescaped text under the loss mask."""
     # An unescaped "<" opens a control string. Possessive repeats keep the matcher off the stack on long texts.
-    body = r"((?:[^<\\]|\\.)*+)"
-    blocks = F.regexp_extract_all("formatted", F.lit(r"(?s)(<\|role:(?:[^|\\]|\\.)*+\|>|<\|sep\|>)" + body), F.lit(0))
-    split = F.transform(
-        blocks,
-        lambda b: F.struct(
-            F.when(b.startswith(HEAD_L), unescaped(F.regexp_extract(b, r"(?s)^<\|role:((?:[^|\\]|\\.)*+)\|>", 1))).alias("role"),
-            unescaped(F.regexp_extract(b, r"(?s)^(?:<\|role:(?:[^|\\]|\\.)*+\|>|<\|sep\|>)" + body, 1)).alias("text"),
-        ),
-    )
-    first = chats.select("conv_id", "formatted", "loss_spans", split.alias("marks"))
-    # A turn behind <|sep|> has the role of the block, which the nearest named mark before it holds.
-    start = F.struct(F.lit("").alias("role"), F.array().cast("array<struct<role:string,text:string>>").alias("turns"))
-    turns = F.aggregate(
-        "marks",
-        start,
-        lambda acc, m: F.struct(
-            F.coalesce(m["role"], acc["role"]).alias("role"),
-            F.concat(acc["turns"], F.array(F.struct(F.coalesce(m["role"], acc["role"]).alias("role"), m["text"].alias("text")))).alias("turns"),
-        ),
-        lambda acc: acc["turns"],
-    )
-    loss = F.array_join(F.transform("loss_spans", lambda s: unescaped(F.substring("formatted", s["start"] + 1, s["length"]))), "")
-    return first.select("conv_id", turns.alias("turns"), loss.alias("loss_text"), F.length("formatted").cast("long").alias("formatted_chars"))
+    role, body = r"<\|role:((?:[^|\\]|\\.)*+)\|>", r"(?:[^<\\]|\\.)*+"
+    blocks = F.regexp_extract_all("formatted", F.lit(rf"(?s){role}(?:[^<\\]|\\.|<\|sep\|>)*+"), F.lit(0))
+    texts = lambda b: F.regexp_extract_all(F.regexp_replace(b, f"(?s)^{role}", SEP), F.lit(rf"(?s)<\|sep\|>({body})"), F.lit(1))
+    # A block's role is read once, not for each of its turns.
+    read_blocks = F.transform(blocks, lambda b: F.struct(unescaped(F.regexp_extract(b, f"(?s)^{role}", 1)).alias("role"), texts(b).alias("texts")))
+    split = F.transform(read_blocks, lambda b: F.transform(b["texts"], lambda t: F.struct(b["role"].alias("role"), unescaped(t).alias("text"))))
+    # Spans are read from windows of the string, so none is searched for from its beginning.
+    windows = F.regexp_extract_all("formatted", F.lit(f"(?s).{{1,{READ}}}"), F.lit(0))
+    # Behind a generator the windows are made once, not inside the expression that reads them.
+    cut = chats.select("conv_id", "formatted", "loss_spans", F.explode(F.array(windows)).alias("windows"))
+
+    def read(s: Column) -> Column:
+        stop = s["start"] + s["length"]
+        at = F.sequence(F.floor(s["start"] / READ), F.floor((stop - 1) / READ))
+        part = lambda w: F.substring(F.get("windows", w.cast("int")), (F.greatest(s["start"] - w * READ, F.lit(0)) + 1).cast("int"), (F.least(stop, (w + 1) * READ) - F.greatest(s["start"], w * READ)).cast("int"))
+        return F.when(s["length"] > 0, F.array_join(F.transform(at, part), "")).otherwise("")
+
+    loss = F.array_join(F.transform("loss_spans", lambda s: unescaped(read(s))), "")
+    return cut.select("conv_id", F.flatten(split).alias("turns"), loss.alias("loss_text"), F.length("formatted").cast("long").alias("formatted_chars"))
 
 
 def digest(chats: DataFrame) -> DataFrame:

@@ -210,7 +210,7 @@ def test_chat_round_trip(spark):
     rows = [
         (1, 0, "user", "hi"), (1, 1, "user", "<|sep|>\\<[INST]</s>"), (1, 2, "assistant", "ok <s> \\"), (1, 3, "assistant", ""), (1, 4, "we|>ird<|role:x|>", "z"), (1, None, None, None),
         (2, 0, "assistant", "x" * 100_000 + "<" * 1000), (3, 0, "user", "é\n\U0001f600"), (3, 0, "user", "é\n\U0001f600"), (None, 5, "assistant", "null id"),
-    ] + [(4, i, "user" if i % 3 else "assistant", f"turn {i}") for i in range(200)]
+    ] + [(4, i, "user" if i % 3 else "assistant", f"turn {i}") for i in range(200)] + [(5, 7, "assistant", f"\U0001f600<{i}" * 9) for i in range(700)] + [(6, i, "assistant", f"é[{i}]") for i in range(20_000)]
     table = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("turns", F.lit(1)).repartition(3)
     chats = chat.formatted(table)
     got = {r.conv_id: r for r in chat.parsed(chats).collect()}
