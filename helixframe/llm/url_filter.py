@@ -3,9 +3,12 @@
 Everything runs in Spark's JVM: features are column expressions and the trees are Spark ML's.
 
 The trees learn from labelled URLs, a table (url, label) with label 1 for pages to block. Where no such table is
-given, ``weak_labels`` makes one: a URL whose host has a label holding one of ``SPAM_WORDS`` is 1, any other 0.
-The suffix table (block rates of the last one and two host labels, smoothed) counts all labelled rows. The trees are fitted on at most
-``TRAIN_ROWS`` distinct labelled URLs, those with the smallest hash, so the fit stays bounded at any corpus size.
+at hand, ``content_labels`` makes one from what the pages hold, never from their URLs: a page is 1 if of its visible words a ``JUNK`` share
+at least carry a run of three equal symbols. URLs whose hash falls in one of ``FOLDS`` folds are held out of all learning, and
+``held_out_quality`` measures the trees on them.
+The suffix table (block rates of the last one and two host labels, smoothed) counts all rows to learn from. The trees are fitted on at most
+``TRAIN_ROWS`` distinct URLs, those with the smallest hash, so the fit stays bounded at any corpus size. A URL is blocked if its score
+is over a half.
 
 Features: lengths of URL, host and path, depth of the path, labels of the host, digit, upper-case and
 punctuation ratios, entropy of the characters, parameters and their length, hyphens in the host, digits in the
@@ -18,7 +21,9 @@ its (empty) features. Labels of one class only, or none, give a constant verdict
 from __future__ import annotations
 
 from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
+from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -26,8 +31,8 @@ from .common import bounded, materialise
 
 TRAIN_ROWS = 20_000
 RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
-#: Words in a host's labels that mark advertising, gambling and adult hosts in the weak labels.
-SPAM_WORDS = ["ads", "adult", "banner", "bet", "bets", "bonus", "casino", "click", "escort", "loan", "lottery", "malware", "phish", "pills", "poker", "porn", "sex", "slots", "spam", "track", "viagra", "warez", "xxx"]
+FOLDS = 5
+JUNK = 0.1
 #: Rule lists up to this length become one expression; longer ones are joined on host suffixes.
 INLINE_RULES = 64
 FEATURES = ["f_len", "f_host_len", "f_path_len", "f_depth", "f_labels", "f_digits", "f_upper", "f_punct", "f_entropy", "f_params", "f_query_len", "f_hyphens", "f_host_digits", "f_longest", "f_fragment", "f_suffix1", "f_suffix2"]
@@ -114,11 +119,17 @@ def with_features(parts: DataFrame) -> DataFrame:
     })
 
 
-def weak_labels(pages: DataFrame) -> DataFrame:
-    """(url, label) from the host's words; see the module's text."""
-    parts = with_parts(pages.select("url")).where("host <> ''")
-    spam = F.exists(F.split("host", r"[.\-]"), lambda x: x.isin(SPAM_WORDS))
-    return parts.select("url", spam.cast("int").alias("label"))
+def content_labels(pages: DataFrame) -> DataFrame:
+    """(url, label) from the visible words of ``html``; pages without words, or all if there is no such column, say nothing."""
+    if "html" not in pages.columns:
+        return pages.sparkSession.createDataFrame([], "url string, label int")
+    seen = F.regexp_replace(F.col("html").cast("string"), r"(?is)<(script|style)\b.*?</\1>|<!--.*?-->|<[^>]*>", " ")
+    n, junk = F.regexp_count(F.col("seen"), F.lit(r"\S+")), F.regexp_count(F.col("seen"), F.lit(r"\S*([^\w\s])\1\1\S*"))
+    return pages.select("url", seen.alias("seen")).where("url IS NOT NULL").select("url", n.alias("n"), junk.alias("junk")).where("n > 0").select("url", (F.col("junk") >= JUNK * F.col("n")).cast("int").alias("label"))
+
+
+def held_out(url: Column) -> Column:
+    return F.crc32(url) % FOLDS == 0
 
 
 class UrlModel:
@@ -134,17 +145,31 @@ class UrlModel:
             out = out.join(bounded(table), f"suffix{k}", "left").fillna({f"f_suffix{k}": self.prior})
         return out
 
+    def scored(self, parts: DataFrame) -> DataFrame:
+        """Add ``url_score``, from 0 to 1."""
+        if self.trees is None:
+            return parts.withColumn("url_score", F.lit(self.prior))
+        ready = VectorAssembler(inputCols=FEATURES, outputCol="features").transform(self._complete(with_features(parts)))
+        scored = self.trees.transform(ready).withColumn("url_score", vector_to_array("probability")[1])
+        return scored.drop(*FEATURES, "features", "rawPrediction", "probability", "prediction", "suffix1", "suffix2")
+
     def score(self, parts: DataFrame) -> DataFrame:
         if self.trees is None:
             return parts.withColumn("blocked", F.lit(self.prior >= 0.5))
-        ready = VectorAssembler(inputCols=FEATURES, outputCol="features").transform(self._complete(with_features(parts)))
-        scored = self.trees.transform(ready)
-        return scored.withColumn("blocked", F.col("prediction") == 1.0).drop(*FEATURES, "features", "rawPrediction", "probability", "prediction", "suffix1", "suffix2")
+        return self.scored(parts).withColumn("blocked", F.col("url_score") > 0.5).drop("url_score")
+
+
+def held_out_quality(model: UrlModel, labelled: DataFrame) -> tuple[float, int, int]:
+    """(area under the ROC curve, rows, rows of label 1) on the distinct labelled URLs that were held out."""
+    rows = labelled.where("url IS NOT NULL AND label IN (0, 1)").where(held_out(F.col("url"))).groupBy("url").agg(F.max("label").cast("double").alias("label"))
+    scored = materialise(model.scored(with_parts(rows)).select("label", "url_score"))
+    n, ones = scored.agg(F.count("*"), F.sum("label")).first()
+    return BinaryClassificationEvaluator(rawPredictionCol="url_score", labelCol="label").evaluate(scored), n, int(ones or 0)
 
 
 def fit(labelled: DataFrame, train_rows: int = TRAIN_ROWS, trees: int = 12, depth: int = 4, smoothing: float = 20.0) -> UrlModel:
-    """Suffix rates of all rows of (url, label), and trees trained on at most ``train_rows`` distinct ones."""
-    rows = labelled.where("url IS NOT NULL AND label IN (0, 1)").select("url", F.col("label").cast("double").alias("label"))
+    """Suffix rates of all rows of (url, label) that are not held out, and trees trained on at most ``train_rows`` distinct ones."""
+    rows = labelled.where("url IS NOT NULL AND label IN (0, 1)").where(~held_out(F.col("url"))).select("url", F.col("label").cast("double").alias("label"))
     sample = materialise(with_features(with_parts(rows.distinct().orderBy(F.xxhash64("url"), "url", "label").limit(train_rows))))
     n, ones = rows.agg(F.count("*"), F.coalesce(F.sum("label"), F.lit(0.0))).first()
     if sample.select("label").distinct().count() < 2:
@@ -162,7 +187,7 @@ def fit(labelled: DataFrame, train_rows: int = TRAIN_ROWS, trees: int = 12, dept
 
 def judge(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES, labelled: DataFrame | None = None, key: str = "page_id") -> DataFrame:
     """One row per page: key, host, path, rule, verdict and ``model_blocked``, what the trees say."""
-    model = fit(weak_labels(pages) if labelled is None else labelled)
+    model = fit(content_labels(pages) if labelled is None else labelled)
     parts = with_rule(with_parts(pages.select(key, "url")), rules)
     scored = model.score(parts)
     verdict = F.coalesce("rule_verdict", F.when(F.col("blocked"), "block").otherwise("allow"))
