@@ -271,10 +271,10 @@ def search(index: Index | None, table: DataFrame | None, k: int = 20, margin: fl
     shared = table.sparkSession.sparkContext.broadcast((index, first, number, np.array([counts.get(c, 0) for c in range(len(index.centroids))])))
     order = Window.partitionBy("query").orderBy(F.desc("score"), "vec_id", "row")
     rows, asked = table.select("row", "vec_id", "cell", "codes", "error", "raw"), table.where("asked").select("row", "vec_id", "raw")
-    first_pass = scan(shared, rows, asked.withColumn("bar", F.lit(float("-inf"))), k, margin, True)
+    first_pass = stored(scan(shared, rows, asked.withColumn("bar", F.lit(float("-inf"))), k, margin, True), "ann-first")
     bars = first_pass.withColumn("rank", F.row_number().over(order)).where(F.col("rank") == k).select(F.col("query").alias("row"), F.col("score").alias("bar"))
     barred = stored(asked.join(bounded(stored(bars, "ann-bars")), "row", "left").fillna(float("-inf"), ["bar"]), "ann-queries")
-    found = scan(shared, rows, barred, k, margin, False)
+    found = first_pass.unionByName(scan(shared, rows, barred, k, margin, False)).dropDuplicates(["query", "row"])
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
