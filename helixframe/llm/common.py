@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Tables are broadcast up to so many rows and bytes, measured first; larger ones are shuffled.
-BROADCAST_ROWS = 500_000
+BROADCAST_ROWS = 2_000_000
 BROADCAST_BYTES = 64 << 20
 
 
@@ -47,7 +47,7 @@ def materialise(df: DataFrame) -> DataFrame:
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write to a columnar table in the shared folder and read it back."""
     path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -33,19 +33,21 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import bounded, stored
 from .simhash import by_key
 
 LENGTH = 200
-WINDOW = 64
+WINDOW = 64  # no more: a number of starts takes six bits
 GRAM = 8
 #: Bytes of text that are sampled at once; bounds the memory of the vectorised steps.
 CHUNK = 1 << 21
 #: Strings in one merge, small cores together.
 MERGE = 4096
+#: Starts with fewer bytes before (or behind) the core are merged apart: all others are told apart by so many bytes there.
+EDGE = 4
 
 _RNG = np.random.default_rng(200)
 _BYTE = _RNG.integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -137,11 +139,9 @@ def sampled_chunks(batches: Iterator[pd.DataFrame], length: int) -> Iterator[tup
 
 
 def parts(window: int = WINDOW) -> list[tuple[int, int]]:
-    """Ranges of the number of bytes before the core, finer towards both ends: 0, 1, 2-3, 4-7, ... and mirrored."""
-    near, a = [(0, 0)], 1
-    while a < window // 2:
-        near.append((a, min(2 * a, window // 2) - 1))
-        a *= 2
+    """Ranges of the number of bytes before the core, short ones at both ends."""
+    edge, half = min(EDGE, window // 2), window // 2
+    near = [(0, edge - 1), (edge, half - 1)] if edge < half else [(0, half - 1)]
     return near + [(window - 1 - b, window - 1 - a) for a, b in reversed(near)]
 
 
@@ -198,6 +198,10 @@ def merged_repeats(strings: list[bytes], left: np.ndarray, cores: np.ndarray, sh
     return masks
 
 
+def _first() -> Column:
+    return F.shiftright("at", 13).cast("int")
+
+
 def repeated_ranges(texts: DataFrame, length: int) -> DataFrame:
     """row, first and stop of the repeated strings of ``texts`` (row, raw), and ``merged``, whether the merge found them; ranges may overlap."""
 
@@ -209,19 +213,23 @@ def repeated_ranges(texts: DataFrame, length: int) -> DataFrame:
         for rows, s in sampled_chunks(batches, length):
             if len(s.at):
                 names, begin = s.blocks(), (s.ends - s.size)[s.owner]
-                yield pd.DataFrame({"core": s.core.view(np.int64), "b1": names[:, 0], "b2": names[:, 1], "row": rows[s.owner], "lo": (s.lo - begin).astype(np.int32), "count": s.count.astype(np.int32), "at": (s.at - begin).astype(np.int32)})
+                where = (s.lo - begin) << 13 | (s.at - s.lo) << 6 | s.count - 1
+                yield pd.DataFrame({"core": s.core.view(np.int64), "b1": names[:, 0], "b2": names[:, 1], "row": rows[s.owner], "at": where})
 
     cores = texts.mapInPandas(core_names, "core long").groupBy("core").agg(F.count("*").alias("n")).where("n > 1").select("core")
-    entries = texts.mapInPandas(entry_rows, "core long, b1 long, b2 long, row long, lo int, count int, at int")
-    met = stored(entries.join(bounded(stored(cores, "cores")), "core", "left_semi"), "entries")
+    # ``at`` packs the first start, the anchor behind it and the number of starts less one: both of these are below 2 * WINDOW and WINDOW.
+    entries = texts.mapInPandas(entry_rows, "core long, b1 long, b2 long, row long, at long")
+    # Cores and blocks that repeat grow with the input, so these joins are shuffled; a core or block of very many entries is split as a skewed join is.
+    met = stored(entries.join(stored(cores, "cores"), "core", "left_semi"), "entries")
     block = ["core", "b1", "b2"]
     blocks = stored(met.groupBy(*block).agg(F.count("*").alias("n")), "blocks")
-    whole = met.join(bounded(blocks.where("n > 1").select(*block)), block, "left_semi").select("row", F.col("lo").alias("first"), (F.col("lo") + F.col("count") - 1 + length).alias("stop"), F.lit(False).alias("merged"))
-
-    open_cores = blocks.groupBy("core").agg(F.count("*").alias("kinds"), F.min("n").alias("least")).where("kinds > 1 AND least = 1").select("core")
-    opened = met.join(bounded(stored(open_cores, "open-cores")), "core", "left_semi")
-    one = opened.groupBy(*block).agg(F.count("*").alias("n"), F.min(F.struct("row", "lo", "count", "at")).alias("e"))
-    asked = one.select(F.col("e.row").alias("row"), F.struct("e.lo", "e.count", "e.at", F.least("n", F.lit(2)).alias("copies")).alias("e")).groupBy("row").agg(F.collect_list("e").alias("entries"))
+    open_cores = blocks.groupBy("core").agg(F.count("*").alias("kinds"), F.min("n").alias("least")).where("kinds > 1 AND least = 1").select("core", F.lit(True).alias("is_open"))
+    known = blocks.join(bounded(stored(open_cores, "open-cores")), "core", "left").where("n > 1 OR is_open")
+    met = stored(met.join(known, block), "entries-known")
+    whole = met.where("n > 1").select("row", _first().alias("first"), (_first() + F.col("at").bitwiseAND(F.lit(63)) + length).alias("stop"), F.lit(False).alias("merged"))
+    opened = met.where("is_open").select(*block, "row", "at")
+    one = opened.groupBy(*block).agg(F.count("*").alias("n"), F.min(F.struct("row", "at")).alias("e"))
+    asked = one.select(F.col("e.row").alias("row"), F.struct("e.at", F.least("n", F.lit(2)).alias("copies")).alias("e")).groupBy("row").agg(F.collect_list("e").alias("entries"))
     asked = stored(asked, "open-entries")
 
     def send(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -233,7 +241,8 @@ def repeated_ranges(texts: DataFrame, length: int) -> DataFrame:
             for row, raw, entries in zip(batch["row"], batch["raw"], batch["entries"], strict=True):
                 raw = bytes(raw)
                 for e in entries:
-                    for x in part_strings(raw, e["lo"], e["count"], e["at"], length):
+                    lo = e["at"] >> 13
+                    for x in part_strings(raw, lo, (e["at"] & 63) + 1, lo + (e["at"] >> 6 & 127), length):
                         found.append((row, *x, e["copies"], *np.frombuffer(xxh3_128_digest(b"%d %d %d " % (x[0], len(x[3]), len(x[4])) + x[3] + x[4] + x[5]), "<i8"), int(np.frombuffer(xxh3_128_digest(x[4], x[0]), "<i8")[0])))
             if found:
                 yield pd.DataFrame(found, columns=[*names, "copies", "s1", "s2", "place"])
@@ -285,7 +294,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
                 rows.append((doc_id, size, n_removed, runs, hashlib.sha256(raw).hexdigest(), raw))
             yield pd.DataFrame(rows, columns=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"]).astype({"doc_id": "Int64"})
 
-    joined = texts.join(bounded(ranges), "row", "left").select("doc_id", "raw", "ranges")
+    joined = texts.join(ranges, "row", "left").select("doc_id", "raw", "ranges")
     return joined.mapInPandas(cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
 
 
