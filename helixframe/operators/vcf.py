@@ -75,10 +75,8 @@ def insert_sequences(events: DataFrame) -> DataFrame:
     return one.select("hchr", "hpos", "tchr", "tpos", F.when(F.length(text) >= F.col("size"), text).alias("insert"))
 
 
-def vcf_sv(sv: DataFrame, events: DataFrame, chunks: DataFrame, include_all: bool = False) -> DataFrame:
-    """Verified structural variants; the record stands one base before the junction."""
-    keys = ["hchr", "hpos", "tchr", "tpos"]
-    rows = _reported(sv, include_all).join(insert_sequences(events), keys, "left")
+def _placed(rows: DataFrame, chunks: DataFrame) -> tuple[DataFrame, Column, Column]:
+    """(rows with ``bases``, the reference at the record's place; ALT; what INFO says of the event, without homology)."""
     kind, size = F.col("type"), F.col("size")
     short = (kind == "deletion") & (size > -80)
     rows = with_window(rows, chunks, "hchr", F.col("hpos") - 2, F.when(short, F.abs(size) + 1).otherwise(F.lit(1).cast("long")).cast("int"), "bases")
@@ -88,14 +86,22 @@ def vcf_sv(sv: DataFrame, events: DataFrame, chunks: DataFrame, include_all: boo
         .otherwise(F.concat(first, F.lit("]"), "tchr", F.lit(":"), F.col("tpos").cast("string")))
     )
     end, span = (F.col("tpos") + 1).cast("string"), size.cast("string")
-    hom = F.when(F.length("inside") > 0, F.concat(F.lit("HOMLEN="), F.length("inside").cast("string"), F.lit(";HOMSEQ="), "inside", F.lit(";"))).otherwise("")
+    hom = F.lit("")
+    if "inside" in rows.columns:
+        hom = F.when(F.length("inside") > 0, F.concat(F.lit("HOMLEN="), F.length("inside").cast("string"), F.lit(";HOMSEQ="), "inside", F.lit(";"))).otherwise("")
     info = (
         F.when(kind == "deletion", F.concat(F.lit("SVTYPE=DEL;END="), end, F.lit(";"), hom, F.lit("SVLEN="), span, F.lit(";")))
         .when(kind == "insertion", F.concat(F.lit("SVTYPE=INS;END="), end, F.lit(";SVLEN="), span, F.lit(";")))
         .when(kind == "inversion", F.concat(F.lit("SVTYPE=INV;END="), F.col("tpos").cast("string"), F.lit(";")))
         .otherwise("SVTYPE=BND;")
     )
-    placed = rows.withColumns({"chr": F.col("hchr"), "pos": F.col("hpos") - 1})
+    return rows.withColumns({"chr": F.col("hchr"), "pos": F.col("hpos") - 1}), alt, info
+
+
+def vcf_sv(sv: DataFrame, events: DataFrame, chunks: DataFrame, include_all: bool = False) -> DataFrame:
+    """Verified structural variants; the record stands one base before the junction."""
+    rows = _reported(sv, include_all).join(insert_sequences(events), ["hchr", "hpos", "tchr", "tpos"], "left")
+    placed, alt, info = _placed(rows, chunks)
     return _record(placed, F.col("bases"), alt, F.concat(info, _primer_info(sv)), F.col("tw") + F.col("tm")).where("ref <> alt")
 
 
@@ -117,12 +123,23 @@ def count_limit(support: DataFrame, share: float = 0.999) -> DataFrame:
     return up.crossJoin(F.broadcast(whole)).where(F.col("sum") >= F.col("total") * share).agg(F.min("cnt").alias("limit"), F.first("most").alias("most"))
 
 
-def vcf_count(support: DataFrame) -> DataFrame:
-    """SNPs of the highest support, quality and frequency from their counts."""
-    rows = support.crossJoin(F.broadcast(count_limit(support))).where("cnt >= limit")
+def _counted(rows: DataFrame, ref: Column, alt: Column, info: Column) -> DataFrame:
+    """Records of the highest support, quality and frequency from their counts."""
     af = truncated(F.col("cnt") / F.col("most"))
     gt = F.when(af < 1, "0/1").otherwise("1/1")
     return rows.select(
-        chrom(F.col("chr")).alias("chrom"), "pos", F.lit(".").alias("id"), "ref", "alt", quality(F.col("cnt"), F.col("cnt")).alias("qual"), F.lit(".").alias("filter"),
-        F.concat(F.lit("GT="), gt, F.lit(";AF="), plain(af), F.lit(";DP="), F.col("cnt").cast("string")).alias("info"), F.lit("GT:DP").alias("format"), F.concat(gt, F.lit(":"), F.col("cnt").cast("string")).alias("sample"),
+        chrom(F.col("chr")).alias("chrom"), "pos", F.lit(".").alias("id"), ref.alias("ref"), alt.alias("alt"), quality(F.col("cnt"), F.col("cnt")).alias("qual"), F.lit(".").alias("filter"),
+        F.concat(info, F.lit("GT="), gt, F.lit(";AF="), plain(af), F.lit(";DP="), F.col("cnt").cast("string")).alias("info"), F.lit("GT:DP").alias("format"), F.concat(gt, F.lit(":"), F.col("cnt").cast("string")).alias("sample"),
     )
+
+
+def vcf_count(support: DataFrame) -> DataFrame:
+    """SNPs of the highest support."""
+    return _counted(support.crossJoin(F.broadcast(count_limit(support))).where("cnt >= limit"), F.col("ref"), F.col("alt"), F.lit(""))
+
+
+def vcf_count_sv(support: DataFrame, events: DataFrame, chunks: DataFrame) -> DataFrame:
+    """Structural variants of the highest support; type, end and length stay in INFO."""
+    rows = support.crossJoin(F.broadcast(count_limit(support))).where("cnt >= limit")  # the limit is one row
+    placed, alt, info = _placed(rows.join(insert_sequences(events), ["hchr", "hpos", "tchr", "tpos"], "left"), chunks)
+    return _counted(placed, F.col("bases"), alt, info).where("ref <> alt")

@@ -109,6 +109,10 @@ CTES["vs"] = "SELECT * FROM (" + _vcf(
     """CASE type WHEN 'deletion' THEN 'SVTYPE=DEL;END=' || (tpos + 1) || ';' || CASE WHEN length(inside) > 0 THEN 'HOMLEN=' || length(inside) || ';HOMSEQ=' || inside || ';' ELSE '' END || 'SVLEN=' || size || ';'
        WHEN 'insertion' THEN 'SVTYPE=INS;END=' || (tpos + 1) || ';SVLEN=' || size || ';' WHEN 'inversion' THEN 'SVTYPE=INV;END=' || tpos || ';' ELSE 'SVTYPE=BND;' END""",
     "tw + tm") + " AND tm > 2) x WHERE ref <> alt"
+CTES["ss"] = "SELECT hchr, hpos, tchr, tpos, dir, type, size, count(DISTINCT seq) AS cnt FROM ev GROUP BY ALL"
+CTES["cs"] = "SELECT min(cnt) AS lim, max(most) AS most FROM (SELECT cnt, cume_dist() OVER (ORDER BY cnt) AS cd, max(cnt) OVER () AS most FROM ss) x WHERE cd >= 0.999"
+CTES["cv"] = """SELECT * FROM (SELECT ss.*, lim, most, type = 'deletion' AND size > -80 AS short, substr(s, hpos - 2 - k * 1000 + 1, CASE WHEN type = 'deletion' AND size > -80 THEN abs(size) + 1 ELSE 1 END) AS bases
+  FROM ss JOIN cs ON cnt >= lim JOIN ch ON chr = hchr AND k = (hpos - 2) // 1000 WHERE hpos >= 2) x LEFT JOIN vi USING (hchr, hpos, tchr, tpos)"""
 CTES["cl"] = "SELECT min(cnt) AS lim, max(most) AS most FROM (SELECT cnt, cume_dist() OVER (ORDER BY cnt) AS cd, max(cnt) OVER () AS most FROM su) x WHERE cd >= 0.999"
 
 
@@ -133,7 +137,7 @@ def _with(select: str) -> str:
     for name in CTES:
         if name in needed:
             place(name)
-    return fixture_sql("duckdb") + "".join(f",\n{n} AS MATERIALIZED ({CTES[n]})" for n in order) + "\n" + select
+    return fixture_sql() + "".join(f",\n{n} AS MATERIALIZED ({CTES[n]})" for n in order) + "\n" + select
 
 
 _SELECTS = {
@@ -165,6 +169,18 @@ _SELECTS = {
     "vcf_count": f"""SELECT {_CHROM.format('chr')} AS chrom, pos, '.' AS id, ref, alt, {_qual('cnt', 'cnt')} AS qual, '.' AS filter,
       'GT=' || CASE WHEN {_cut('cnt / most')} < 1 THEN '0/1' ELSE '1/1' END || ';AF=' || {_plain(_cut('cnt / most'))} || ';DP=' || cnt AS info, 'GT:DP' AS format,
       CASE WHEN {_cut('cnt / most')} < 1 THEN '0/1' ELSE '1/1' END || ':' || cnt AS sample FROM su, cl WHERE cnt >= lim""",
+    "vcf_count_sv": f"""SELECT * FROM (SELECT {_CHROM.format('hchr')} AS chrom, hpos - 1 AS pos, '.' AS id, bases AS ref,
+      CASE WHEN short THEN substr(bases, 1, 1) WHEN type = 'deletion' THEN '<DEL>' WHEN type = 'insertion' THEN coalesce(ins, '<INS>') WHEN type = 'inversion' THEN '<INV>' ELSE substr(bases, 1, 1) || ']' || tchr || ':' || tpos END AS alt,
+      {_qual('cnt', 'cnt')} AS qual, '.' AS filter,
+      CASE type WHEN 'deletion' THEN 'SVTYPE=DEL;END=' || (tpos + 1) || ';SVLEN=' || size || ';' WHEN 'insertion' THEN 'SVTYPE=INS;END=' || (tpos + 1) || ';SVLEN=' || size || ';' WHEN 'inversion' THEN 'SVTYPE=INV;END=' || tpos || ';' ELSE 'SVTYPE=BND;' END
+      || 'GT=' || CASE WHEN {_cut('cnt / most')} < 1 THEN '0/1' ELSE '1/1' END || ';AF=' || {_plain(_cut('cnt / most'))} || ';DP=' || cnt AS info, 'GT:DP' AS format,
+      CASE WHEN {_cut('cnt / most')} < 1 THEN '0/1' ELSE '1/1' END || ':' || cnt AS sample FROM cv) y WHERE ref <> alt""",
+    "search_alignment_sv": """SELECT DISTINCT hchr AS chr, hpos AS pos, concat_ws(chr(10), '# ' || hchr || ' ' || hpos || ' ' || tchr || ' ' || tpos || ' ' || dir || ' ' || type || ' ' || coalesce(cast(size AS varchar), ''), head,
+      array_to_string(list_transform(hm, lambda x: CASE WHEN x = 1 THEN ' ' ELSE '|' END), ''), seq, array_to_string(list_transform(tm, lambda x: CASE WHEN x = 1 THEN ' ' ELSE '|' END), ''), tail) AS line
+      FROM (SELECT *, head_pos + hi - m AS hpos, CASE tail_dir WHEN 'f' THEN tail_pos - n + ti + 20 + m ELSE tail_pos + n - ti - 20 - m END AS tpos, tail_dir AS dir,
+            CASE WHEN indel THEN CASE WHEN sz > 0 THEN 'insertion' ELSE 'deletion' END WHEN hchr = tchr THEN 'inversion' ELSE 'translocation' END AS type, CASE WHEN indel THEN sz END AS size FROM sv4) z
+      WHERE hchr = '1' AND hpos = 2000""",
+    "cnv_sorted": "SELECT chr, pos, dir, target_cnt, control_cnt, row_number() OVER (ORDER BY coalesce(try_cast(chr AS int), 0), pos, chr, dir) AS place FROM (SELECT chr, pos, dir, cast(coalesce(t.cnt, 0) AS bigint) AS target_cnt, cast(coalesce(c.cnt, 0) AS bigint) AS control_cnt FROM (SELECT kmer, cnt FROM kc WHERE sample = 'target') t FULL JOIN (SELECT kmer, cnt FROM kc WHERE sample = 'control') c USING (kmer) JOIN r20 USING (kmer)) z WHERE pos <= 2000",
     "clip_reads": "SELECT sample, id, substr(seq, k * 30 + 1, 30) AS seq FROM (SELECT sample, id, seq, unnest(range(0, length(seq) // 30)) AS k FROM reads WHERE seq NOT LIKE '%N%' AND length(seq) >= 30) x",
     "auto_clip": "SELECT sample, cast(CASE WHEN count(*) > 1 THEN CASE WHEN max(length) FILTER (WHERE percent >= 90) > 200 THEN floor(max(length) FILTER (WHERE percent >= 90) / floor(max(length) FILTER (WHERE percent >= 90) / 100)) ELSE greatest(75, max(length) FILTER (WHERE percent >= 90)) END END AS bigint) AS clip FROM lh GROUP BY sample",
     "length_histogram": "SELECT sample, length, count, percent FROM lh",

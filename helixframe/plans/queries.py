@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import cached_property
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from helixframe.operators import align, kmer, primer, reads, reference, tools, vcf, verify
@@ -34,7 +34,7 @@ class Run:
 
     @cached_property
     def chunks(self) -> DataFrame:
-        return reference.ref_chunks(self._tables[0])
+        return self._tables[0]
 
     @cached_property
     def uniq(self) -> DataFrame:
@@ -116,6 +116,13 @@ def _genotype_matrix(r: Run) -> DataFrame:
     return tools.genotype_matrix({"t1": r.bi_snp, "t2": second})
 
 
+def _cnv_sorted(r: Run) -> DataFrame:
+    """The global order of copy numbers, shown by each row's place in the first 2,000 bases of every chromosome."""
+    found = kmer.cnv_sorted(kmer.cnv_counts(r.counts, r.ref20, TARGET, CONTROL).where("pos <= 2000"))
+    order = Window.orderBy(*kmer.cnv_order())
+    return found.withColumn("place", F.row_number().over(order).cast("long"))
+
+
 PLANS: dict[str, Callable[[Run], DataFrame]] = {
     "reads_uniq": lambda r: r.uniq,
     "kmer_count": lambda r: r.counts,
@@ -143,6 +150,9 @@ PLANS: dict[str, Callable[[Run], DataFrame]] = {
     "vcf_sv": lambda r: vcf.vcf_sv(r.sv, r.events, r.chunks),
     "vcf_full": lambda r: vcf.full_vcf(vcf.vcf_snp(r.bi_snp), vcf.vcf_sv(r.sv, r.events, r.chunks)),
     "vcf_count": lambda r: vcf.vcf_count(r.support),
+    "vcf_count_sv": lambda r: vcf.vcf_count_sv(align.sv_support(r.events), r.events, r.chunks),
+    "search_alignment_sv": lambda r: align.search_alignment(align.render_sv(r.events), "1", 2000),
+    "cnv_sorted": _cnv_sorted,
     "clip_reads": lambda r: reads.clip_reads(r.reads.select("sample", "id", "seq"), 30),
     "auto_clip": lambda r: reads.auto_clip(r.uneven),
     "length_histogram": lambda r: reads.length_histogram(r.uneven),
