@@ -47,18 +47,20 @@ def _strong(seq: str, start: int) -> list[str]:
     return [w for w in (seq[i : i + K] for i in range(start, start + FLANK - K)) if len(w) == K and sum(b not in "AT" for b in w) == GC]
 
 
-def best_pair(head: str, tail: str, inside: int) -> tuple[str, str, int] | None:
+def best_pair(head: str, tail: str, inside: int, region: str | None = None) -> tuple[str, str, int] | None:
     """The pair of the shortest product of 70 bases or more, after at most three improvements.
 
     Lefts come from the nearest to the farthest, rights in order; ``head`` and ``tail`` are the 250 bases on
-    either side, ``inside`` what lies between them in the product.
+    either side, ``inside`` what lies between them in the product. A primer is placed where it first occurs, in its half or, if ``region`` is given,
+    in all of that.
     """
+    place = (lambda w, half, at: region.index(w) - at) if region else (lambda w, half, at: half.index(w))
     best, improved = None, 0
     rights = _strong(tail, 0)
     for left in reversed(_strong(head, 0)):
         for right in rights:
             turned = right[::-1].translate(_TURN)
-            length = FLANK - head.index(left) + tail.index(right) + inside
+            length = FLANK - place(left, head, 0) + place(right, tail, FLANK) + inside
             if length < 70 or best and length >= best[2] or dimer(left, turned):
                 continue
             best, improved = (left, turned, length), improved + 1
@@ -83,7 +85,7 @@ def primer_pairs(regions: DataFrame, structural: bool = False) -> DataFrame:
                     # A product over a SNP counts its region as it stands; its right end lies 20 bases behind the right start.
                     head, tail, inside = row["region"][:FLANK], row["region"][FLANK:], K
                     context = f"{row['region'][99:249]}[{row['alt']}/{row['ref']}]{row['region'][250:399]}"
-                pair = best_pair(head, tail, inside)
+                pair = best_pair(head, tail, inside, None if structural else row["region"])
                 found.append((pair[0], pair[1], str(pair[2]), context) if pair else ("N",) * 4)
             new = pd.DataFrame(found, columns=["left", "right", "length", "context"], index=batch.index)
             yield pd.concat([batch[columns], new], axis=1)

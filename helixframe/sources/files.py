@@ -14,39 +14,54 @@ from pyspark.sql import functions as F
 from helixframe.functions.seq import plain_chr
 
 _OPEN = {"gz": gzip.decompress, "bz2": bz2.decompress, "xz": lzma.decompress}
+#: Splits of plain files up to which their line counts are broadcast.
+SPLITS = 1_000_000
 
 
 def _decompressed(name: str, raw: bytes) -> bytes:
     return _OPEN.get(name.rsplit(".", 1)[-1], bytes)(raw)
 
 
+def numbered_lines(spark: SparkSession, path: str, glob: str) -> DataFrame:
+    """file, n (from 0, within the file) and value of every line of the text files (plain, gz, bz2) that match.
+
+    A split counts its lines; the running sum over a file's splits, one row each, says where each begins. No file is one task unless its
+    compression cannot be split.
+    """
+    lines = spark.read.option("pathGlobFilter", glob).option("recursiveFileLookup", "true").text(path)
+    lines = lines.select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("id"))
+    splits = lines.groupBy("file", "split").agg(F.count("*").alias("count"), F.min("id").alias("least"))
+    before = F.sum("count").over(Window.partitionBy("file").orderBy("split")) - F.col("count")
+    splits = splits.select("file", "split", "least", before.alias("before"))
+    if splits.limit(SPLITS + 1).count() <= SPLITS:
+        splits = F.broadcast(splits)
+    return lines.join(splits, ["file", "split"]).select("file", (F.col("id") - F.col("least") + F.col("before")).alias("n"), "value")
+
+
 def read_fastq(spark: SparkSession, path: str, sample: str) -> DataFrame:
     """sample and seq of FASTQ files: the second line of every four. Plain, gz, bz2 and xz files may be mixed.
 
-    Files are read whole, one per task: compressed ones cannot be split, and records have no other boundary than
-    the count of lines.
+    Plain and bz2 files are read by their splits. Files of xz, which Spark does not open, are decompressed as a stream by one task each.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for name, raw in zip(batch["path"], batch["content"], strict=True):
-                lines = _decompressed(name, bytes(raw)).decode("ascii", "replace").splitlines()
-                for i in range(1, len(lines), 400_000):
-                    yield pd.DataFrame({"sample": sample, "seq": [x.strip() for x in lines[i : i + 400_000 : 4]]})
-
-    files = spark.read.format("binaryFile").load(path).where(F.col("path").rlike(r"(q|\.gz|\.bz2|\.xz)$"))
-    return files.select("path", "content").mapInPandas(run, "sample string, seq string")
+        import io
+        from itertools import islice
 
+        for batch in batches:
+            for raw in batch["content"]:
+                with lzma.open(io.BytesIO(bytes(raw)), "rt", encoding="ascii", errors="replace") as lines:
+                    second = islice(lines, 1, None, 4)
+                    while part := list(islice(second, 100_000)):
+                        yield pd.DataFrame({"sample": sample, "seq": [x.strip() for x in part]})
 
-def read_fastq_lines(spark: SparkSession, path: str, sample: str) -> DataFrame:
-    """The same for plain files too large to hold: lines are numbered within each file by their order on disk."""
-    lines = spark.read.text(path).select("value", F.input_file_name().alias("file"), F.monotonically_increasing_id().alias("id"))
-    numbered = lines.withColumn("n", F.row_number().over(Window.partitionBy("file").orderBy("id")))
-    return numbered.where("n % 4 = 2").select(F.lit(sample).alias("sample"), F.trim("value").alias("seq"))
+    text = numbered_lines(spark, path, "*{q,.gz,.bz2}").where("n % 4 = 1").select(F.lit(sample).alias("sample"), F.trim("value").alias("seq"))
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.xz").option("recursiveFileLookup", "true").load(path)
+    return text.unionByName(files.select("content").mapInPandas(run, "sample string, seq string"))
 
 
 def read_fasta(spark: SparkSession, path: str, names: list[str] | None = None, skip: str | None = None) -> DataFrame:
-    """chr and seq of FASTA files. Names come from the headers, or from ``names`` in order of the records.
+    """chr and seq of FASTA files. Names come from the headers, or from ``names`` in order of the records, over all files in order of their paths.
 
     Sequences are upper-cased, anything but A, C, G, T becomes N. ``skip``: a pattern of names to leave out; "NOP" always is.
     """
@@ -54,17 +69,19 @@ def read_fasta(spark: SparkSession, path: str, names: list[str] | None = None, s
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for name, raw in zip(batch["path"], batch["content"], strict=True):
-                rows: list[tuple[str, int, str]] = []
+                rows: list[tuple[str, str, int, str]] = []
                 for i, record in enumerate(("\n" + _decompressed(name, bytes(raw)).decode("ascii", "replace")).split("\n>")[1:]):
                     header, _, body = record.partition("\n")
-                    rows.append((header, i, "".join(body.split())))
-                yield pd.DataFrame(rows, columns=["header", "i", "body"])
+                    rows.append((name, header, i, "".join(body.split())))
+                yield pd.DataFrame(rows, columns=["path", "header", "i", "body"])
 
     files = spark.read.format("binaryFile").load(path).select("path", "content")
-    records = files.mapInPandas(run, "header string, i int, body string")
+    records = files.mapInPandas(run, "path string, header string, i int, body string")
     if names is not None:
-        listed = spark.createDataFrame(list(enumerate(names)), "i int, name string")
-        named = records.join(F.broadcast(listed), "i").withColumn("chr", F.col("name"))
+        # One row for each record, without its body.
+        order = records.select("path", "i").withColumn("k", F.row_number().over(Window.orderBy("path", "i")) - 1)
+        listed = spark.createDataFrame(list(enumerate(names)), "k int, chr string").join(order, "k").drop("k")
+        named = records.join(F.broadcast(listed), ["path", "i"])
     else:
         named = records.withColumn("chr", plain_chr(F.col("header")))
     out = named.where("chr <> 'NOP'").select("chr", F.regexp_replace(F.upper("body"), "[^ACGT]", "N").alias("seq"))
@@ -94,25 +111,30 @@ def discovered_chromosomes(ref: DataFrame) -> DataFrame:
 
 def write_text(df: DataFrame, path: str, columns: list[str], order: list, header: list[str] = ()) -> None:
     """A sorted tab-separated text file in one part, with header lines; for reports, which are small."""
-    lines = df.orderBy(*order).select(F.concat_ws("\t", *[F.coalesce(F.col(c).cast("string"), F.lit("N")) for c in columns]).alias("value"))
-    spark = df.sparkSession
+    text = F.concat_ws("\t", *[F.coalesce(F.col(c).cast("string"), F.lit("N")) for c in columns])
+    lines = df.orderBy(*order).select(text.alias("value")).coalesce(1)
     if header:
-        top = spark.createDataFrame([(h,) for h in header], "value string").coalesce(1)
-        lines = top.union(lines)
-    lines.coalesce(1).write.mode("overwrite").text(path)
+        top = df.sparkSession.createDataFrame([(h,) for h in header], "value string").coalesce(1)
+        lines = top.union(lines).coalesce(1)
+    lines.write.mode("overwrite").text(path)
+
+
+#: INFO and FORMAT ids of the records: number, type and what they say.
+INFO_IDS = {
+    "GT": ("1", "String", "Genotype"), "AF": ("A", "Float", "Share of reads with the allele"), "DP": ("1", "Integer", "Reads that count"),
+    "SVTYPE": ("1", "String", "Kind of structural variant"), "END": ("1", "Integer", "Last place of the variant"), "SVLEN": (".", "Integer", "Bases gained or lost"),
+    "HOMLEN": (".", "Integer", "Length of the homology at the junction"), "HOMSEQ": (".", "String", "Homology at the junction"),
+    "PL": ("1", "String", "Left primer"), "PR": ("1", "String", "Right primer"), "PCRLEN": ("1", "Integer", "Length of the product"),
+}
+FORMAT_IDS = {"GT": ("1", "String", "Genotype"), "AD": (".", "Integer", "Reads of either allele"), "DP": ("1", "Integer", "Reads that count")}
 
 
 def vcf_header(reference: str, control: str) -> list[str]:
-    return [
-        "##fileformat=VCFv4.2",
-        f"##reference={reference}",
-        f"##control={control}",
-        '##INFO=<ID=GT,Number=1,Type=String,Description="Genotype">',
-        '##INFO=<ID=AF,Number=A,Type=Float,Description="Allele Frequency">',
-        '##INFO=<ID=DP,Number=1,Type=Integer,Description="Depth">',
-        '##FORMAT=<ID=AD,Number=.,Type=Integer,Description="Reads of either allele">',
-        "\t".join(["#CHROM", "POS", "ID", "REF", "ALT", "QUAL", "FILTER", "INFO", "FORMAT", "SAMPLE"]),
-    ]
+    lines = ["##fileformat=VCFv4.2", f"##reference={reference}", f"##control={control}"]
+    for kind, ids in (("INFO", INFO_IDS), ("FORMAT", FORMAT_IDS)):
+        lines += [f'##{kind}=<ID={name},Number={number},Type={type_},Description="{text}">' for name, (number, type_, text) in ids.items()]
+    lines += [f'##ALT=<ID={x},Description="{text}">' for x, text in (("DEL", "Deletion"), ("INS", "Insertion"), ("INV", "Inversion"))]
+    return [*lines, "\t".join(["#CHROM", "POS", "ID", "REF", "ALT", "QUAL", "FILTER", "INFO", "FORMAT", "SAMPLE"])]
 
 
 def write_fasta(ref: DataFrame, path: str) -> None:

@@ -200,7 +200,106 @@ def test_fastq_of_mixed_compression(spark, tmp_path):
     (tmp_path / "notes.txt").write_text("no reads")
     got = files.read_fastq(spark, str(tmp_path), "s")
     assert sorted(r["seq"] for r in got.collect()) == ["AAAA", "ACGT", "CCCC", "GGGG", "TTTT"]
-    assert sorted(r["seq"] for r in files.read_fastq_lines(spark, str(tmp_path / "a.fastq"), "s").collect()) == ["AAAA", "ACGT"]
+
+
+def test_fastq_cut_at_many_places(spark, tmp_path):
+    rng = random.Random(3)
+    want = []
+    for name, opener in (("a.fastq", open), ("b.fq", open), ("c.bz2", bz2.open), ("d.gz", gzip.open), ("e.xz", lzma.open)):
+        with opener(tmp_path / name, "wb") as f:
+            for i in range(700):
+                want.append(genome(rng.randrange(1, 60), i))
+                f.write(f"@{name} {i}\n{want[-1]}\n+\n{'@' * len(want[-1])}\n".encode())
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        for size in ("997b", "4001b", before):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            spark.conf.set("spark.sql.files.openCostInBytes", "1b")
+            got = files.read_fastq(spark, str(tmp_path), "s")
+            assert sorted(r["seq"] for r in got.collect()) == sorted(want)
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
+def test_catalog_names_run_on_over_several_files(spark, tmp_path):
+    (tmp_path / "1.fa").write_text(">x\nAC\n>y\nGG\n")
+    (tmp_path / "2.fa").write_text(">z\nTT\n>w\nCC\n")
+    assert {r["chr"]: r["seq"] for r in files.read_fasta(spark, str(tmp_path), ["I", "NOP", "III"]).collect()} == {"I": "AC", "III": "TT"}
+
+
+def test_a_product_counts_from_a_primers_first_place():
+    region = genome(500, 2)
+    head, tail = region[:250], region[250:]
+    pair = primer.best_pair(head, tail, 20, region)
+    assert pair == primer.best_pair(head, tail, 20)  # no 20-mer repeats here
+    right = rc(pair[1])
+    moved = right + region[20:]  # the right primer stands at the start too, and its product gets too short
+    again = primer.best_pair(moved[:250], moved[250:], 20, moved)
+    assert again is None or again[1] != pair[1] and again[2] >= 70
+
+
+def lines_of(path):
+    return [x for p in sorted(path.glob("part-*")) for x in p.read_text().splitlines()]
+
+
+@pytest.fixture(scope="module")
+def samples(tmp_path_factory):
+    """A genome of two chromosomes, and reads of it with a SNP, a deletion and a SNP near the other chromosome's start."""
+    folder = tmp_path_factory.mktemp("samples")
+    one, two = genome(2400, 31), genome(1500, 32)
+    (folder / "ref.fa").write_text(f">chr1 x\n{one[:1200]}\n{one[1200:].lower()}\n>chr2\n{two}\n")
+    changed = [one[:700] + "ACGT"["ACGT".index(one[700]) - 1] + one[701:1300] + one[1330:], two[:600] + "ACGT"["ACGT".index(two[600]) - 1] + two[601:]]
+    for name, texts in (("target", changed), ("control", [one, two])):
+        (folder / name).mkdir()
+        with gzip.open(folder / name / "reads.fastq.gz", "wt") as f:
+            for text in texts:
+                for i in range(0, len(text) - 99, 4):
+                    f.write(f"@r\n{text[i : i + 100]}\n+\n{'I' * 100}\n")
+    return folder, {("chr1", "701"), ("chr2", "601")}
+
+
+def test_a_whole_bidirectional_run(spark, samples, tmp_path):
+    from helixframe.plans.run import Engine, Options
+
+    folder, snps = samples
+    options = Options.parse(f"target={folder}/target,control={folder}/control,ref={folder}/ref.fa,out={tmp_path}")
+    first = Engine(spark, options)
+    out = first.run()
+    assert "ref20" in first.made and "bi_snp" in first.made
+    full = lines_of(tmp_path / "full.vcf")
+    header, rows = [x for x in full if x.startswith("#")], [x.split("\t") for x in full if not x.startswith("#")]
+    assert full[: len(header)] == header and header[0] == "##fileformat=VCFv4.2" and len(rows[0]) == 10
+    assert {(r[0], r[1]) for r in rows if "SVTYPE" not in r[7]} == snps
+    assert any("SVTYPE=DEL" in r[7] and "SVLEN=-30" in r[7] for r in rows)
+    declared = {x.split("ID=")[1].split(",")[0] for x in header if x.startswith("##INFO")}
+    assert {kv.split("=")[0] for r in rows for kv in r[7].split(";")} <= declared
+    assert any("PL=" in r[7] and "PCRLEN=" in r[7] for r in rows)
+    assert [r for r in lines_of(tmp_path / "short.vcf") if not r.startswith("#")] == ["\t".join(r) for r in rows if not any(x in r[4] + r[7] for x in ("<DEL>", "<INS>", "<INV>", "BND"))]
+    assert any("deletion" in x for x in lines_of(tmp_path / "aln")) and lines_of(tmp_path / "count.vcf") and lines_of(tmp_path / "sv.count")
+    assert set(out) >= {"report", "full_vcf", "vcf", "count_vcf", "aln", "sv_primers", "bi_snp_primers"} and lines_of(tmp_path / "report")[0] == "method\tbidirectional"
+    again = Engine(spark, options)
+    again.run()
+    assert again.made == [] and lines_of(tmp_path / "full.vcf") == full
+
+
+def test_whole_kmer_and_copy_number_runs(spark, samples, tmp_path):
+    from helixframe.plans.run import Engine, Options
+
+    folder, snps = samples
+    base = dict(target=f"{folder}/target", control=f"{folder}/control", ref=f"{folder}/ref.fa")
+    Engine(spark, Options(**base, out=str(tmp_path / "k"), method="kmer")).run()
+    assert {tuple(x.split("\t")[:2]) for x in lines_of(tmp_path / "k" / "kmer.vcf") if not x.startswith("#")} == snps
+    free = Engine(spark, Options(base["target"], base["control"], str(tmp_path / "f")))
+    assert free.o.method == "kmer" and set(free.run()) == {"kmer", "report"} and lines_of(tmp_path / "f" / "kmer.snp")
+    Engine(spark, Options(**base, out=str(tmp_path / "c"), method="cnv")).run()
+    rows = [x.split("\t") for x in lines_of(tmp_path / "c" / "cnv")]
+    assert [(int(r[0]), int(r[1])) for r in rows] == sorted((int(r[0]), int(r[1])) for r in rows) and {r[0] for r in rows} == {"1", "2"}
+    own = Engine(spark, Options(base["target"], "reference", str(tmp_path / "r"), base["ref"], primers=False))
+    own.run()
+    assert {tuple(x.split("\t")[:2]) for x in lines_of(tmp_path / "r" / "bi.snp")} == {(c[3:], p) for c, p in snps}
+    with pytest.raises(ValueError):
+        Options("a", "b", "c", method="cnv")
 
 
 def test_fasta_and_catalog(spark, tmp_path):
