@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, chat, decontaminate, line_dedup, packing, quality, simhash, suffix_dedup, token_files, url_filter
+from . import ann, chat, decontaminate, fill_middle, fingerprints, line_dedup, packing, quality, simhash, suffix_dedup, token_files, url_filter, vector_codes
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -55,6 +55,18 @@ def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.digest(suffix_dedup.remove_repeats(_table(spark, sf_dir, "documents")))
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_middle.digest(fill_middle.fill_in_middle(_table(spark, sf_dir, "documents")))
+
+
+def op12_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.digest(fingerprints.fingerprinted(_table(spark, sf_dir, "documents")))
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.digest(*vector_codes.compress(_table(spark, sf_dir, "embeddings")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_best_fit_packing": op1_best_fit_packing,
@@ -67,8 +79,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_line_dedup": op8_line_dedup,
         "op9_simhash_near_dedup": op9_simhash_near_dedup,
         "op10_suffix_array_dedup": op10_suffix_array_dedup,
+        "op11_fill_in_middle": op11_fill_in_middle,
+        "op12_document_fingerprints": op12_document_fingerprints,
+        "op13_vector_codes": op13_vector_codes,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_benchmark_decontamination": decontaminate.ORACLE, "op5_chat_formatting": chat.ORACLE}
+    return {"op3_benchmark_decontamination": decontaminate.ORACLE, "op5_chat_formatting": chat.ORACLE, "op11_fill_in_middle": fill_middle.ORACLE, "op13_vector_codes": vector_codes.ORACLE}
