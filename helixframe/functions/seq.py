@@ -1,11 +1,20 @@
-"""Column functions on DNA strings."""
+"""Column functions on DNA strings, and k-mers as whole numbers of two bits for each base."""
 
 from __future__ import annotations
 
+from functools import reduce
+from itertools import product
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 K = 20
+BASES = "ACGT"
+_NUMBER = np.full(256, 4, np.int8)
+_NUMBER[np.frombuffer(BASES.encode(), np.uint8)] = np.arange(4)
 
 
 def revcomp(seq: Column) -> Column:
@@ -17,6 +26,11 @@ def has_n(seq: Column) -> Column:
     return seq.contains("N")
 
 
+def piece(seq: Column, start: Column, size: Column) -> Column:
+    """``size`` bases from 1-based ``start``, cut by bytes: the cost does not grow with the place, as it does when characters are counted."""
+    return F.substring(seq.cast("binary"), start.cast("int"), size.cast("int")).cast("string")
+
+
 def windows(df: DataFrame, keep: list[str], size: int, step: int = 1, last: Column | None = None) -> DataFrame:
     """One row per window of ``seq``: ``keep``, ``i`` (0-based place) and ``win``.
 
@@ -25,7 +39,83 @@ def windows(df: DataFrame, keep: list[str], size: int, step: int = 1, last: Colu
     fits = F.length("seq") - size
     end = fits if last is None else F.least(fits, last)
     starts = F.sequence(F.lit(0), end, F.lit(step))
-    return df.where(end >= 0).select(*keep, "seq", F.explode(starts).alias("i")).select(*keep, "i", F.substring("seq", F.col("i") + 1, F.lit(size)).alias("win"))
+    return df.where(end >= 0).select(*keep, "seq", F.explode(starts).alias("i")).select(*keep, "i", piece(F.col("seq"), F.col("i") + 1, F.lit(size)).alias("win"))
+
+
+def _joined(one: np.ndarray, k: int) -> np.ndarray:
+    """Codes of all runs of ``k`` digits of two bits: runs of a power of two are put together from halves."""
+    runs, size, out, have = one, 1, None, 0
+    while True:
+        if k & size:
+            n = len(one) - have - size + 1
+            if n <= 0:
+                return np.zeros(0, np.int64)
+            # What is there is followed by the next run of this size.
+            out = runs[:n] if out is None else out[:n] << 2 * size | runs[have : have + n]
+            have += size
+        if 2 * size > k:
+            return out
+        runs, size = runs[: max(0, len(runs) - size)] << 2 * size | runs[size:], 2 * size
+
+
+def packed(seqs: pa.Array, k: int = K) -> pa.Array:
+    """For each sequence the codes of its k-mers in order; null where one holds something else than A, C, G, T."""
+    seqs = seqs.cast(pa.large_binary())
+    offsets = np.frombuffer(seqs.buffers()[1], np.int64)[seqs.offset : seqs.offset + len(seqs) + 1]
+    data = np.frombuffer(seqs.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]]
+    lengths, starts = np.diff(offsets), offsets[:-1] - offsets[0]
+    counts = np.maximum(lengths - k + 1, 0)
+    ends = np.concatenate([[0], np.cumsum(counts)])
+    at = np.arange(ends[-1]) + np.repeat(starts - ends[:-1], counts)
+    number = _NUMBER[data]
+    odd = np.concatenate([[0], np.cumsum(number > 3)])
+    codes = _joined(np.where(number > 3, 0, number).astype(np.int64), k)
+    values = pa.array(codes[at] if len(at) else at, pa.int64(), mask=odd[at + k] > odd[at])
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values)
+
+
+@F.arrow_udf(T.ArrayType(T.LongType()))
+def kmer_codes(seqs: pa.Array) -> pa.Array:
+    """Codes of all 20-mers of each sequence."""
+    return packed(seqs)
+
+
+@F.arrow_udf(T.ArrayType(T.IntegerType()))
+def mismatches(one: pa.Array, two: pa.Array) -> pa.Array:
+    """0-based places where two sequences of one length differ."""
+    one, two = one.cast(pa.large_binary()), two.cast(pa.large_binary())
+    sides = []
+    for x in (one, two):
+        offsets = np.frombuffer(x.buffers()[1], np.int64)[x.offset : x.offset + len(x) + 1]
+        sides.append((offsets, np.frombuffer(x.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]]))
+    (offsets, a), (_, b) = sides
+    at = np.flatnonzero(a != b)
+    ends = np.searchsorted(at, offsets - offsets[0])
+    row = np.repeat(np.arange(len(one)), np.diff(ends))
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(at - (offsets - offsets[0])[row], pa.int32()))
+
+
+def turned(code: Column, k: int = K) -> Column:
+    """The code of the reverse complement: bases swap places by halves of ever smaller size, and A and T, C and G are each other's complement."""
+    x = code.bitwiseXOR(F.lit((1 << 2 * k) - 1))
+    for shift, mask in ((2, 0x3333333333333333), (4, 0x0F0F0F0F0F0F0F0F), (8, 0x00FF00FF00FF00FF), (16, 0x0000FFFF0000FFFF)):
+        x = F.shiftright(x, shift).bitwiseAND(F.lit(mask)).bitwiseOR(F.shiftleft(x.bitwiseAND(F.lit(mask)), shift))
+    x = F.shiftrightunsigned(x, 32).bitwiseOR(F.shiftleft(x, 32))
+    return F.shiftrightunsigned(x, 64 - 2 * k)
+
+
+def spelled(code: Column, k: int = K) -> Column:
+    """The bases of a code: four at a time from a table, the rest one by one."""
+    four = F.array(*[F.lit("".join(p)) for p in product(BASES, repeat=4)])
+    one = F.array(*map(F.lit, BASES))
+    digit = lambda at, size: F.shiftright(code, 2 * (k - at - size)).bitwiseAND(F.lit(4**size - 1)).cast("int")
+    parts = [F.get(four, digit(i, 4)) for i in range(0, k - k % 4, 4)] + [F.get(one, digit(i, 1)) for i in range(k - k % 4, k)]
+    return reduce(F.concat, parts)
+
+
+def with_text(df: DataFrame, code: str, text: str, k: int = K) -> DataFrame:
+    """Put the bases in place of a column of codes."""
+    return df.select(*[spelled(F.col(c), k).alias(text) if c == code else F.col(c) for c in df.columns])
 
 
 def chr_key(chr_: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from helixframe.functions.seq import K, revcomp
+from helixframe.functions.seq import K, kmer_codes, mismatches, revcomp
 from helixframe.operators.reference import with_window
 
 MARGINS = (0, 5, 10, 15)
@@ -14,25 +14,25 @@ EVENT = ["hchr", "hpos", "tchr", "tpos", "dir", "type", "size"]
 
 
 def head_seeds(uniq: DataFrame, ref20: DataFrame, sample: str) -> DataFrame:
-    """seq, m, hchr, head_pos: 20-mers at each margin of a read that a unique forward 20-mer places.
+    """seq, m, hchr, head_pos: 20-mers at each margin of a read that a unique forward 20-mer places; and ``tail``, the code of the 20-mer at that margin of its end.
 
     Reverse heads need no rows: the read's reverse complement is a read too.
     """
-    ends = uniq.where((F.col("sample") == sample) & (F.length("seq") >= K + max(MARGINS))).select("seq", F.explode(F.array(*map(F.lit, MARGINS))).alias("m"))
-    at = ref20.where("dir = 'f'").select("kmer", F.col("chr").alias("hchr"), F.col("pos").alias("head_pos"))
-    return ends.withColumn("kmer", F.substring("seq", F.col("m") + 1, F.lit(K))).join(at, "kmer").select("seq", "m", "hchr", "head_pos")
+    reads = uniq.where((F.col("sample") == sample) & (F.length("seq") >= K + max(MARGINS))).select("seq", kmer_codes(F.col("seq")).alias("codes"))
+    ends = F.array(*[F.struct(F.lit(m).alias("m"), F.get("codes", F.lit(m)).alias("code"), F.get("codes", F.size("codes") - 1 - m).alias("tail")) for m in MARGINS])
+    at = ref20.where("dir = 'f'").select("code", F.col("chr").alias("hchr"), F.col("pos").alias("head_pos"))
+    return reads.select("seq", F.explode(ends).alias("e")).select("seq", "e.*").join(at, "code").select("seq", "m", "hchr", "head_pos", "tail")
 
 
 def seed_pairs(heads: DataFrame, ref20: DataFrame) -> DataFrame:
     """Heads joined with the place of the read's tail at the same margin: tchr, tail_pos, tail_dir."""
-    at = ref20.select("kmer", F.col("chr").alias("tchr"), F.col("pos").alias("tail_pos"), F.col("dir").alias("tail_dir"))
-    tails = heads.withColumn("kmer", F.substring("seq", F.length("seq") - (K - 1) - F.col("m"), F.lit(K)))
-    return tails.join(at, "kmer").select("seq", "m", "hchr", "head_pos", "tchr", "tail_pos", "tail_dir")
+    at = ref20.select(F.col("code").alias("tail"), F.col("chr").alias("tchr"), F.col("pos").alias("tail_pos"), F.col("dir").alias("tail_dir"))
+    return heads.join(at, "tail").select("seq", "m", "hchr", "head_pos", "tchr", "tail_pos", "tail_dir")
 
 
-def with_head(pairs: DataFrame, chunks: DataFrame) -> DataFrame:
-    """Add ``head``, the reference at the read's length from the head on; perfect matches go."""
-    return with_window(pairs, chunks, "hchr", F.col("head_pos") - 1 - F.col("m"), F.length("seq"), "head").where("seq <> head")
+def with_head(pairs: DataFrame, chunks: DataFrame, longest: int | None = None) -> DataFrame:
+    """Add ``head``, the reference at the read's length from the head on; perfect matches go. ``longest``: the reads' length, if chunks may run on for less."""
+    return with_window(pairs, chunks, "hchr", F.col("head_pos") - 1 - F.col("m"), F.length("seq"), "head", longest).where("seq <> head")
 
 
 def collinear() -> Column:
@@ -51,8 +51,8 @@ def _base(text: str, i: Column) -> Column:
 
 def align_snps(headed: DataFrame, most: int = 5) -> DataFrame:
     """seq, m, chr, pos, ref, alt of mismatches between the margins of collinear reads that have 1 to ``most`` of them."""
-    inside = F.sequence(F.col("m"), F.length("seq") - F.col("m") - 1)
-    found = computed(headed.where(collinear()), at=F.filter(inside, lambda i: _base("seq", i) != _base("head", i))).where(F.size("at").between(1, most))
+    inside = lambda i: (i >= F.col("m")) & (i < F.length("seq") - F.col("m"))
+    found = headed.where(collinear()).withColumn("all", mismatches("seq", "head")).withColumn("at", F.filter("all", inside)).where(F.size("at").between(1, most))
     one = found.select("seq", "m", "hchr", "head_pos", "head", F.explode("at").alias("i"))
     return one.select("seq", "m", F.col("hchr").alias("chr"), (F.col("head_pos") + F.col("i") - F.col("m")).alias("pos"), _base("head", F.col("i")).alias("ref"), _base("seq", F.col("i")).alias("alt"))
 
@@ -64,14 +64,14 @@ def snp_support(snps: DataFrame) -> DataFrame:
 
 def _mismatches(window: str) -> Column:
     """1 where read and window differ, else 0, for each base."""
-    return F.transform(F.sequence(F.lit(0), F.length("seq") - 1), lambda i: (_base("seq", i) != _base(window, i)).cast("int"))
+    return F.zip_with(F.split("seq", ""), F.split(window, ""), lambda a, b: (a != b).cast("int"))
 
 
 def _first(indexes: Column) -> Column:
     return F.get(indexes, F.lit(0))
 
 
-def sv_junctions(headed: DataFrame, chunks: DataFrame) -> DataFrame:
+def sv_junctions(headed: DataFrame, chunks: DataFrame, longest: int | None = None) -> DataFrame:
     """Reads whose two ends place apart, with both junctions: hi and ti in the read, hpos and tpos in the genome.
 
     From the head, the first mismatch at 10 or beyond that two more of the next five bases follow (beyond the end all
@@ -80,7 +80,7 @@ def sv_junctions(headed: DataFrame, chunks: DataFrame) -> DataFrame:
     """
     length, m = F.length("seq"), F.col("m")
     off = F.when(F.col("tail_dir") == "f", F.col("tail_pos") - length + K + m - 1).otherwise(F.col("tail_pos") - K - m)
-    both = with_window(headed.where(~collinear()), chunks, "tchr", off, length, "tail")
+    both = with_window(headed.where(~collinear()), chunks, "tchr", off, length, "tail", longest)
     both = computed(both, tail2=F.when(F.col("tail_dir") == "f", F.col("tail")).otherwise(revcomp(F.col("tail")))).withColumn("tail", F.col("tail2")).drop("tail2")
     both = computed(both.where((F.length("seq") > K) & (F.instr("head", "N") == 0) & (F.instr("tail", "N") == 0)), hm=_mismatches("head"), tm=_mismatches("tail"))
     five = F.array(*map(F.lit, range(1, 6)))

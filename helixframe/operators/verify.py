@@ -49,7 +49,7 @@ def snp_probes(linked: DataFrame, chunks: DataFrame, length: int, samples: dict[
 
     ``samples``: prefix of the tags by sample.
     """
-    wide = with_window(linked, chunks, "chr", F.col("pos") - length, F.lit(2 * length - 1), "wild")
+    wide = with_window(linked, chunks, "chr", F.col("pos") - length, F.lit(2 * length - 1), "wild", 2 * length - 1)
     mutant = F.concat(F.substring("wild", 1, length - 1), F.col("alt"), F.substring("wild", length + 1, length))
     place = lambda x: (x["pos"] - (F.col("pos") - length)).cast("int")  # noqa: E731  1-based
     folded = F.aggregate("linked", mutant, lambda s, x: F.overlay(s, x["alt"], place(x), F.lit(1)))
@@ -124,9 +124,9 @@ def sv_probes(events: DataFrame, chunks: DataFrame, length: int, samples: dict[s
     )
     wild = F.when(hi > ti, F.col("hpos") - length - d).otherwise(F.col("hpos") - length)
     rows = sv_representatives(events).withColumns({"inside": inside, "part": size, "tail_at": tail, "wild_at": wild}).where("part >= 0")
-    rows = with_window(rows, chunks, "hchr", head, F.col("part"), "head_part")
-    rows = with_window(rows, chunks, "tchr", F.col("tail_at"), F.col("part"), "tail_part")
-    rows = with_window(rows, chunks, "hchr", F.col("wild_at"), F.lit(2 * length - 1), "wild")
+    rows = with_window(rows, chunks, "hchr", head, F.col("part"), "head_part", 2 * length - 1)
+    rows = with_window(rows, chunks, "tchr", F.col("tail_at"), F.col("part"), "tail_part", 2 * length - 1)
+    rows = with_window(rows, chunks, "hchr", F.col("wild_at"), F.lit(2 * length - 1), "wild", 2 * length - 1)
     turned = F.when(forward, F.col("tail_part")).otherwise(revcomp(F.col("tail_part")))
     rows = rows.withColumn("mutant", F.concat("head_part", "inside", turned))
     return _tagged(rows, SV_KEY, length, samples)

@@ -180,7 +180,7 @@ _SELECTS = {
       FROM (SELECT *, head_pos + hi - m AS hpos, CASE tail_dir WHEN 'f' THEN tail_pos - n + ti + 20 + m ELSE tail_pos + n - ti - 20 - m END AS tpos, tail_dir AS dir,
             CASE WHEN indel THEN CASE WHEN sz > 0 THEN 'insertion' ELSE 'deletion' END WHEN hchr = tchr THEN 'inversion' ELSE 'translocation' END AS type, CASE WHEN indel THEN sz END AS size FROM sv4) z
       WHERE hchr = '1' AND hpos = 2000""",
-    "cnv_sorted": "SELECT chr, pos, dir, target_cnt, control_cnt, row_number() OVER (ORDER BY coalesce(try_cast(chr AS int), 0), pos, chr, dir) AS place FROM (SELECT chr, pos, dir, cast(coalesce(t.cnt, 0) AS bigint) AS target_cnt, cast(coalesce(c.cnt, 0) AS bigint) AS control_cnt FROM (SELECT kmer, cnt FROM kc WHERE sample = 'target') t FULL JOIN (SELECT kmer, cnt FROM kc WHERE sample = 'control') c USING (kmer) JOIN r20 USING (kmer)) z WHERE pos <= 2000",
+    "cnv_sorted": "SELECT chr, pos, dir, target_cnt, control_cnt, row_number() OVER (ORDER BY coalesce(try_cast(chr AS int), 0), pos, chr, dir) AS place FROM (SELECT chr, pos, dir, cast(coalesce(t.cnt, 0) AS bigint) AS target_cnt, cast(coalesce(c.cnt, 0) AS bigint) AS control_cnt FROM (SELECT kmer, cnt FROM kc WHERE sample = 'target') t FULL JOIN (SELECT kmer, cnt FROM kc WHERE sample = 'control') c USING (kmer) JOIN r20 USING (kmer)) z",
     "clip_reads": "SELECT sample, id, substr(seq, k * 30 + 1, 30) AS seq FROM (SELECT sample, id, seq, unnest(range(0, length(seq) // 30)) AS k FROM reads WHERE seq NOT LIKE '%N%' AND length(seq) >= 30) x",
     "auto_clip": "SELECT sample, cast(CASE WHEN count(*) > 1 THEN CASE WHEN max(length) FILTER (WHERE percent >= 90) > 200 THEN floor(max(length) FILTER (WHERE percent >= 90) / floor(max(length) FILTER (WHERE percent >= 90) / 100)) ELSE greatest(75, max(length) FILTER (WHERE percent >= 90)) END END AS bigint) AS clip FROM lh GROUP BY sample",
     "length_histogram": "SELECT sample, length, count, percent FROM lh",

@@ -5,28 +5,29 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import cached_property
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from helixframe.operators import align, kmer, primer, reads, reference, tools, vcf, verify
-from helixframe.plans.fixtures import tables
+from helixframe.functions.seq import K, with_text
+from helixframe.plans.fixtures import LENGTH, tables
 from helixframe.plans.oracle import ORACLES
 
 FLAGSHIP = "snp_genotypes"
 TARGET, CONTROL = "target", "control"
-#: Reads of the fixture have one length.
-LENGTH = 100
+#: Reads longer than half of what chunks run on for: windows over their variants take wider chunks.
+LONG = 600
 
 
 class Run:
     """The plan of one folder; every step is a lazy DataFrame built once."""
 
-    def __init__(self, spark: SparkSession, sf_dir: str):
-        self.spark, self.sf_dir = spark, sf_dir
+    def __init__(self, spark: SparkSession, sf_dir: str, length: int = LENGTH):
+        self.spark, self.sf_dir, self.length = spark, sf_dir, length
 
     @cached_property
     def _tables(self) -> tuple[DataFrame, DataFrame]:
-        return tables(self.spark, self.sf_dir)
+        return tables(self.spark, self.sf_dir, self.length)
 
     @cached_property
     def reads(self) -> DataFrame:
@@ -74,7 +75,7 @@ class Run:
 
     @cached_property
     def headed(self) -> DataFrame:
-        return align.with_head(self.pairs, self.chunks)
+        return align.with_head(self.pairs, self.chunks, self.length)
 
     @cached_property
     def snps(self) -> DataFrame:
@@ -86,23 +87,23 @@ class Run:
 
     @cached_property
     def events(self) -> DataFrame:
-        return align.sv_junctions(self.headed, self.chunks)
+        return align.sv_junctions(self.headed, self.chunks, self.length)
 
     @cached_property
     def bi_snp(self) -> DataFrame:
-        return verify.snp_genotypes(self.support, self.chunks, self.uniq, TARGET, CONTROL, LENGTH, LENGTH)
+        return verify.snp_genotypes(self.support, self.chunks, self.uniq, TARGET, CONTROL, self.length, self.length)
 
     @cached_property
     def sv(self) -> DataFrame:
-        return verify.sv_genotypes(self.events, self.chunks, self.uniq, TARGET, CONTROL, LENGTH, LENGTH)
+        return verify.sv_genotypes(self.events, self.chunks, self.uniq, TARGET, CONTROL, self.length, self.length)
 
     @cached_property
     def kmer_snp(self) -> DataFrame:
-        return verify.kmer_genotypes(self.mapped, self.chunks, self.uniq, TARGET, CONTROL, LENGTH, LENGTH)
+        return verify.kmer_genotypes(self.mapped, self.chunks, self.uniq, TARGET, CONTROL, self.length, self.length)
 
     @cached_property
     def probes(self) -> DataFrame:
-        return verify.snp_probes(verify.linked_snps(self.support, LENGTH), self.chunks, LENGTH, {TARGET: "t"})
+        return verify.snp_probes(verify.linked_snps(self.support, self.length), self.chunks, self.length, {TARGET: "t"})
 
     @cached_property
     def uneven(self) -> DataFrame:
@@ -117,24 +118,22 @@ def _genotype_matrix(r: Run) -> DataFrame:
 
 
 def _cnv_sorted(r: Run) -> DataFrame:
-    """The global order of copy numbers, shown by each row's place in the first 2,000 bases of every chromosome."""
-    found = kmer.cnv_sorted(kmer.cnv_counts(r.counts, r.ref20, TARGET, CONTROL).where("pos <= 2000"))
-    order = Window.orderBy(*kmer.cnv_order())
-    return found.withColumn("place", F.row_number().over(order).cast("long"))
+    """All copy numbers with their places in the global order."""
+    return kmer.cnv_sorted(kmer.cnv_counts(r.counts, r.ref20, TARGET, CONTROL))
 
 
 PLANS: dict[str, Callable[[Run], DataFrame]] = {
     "reads_uniq": lambda r: r.uniq,
-    "kmer_count": lambda r: r.counts,
-    "ref_kmers": lambda r: reference.ref_kmers(r.chunks),
-    "ref20_unique": lambda r: r.ref20,
+    "kmer_count": lambda r: with_text(r.counts, "code", "kmer"),
+    "ref_kmers": lambda r: with_text(reference.ref_kmers(r.chunks), "code", "kmer"),
+    "ref20_unique": lambda r: with_text(r.ref20, "code", "kmer"),
     "ref_control_reads": lambda r: reference.control_reads(r.chunks, "ref"),
-    "last_base_pivot": lambda r: r.lbc,
-    "kmer_join": lambda r: r.joined,
-    "kmer_edges": lambda r: r.edges,
+    "last_base_pivot": lambda r: with_text(r.lbc, "prefix19", "prefix19", K - 1),
+    "kmer_join": lambda r: with_text(r.joined, "prefix19", "prefix19", K - 1),
+    "kmer_edges": lambda r: with_text(r.edges, "prefix19", "prefix19", K - 1),
     "kmer_map": lambda r: r.mapped,
     "cnv_counts": lambda r: kmer.cnv_counts(r.counts, r.ref20, TARGET, CONTROL),
-    "head_seed_map": lambda r: r.heads,
+    "head_seed_map": lambda r: r.heads.drop("tail"),
     "seed_pairs": lambda r: r.pairs,
     "align_snps": lambda r: r.snps,
     "snp_read_support": lambda r: r.support,

@@ -65,7 +65,7 @@ class Engine:
         return self.spark.read.parquet(path)
 
     def chunks(self) -> DataFrame:
-        return self.once("ref_chunks", lambda: reference.ref_chunks(files.read_fasta(self.spark, self.o.ref, self.o.chromosomes)))
+        return self.once("ref_chunks", lambda: files.read_genome(self.spark, self.o.ref, self.o.chromosomes))
 
     def ref20(self) -> DataFrame:
         return self.once("ref20", lambda: reference.ref20_unique(self.chunks()))
@@ -92,7 +92,7 @@ class Engine:
 
     def _text(self, df: DataFrame, name: str, order: list, header: list[str] = ()) -> str:
         path = f"{self.o.out.rstrip('/')}/{name}"
-        files.write_text(df, path, df.columns, order, header)
+        files.write_lines(df, path, df.columns, order, header)
         return path
 
     def _vcf(self, df: DataFrame, name: str) -> str:

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import bz2
-import gzip
 import lzma
 from collections.abc import Iterator
 
@@ -11,15 +9,23 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from helixframe.functions.seq import plain_chr
+from helixframe.functions.seq import chr_key, plain_chr
+from helixframe.operators.reference import CHUNK, OVERLAP, chunks_of, plain_bases
 
-_OPEN = {"gz": gzip.decompress, "bz2": bz2.decompress, "xz": lzma.decompress}
 #: Splits of plain files up to which their line counts are broadcast.
 SPLITS = 1_000_000
 
 
-def _decompressed(name: str, raw: bytes) -> bytes:
-    return _OPEN.get(name.rsplit(".", 1)[-1], bytes)(raw)
+def split_lines(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
+    """file, split (where it begins), id (ascending within a split) and value of every line of the text files (plain, gz, bz2) that match."""
+    reader = spark.read.option("recursiveFileLookup", "true")
+    lines = (reader.option("pathGlobFilter", glob) if glob else reader).text(path)
+    return lines.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("id"), "value")
+
+
+def _small(splits: DataFrame) -> DataFrame:
+    """A table of a row for each split, to be broadcast if there are not too many."""
+    return F.broadcast(splits) if splits.limit(SPLITS + 1).count() <= SPLITS else splits
 
 
 def numbered_lines(spark: SparkSession, path: str, glob: str) -> DataFrame:
@@ -28,13 +34,10 @@ def numbered_lines(spark: SparkSession, path: str, glob: str) -> DataFrame:
     A split counts its lines; the running sum over a file's splits, one row each, says where each begins. No file is one task unless its
     compression cannot be split.
     """
-    lines = spark.read.option("pathGlobFilter", glob).option("recursiveFileLookup", "true").text(path)
-    lines = lines.select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("id"))
+    lines = split_lines(spark, path, glob)
     splits = lines.groupBy("file", "split").agg(F.count("*").alias("count"), F.min("id").alias("least"))
     before = F.sum("count").over(Window.partitionBy("file").orderBy("split")) - F.col("count")
-    splits = splits.select("file", "split", "least", before.alias("before"))
-    if splits.limit(SPLITS + 1).count() <= SPLITS:
-        splits = F.broadcast(splits)
+    splits = _small(splits.select("file", "split", "least", before.alias("before")))
     return lines.join(splits, ["file", "split"]).select("file", (F.col("id") - F.col("least") + F.col("before")).alias("n"), "value")
 
 
@@ -60,32 +63,42 @@ def read_fastq(spark: SparkSession, path: str, sample: str) -> DataFrame:
     return text.unionByName(files.select("content").mapInPandas(run, "sample string, seq string"))
 
 
-def read_fasta(spark: SparkSession, path: str, names: list[str] | None = None, skip: str | None = None) -> DataFrame:
-    """chr and seq of FASTA files. Names come from the headers, or from ``names`` in order of the records, over all files in order of their paths.
+def fasta_pieces(spark: SparkSession, path: str, names: list[str] | None = None, skip: str | None = None) -> DataFrame:
+    """chr, at and seq of the lines of FASTA files (plain, gz, bz2): each line's bases and their 0-based place in the chromosome.
 
-    Sequences are upper-cased, anything but A, C, G, T becomes N. ``skip``: a pattern of names to leave out; "NOP" always is.
+    Files are read by splits, so neither a file nor a chromosome is ever one row. A line's record and place are running counts within its split; a
+    row for each split carries on the number of records, and of bases since the last header, from the splits before. Names come
+    from the headers, or from ``names`` in order of the records, over all files in order of their paths; records beyond the names are left out. Bases are
+    upper-cased, anything but A, C, G, T becomes N; what stands before the first header is left out. ``skip``: a pattern of names to leave out; "NOP" always is.
     """
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for name, raw in zip(batch["path"], batch["content"], strict=True):
-                rows: list[tuple[str, str, int, str]] = []
-                for i, record in enumerate(("\n" + _decompressed(name, bytes(raw)).decode("ascii", "replace")).split("\n>")[1:]):
-                    header, _, body = record.partition("\n")
-                    rows.append((name, header, i, "".join(body.split())))
-                yield pd.DataFrame(rows, columns=["path", "header", "i", "body"])
-
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
-    records = files.mapInPandas(run, "path string, header string, i int, body string")
-    if names is not None:
-        # One row for each record, without its body.
-        order = records.select("path", "i").withColumn("k", F.row_number().over(Window.orderBy("path", "i")) - 1)
-        listed = spark.createDataFrame(list(enumerate(names)), "k int, chr string").join(order, "k").drop("k")
-        named = records.join(F.broadcast(listed), ["path", "i"])
+    lines = split_lines(spark, path).withColumn("header", F.col("value").startswith(">"))
+    lines = lines.withColumn("seq", F.when(F.col("header"), "").otherwise(F.regexp_replace("value", r"\s", "")))
+    # Both windows are dealt by file and split: one shuffle of the lines.
+    order = Window.partitionBy("file", "split").orderBy("id")
+    lines = lines.withColumn("record", F.sum(F.col("header").cast("long")).over(order))
+    inside = F.sum(F.length("seq").cast("long")).over(Window.partitionBy("file", "split", "record").orderBy("id"))
+    lines = lines.withColumn("at", inside - F.length("seq"))
+    ends = lines.groupBy("file", "split").agg(F.max("record").alias("records"), F.max_by(F.col("at") + F.length("seq"), "id").alias("tail"))
+    file = Window.partitionBy("file").orderBy("split")
+    ends = ends.withColumn("run", F.sum((F.col("records") > 0).cast("long")).over(file))
+    ends = ends.withColumn("open", F.sum("tail").over(Window.partitionBy("file", "run").orderBy("split")))
+    # A row for each split of the genome's files.
+    ends = ends.select("file", "split", F.coalesce(F.lag("open").over(file), F.lit(0)).alias("carried"), (F.sum("records").over(Window.orderBy("file", "split")) - F.col("records")).alias("before"), (F.sum("records").over(file) - F.col("records")).alias("own"))
+    at = F.col("at") + F.when(F.col("record") == 0, F.col("carried")).otherwise(F.lit(0))
+    placed = lines.join(_small(ends), ["file", "split"]).where(F.col("own") + F.col("record") > 0).select((F.col("before") + F.col("record")).alias("record"), at.alias("at"), "header", "value", "seq")
+    if names is None:
+        named = placed.where("header").select("record", plain_chr(F.col("value")).alias("chr"))
     else:
-        named = records.withColumn("chr", plain_chr(F.col("header")))
-    out = named.where("chr <> 'NOP'").select("chr", F.regexp_replace(F.upper("body"), "[^ACGT]", "N").alias("seq"))
-    return out.where(~F.col("chr").rlike(skip)) if skip else out
+        named = spark.createDataFrame([(i + 1, n) for i, n in enumerate(names)] or [(0, "")], "record long, chr string")
+    named = named.where("chr <> 'NOP'")
+    named = named.where(~F.col("chr").rlike(skip)) if skip else named
+    # A row for each sequence.
+    return placed.where("seq <> ''").join(_small(named), "record").select("chr", "at", plain_bases(F.col("seq")).alias("seq"))
+
+
+def read_genome(spark: SparkSession, path: str, names: list[str] | None = None, skip: str | None = None, overlap: int = OVERLAP) -> DataFrame:
+    """The overlapping chunks of a genome in FASTA files; see ``fasta_pieces``."""
+    return chunks_of(fasta_pieces(spark, path, names, skip), overlap)
 
 
 def read_catalog(spark: SparkSession, path: str) -> DataFrame:
@@ -104,18 +117,21 @@ def chromosome_names(catalog: DataFrame, name: str) -> list[str]:
     return numbers + [n for n in names if n]
 
 
-def discovered_chromosomes(ref: DataFrame) -> DataFrame:
-    """Names found in a reference, for genomes that the catalog does not list."""
-    return ref.select("chr").where("chr <> 'NOP'").distinct()
+def discovered_chromosomes(chunks: DataFrame) -> list[str]:
+    """Names found in a genome, in order, for genomes that the catalog does not list."""
+    return [r["chr"] for r in chunks.select("chr").distinct().orderBy(chr_key(F.col("chr")), "chr").collect()]
 
 
-def write_text(df: DataFrame, path: str, columns: list[str], order: list, header: list[str] = ()) -> None:
-    """A sorted tab-separated text file in one part, with header lines; for reports, which are small."""
+def write_lines(df: DataFrame, path: str, columns: list[str], order: list, header: list[str] = ()) -> None:
+    """Tab-separated text in order: range partitions, sorted, one part file each, in the order of their names; header lines are a part before them.
+
+    Spark's adaptive execution joins small neighbouring ranges, so a small report has one part behind its header.
+    """
     text = F.concat_ws("\t", *[F.coalesce(F.col(c).cast("string"), F.lit("N")) for c in columns])
-    lines = df.orderBy(*order).select(text.alias("value")).coalesce(1)
+    lines = df.orderBy(*order).select(text.alias("value"))
     if header:
-        top = df.sparkSession.createDataFrame([(h,) for h in header], "value string").coalesce(1)
-        lines = top.union(lines).coalesce(1)
+        top = df.sparkSession.createDataFrame([(i, h) for i, h in enumerate(header)], "i int, value string").coalesce(1).sortWithinPartitions("i").select("value")
+        lines = top.union(lines)
     lines.write.mode("overwrite").text(path)
 
 
@@ -137,5 +153,8 @@ def vcf_header(reference: str, control: str) -> list[str]:
     return [*lines, "\t".join(["#CHROM", "POS", "ID", "REF", "ALT", "QUAL", "FILTER", "INFO", "FORMAT", "SAMPLE"])]
 
 
-def write_fasta(ref: DataFrame, path: str) -> None:
-    ref.where("chr <> 'NOP'").select(F.concat(F.lit(">"), "chr", F.lit("\n"), "seq").alias("value")).write.mode("overwrite").text(path)
+def write_fasta(chunks: DataFrame, path: str) -> None:
+    """A genome's chunks as FASTA: a header for each chromosome, then a line for each chunk, in range partitions as ``write_lines`` makes them."""
+    own = F.substring("seq", 1, CHUNK)
+    text = F.when(F.col("chunk_id") == 0, F.concat(F.lit(">"), "chr", F.lit("\n"), own)).otherwise(own)
+    chunks.orderBy(chr_key(F.col("chr")), "chr", "chunk_id").select(text.alias("value")).write.mode("overwrite").text(path)

@@ -24,6 +24,15 @@ def genome(n, seed=1):
     return "".join(rng.choice("ACGT") for _ in range(n))
 
 
+def genome_of(chunks):
+    """Chromosomes from their chunks."""
+    parts = {}
+    for r in sorted(chunks.collect(), key=lambda r: (r["chr"], r["chunk_id"])):
+        assert r["start0"] == r["chunk_id"] * reference.CHUNK == len(parts.get(r["chr"], ""))
+        parts[r["chr"]] = parts.get(r["chr"], "") + r["seq"][: reference.CHUNK]
+    return parts
+
+
 def frame(spark, rows, schema):
     return spark.createDataFrame(rows, schema)
 
@@ -68,7 +77,7 @@ def test_unique_kmers_and_chunks(spark):
     text = genome(9000) + "N" + genome(40, 2) + "acgt"
     ref = frame(spark, [("1", text), ("NOP", "ACGT")], "chr string, seq string")
     chunks = reference.ref_chunks(ref)
-    got = {r["kmer"]: (r["chr"], r["pos"], r["dir"]) for r in reference.ref20_unique(chunks).collect()}
+    got = {r["kmer"]: (r["chr"], r["pos"], r["dir"]) for r in seq.with_text(reference.ref20_unique(chunks), "code", "kmer").collect()}
     up, want = text.upper(), {}
     for i in range(len(up) - 19):
         w = up[i : i + 20]
@@ -225,7 +234,7 @@ def test_fastq_cut_at_many_places(spark, tmp_path):
 def test_catalog_names_run_on_over_several_files(spark, tmp_path):
     (tmp_path / "1.fa").write_text(">x\nAC\n>y\nGG\n")
     (tmp_path / "2.fa").write_text(">z\nTT\n>w\nCC\n")
-    assert {r["chr"]: r["seq"] for r in files.read_fasta(spark, str(tmp_path), ["I", "NOP", "III"]).collect()} == {"I": "AC", "III": "TT"}
+    assert genome_of(files.read_genome(spark, str(tmp_path), ["I", "NOP", "III"])) == {"I": "AC", "III": "TT"}
 
 
 def test_a_product_counts_from_a_primers_first_place():
@@ -305,8 +314,8 @@ def test_whole_kmer_and_copy_number_runs(spark, samples, tmp_path):
 def test_fasta_and_catalog(spark, tmp_path):
     (tmp_path / "g.fa").write_text(">chr01 first\nacgt\nRYGT\n>chr2\nAC\n>extra\nGG\n")
     (tmp_path / "catalog").write_text("# comment\n\nG\tdescription\tx\nG\tchromosome\t1\t2\tX\tNOP\nW\tchromosome\t0\t0\tI\tII\n")
-    assert {r["chr"]: r["seq"] for r in files.read_fasta(spark, str(tmp_path / "g.fa")).collect()} == {"1": "ACGTNNGT", "2": "AC", "extra": "GG"}
-    assert {r["chr"]: r["seq"] for r in files.read_fasta(spark, str(tmp_path / "g.fa"), ["I", "NOP"]).collect()} == {"I": "ACGTNNGT"}
+    assert genome_of(files.read_genome(spark, str(tmp_path / "g.fa"))) == {"1": "ACGTNNGT", "2": "AC", "extra": "GG"}
+    assert genome_of(files.read_genome(spark, str(tmp_path / "g.fa"), ["I", "NOP"])) == {"I": "ACGTNNGT"}
     catalog = files.read_catalog(spark, str(tmp_path / "catalog"))
     assert files.chromosome_names(catalog, "G") == ["1", "2", "X", "NOP"]
     assert files.chromosome_names(catalog, "W") == ["I", "II"]
