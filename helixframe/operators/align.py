@@ -49,11 +49,16 @@ def _base(text: str, i: Column) -> Column:
     return F.substring(text, i + 1, F.lit(1))
 
 
+def matched(headed: DataFrame, most: int = 5) -> DataFrame:
+    """Collinear reads with ``at``, the places (0-based, in the read) of their 1 to ``most`` mismatches between the margins."""
+    inside = lambda i: (i >= F.col("m")) & (i < F.length("seq") - F.col("m"))
+    found = headed.where(collinear()).withColumn("all", mismatches("seq", "head")).withColumn("at", F.filter("all", inside))
+    return found.where(F.size("at").between(1, most)).drop("all")
+
+
 def align_snps(headed: DataFrame, most: int = 5) -> DataFrame:
     """seq, m, chr, pos, ref, alt of mismatches between the margins of collinear reads that have 1 to ``most`` of them."""
-    inside = lambda i: (i >= F.col("m")) & (i < F.length("seq") - F.col("m"))
-    found = headed.where(collinear()).withColumn("all", mismatches("seq", "head")).withColumn("at", F.filter("all", inside)).where(F.size("at").between(1, most))
-    one = found.select("seq", "m", "hchr", "head_pos", "head", F.explode("at").alias("i"))
+    one = matched(headed, most).select("seq", "m", "hchr", "head_pos", "head", F.explode("at").alias("i"))
     return one.select("seq", "m", F.col("hchr").alias("chr"), (F.col("head_pos") + F.col("i") - F.col("m")).alias("pos"), _base("head", F.col("i")).alias("ref"), _base("seq", F.col("i")).alias("alt"))
 
 
@@ -106,18 +111,38 @@ def sv_support(events: DataFrame) -> DataFrame:
     return events.select(*EVENT, "seq").distinct().groupBy(*EVENT).agg(F.count("*").alias("cnt"))
 
 
-def render_snp(snps: DataFrame) -> DataFrame:
-    """Header line of each SNP: "# chr pos snp ref alt"."""
-    return snps.select("chr", "pos", F.concat_ws(" ", F.lit("#"), "chr", F.col("pos").cast("string"), F.lit("snp"), "ref", "alt").alias("line"))
+def _bars(window: str) -> Column:
+    """A mark for each base that equals the window's, a space for each other."""
+    return F.array_join(F.zip_with(F.split("seq", ""), F.split(window, ""), lambda a, b: F.when(a == b, "|").otherwise(" ")), "")
+
 
+def snp_records(headed: DataFrame, most: int = 5) -> DataFrame:
+    """chr, places (of the SNPs) and line (the text) of each read with SNPs: a header for each SNP, the reference, marks, the read."""
+    place = lambda i: F.col("head_pos") + i - F.col("m")
+    header = lambda i: F.concat_ws(" ", F.lit("#"), "hchr", place(i).cast("string"), F.lit("snp"), _base("head", i), _base("seq", i))
+    text = F.concat_ws("\n", F.array_join(F.transform("at", header), "\n"), "head", _bars("head"), "seq")
+    return matched(headed, most).select(F.col("hchr").alias("chr"), F.transform("at", place).alias("places"), text.alias("line")).distinct()
 
-def render_sv(events: DataFrame) -> DataFrame:
-    """Text of each event: header, head reference, marks, read, marks, tail reference."""
-    bars = lambda w: F.array_join(F.transform(_mismatches(w), lambda x: F.when(x == 1, " ").otherwise("|")), "")
+
+def sv_records(events: DataFrame) -> DataFrame:
+    """chr, places (the head junction) and line of each event and read: header, head reference, marks, read, marks, tail reference."""
     header = F.concat_ws(" ", F.lit("#"), "hchr", F.col("hpos").cast("string"), "tchr", F.col("tpos").cast("string"), "dir", "type", F.coalesce(F.col("size").cast("string"), F.lit("")))
-    return events.select(F.col("hchr").alias("chr"), F.col("hpos").alias("pos"), F.concat_ws("\n", header, "head", bars("head"), "seq", bars("tail"), "tail").alias("line"))
+    text = F.concat_ws("\n", header, "head", _bars("head"), "seq", _bars("tail"), "tail")
+    return events.select(F.col("hchr").alias("chr"), F.array("hpos").alias("places"), text.alias("line")).distinct()
+
+
+def by_place(records: DataFrame) -> DataFrame:
+    """chr, pos and line: a row for each variant that a record shows."""
+    return records.select("chr", F.explode("places").alias("pos"), "line")
+
+
+def write_search_table(records: DataFrame, path: str, rows: int = 20_000) -> None:
+    """The records by place, in ranges of (chr, pos), sorted and in small row groups, so that a lookup reads few of them."""
+    placed = by_place(records)
+    sorted_ = placed.repartitionByRange("chr", "pos").sortWithinPartitions("chr", "pos", "line")
+    sorted_.write.mode("overwrite").option("parquet.block.row.count.limit", str(rows)).parquet(path)
 
 
-def search_alignment(rendered: DataFrame, chr_: str, pos: int) -> DataFrame:
-    """Distinct alignment texts at a position."""
-    return rendered.where((F.col("chr") == chr_) & (F.col("pos") == pos)).distinct()
+def search_alignment(placed: DataFrame, chr_: str, pos: int) -> DataFrame:
+    """Distinct records at a place. Both conditions reach the scan of a table that ``write_search_table`` made."""
+    return placed.where((F.col("chr") == chr_) & (F.col("pos") == pos)).distinct()

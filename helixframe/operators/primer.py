@@ -2,17 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from helixframe.functions.seq import K, revcomp, windows
+from helixframe.operators.align import computed
 from helixframe.operators.reference import with_window
 
 FLANK, GC = 250, 11
-_TURN = str.maketrans("ACGT", "TGCA")
 
 
 def snp_regions(bi_snp: DataFrame, chunks: DataFrame) -> DataFrame:
@@ -32,62 +29,57 @@ def sv_regions(sv: DataFrame, chunks: DataFrame) -> DataFrame:
 def primer_candidates(regions: DataFrame, keys: list[str]) -> DataFrame:
     """keys, side (left or right), i and primer: 20-mers with 11 bases that are not A or T, right ones turned."""
     wins = windows(regions.select(*keys, F.col("region").alias("seq")), keys, K)
-    strong = F.length(F.regexp_replace("win", "[AT]", "")) == GC
+    strong = F.length(F.translate("win", "AT", "")) == GC
     left, right = F.col("i") < FLANK - K, F.col("i").between(FLANK, 2 * FLANK - K - 1)
     return wins.where(strong & (left | right)).select(*keys, F.when(left, "left").otherwise("right").alias("side"), F.col("i").cast("long").alias("i"), F.when(left, F.col("win")).otherwise(revcomp(F.col("win"))).alias("primer"))
 
 
-def dimer(left: str, right: str) -> bool:
-    """Whether the ends of two primers pair: of their last i bases, 3 to 19, at least i - 1 are complementary."""
-    turned = right[::-1].translate(_TURN)
-    return any(sum(a == b for a, b in zip(left[K - i :], turned[:i], strict=True)) >= i - 1 for i in range(3, K))
+def _strong(text: str, starts: Column) -> Column:
+    """Structs (w, at) of the 20-mers with 11 bases that are not A or T, in the order of their starts."""
+    words = F.transform(starts, lambda i: F.substring(text, i + 1, F.lit(K)))
+    return F.filter(words, lambda w: (F.length(w) == K) & (F.length(F.translate(w, "AT", "")) == GC))
 
 
-def _strong(seq: str, start: int) -> list[str]:
-    return [w for w in (seq[i : i + K] for i in range(start, start + FLANK - K)) if len(w) == K and sum(b not in "AT" for b in w) == GC]
+def dimer(left: Column, turned: Column) -> Column:
+    """Whether the ends of two primers pair: of their last i bases, 3 to 19, at least i - 1 are complementary. ``turned``: the right one's reverse complement."""
+    base = lambda s, at: F.substring(s, at, F.lit(1))
+    alike = lambda i: F.size(F.filter(F.sequence(F.lit(1), i), lambda j: base(left, K - i + j) == base(turned, j)))
+    return F.exists(F.sequence(F.lit(3), F.lit(K - 1)), lambda i: alike(i) >= i - 1)
 
 
-def best_pair(head: str, tail: str, inside: int, region: str | None = None) -> tuple[str, str, int] | None:
-    """The pair of the shortest product of 70 bases or more, after at most three improvements.
+def primer_pairs(regions: DataFrame, structural: bool = False) -> DataFrame:
+    """The rows with left, right, length and context; N where there is no pair.
 
-    Lefts come from the nearest to the farthest, rights in order; ``head`` and ``tail`` are the 250 bases on
-    either side, ``inside`` what lies between them in the product. A primer is placed where it first occurs, in its half or, if ``region`` is given,
-    in all of that.
+    Lefts from the nearest to the farthest, rights in order, are folded with the best pair so far as the state: a pair takes its place if its product is
+    shorter, has 70 bases or more and is no dimer, three times at most. A primer is placed where it first occurs, in its half of a structural variant or in all of a
+    SNP's region.
     """
-    place = (lambda w, half, at: region.index(w) - at) if region else (lambda w, half, at: half.index(w))
-    best, improved = None, 0
-    rights = _strong(tail, 0)
-    for left in reversed(_strong(head, 0)):
-        for right in rights:
-            turned = right[::-1].translate(_TURN)
-            length = FLANK - place(left, head, 0) + place(right, tail, FLANK) + inside
-            if length < 70 or best and length >= best[2] or dimer(left, turned):
-                continue
-            best, improved = (left, turned, length), improved + 1
-            if improved == 3:
-                return best
-    return best
-
-
-def primer_pairs(regions: DataFrame, structural: bool = False) -> DataFrame:
-    """The rows with left, right, length and context; N where there is no pair."""
     columns = [c for c in regions.columns if c not in ("region", "head", "tail")]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in regions.select(*columns).schema) + ", `left` string, `right` string, length string, context string"
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            found = []
-            for row in batch.to_dict("records"):
-                if structural:
-                    head, tail, inside = row["head"], row["tail"], len(row["inside"] or "")
-                    context = f"{head[FLANK - K - 1 : FLANK - 1]} {tail[:K]}"
-                else:
-                    # A product over a SNP counts its region as it stands; its right end lies 20 bases behind the right start.
-                    head, tail, inside = row["region"][:FLANK], row["region"][FLANK:], K
-                    context = f"{row['region'][99:249]}[{row['alt']}/{row['ref']}]{row['region'][250:399]}"
-                pair = best_pair(head, tail, inside, None if structural else row["region"])
-                found.append((pair[0], pair[1], str(pair[2]), context) if pair else ("N",) * 4)
-            new = pd.DataFrame(found, columns=["left", "right", "length", "context"], index=batch.index)
-            yield pd.concat([batch[columns], new], axis=1)
-
-    return regions.mapInPandas(run, schema)
+    if structural:
+        context = F.concat(F.substring("head", FLANK - K, K), F.lit(" "), F.substring("tail", 1, K))
+        halves, inside = regions.withColumns({"_head": F.col("head"), "_tail": F.col("tail"), "_context": context}), F.coalesce(F.length("inside"), F.lit(0))
+    else:
+        # A product over a SNP counts its region as it stands; its right end lies 20 bases behind the right start.
+        context = F.concat(F.substring("region", 100, 150), F.lit("["), "alt", F.lit("/"), "ref", F.lit("]"), F.substring("region", 251, 149))
+        halves, inside = regions.withColumns({"_head": F.substring("region", 1, FLANK), "_tail": F.substring("region", FLANK + 1, FLANK), "_context": context}), F.lit(K)
+    at = lambda whole, half, w, start: (F.instr(half, w) if structural else F.instr(whole, w) - start) - 1
+    whole = F.col("_head") if structural else F.col("region")
+    place = lambda half, start: lambda w: F.struct(w.alias("w"), at(whole, F.col(half), w, start).alias("at"))
+    rows = halves.withColumns({
+        "_lefts": F.transform(_strong("_head", F.sequence(F.lit(FLANK - K - 1), F.lit(0), F.lit(-1))), place("_head", 0)),
+        "_rights": F.transform(_strong("_tail", F.sequence(F.lit(0), F.lit(FLANK - K - 1))), place("_tail", FLANK)),
+        "_inside": inside,
+    })
+    state = lambda left, right, size, n: F.struct(left.alias("left"), right.alias("right"), size.cast("int").alias("size"), n.cast("int").alias("n"))
+    none = F.lit(None).cast("string")
+
+    def better(best: Column, left: Column, right: Column) -> Column:
+        size = FLANK - left["at"] + right["at"] + F.col("_inside")
+        shorter = (best["n"] < 3) & (size >= 70) & (best["size"].isNull() | (size < best["size"]))
+        # The dearer test comes after the others.
+        return F.when(F.when(shorter, ~dimer(left["w"], right["w"])).otherwise(F.lit(False)), state(left["w"], right["w"], size, best["n"] + 1)).otherwise(best)
+
+    fold = F.aggregate("_lefts", state(none, none, F.lit(None), F.lit(0)), lambda best, left: F.when(best["n"] < 3, F.aggregate("_rights", best, lambda b, right: better(b, left, right))).otherwise(best))
+    rows = computed(rows, _best=fold)
+    given = lambda c: F.when(F.col("_best.n") > 0, c).otherwise("N")
+    return rows.select(*columns, given(F.col("_best.left")).alias("left"), given(revcomp(F.col("_best.right"))).alias("right"), given(F.col("_best.size").cast("string")).alias("length"), given(F.col("_context")).alias("context"))

@@ -10,6 +10,7 @@ from helixframe.operators.reference import with_window
 from helixframe.operators.verify import sv_representatives
 
 COLUMNS = ["chrom", "pos", "id", "ref", "alt", "qual", "filter", "info", "format", "sample"]
+INSERTION = ["hchr", "hpos", "tchr", "tpos", "type", "size"]
 SYMBOLIC = "<DEL>|<INS>|<INV>|BND"
 
 
@@ -69,10 +70,10 @@ def vcf_kmer(kmer_snp: DataFrame) -> DataFrame:
 
 
 def insert_sequences(events: DataFrame) -> DataFrame:
-    """hchr, hpos, tchr, tpos and insert: the anchor base and the inserted bases of one read, null if it ends before."""
-    one = sv_representatives(events).where("type = 'insertion'")
+    """The key of each insertion and ``insert``: the anchor base and the inserted bases of one of its own reads, null if that ends before."""
+    one = sv_representatives(events.where("type = 'insertion'"), INSERTION)
     text = F.substring("seq", F.col("hi"), F.col("size") + 1)
-    return one.select("hchr", "hpos", "tchr", "tpos", F.when(F.length(text) >= F.col("size"), text).alias("insert"))
+    return one.select(*INSERTION, F.when(F.length(text) >= F.col("size"), text).alias("insert"))
 
 
 def _placed(rows: DataFrame, chunks: DataFrame) -> tuple[DataFrame, Column, Column]:
@@ -100,7 +101,7 @@ def _placed(rows: DataFrame, chunks: DataFrame) -> tuple[DataFrame, Column, Colu
 
 def vcf_sv(sv: DataFrame, events: DataFrame, chunks: DataFrame, include_all: bool = False) -> DataFrame:
     """Verified structural variants; the record stands one base before the junction."""
-    rows = _reported(sv, include_all).join(insert_sequences(events), ["hchr", "hpos", "tchr", "tpos"], "left")
+    rows = _reported(sv, include_all).join(insert_sequences(events), INSERTION, "left")
     placed, alt, info = _placed(rows, chunks)
     return _record(placed, F.col("bases"), alt, F.concat(info, _primer_info(sv)), F.col("tw") + F.col("tm")).where("ref <> alt")
 
@@ -141,5 +142,5 @@ def vcf_count(support: DataFrame) -> DataFrame:
 def vcf_count_sv(support: DataFrame, events: DataFrame, chunks: DataFrame) -> DataFrame:
     """Structural variants of the highest support; type, end and length stay in INFO."""
     rows = support.crossJoin(F.broadcast(count_limit(support))).where("cnt >= limit")  # the limit is one row
-    placed, alt, info = _placed(rows.join(insert_sequences(events), ["hchr", "hpos", "tchr", "tpos"], "left"), chunks)
+    placed, alt, info = _placed(rows.join(insert_sequences(events), INSERTION, "left"), chunks)
     return _counted(placed, F.col("bases"), alt, info).where("ref <> alt")

@@ -102,9 +102,12 @@ def kmer_genotypes(mapped: DataFrame, chunks: DataFrame, uniq: DataFrame, target
     return far.join(verified.select("chr", "pos", "cw", "cm", "tw", "tm", "genotype"), ["chr", "pos"])
 
 
-def sv_representatives(events: DataFrame) -> DataFrame:
-    """One event per pair of junctions: first by direction, type, size as text, larger hi, read."""
-    order = Window.partitionBy("hchr", "hpos", "tchr", "tpos").orderBy("dir", "type", F.coalesce(F.col("size").cast("string"), F.lit("")), F.desc("hi"), "seq", "ti")
+JUNCTIONS = ["hchr", "hpos", "tchr", "tpos"]
+
+
+def sv_representatives(events: DataFrame, keys: list[str] = JUNCTIONS) -> DataFrame:
+    """One event per pair of junctions (or other keys): first by direction, type, size as text, larger hi, read."""
+    order = Window.partitionBy(*keys).orderBy("dir", "type", F.coalesce(F.col("size").cast("string"), F.lit("")), F.desc("hi"), "seq", "ti")
     return events.select("hchr", "hpos", "tchr", "tpos", "dir", "type", "size", "hi", "ti", "seq").distinct().withColumn("k", F.row_number().over(order)).where("k = 1").drop("k")
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from helixframe.plans.fixtures import fixture_sql
+from helixframe.plans.fixtures import LENGTH, fixture_sql, rearranged_sql, second_sql
 
 _RC = "translate(reverse({0}), 'ACGT', 'TGCA')"
 _rc = _RC.format
@@ -100,8 +100,9 @@ def _vcf(source: str, chr_: str, pos: str, ref: str, alt: str, info: str, dp_inf
 
 
 CTES["va"] = _vcf("gt", "chr", "pos", "ref", "alt", "''", "tw + tm") + " AND tm > 2"
-CTES["vi"] = "SELECT hchr, hpos, tchr, tpos, CASE WHEN length(substr(seq, hi, size + 1)) >= size THEN substr(seq, hi, size + 1) END AS ins FROM rp WHERE type = 'insertion'"
-CTES["vs0"] = "SELECT vg.*, ins, type = 'deletion' AND size > -80 AS short FROM vg LEFT JOIN vi USING (hchr, hpos, tchr, tpos)"
+CTES["vi"] = """SELECT hchr, hpos, tchr, tpos, type, size, CASE WHEN length(substr(seq, hi, size + 1)) >= size THEN substr(seq, hi, size + 1) END AS ins
+  FROM (SELECT *, row_number() OVER (PARTITION BY hchr, hpos, tchr, tpos, size ORDER BY dir, hi DESC, seq, ti) AS own FROM ev WHERE type = 'insertion') x WHERE own = 1"""
+CTES["vs0"] = "SELECT vg.*, ins, type = 'deletion' AND size > -80 AS short FROM vg LEFT JOIN vi USING (hchr, hpos, tchr, tpos, type, size)"
 CTES["vs1"] = "SELECT vs0.*, substr(s, hpos - 2 - k * 1000 + 1, CASE WHEN short THEN abs(size) + 1 ELSE 1 END) AS bases FROM vs0 JOIN ch ON chr = hchr AND k = (hpos - 2) // 1000"
 CTES["vs"] = "SELECT * FROM (" + _vcf(
     "vs1", "hchr", "hpos - 1", "bases",
@@ -112,11 +113,90 @@ CTES["vs"] = "SELECT * FROM (" + _vcf(
 CTES["ss"] = "SELECT hchr, hpos, tchr, tpos, dir, type, size, count(DISTINCT seq) AS cnt FROM ev GROUP BY ALL"
 CTES["cs"] = "SELECT min(cnt) AS lim, max(most) AS most FROM (SELECT cnt, cume_dist() OVER (ORDER BY cnt) AS cd, max(cnt) OVER () AS most FROM ss) x WHERE cd >= 0.999"
 CTES["cv"] = """SELECT * FROM (SELECT ss.*, lim, most, type = 'deletion' AND size > -80 AS short, substr(s, hpos - 2 - k * 1000 + 1, CASE WHEN type = 'deletion' AND size > -80 THEN abs(size) + 1 ELSE 1 END) AS bases
-  FROM ss JOIN cs ON cnt >= lim JOIN ch ON chr = hchr AND k = (hpos - 2) // 1000 WHERE hpos >= 2) x LEFT JOIN vi USING (hchr, hpos, tchr, tpos)"""
+  FROM ss JOIN cs ON cnt >= lim JOIN ch ON chr = hchr AND k = (hpos - 2) // 1000 WHERE hpos >= 2) x LEFT JOIN vi USING (hchr, hpos, tchr, tpos, type, size)"""
 CTES["cl"] = "SELECT min(cnt) AS lim, max(most) AS most FROM (SELECT cnt, cume_dist() OVER (ORDER BY cnt) AS cd, max(cnt) OVER () AS most FROM su) x WHERE cd >= 0.999"
 
 
-def _with(select: str) -> str:
+# Alignment records: SNPs by read, structural variants by event and read.
+_bars = "array_to_string(list_transform(range(1, n + 1), lambda i: CASE WHEN substr(seq, i, 1) = substr({0}, i, 1) THEN '|' ELSE ' ' END), '')".format
+CTES["rcs"] = f"""SELECT DISTINCT hchr AS chr, list_transform(mm, lambda i: head_pos + i - m) AS places,
+  array_to_string(list_transform(mm, lambda i: '# ' || hchr || ' ' || (head_pos + i - m) || ' snp ' || substr(head, i + 1, 1) || ' ' || substr(seq, i + 1, 1)), chr(10)) || chr(10) || head || chr(10) || {_bars('head')} || chr(10) || seq AS line
+  FROM sn0 WHERE len(mm) BETWEEN 1 AND 5"""
+CTES["rcv0"] = """SELECT *, head_pos + hi - m AS hpos, CASE tail_dir WHEN 'f' THEN tail_pos - n + ti + 20 + m ELSE tail_pos + n - ti - 20 - m END AS tpos,
+  CASE WHEN indel THEN CASE WHEN sz > 0 THEN 'insertion' ELSE 'deletion' END WHEN hchr = tchr THEN 'inversion' ELSE 'translocation' END AS type, CASE WHEN indel THEN sz END AS size FROM sv4"""
+CTES["rcv"] = f"""SELECT DISTINCT hchr AS chr, [hpos] AS places, '# ' || hchr || ' ' || hpos || ' ' || tchr || ' ' || tpos || ' ' || tail_dir || ' ' || type || ' ' || coalesce(cast(size AS varchar), '')
+  || chr(10) || head || chr(10) || {_bars('head')} || chr(10) || seq || chr(10) || {_bars('tail')} || chr(10) || tail AS line FROM rcv0"""
+CTES["rc"] = "SELECT chr, cast(unnest(places) AS bigint) AS pos, line FROM (SELECT * FROM rcs UNION ALL SELECT * FROM rcv) x"
+
+# Primers: pairs in order, those that are shorter than all before, at most the third of them.
+_dimer = "len(list_filter(range(3, 20), lambda i: len(list_filter(range(1, i + 1), lambda j: substr(l, 20 - i + j, 1) = substr(r, j, 1))) >= i - 1)) > 0"
+
+
+def _best(source: str, keys: str, length: str) -> dict[str, str]:
+    """SQL of the best pair of primers: ``source`` has keys, v (its number), hd and tl (both halves)."""
+    strong = "len(regexp_replace(w, '[AT]', '', 'g')) = 11"
+    side = lambda half, order: f"SELECT v, i, w, row_number() OVER (PARTITION BY v ORDER BY {order}) AS o FROM (SELECT v, i, substr({half}, i + 1, 20) AS w FROM (SELECT v, {half}, unnest(range(0, 230)) AS i FROM {source}) x) y WHERE {strong}"
+    return {
+        f"{source}l": side("hd", "i DESC"),
+        f"{source}r": side("tl", "i"),
+        f"{source}p": f"SELECT s.*, a.w AS l, b.w AS r, a.o AS oa, b.o AS ob, {length} AS size FROM {source} s JOIN {source}l a ON a.v = s.v JOIN {source}r b ON b.v = s.v",
+        f"{source}q": f"SELECT *, min(size) OVER (PARTITION BY v ORDER BY oa, ob ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS least FROM {source}p WHERE size >= 70 AND NOT ({_dimer})",
+        f"{source}b": f"SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY v ORDER BY size) AS last FROM (SELECT *, row_number() OVER (PARTITION BY v ORDER BY oa, ob) AS rec FROM {source}q WHERE least IS NULL OR size < least) x WHERE rec <= 3) y WHERE last = 1",
+        f"{source}o": f"SELECT {', '.join('s.' + k for k in keys.split(', '))}, coalesce(b.l, 'N') AS \"left\", coalesce({_rc('b.r')}, 'N') AS \"right\", coalesce(cast(b.size AS varchar), 'N') AS length, CASE WHEN b.v IS NULL THEN 'N' ELSE s.context END AS context FROM {source} s LEFT JOIN {source}b b ON b.v = s.v",
+    }
+
+
+CTES["ps"] = """SELECT row_number() OVER () AS v, *, substr(region, 1, 250) AS hd, substr(region, 251) AS tl, substr(region, 100, 150) || '[' || alt || '/' || ref || ']' || substr(region, 251, 149) AS context
+  FROM (SELECT gt.*, substr(s, pos - 250 - k * 1000 + 1, 500) AS region FROM gt JOIN ch ON ch.chr = gt.chr AND k = (pos - 250) // 1000 WHERE pos >= 250 AND genotype IN ('H', 'M')) x WHERE length(region) = 500"""
+CTES |= _best("ps", "chr, pos, ref, alt, cw, cm, tw, tm, genotype", "250 - (instr(region, a.w) - 1) + (instr(region, b.w) - 1 - 250) + 20")
+CTES["pv0"] = """SELECT *, CASE WHEN type IN ('insertion', 'deletion') THEN least(hpos, tpos) ELSE hpos END AS a, CASE WHEN type IN ('insertion', 'deletion') THEN greatest(hpos, tpos) ELSE tpos END AS b FROM vg WHERE genotype IN ('H', 'M')"""
+CTES["pv"] = f"""SELECT row_number() OVER () AS v, *, substr(hd, 230, 20) || ' ' || substr(tl, 1, 20) AS context FROM (
+  SELECT pv0.*, substr(c.s, a - 250 - c.k * 1000 + 1, 250) AS hd, CASE type WHEN 'inversion' THEN {_rc('substr(d.s, b - d.k * 1000 + 1, 250)')} ELSE substr(d.s, b - d.k * 1000 + 1, 250) END AS tl
+  FROM pv0 JOIN ch c ON c.chr = hchr AND c.k = (a - 250) // 1000 JOIN ch d ON d.chr = tchr AND d.k = b // 1000 WHERE a >= 250 AND b >= 0) x WHERE length(hd) = 250 AND length(tl) = 250"""
+CTES |= _best("pv", "hchr, hpos, tchr, tpos, dir, type, size, inside, cw, cm, tw, tm, genotype", "250 - (instr(hd, a.w) - 1) + (instr(tl, b.w) - 1) + coalesce(length(inside), 0)")
+
+_NAMED = r"\b(FROM|JOIN|SELECT) ({0})\b"
+
+
+def _uses(name: str, found: set[str]) -> bool:
+    return any(re.search(rf"\b(FROM|JOIN) {other}\b|, {other}\b", CTES[name]) for other in found)
+
+
+def _variant(suffix: str, reads: str | None, **numbers: str) -> None:
+    """The expressions again, with ``suffix``, over other reads (their SQL) or with other numbers in place of a read's length."""
+    found, base = {"reads"}, list(CTES)
+    while new := {n for n in base if n not in found and _uses(n, found)}:
+        found |= new
+    if reads:
+        CTES[f"reads{suffix}"] = reads
+    else:
+        found -= {"reads"}
+    own = "|".join(sorted(found, key=len, reverse=True))
+    for n in base:
+        if n in found:
+            text = re.sub(rf"\b(FROM|JOIN|SELECT) ({own})\b(?!\.)", rf"\1 \2{suffix}", CTES[n])
+            text = re.sub(rf"(?<![\w.'])({own})\.(?=[\w*])", rf"\1{suffix}.", text)
+            for old, other in numbers.items():
+                text = re.sub(rf"\b{old[1:]}\b", other, text) if n in ("li", "ww", "mu", "pr0", "gt") else text
+            CTES[n + suffix] = text
+
+
+_BASE = dict(CTES)
+_variant("_2", second_sql())
+_SECOND = dict(CTES)
+CTES.clear()
+CTES.update(_BASE)
+_variant("_3", f"SELECT * FROM reads UNION ALL {rearranged_sql()}")
+CTES.update(_SECOND)
+LONG = 600
+_FULL = dict(CTES)
+CTES.clear()
+CTES.update(_BASE)
+_variant("_l", None, n98=str(LONG - 2), n99=str(LONG - 1), n100=str(LONG), n101=str(LONG + 1), n199=str(2 * LONG - 1))
+CTES.update(_FULL)
+
+
+def _with(select: str, length: int = LENGTH) -> str:
     """The select behind the fixture and every expression that it needs, in order of definition."""
     needed, todo = set(), [select]
     while todo:
@@ -137,7 +217,7 @@ def _with(select: str) -> str:
     for name in CTES:
         if name in needed:
             place(name)
-    return fixture_sql() + "".join(f",\n{n} AS MATERIALIZED ({CTES[n]})" for n in order) + "\n" + select
+    return fixture_sql(length) + "".join(f",\n{n} AS MATERIALIZED ({CTES[n]})" for n in order) + "\n" + select
 
 
 _SELECTS = {
@@ -175,18 +255,24 @@ _SELECTS = {
       CASE type WHEN 'deletion' THEN 'SVTYPE=DEL;END=' || (tpos + 1) || ';SVLEN=' || size || ';' WHEN 'insertion' THEN 'SVTYPE=INS;END=' || (tpos + 1) || ';SVLEN=' || size || ';' WHEN 'inversion' THEN 'SVTYPE=INV;END=' || tpos || ';' ELSE 'SVTYPE=BND;' END
       || 'GT=' || CASE WHEN {_cut('cnt / most')} < 1 THEN '0/1' ELSE '1/1' END || ';AF=' || {_plain(_cut('cnt / most'))} || ';DP=' || cnt AS info, 'GT:DP' AS format,
       CASE WHEN {_cut('cnt / most')} < 1 THEN '0/1' ELSE '1/1' END || ':' || cnt AS sample FROM cv) y WHERE ref <> alt""",
-    "search_alignment_sv": """SELECT DISTINCT hchr AS chr, hpos AS pos, concat_ws(chr(10), '# ' || hchr || ' ' || hpos || ' ' || tchr || ' ' || tpos || ' ' || dir || ' ' || type || ' ' || coalesce(cast(size AS varchar), ''), head,
-      array_to_string(list_transform(hm, lambda x: CASE WHEN x = 1 THEN ' ' ELSE '|' END), ''), seq, array_to_string(list_transform(tm, lambda x: CASE WHEN x = 1 THEN ' ' ELSE '|' END), ''), tail) AS line
-      FROM (SELECT *, head_pos + hi - m AS hpos, CASE tail_dir WHEN 'f' THEN tail_pos - n + ti + 20 + m ELSE tail_pos + n - ti - 20 - m END AS tpos, tail_dir AS dir,
-            CASE WHEN indel THEN CASE WHEN sz > 0 THEN 'insertion' ELSE 'deletion' END WHEN hchr = tchr THEN 'inversion' ELSE 'translocation' END AS type, CASE WHEN indel THEN sz END AS size FROM sv4) z
-      WHERE hchr = '1' AND hpos = 2000""",
+    "search_alignment_sv": "SELECT DISTINCT chr, pos, line FROM rc WHERE chr = '1' AND pos = 2000 AND line NOT LIKE '% snp %'",
+    "alignment_records": "SELECT chr, pos, line FROM rc",
+    "rearranged_junctions": "SELECT seq, m, hchr, hpos, tchr, tpos, dir, type, size, hi, ti FROM ev_3",
+    "rearranged_genotypes": "SELECT hchr, hpos, tchr, tpos, dir, type, size, inside, cw, cm, tw, tm, genotype FROM vg_3",
+    "rearranged_vcf": "SELECT * FROM vs_3",
+    "long_read_snp_genotypes": "SELECT chr, pos, ref, alt, cw, cm, tw, tm, genotype FROM gt_l",
+    "primer_pairs": "SELECT * FROM pso",
+    "sv_primer_pairs": "SELECT * FROM pvo",
+    "sv_genotype_matrix": """SELECT hchr, hpos, tchr, tpos, type, size, coalesce(max(a), 'W') AS t1, coalesce(max(b), 'W') AS t2
+      FROM (SELECT hchr, hpos, tchr, tpos, type, size, genotype AS a, NULL AS b FROM vg_3 UNION ALL SELECT hchr, hpos, tchr, tpos, type, size, NULL, genotype FROM vg_2) x GROUP BY ALL""",
     "cnv_sorted": "SELECT chr, pos, dir, target_cnt, control_cnt, row_number() OVER (ORDER BY coalesce(try_cast(chr AS int), 0), pos, chr, dir) AS place FROM (SELECT chr, pos, dir, cast(coalesce(t.cnt, 0) AS bigint) AS target_cnt, cast(coalesce(c.cnt, 0) AS bigint) AS control_cnt FROM (SELECT kmer, cnt FROM kc WHERE sample = 'target') t FULL JOIN (SELECT kmer, cnt FROM kc WHERE sample = 'control') c USING (kmer) JOIN r20 USING (kmer)) z",
     "clip_reads": "SELECT sample, id, substr(seq, k * 30 + 1, 30) AS seq FROM (SELECT sample, id, seq, unnest(range(0, length(seq) // 30)) AS k FROM reads WHERE seq NOT LIKE '%N%' AND length(seq) >= 30) x",
     "auto_clip": "SELECT sample, cast(CASE WHEN count(*) > 1 THEN CASE WHEN max(length) FILTER (WHERE percent >= 90) > 200 THEN floor(max(length) FILTER (WHERE percent >= 90) / floor(max(length) FILTER (WHERE percent >= 90) / 100)) ELSE greatest(75, max(length) FILTER (WHERE percent >= 90)) END END AS bigint) AS clip FROM lh GROUP BY sample",
     "length_histogram": "SELECT sample, length, count, percent FROM lh",
-    "search_alignment": "SELECT DISTINCT chr, pos, '# ' || chr || ' ' || pos || ' snp ' || ref || ' ' || alt AS line FROM sn WHERE chr = '1' AND pos = 200",
-    "genotype_matrix": "SELECT chr, pos, ref, alt, genotype AS t1, CASE WHEN (pos // 100) % 2 = 0 THEN genotype ELSE 'W' END AS t2 FROM gt",
+    "search_alignment": "SELECT DISTINCT chr, pos, line FROM rc WHERE chr = '1' AND pos = 200 AND line LIKE '% snp %'",
+    "genotype_matrix": """SELECT chr, pos, ref, alt, coalesce(max(a), 'W') AS t1, coalesce(max(b), 'W') AS t2
+      FROM (SELECT chr, pos, ref, alt, genotype AS a, NULL AS b FROM gt UNION ALL SELECT chr, pos, ref, alt, NULL, genotype FROM gt_2) x GROUP BY ALL""",
     "primer_candidates": f"SELECT chr, pos, ref, alt, CASE WHEN i < 230 THEN 'left' ELSE 'right' END AS side, i, CASE WHEN i < 230 THEN w ELSE {_rc('w')} END AS primer FROM (SELECT chr, pos, ref, alt, i, substr(region, i + 1, 20) AS w FROM (SELECT *, unnest(list_concat(range(0, 230), range(250, 480))) AS i FROM rg) x) y WHERE length(regexp_replace(w, '[AT]', '', 'g')) = 11",
 }
 
-ORACLES = {name: _with(select) for name, select in _SELECTS.items()}
+ORACLES = {name: _with(select, LONG if name.startswith("long_read") else LENGTH) for name, select in _SELECTS.items()}

@@ -8,10 +8,11 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from helixframe.operators import align, kmer, primer, reads, reference, tools, vcf, verify
 from helixframe.functions.seq import K, with_text
+from helixframe.operators import align, kmer, primer, reads, reference, tools, vcf, verify
 from helixframe.plans.fixtures import LENGTH, tables
 from helixframe.plans.oracle import ORACLES
+from helixframe.sources.tables import stored
 
 FLAGSHIP = "snp_genotypes"
 TARGET, CONTROL = "target", "control"
@@ -22,12 +23,16 @@ LONG = 600
 class Run:
     """The plan of one folder; every step is a lazy DataFrame built once."""
 
-    def __init__(self, spark: SparkSession, sf_dir: str, length: int = LENGTH):
-        self.spark, self.sf_dir, self.length = spark, sf_dir, length
+    def __init__(self, spark: SparkSession, sf_dir: str, length: int = LENGTH, kind: str = "first"):
+        self.spark, self.sf_dir, self.length, self.kind = spark, sf_dir, length, kind
+
+    def other(self, length: int = LENGTH, kind: str = "first") -> Run:
+        """The plan of the same folder with other reads."""
+        return Run(self.spark, self.sf_dir, length, kind)
 
     @cached_property
     def _tables(self) -> tuple[DataFrame, DataFrame]:
-        return tables(self.spark, self.sf_dir, self.length)
+        return tables(self.spark, self.sf_dir, self.length, self.kind)
 
     @cached_property
     def reads(self) -> DataFrame:
@@ -75,7 +80,8 @@ class Run:
 
     @cached_property
     def headed(self) -> DataFrame:
-        return align.with_head(self.pairs, self.chunks, self.length)
+        """Stored, since several branches of a plan read it."""
+        return stored(align.with_head(self.pairs, self.chunks, self.length), "headed")
 
     @cached_property
     def snps(self) -> DataFrame:
@@ -112,9 +118,18 @@ class Run:
 
 
 def _genotype_matrix(r: Run) -> DataFrame:
-    """The target's genotypes beside those of its positions in even hundreds, as a second target."""
-    second = r.bi_snp.where(F.floor(F.col("pos") / 100) % 2 == 0)
-    return tools.genotype_matrix({"t1": r.bi_snp, "t2": second})
+    """SNPs of two targets side by side."""
+    return tools.genotype_matrix({"t1": r.bi_snp, "t2": r.other(kind="second").bi_snp})
+
+
+def _sv_genotype_matrix(r: Run) -> DataFrame:
+    """Structural variants of two targets side by side; the first has rearrangements that the second lacks."""
+    return tools.genotype_matrix({"t1": r.other(kind="rearranged").sv, "t2": r.other(kind="second").sv}, tools.SV_KEY)
+
+
+def _alignment_records(r: Run) -> DataFrame:
+    """All alignment records, SNPs and structural variants, by place."""
+    return align.by_place(align.snp_records(r.headed).unionByName(align.sv_records(r.events)))
 
 
 def _cnv_sorted(r: Run) -> DataFrame:
@@ -150,13 +165,19 @@ PLANS: dict[str, Callable[[Run], DataFrame]] = {
     "vcf_full": lambda r: vcf.full_vcf(vcf.vcf_snp(r.bi_snp), vcf.vcf_sv(r.sv, r.events, r.chunks)),
     "vcf_count": lambda r: vcf.vcf_count(r.support),
     "vcf_count_sv": lambda r: vcf.vcf_count_sv(align.sv_support(r.events), r.events, r.chunks),
-    "search_alignment_sv": lambda r: align.search_alignment(align.render_sv(r.events), "1", 2000),
+    "search_alignment_sv": lambda r: align.search_alignment(align.by_place(align.sv_records(r.events)), "1", 2000),
     "cnv_sorted": _cnv_sorted,
     "clip_reads": lambda r: reads.clip_reads(r.reads.select("sample", "id", "seq"), 30),
     "auto_clip": lambda r: reads.auto_clip(r.uneven),
     "length_histogram": lambda r: reads.length_histogram(r.uneven),
-    "search_alignment": lambda r: align.search_alignment(align.render_snp(r.snps), "1", 200),
+    "search_alignment": lambda r: align.search_alignment(align.by_place(align.snp_records(r.headed)), "1", 200),
     "genotype_matrix": _genotype_matrix,
+    "sv_genotype_matrix": _sv_genotype_matrix,
+    "alignment_records": _alignment_records,
+    "long_read_snp_genotypes": lambda r: r.other(LONG).bi_snp,
+    "rearranged_junctions": lambda r: r.other(kind="rearranged").events.drop("head", "tail"),
+    "rearranged_genotypes": lambda r: r.other(kind="rearranged").sv,
+    "rearranged_vcf": lambda r: (lambda o: vcf.vcf_sv(o.sv, o.events, o.chunks))(r.other(kind="rearranged")),
     "primer_candidates": lambda r: primer.primer_candidates(primer.snp_regions(r.bi_snp, r.chunks), ["chr", "pos", "ref", "alt"]),
     "primer_pairs": lambda r: primer.primer_pairs(primer.snp_regions(r.bi_snp, r.chunks)),
     "sv_primer_pairs": lambda r: primer.primer_pairs(primer.sv_regions(r.sv, r.chunks), structural=True),

@@ -3,6 +3,7 @@ import gzip
 import lzma
 import random
 
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -178,26 +179,136 @@ def test_genotype_matrix(spark):
     assert [(r["chr"], r["x"], r["y"]) for r in tools.genotype_matrix({"x": a, "y": b}).collect()] == [("2", "H", "M"), ("10", "M", "W")]
 
 
-@settings(max_examples=200, deadline=None)
-@given(st.text("ACGT", min_size=20, max_size=20), st.text("ACGT", min_size=20, max_size=20))
-def test_dimer_by_brute_force(left, right):
-    want = any(sum(left[20 - i + j] == rc(right[19 - j]) for j in range(i)) >= i - 1 for i in range(3, 20))
-    assert primer.dimer(left, right) == want
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.text("ACGTN", max_size=60), max_size=5), st.integers(1, 31))
+def test_packed_kmers_by_brute_force(texts, k):
+    code = lambda w: None if "N" in w else sum("ACGT".index(b) << 2 * i for i, b in enumerate(reversed(w)))
+    assert seq.packed(pa.array(texts, pa.string()), k).to_pylist() == [[code(t[i : i + k]) for i in range(len(t) - k + 1)] for t in texts]
+
+
+def test_codes_turn_and_are_spelled(spark):
+    texts = [genome(k, k) for k in (19, 20)] + ["A" * 20, "T" * 20, "ACGT" * 5]
+    for text in texts:
+        k = len(text)
+        df = frame(spark, [(seq.packed(pa.array([text]), k).to_pylist()[0][0],)], "code long")
+        assert tuple(df.select(seq.spelled(F.col("code"), k), seq.spelled(seq.turned(F.col("code"), k), k)).first()) == (text, rc(text))
+
+
+def best_pair(head, tail, inside, region=None):
+    """The pair of primers, one pair after the other."""
+    place = (lambda w, at: region.index(w) - at) if region else (lambda w, at: (tail if at else head).index(w))
+    strong = lambda s: [w for w in (s[i : i + 20] for i in range(230)) if sum(b not in "AT" for b in w) == 11]
+    best, n = None, 0
+    for left in reversed(strong(head)):
+        for right in strong(tail):
+            size = 250 - place(left, 0) + place(right, 250) + inside
+            pairs = any(sum(left[20 - i + j] == right[j] for j in range(i)) >= i - 1 for i in range(3, 20))
+            if n < 3 and not pairs and size >= 70 and (best is None or size < best[2]):
+                best, n = (left, rc(right), size), n + 1
+    return best
+
+
+def test_primer_pairs_by_brute_force(spark):
+    snps, svs = [], []
+    for i in range(12):
+        region = genome(500, i)
+        if i == 3:
+            region = region[250:270] + region[20:]  # a right primer may stand at the start too
+        if i == 4:
+            region = "AT" * 250
+        snps.append(("1", i, "A", "C", "H", region))
+        svs.append(("1", i, "ACGT"[: i % 4] or None, region[:250], region[250:]))
+    got = primer.primer_pairs(frame(spark, snps, "chr string, pos int, ref string, alt string, genotype string, region string")).collect()
+    for r in got:
+        region = snps[r["pos"]][5]
+        want = best_pair(region[:250], region[250:], 20, region)
+        assert (r["left"], r["right"], r["length"]) == ((want[0], want[1], str(want[2])) if want else ("N",) * 3)
+        assert r["context"] == (f"{region[99:249]}[C/A]{region[250:399]}" if want else "N")
+    assert {r["left"] == "N" for r in got} == {True, False}
+    for r in primer.primer_pairs(frame(spark, svs, "hchr string, hpos int, inside string, head string, tail string"), structural=True).collect():
+        _, i, inside, head, tail = svs[r["hpos"]]
+        want = best_pair(head, tail, len(inside or ""))
+        assert (r["left"], r["right"], r["length"], r["context"]) == ((want[0], want[1], str(want[2]), f"{head[229:249]} {tail[:20]}") if want else ("N",) * 4)
+
+
+@pytest.mark.parametrize("length", [150, 600, 3000])
+def test_no_variant_of_long_reads_is_lost(spark, length):
+    """Planted SNPs in a genome of several chunks, with windows that run over one or more of their ends."""
+    text = genome(16_000, length)
+    target, places = list(text), [p for p in (3900, 4095, 4100, 4300, 4601, 8150, 8300, 11_000) if p > length]
+    for p in places:
+        target[p] = "ACGT"["ACGT".index(text[p]) - 1]
+    target = "".join(target)
+    step = max(4, length // 40)
+    starts = sorted({s for p in places for s in range(max(0, p - length + 20), min(p - 15, 16_000 - length), step)})
+    rows = [("t", target[i : i + length]) for i in starts] + [("c", text[i : i + length]) for i in starts]
+    uniq = reads.both_strands(frame(spark, rows, "sample string, seq string").repartition(8))
+    chunks = reference.ref_chunks(frame(spark, [("1", text)], "chr string, seq string"))
+    ref20 = reference.ref20_unique(chunks)
+    headed = align.with_head(align.seed_pairs(align.head_seeds(uniq, ref20, "t"), ref20), chunks, length)
+    found = verify.snp_genotypes(align.snp_support(align.align_snps(headed)), chunks, uniq, "t", "c", length, length).collect()
+    assert {r["pos"] - 1: (r["ref"], r["alt"]) for r in found} == {p: (text[p], target[p]) for p in places if p + 1 >= length}
+    # Counts against the reads themselves.
+    t_reads = {s for n, s in rows if n == "t"}
+    for r in found:
+        p = r["pos"] - 1
+        wild = text[p - length + 1 : p + length]
+        assert r["tw"] == sum(wild[i : i + length] in t_reads for i in range(len(wild) - length + 1))
+
+
+def test_windows_over_several_chunks(spark):
+    text = genome(20_000, 6)
+    chunks = reference.ref_chunks(frame(spark, [("1", text)], "chr string, seq string"))
+    asked = [(o, n) for o in (0, 1, 4095, 4096, 5000, 9000, 14_999, 17_000) for n in (1, 1024, 1025, 3000, 5000, 9001)]
+    got = {(r["o"], r["n"]): r["w"] for r in reference.with_window(frame(spark, asked, "o int, n int").withColumn("chr", F.lit("1")), chunks, "chr", F.col("o"), F.col("n"), "w", 9001).collect()}
+    assert got == {(o, n): text[o : o + n] for o, n in asked if o + n <= 20_000}
+    with pytest.raises(Exception, match="a window of 1025 bases"):
+        reference.with_window(frame(spark, [("1", 0, 1025)], "chr string, o int, n int"), chunks, "chr", F.col("o"), F.col("n"), "w").collect()
+
+
+def test_ranks_of_the_whole_table(spark):
+    rng = random.Random(5)
+    rows = [(rng.choice(["1", "2", "10", "X", "Y"]), rng.randrange(400), rng.choice("fr"), i, 0) for i in range(3000)]
+    before = spark.conf.get("spark.sql.adaptive.enabled")
+    try:
+        for adaptive in ("true", "false"):
+            spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+            got = kmer.cnv_sorted(frame(spark, rows, "chr string, pos long, dir string, target_cnt long, control_cnt long").repartition(5)).collect()
+            key = lambda r: (int(r[0]) if r[0].isdigit() else 0, r[1], r[0], r[2])
+            assert sorted(r["place"] for r in got) == list(range(1, 3001))
+            assert [key(r) for r in sorted(got, key=lambda r: r["place"])] == sorted(map(key, rows))
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", before)
+
+
+def test_lines_are_written_in_order_by_many_tasks(spark, tmp_path):
+    rows = [(i, f"v{i}") for i in range(5000)]
+    random.Random(1).shuffle(rows)
+    before = spark.conf.get("spark.sql.adaptive.enabled")
+    try:
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        files.write_lines(frame(spark, rows, "i int, v string"), str(tmp_path / "x"), ["i", "v"], ["i"], ["#one", "#two"])
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", before)
+    parts = sorted((tmp_path / "x").glob("part-*"))
+    assert len(parts) == 5 and all(len(p.read_text().splitlines()) < 3000 for p in parts)
+    assert lines_of(tmp_path / "x") == ["#one", "#two", *[f"{i}\tv{i}" for i in range(5000)]]
+
 
+def test_a_lookup_reads_few_row_groups(spark, tmp_path):
+    import pyarrow.parquet as pq
 
-def test_primer_pair_by_brute_force():
-    for seed in range(5):
-        text = genome(500, seed)
-        head, tail = text[:250], text[250:]
-        strong = [w for w in (head[i : i + 20] for i in range(230)) if sum(b in "CG" for b in w) == 11]
-        rights = [w for w in (tail[i : i + 20] for i in range(230)) if sum(b in "CG" for b in w) == 11]
-        best, n = None, 0
-        for f in reversed(strong):
-            for r in rights:
-                size = 250 - head.index(f) + tail.index(r) + 20
-                if n < 3 and not primer.dimer(f, rc(r)) and size >= 70 and (best is None or size < best[2]):
-                    best, n = (f, rc(r), size), n + 1
-        assert primer.best_pair(head, tail, 20) == best
+    records = frame(spark, [(c, [p, p + 1], f"# {c} {p}") for c in ("1", "2") for p in range(0, 4000, 2)], "chr string, places array<long>, line string")
+    align.write_search_table(records, str(tmp_path / "s"), 500)
+    table = spark.read.parquet(str(tmp_path / "s"))
+    found = align.search_alignment(table, "2", 1235)
+    assert [r["line"] for r in found.collect()] == ["# 2 1234"]
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "EqualTo(chr,2)" in plan and "EqualTo(pos,1235)" in plan
+    groups = [f.metadata.row_group(i) for f in map(pq.ParquetFile, sorted((tmp_path / "s").glob("*.parquet"))) for i in range(f.metadata.num_row_groups)]
+    stats = [[g.column(k).statistics for k in (0, 1)] for g in groups]
+    fit = [a.min <= "2" <= a.max and b.min <= 1235 <= b.max for a, b in stats]
+    assert len(groups) >= 12 and 1 <= sum(fit) <= 2
 
 
 def test_fastq_of_mixed_compression(spark, tmp_path):
@@ -237,17 +348,6 @@ def test_catalog_names_run_on_over_several_files(spark, tmp_path):
     assert genome_of(files.read_genome(spark, str(tmp_path), ["I", "NOP", "III"])) == {"I": "AC", "III": "TT"}
 
 
-def test_a_product_counts_from_a_primers_first_place():
-    region = genome(500, 2)
-    head, tail = region[:250], region[250:]
-    pair = primer.best_pair(head, tail, 20, region)
-    assert pair == primer.best_pair(head, tail, 20)  # no 20-mer repeats here
-    right = rc(pair[1])
-    moved = right + region[20:]  # the right primer stands at the start too, and its product gets too short
-    again = primer.best_pair(moved[:250], moved[250:], 20, moved)
-    assert again is None or again[1] != pair[1] and again[2] >= 70
-
-
 def lines_of(path):
     return [x for p in sorted(path.glob("part-*")) for x in p.read_text().splitlines()]
 
@@ -285,7 +385,8 @@ def test_a_whole_bidirectional_run(spark, samples, tmp_path):
     assert {kv.split("=")[0] for r in rows for kv in r[7].split(";")} <= declared
     assert any("PL=" in r[7] and "PCRLEN=" in r[7] for r in rows)
     assert [r for r in lines_of(tmp_path / "short.vcf") if not r.startswith("#")] == ["\t".join(r) for r in rows if not any(x in r[4] + r[7] for x in ("<DEL>", "<INS>", "<INV>", "BND"))]
-    assert any("deletion" in x for x in lines_of(tmp_path / "aln")) and lines_of(tmp_path / "count.vcf") and lines_of(tmp_path / "sv.count")
+    aln = lines_of(tmp_path / "aln")
+    assert any("deletion" in x for x in aln) and any(" snp " in x for x in aln) and lines_of(tmp_path / "count.vcf") and lines_of(tmp_path / "sv.count")
     assert set(out) >= {"report", "full_vcf", "vcf", "count_vcf", "aln", "sv_primers", "bi_snp_primers"} and lines_of(tmp_path / "report")[0] == "method\tbidirectional"
     again = Engine(spark, options)
     again.run()
@@ -311,6 +412,121 @@ def test_whole_kmer_and_copy_number_runs(spark, samples, tmp_path):
         Options("a", "b", "c", method="cnv")
 
 
+@pytest.mark.parametrize("ending", ["fa", "fa.gz", "fa.bz2"])
+def test_fasta_cut_at_many_places(spark, tmp_path, ending):
+    rng = random.Random(9)
+    want, opener = {}, {"fa": open, "fa.gz": gzip.open, "fa.bz2": bz2.open}[ending]
+    for k, name in enumerate(("a", "b", "c")):
+        with opener(tmp_path / f"{name}.{ending}", "wt") as f:
+            f.write("lost before any header\n" if k == 1 else "")
+            for i in range(4):
+                text, width = genome(rng.choice([0, 1, 59, 3000, 9000]), 10 * k + i), rng.choice([1, 7, 60, 10_000])
+                f.write(f">chr{name}{i} more words\n" + "".join(text[j : j + width].lower() + "\n" + ("\n" if j % 3 == 1 else "") for j in range(0, len(text), width)))
+                want[f"{name}{i}"] = text
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    numbered = {str(i): t for i, t in enumerate(want.values())}
+    try:
+        spark.conf.set("spark.sql.files.openCostInBytes", "1b")
+        for size in ("613b", "5001b", before):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            assert genome_of(files.read_genome(spark, str(tmp_path))) == {k: t for k, t in want.items() if t}
+        assert genome_of(files.read_genome(spark, str(tmp_path), skip="^b")) == {k: t for k, t in want.items() if t and k[0] != "b"}
+        names = [str(i) if i != 5 else "NOP" for i in range(10)]
+        assert genome_of(files.read_genome(spark, str(tmp_path), names)) == {k: t for k, t in numbered.items() if t and k in names}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
+def test_no_row_holds_a_chromosome(spark, tmp_path):
+    (tmp_path / "g.fa").write_text(">one\n" + "\n".join(genome(60, i) for i in range(2000)) + "\n")
+    pieces = files.fasta_pieces(spark, str(tmp_path))
+    assert pieces.agg(F.max(F.length("seq"))).first()[0] == 60
+    plan = pieces._jdf.queryExecution().executedPlan().toString()
+    assert "BinaryFile" not in plan and "SinglePartition" not in plan.split("Scan text")[-1]
+
+
+def test_a_genome_written_and_read_again(spark, tmp_path):
+    chunks = reference.ref_chunks(frame(spark, [("2", genome(9000)), ("10", genome(5000, 2)), ("X", "ACGTN")], "chr string, seq string"))
+    files.write_fasta(chunks, str(tmp_path / "g"))
+    assert [x for x in lines_of(tmp_path / "g") if x.startswith(">")] == [">2", ">10", ">X"]
+    assert genome_of(files.read_genome(spark, str(tmp_path / "g"))) == genome_of(chunks)
+    assert files.discovered_chromosomes(chunks) == ["2", "10", "X"]
+
+
+def test_tables_are_known_by_what_made_them(spark, samples, tmp_path):
+    from helixframe.plans.run import Engine, Options
+
+    folder, _ = samples
+    base = dict(target=f"{folder}/target", control=f"{folder}/control", ref=f"{folder}/ref.fa", out=str(tmp_path), method="kmer")
+
+    def made(**options):
+        engine = Engine(spark, Options(**base | options))
+        engine.run()
+        return engine.made, [x for x in lines_of(tmp_path / "kmer.snp")]
+
+    first, rows = made(cutoff=3)
+    assert "kmer_edges" in first and rows
+    assert made(cutoff=3) == ([], rows)
+    again, none = made(cutoff=90)
+    assert again == ["kmer_edges", "kmer_map", "kmer_snp"] and none == []
+    assert made(cutoff=3) == ([], rows)
+    turned, other = made(target=base["control"], control=base["target"])
+    assert "reads_uniq" in turned and "ref20" not in turned and other != rows
+    assert "reads_uniq" in made(clip=90)[0]
+    (tmp_path / "new.fa").write_text((folder / "ref.fa").read_text().replace(">chr2", ">chr5"))
+    assert "ref_chunks" in made(ref=f"{tmp_path}/new.fa")[0]
+    assert {x.split("\t")[0] for x in lines_of(tmp_path / "kmer.snp")} == {"1", "5"}
+
+
+def test_unique_20mers_lie_in_buckets(spark, samples, tmp_path):
+    from helixframe.plans.run import Engine, Options
+
+    folder, _ = samples
+    options = Options(f"{folder}/target", f"{folder}/control", str(tmp_path), f"{folder}/ref.fa")
+    before = {k: spark.conf.get(k) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled")}
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        for turn in range(2):
+            engine = Engine(spark, options)
+            uniq, ref20 = engine.uniq(), engine.ref20()
+            assert ("ref20" in engine.made) == (turn == 0)
+            pairs = align.seed_pairs(align.head_seeds(uniq, ref20, "target"), ref20)
+            plan = pairs._jdf.queryExecution().executedPlan().toString()
+            scans = [part for part in plan.split("Exchange")[1:] if "Scan parquet" in part.split("Exchange")[0]]
+            # Two exchanges, of the reads; both scans of the 20-mers are read by their buckets.
+            assert plan.count("Exchange hashpartitioning") == 2 and plan.count("Bucketed: true") + plan.count("SelectedBucketsCount") >= 2, (plan, scans)
+            assert pairs.count() > 0
+            # Another session's catalog does not know the table.
+            spark.sql(f"DROP TABLE helixframe_ref20_{engine.keys['ref20']}")
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
+def test_commands_over_stored_results(spark, samples, tmp_path):
+    from helixframe.plans import commands
+    from helixframe.plans.run import Engine, Options
+
+    folder, snps = samples
+    (tmp_path / "catalog").write_text("G\tdescription\tx\nG\tchromosome\t1\t2\n")
+    base = dict(ref=f"{folder}/ref.fa", primers=False, catalog=f"{tmp_path}/catalog", genome="G", fasta=True)
+    Engine(spark, Options(f"{folder}/target", f"{folder}/control", f"{tmp_path}/one", **base)).run()
+    Engine(spark, Options(f"{folder}/control", f"{folder}/control", f"{tmp_path}/two", **base)).run()
+    assert [x for x in lines_of(tmp_path / "one" / "genome.fa") if x.startswith(">")] == [">1", ">2"]
+    assert [x for x in lines_of(tmp_path / "one" / "report") if x.startswith("chromosome")] == ["chromosome\t1", "chromosome\t2"]
+    rows = [x.split("\t") for x in lines_of(tmp_path / commands.compare(spark, f"{tmp_path}/one {tmp_path}/two", f"{tmp_path}/matrix").rsplit("/", 1)[-1])]
+    assert rows[0] == ["chr", "pos", "ref", "alt", "one", "two"] and {(f"chr{r[0]}", r[1]) for r in rows[1:]} == snps and {r[5] for r in rows[1:]} == {"W"}
+    commands.lengths(spark, f"{folder}/target", f"{tmp_path}/lengths")
+    assert lines_of(tmp_path / "lengths")[0] == "length\tcount\tpercent" and lines_of(tmp_path / "lengths")[1].endswith("\t100")
+    found = commands.search(spark, f"{tmp_path}/one", "1", 701)
+    assert found and all(x.split("\n")[0].startswith("# 1 ") and "# 1 701 snp" in x for x in found)
+    header, head, bars, read = found[0].split("\n")[-4:]
+    assert len(head) == len(bars) == len(read) == 100 and [i for i in range(100) if head[i] != read[i]] == [i for i in range(100) if bars[i] == " "]
+    assert commands.search(spark, f"{tmp_path}/one", "1", 5) == []
+
+
 def test_fasta_and_catalog(spark, tmp_path):
     (tmp_path / "g.fa").write_text(">chr01 first\nacgt\nRYGT\n>chr2\nAC\n>extra\nGG\n")
     (tmp_path / "catalog").write_text("# comment\n\nG\tdescription\tx\nG\tchromosome\t1\t2\tX\tNOP\nW\tchromosome\t0\t0\tI\tII\n")
