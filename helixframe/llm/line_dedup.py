@@ -7,11 +7,11 @@ as constants and generalises the other one. So a line of ``SPLIT`` tokens or mor
 run of fields within one third share one; shorter lines are their own template. There is no other limit on the length of a line, on templates in a leaf or
 on lines of a template.
 
-A template recurs if ``MIN_DOCS`` *independent* documents hold a line of it; copies of a text count once. A document
-is independent if it has a line of its own: one that resembles no line of another text. (Lines resemble each other if they share one of
-four windows of ``WINDOW`` words, two from either end.) All documents without a line of their own
-count as one more document together. So a block of boilerplate is found however long it is beside the text around it, and groups of near copies, whose
-lines all resemble each other, are left to document-level deduplication.
+A template recurs if ``MIN_DOCS`` documents hold a line of it, copies of a document counting once. Copies of a text are known by its
+hash. Edited copies are looked for among the documents without a line of their own (one that resembles no line of another text; lines resemble
+each other if they share one of four windows of ``WINDOW`` words, two from either end): those whose sets of five-word shingles have
+a Jaccard similarity of ``SIMILARITY``, and what they link to, are one document (see ``near_copies``). So a block of boilerplate is found however long it is
+beside the text around it, and documents that consist of shared lines only lose them, but groups of near copies are left to document-level deduplication.
 
 All lines of recurring templates are dropped from every document, first occurrence included. Blank lines stay.
 
@@ -30,12 +30,14 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded, free_name, stored
+from . import near_copies
+from .common import bounded, free_name, materialise, stored
 
 DEPTH = 3
 SPLIT = DEPTH + 3
 WINDOW = 4
 MIN_DOCS = 3
+SIMILARITY, SHINGLE = 0.8, 5
 VARIABLE = re.compile(r"[0-9@]|://")
 TEMPLATES, WINDOWS = ["t0", "t1", "t2"], ["w0", "w1", "w2", "w3"]
 LINES = "text_key long, line int, line_key long, " + ", ".join(f"{c} long" for c in TEMPLATES + WINDOWS)
@@ -110,6 +112,17 @@ def independent(lines: DataFrame) -> DataFrame:
     return lone.groupBy("line_key").agg(F.count("*").alias("lone"), F.min("n").alias("n"), F.min("text_key").alias("text_key")).where("lone = n").select("text_key").distinct()
 
 
+def copy_groups(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """text_key and ``unit`` of the ``wanted`` texts (text_key): one unit for each group of near copies."""
+    keyed = docs.where("text IS NOT NULL").select(F.xxhash64("text").alias("text_key"), "text")
+    # One row of each text.
+    texts = stored(keyed.join(bounded(wanted), "text_key", "left_semi").dropDuplicates(["text_key"]).select(F.col("text_key").alias("doc_id"), "text_key", "text"), "texts-wanted")
+    signed = materialise(near_copies.with_signature(texts, SHINGLE))
+    nodes = materialise(signed.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min("text_key").alias("text_key"), F.first("bands").alias("bands")))
+    found = near_copies.groups(texts, nodes, SIMILARITY, SHINGLE).withColumnRenamed("node", "_node")
+    return signed.join(bounded(found), F.col("node") == F.col("_node"), "left").select("text_key", F.xxhash64(F.lit("copies"), F.coalesce("root", "node")).alias("unit"))
+
+
 def recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     """text_key and ``gone`` (whether a line goes, by its number) of the texts that lose lines."""
     lines = stored(parse(docs), "lines")
@@ -121,8 +134,10 @@ def recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     texts = stored(texts.join(bounded(many), "template", "left_semi"), "texts-many")
     asked = stored(texts.select("text_key").distinct(), "texts-asked")
     own = stored(independent(lines.join(bounded(asked), "text_key", "left_semi")), "texts-own")
-    counted = texts.join(bounded(own.withColumn("own", F.lit(True))), "text_key", "left").groupBy("template").agg(F.count("own").alias("n"), F.max(F.col("own").isNull().cast("int")).alias("copies"))
-    recurring = stored(counted.where(F.col("n") + F.col("copies") >= min_docs).select("template"), "templates-recurring")
+    units = stored(copy_groups(docs, asked.join(bounded(own), "text_key", "left_anti")), "texts-units")
+    # A document that is no copy is a unit of its own.
+    counted = texts.join(bounded(units), "text_key", "left").select("template", F.coalesce("unit", "text_key").alias("unit")).distinct().groupBy("template").agg(F.count("*").alias("n"))
+    recurring = stored(counted.where(F.col("n") >= min_docs).select("template"), "templates-recurring")
     # A text's dropped lines are no more than it has lines.
     dropped = shared.join(bounded(recurring), "template", "left_semi").select("text_key", "line").distinct()
     dropped = dropped.groupBy("text_key").agg(F.sort_array(F.collect_list("line")).alias("lines"))
