@@ -58,10 +58,11 @@ def with_parts(pages: DataFrame) -> DataFrame:
 def with_rule(parts: DataFrame, rules: list[tuple[str, str, str]]) -> DataFrame:
     """Add ``rule`` (host and path of the longest rule that fits, else null) and ``rule_verdict``.
 
-    A rule fits its host and all subdomains if the path starts with the rule's.
+    A rule fits its host and all subdomains if the path starts with the rule's. Of equally long ones the first in alphabetical order counts, of equal ones
+    "allow", however many rules there are.
     """
     if len(rules) <= INLINE_RULES:
-        ordered = sorted(rules, key=lambda r: (-len(r[1] + r[2]), r[1] + r[2]))
+        ordered = sorted(rules, key=lambda r: (-len(r[1] + r[2]), r[1] + r[2], r[0]))
         rule = verdict = F.lit(None).cast("string")
         for kind, host, path in reversed(ordered):
             fits = ((F.col("host") == host) | F.col("host").endswith("." + host)) & F.col("path").startswith(path)
@@ -76,7 +77,7 @@ def with_rule(parts: DataFrame, rules: list[tuple[str, str, str]]) -> DataFrame:
     hosts = parts.select("host").distinct().select("host", F.explode(suffixes).alias("suffix")).join(table, "suffix")
     hosts = hosts.groupBy("host").agg(F.flatten(F.collect_list("rules")).alias("rules"))
     fit = F.filter("rules", lambda r: F.col("path").startswith(r["rule_path"]))
-    best = F.array_max(F.transform(fit, lambda r: F.struct(r["n"], r["rule"], r["kind"])))
+    best = F.array_min(F.transform(fit, lambda r: F.struct((-r["n"]).alias("n"), r["rule"].alias("rule"), r["kind"].alias("kind"))))
     return parts.join(hosts, "host", "left").withColumn("best", best).withColumns({"rule": F.col("best.rule"), "rule_verdict": F.col("best.kind")}).drop("best", "rules")
 
 
