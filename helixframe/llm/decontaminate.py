@@ -70,12 +70,17 @@ def _places(rows: DataFrame, keep: list[str], lengths: list[int], k: int) -> Dat
     return each.select(*keep, "f.n", F.posexplode("f.hs").alias("at", "h"))
 
 
+def _spelled(at: Column, n: Column, span: int) -> Column:
+    """``n`` (``span`` at most) of the column ``words`` from a place on, space-joined. Slicing would copy all words for each window."""
+    return F.concat_ws(" ", *[F.when(n > j, F.get("words", at + j)) for j in range(span)])
+
+
 def benchmark_windows(items: DataFrame, span: int) -> DataFrame:
     """item_id, n (0 for windows of ``span`` words, else the item's length) and the window's words, space-joined."""
     split = items.where("item_id IS NOT NULL").select(F.col("item_id").cast("string").alias("item_id"), words(F.col("text")).alias("words")).where("size(words) > 0")
     n = F.size("words")
     at = F.when(n >= span, F.sequence(F.lit(1), n - (span - 1))).otherwise(F.array(F.lit(1)))
-    return split.select("item_id", F.when(n >= span, 0).otherwise(n).alias("n"), F.explode(at).alias("i"), "words").select("item_id", "n", F.array_join(F.slice("words", F.col("i"), span), " ").alias("window")).distinct()
+    return split.select("item_id", F.when(n >= span, 0).otherwise(n).alias("n"), F.explode(F.transform(at, lambda i: _spelled(i - 1, F.least(n, F.lit(span)), span))).alias("window")).distinct()
 
 
 def _matches(keyed: DataFrame, items: DataFrame, span: int, k: int) -> tuple[DataFrame, DataFrame]:
@@ -99,13 +104,16 @@ def _matches(keyed: DataFrame, items: DataFrame, span: int, k: int) -> tuple[Dat
     windows = benchmark_windows(items, span).groupBy("n", "window").agg(F.sort_array(F.collect_set("item_id")).alias("items"))
     windows = stored(windows.withColumn("holders", F.sha2(F.array_join("items", ","), 256)), "benchmark-windows")
     texts = keyed.join(bounded(candidates), of(candidates), "inner").select(keyed["doc_id"], keyed["text_key"], words(F.col("text")).alias("words"), "hits")
-    # A gram at place p lies in the windows that start from p - (span - k) to p; a short item's window starts at p.
-    place = lambda t, at: F.struct(t["n"].alias("n"), at.alias("at"))
-    reach = lambda t: F.transform(F.sequence(F.greatest(t["at"] - (span - k), F.lit(0)), t["at"]), lambda i: place(t, i))
-    starts = F.flatten(F.transform("hits", lambda t: F.when(t["n"] > 0, F.array(place(t, t["at"]))).otherwise(reach(t))))
-    placed = texts.select("doc_id", "text_key", "words", F.explode(F.array_distinct(starts)).alias("s")).where(f"s.n > 0 OR s.at + {span} <= size(words)")
-    size = F.when(F.col("s.n") > 0, F.col("s.n")).otherwise(span)
-    spelled = placed.select("doc_id", "text_key", "s.n", "s.at", F.array_join(F.slice("words", F.col("s.at") + 1, size), " ").alias("window"))
+    # A gram at place p lies in the windows that start from p - (span - k) to p; a short item's window starts at p. A start is one number, place and length,
+    # and windows are spelled where the words are, so the work on a text is linear in its hits.
+    start = lambda at, n: at.cast("long") * span + n
+    reach = lambda t: F.transform(F.sequence(F.greatest(t["at"] - (span - k), F.lit(0)), t["at"]), lambda i: start(i, F.lit(0)))
+    starts = F.flatten(F.transform("hits", lambda t: F.when(t["n"] > 0, F.array(start(t["at"], t["n"]))).otherwise(reach(t))))
+    placed = texts.withColumn("starts", F.array_distinct(starts))
+    one = lambda s: F.struct((s % span).cast("int").alias("n"), F.floor(s / span).cast("int").alias("at"))
+    fits = lambda p: (p["n"] > 0) | (p["at"] + span <= F.size("words"))
+    window = lambda p: F.struct(p["n"].alias("n"), p["at"].alias("at"), _spelled(p["at"], F.when(p["n"] > 0, p["n"]).otherwise(span), span).alias("window"))
+    spelled = placed.select("doc_id", "text_key", F.explode(F.transform(F.filter(F.transform("starts", one), fits), window)).alias("s")).select("doc_id", "text_key", "s.*")
     found = spelled.join(bounded(windows.select("n", "window", "holders")), ["n", "window"]).select("doc_id", "text_key", "n", "at", "holders")
     return found, windows.select("holders", "items").dropDuplicates(["holders"])
 
