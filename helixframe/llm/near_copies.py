@@ -115,16 +115,20 @@ def _with_root(members: DataFrame, found: DataFrame) -> DataFrame:
     return rooted.join(open_, "bucket")
 
 
-def groups(keyed: DataFrame, nodes: DataFrame, similarity: float, shingle: int) -> DataFrame:
-    """(node, root) of the nodes that link to another. ``nodes``: node, bands, and doc_id and text_key of one of its rows."""
+def groups(keyed: DataFrame, nodes: DataFrame, similarity: float, shingle: int, alike: DataFrame | None = None) -> DataFrame:
+    """(node, root) of the nodes that link to another. ``nodes``: node, bands, and doc_id and text_key of one of its rows; ``alike``: pairs (u, v) that are compared too, before others."""
     buckets = nodes.select("node", F.explode("bands").alias("bucket"))
     shared = buckets.groupBy("bucket").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low <> high")
     members = materialise(buckets.join(shared, "bucket"))
-    wanted = nodes.join(bounded(members.select("node").distinct()), "node", "left_semi")
+    asked = members.select("node")
+    if alike is not None:
+        alike = materialise(alike)
+        asked = asked.unionByName(alike.select(F.explode(F.array("u", "v")).alias("node")))
+    wanted = nodes.join(bounded(asked.distinct()), "node", "left_semi")
     sets = stored(shingle_sets(keyed, wanted, shingle), "shingle-sets")
 
     ends = members.select(F.explode(F.array("low", "high")).alias("u"), F.col("node").alias("v"))
-    tried = materialise(ends.where("u <> v").distinct())
+    tried = materialise((ends if alike is None else ends.unionByName(alike)).where("u <> v").distinct())
     found = similar(tried, sets, similarity)
     members = members.select("bucket", "node")
 

@@ -58,11 +58,17 @@ def fingerprint(text: str | None, shingle: int = 3, seed: int = SEED) -> int:
 def with_fingerprint(docs: DataFrame, shingle: int = 3) -> DataFrame:
     """doc_id and ``fp``, the fingerprint as a signed 64-bit integer."""
 
+    return _printed(docs, "doc_id", "doc_id", shingle)
+
+
+def _printed(rows: DataFrame, key: str, name: str, shingle: int = 3) -> DataFrame:
+    """``name`` (column ``key``) and fp, the fingerprint of ``text``."""
+
     @F.pandas_udf("long")
     def fp(texts: pd.Series) -> pd.Series:
         return pd.Series(np.array([fingerprint(t if isinstance(t, str) else None, shingle) for t in texts], np.uint64).view(np.int64))
 
-    return docs.select("doc_id", fp("text").alias("fp"))
+    return rows.select(F.col(key).alias(name), fp("text").alias("fp"))
 
 
 def bands(fp: Column, radius: int) -> Column:
@@ -203,11 +209,23 @@ def digest(found: DataFrame) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, similarity: float = 0.8, shingle: int = 5) -> DataFrame:
+def _linked(prints: DataFrame, radius: int) -> DataFrame:
+    """Pairs (u, v) of nodes to compare, from (node, fp): those of one fingerprint with its least, and the least ones of linked fingerprints."""
+    least = prints.groupBy("fp").agg(F.min("node").alias("least"))
+    fps = stored(least.select(F.col("fp").alias("node"), "least"), "fingerprint-nodes")
+    same = prints.join(bounded(least), "fp").where("node <> least").select(F.col("least").alias("u"), F.col("node").alias("v"))
+    ends = fps.select(F.col("node").alias("_fp"), "least")
+    found = links(fps.select("node"), radius)
+    found = found.join(bounded(ends.select(F.col("_fp").alias("u"), F.col("least").alias("a"))), "u").join(bounded(ends.select(F.col("_fp").alias("v"), F.col("least").alias("b"))), "v")
+    return same.unionByName(found.select(F.col("a").alias("u"), F.col("b").alias("v")))
+
+
+def keep_one(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, radius: int = 2) -> DataFrame:
     """The documents without near copies: of each group one row of the least (doc_id, hash of the text), null ids last.
 
     Documents are near copies if their sets of shingles of five words have the given Jaccard similarity, compared in
-    full; groups are the connected components (see ``near_copies``). Rows that repeat a doc_id with another text are documents
+    full; groups are the connected components. Candidates are the links of SimHash fingerprints within ``radius`` bits, and, since
+    similar texts may differ in more, those of min-hash bands (see ``near_copies``). Rows that repeat a doc_id with another text are documents
     of their own, and so are rows without doc_id.
     """
     from . import near_copies
@@ -218,7 +236,11 @@ def keep_one(docs: DataFrame, similarity: float = 0.8, shingle: int = 5) -> Data
     signed = materialise(near_copies.with_signature(texts, shingle))
     least = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "text_key")
     nodes = materialise(signed.groupBy("node").agg(F.min(least).alias("least"), F.first("bands").alias("bands"), F.count("*").alias("rows")))
-    found = near_copies.groups(texts, nodes.select("node", "bands", "least.doc_id", "least.text_key"), similarity, shingle)
+    # The links of fingerprints go first, so their groups need few of the bands' comparisons.
+    first = keyed.join(bounded(nodes.select("node", F.col("least.doc_id").alias("_id"), F.col("least.text_key").alias("_key"))), keyed["doc_id"].eqNullSafe(F.col("_id")) & (keyed[key] == F.col("_key")))
+    prints = stored(_printed(first.select("node", "text"), "node", "node"), "fingerprints")
+    alike = _linked(prints, radius)
+    found = near_copies.groups(texts, nodes.select("node", "bands", "least.doc_id", "least.text_key"), similarity, shingle, alike)
     # Nodes of one row that link to no other are left out: their rows stay.
     rooted = nodes.join(found.withColumnRenamed("node", "_node"), F.col("node") == F.col("_node"), "left").where("root IS NOT NULL OR rows > 1")
     rooted = rooted.select("node", "least", F.coalesce("root", "node").alias("root"))

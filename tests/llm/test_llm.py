@@ -156,6 +156,21 @@ def test_decontamination_by_brute_force(spark):
     assert decontaminate.contamination(documents(spark, ODD), empty).where("contaminated").count() == 0
 
 
+def test_decontamination_of_a_long_text_that_is_an_item(spark):
+    import time
+
+    def seconds(n):
+        text = words(n, n, 10**6)
+        began = time.time()
+        row = decontaminate.contamination(spark.createDataFrame([(1, text), (2, "clean")], "doc_id long, text string"), spark.createDataFrame([(7, text)], "item_id long, text string")).where("doc_id = 1").first()
+        assert row.n_words == row.n_hit == n and row.n_items == 1
+        return time.time() - began
+
+    seconds(1000)
+    one, four = seconds(15_000), seconds(60_000)
+    assert four < 5 * one + 10
+
+
 # --- nearest neighbours
 
 
@@ -253,6 +268,14 @@ def url_features(url):
     ]
 
 
+@pytest.mark.parametrize("n", [2, 64, 65])
+def test_equally_long_rules_decide_alike_in_lists_of_any_length(spark, n):
+    rules = [("block", "a.example.net", "/"), ("allow", "example.net", "/x/")] + [("block", f"h{i}.test", "/") for i in range(n - 2)]
+    table = spark.createDataFrame([(1, "http://a.example.net/x/1"), (2, "http://b.example.net/x/1"), (3, "http://h1.test/")], "page_id long, url string")
+    got = {r.page_id: (r.rule, r.verdict) for r in url_filter.judge(table, rules, spark.createDataFrame([], "url string, label int")).collect()}
+    assert got == {1: ("a.example.net/", "block"), 2: ("example.net/x/", "allow"), 3: ("h1.test/" if n > 3 else None, "block" if n > 3 else "allow")}
+
+
 def test_url_features_by_definition(spark):
     urls = ["HTTP://A-b.Example9.net/en/x1?y=1&z#top", "https://é.org", "no scheme", "", "x://h?u=http://b.net/", "https://a.b.c.d/e//f/?", "http://long.test/" + "aé9-" * 30_000, "http://u.test/a#b?c", None]
     table = spark.createDataFrame([(i, u) for i, u in enumerate(urls)], "i int, url string")
@@ -366,27 +389,56 @@ def test_quality_is_learned_from_labels_outside_the_hold_out(spark):
 # --- lines
 
 
+def general(line):
+    """A line's tokens by the definition: variable ones generalised unless they are more than half."""
+    tokens = line.split()
+    shown = ["<*>" if any(c.isdigit() and c.isascii() or c == "@" for c in t) or "://" in t else t for t in tokens]
+    return shown if 2 * sum(t == "<*>" for t in shown) <= len(tokens) or shown == tokens else tokens
+
+
+def template_names(tokens):
+    """(count, leading three, what is constant of the three thirds) of each template."""
+    rest, n = tokens[3:], len(tokens)
+    if n < 6:
+        return [(n, *tokens)]
+    a, b = len(rest) // 3, 2 * len(rest) // 3
+    thirds = [tuple(rest[:a]), tuple(rest[a:b]), tuple(rest[b:])]
+    return [(n, tuple(tokens[:3]), tuple(t if i != k else None for i, t in enumerate(thirds))) for k in range(3)]
+
+
+def four_words(tokens):
+    n = len(tokens)
+    return {tuple(tokens[i : i + 4]) for i in {0, min(4, max(n - 8, 0)) if n > 8 else 0, max(n - 8, 0), max(n - 4, 0)} if n > 8 or i in (0, max(n - 4, 0))}
+
+
 def lines_by_brute_force(rows, min_docs=3):
-    """(doc_id, n_lines, n_dropped, text) by the definitions, without hashes."""
-    texts = {t for _, t in rows if t is not None}
-    parts = {t: [(i, line_dedup.masked(line)) for i, line in enumerate(t.split("\n")) if line.split()] for t in texts}
+    """(doc_id, n_lines, n_dropped, text) by the definitions, without the operator's own functions."""
+    texts = sorted({t for _, t in rows if t is not None})
+    parts = {t: [(i, general(line)) for i, line in enumerate(t.split("\n")) if line.split()] for t in texts}
     near, holders = {}, {}
     for t, lines in parts.items():
         for i, tokens in lines:
-            for w in line_dedup.ends(tokens):
+            for w in four_words(tokens):
                 near.setdefault(w, set()).add((t, i))
-            for x in line_dedup.templates(tokens):
+            for x in template_names(tokens):
                 holders.setdefault(x, set()).add(t)
     asked = {t for own in holders.values() if len(own) >= min_docs for t in own}
-    alone = lambda t, i, tokens: all({o for o in near[w] if o[0] in asked} == {(t, i)} for w in line_dedup.ends(tokens))
-    own = {t for t in asked if any(alone(t, i, tokens) for i, tokens in parts[t])}
-    recurring = {x for x, held in holders.items() if len(held) >= min_docs and len(held & own) + bool(held - own) >= min_docs}
+    alone = lambda t, i, tokens: all({o for o in near[w] if o[0] in asked} == {(t, i)} for w in four_words(tokens))
+    rest = [t for t in texts if t in asked and not any(alone(t, i, tokens) for i, tokens in parts[t])]
+    shingles = {t: {tuple(t.split()[i : i + 5]) for i in range(max(1, len(t.split()) - 4))} for t in rest}
+    unit = {t: t for t in texts}
+    for t in rest:
+        for u in rest:
+            if len(shingles[t] & shingles[u]) >= 0.8 * len(shingles[t] | shingles[u]):
+                old, new = unit[u], unit[t]
+                unit = {k: new if v == old else v for k, v in unit.items()}
+    recurring = {x for x, held in holders.items() if len({unit[t] for t in held}) >= min_docs}
     out = Counter()
     for doc_id, t in rows:
         if t is None:
             out[doc_id, 0, 0, None] += 1
             continue
-        gone = {i for i, tokens in parts[t] if set(line_dedup.templates(tokens)) & recurring}
+        gone = {i for i, tokens in parts[t] if set(template_names(tokens)) & recurring}
         kept = [line for i, line in enumerate(t.split("\n")) if i not in gone]
         out[doc_id, t.count("\n") + 1, len(gone), "\n".join(kept)] += 1
     return out
@@ -427,7 +479,8 @@ def test_line_dedup_drops_a_long_block_beside_one_own_line(spark, documents_with
     rows += [(50 + i, f"one short line that is all of this document {'abcdef'[i]}") for i in range(6)]
     got = deduplicated(spark, rows)
     assert [got[i][2] for i in range(documents_with_block)] == [20] * documents_with_block
-    assert [got[50 + i][2] for i in range(6)] == [0] * 6
+    # One template in six documents that are no copies of each other.
+    assert [got[50 + i][2] for i in range(6)] == [1] * 6
 
 
 @pytest.mark.parametrize("n", [6, 9, 24, 25, 30, 200])
@@ -453,6 +506,21 @@ def test_line_dedup_leaves_edited_copies_and_finds_families_in_one_leaf(spark):
     assert [got[100 + i][2] for i in range(5)] == [2] * 5
 
 
+def test_line_dedup_drops_lines_of_documents_that_share_all_of_them(spark):
+    shared = [words(9, 4000 + i, 10**6) for i in range(6)]
+    rng = random.Random(6)
+    rows = [(i, "\n".join(rng.sample(shared, 4))) for i in range(40)]
+    rows += [(100 + i, "\n".join(words(9, 4100 + j, 10**6) for j in range(5))) for i in range(10)]  # copies of one document
+    got = deduplicated(spark, rows)
+    assert sum(got[i][2] for i in range(40)) == 160 and all(got[100 + i][2] == 0 for i in range(10))
+
+
+def test_line_dedup_of_a_very_long_text(spark):
+    long_ = "\n".join(words(9, i, 10**6) for i in range(20_000))
+    got = deduplicated(spark, [(1, long_), (2, "one line")] + [(3 + i, f"{words(9, 7, 10**6)}\n{words(9, 90_000 + i, 10**6)}") for i in range(3)])
+    assert got[1][2] == 1 and got[3][2] == 1 and got[2][2] == 0
+
+
 # --- SimHash
 
 
@@ -557,10 +625,14 @@ def test_keep_one_decides_by_exact_similarity(spark):
 
 
 def test_keep_one_gathers_no_place_and_links_copies_by_their_original(spark, monkeypatch):
-    def gathered(*_, **__):
-        raise AssertionError("a place is gathered whole")
+    by_key = simhash.by_key
+
+    def in_blocks(frame, keys, *rest, **options):
+        """Only fingerprints are gathered by place, two blocks at most."""
+        assert set(frame.columns) == {"place", "node", "home"} and (frame.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0) <= 2 * simhash.BLOCK
+        return by_key(frame, keys, *rest, **options)
 
-    monkeypatch.setattr(simhash, "by_key", gathered)
+    monkeypatch.setattr(simhash, "by_key", in_blocks)
     monkeypatch.setattr(near_copies, "CHUNK", 16)
     base = words(54, 1, 10**6)  # 50 shingles: a copy shares 45 of 55 with the base, with another copy 40 of 60 or less
     rows = [(i, edited(base, {5 + i % 44}, f"c{i}")) for i in range(1, 101)] + [(500, base)] + [(600 + i, words(54, 50 + i, 10**6)) for i in range(100)]
