@@ -139,10 +139,10 @@ def _best(source: str, keys: str, length: str) -> dict[str, str]:
     return {
         f"{source}l": side("hd", "i DESC"),
         f"{source}r": side("tl", "i"),
-        f"{source}p": f"SELECT s.*, a.w AS l, b.w AS r, a.o AS oa, b.o AS ob, {length} AS size FROM {source} s JOIN {source}l a ON a.v = s.v JOIN {source}r b ON b.v = s.v",
-        f"{source}q": f"SELECT *, min(size) OVER (PARTITION BY v ORDER BY oa, ob ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS least FROM {source}p WHERE size >= 70 AND NOT ({_dimer})",
-        f"{source}b": f"SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY v ORDER BY size) AS last FROM (SELECT *, row_number() OVER (PARTITION BY v ORDER BY oa, ob) AS rec FROM {source}q WHERE least IS NULL OR size < least) x WHERE rec <= 3) y WHERE last = 1",
-        f"{source}o": f"SELECT {', '.join('s.' + k for k in keys.split(', '))}, coalesce(b.l, 'N') AS \"left\", coalesce({_rc('b.r')}, 'N') AS \"right\", coalesce(cast(b.size AS varchar), 'N') AS length, CASE WHEN b.v IS NULL THEN 'N' ELSE s.context END AS context FROM {source} s LEFT JOIN {source}b b ON b.v = s.v",
+        f"{source}p": f"SELECT s.*, a.w AS l, b.w AS r, a.o AS oa, b.o AS ob, {length} AS span FROM {source} s JOIN {source}l a ON a.v = s.v JOIN {source}r b ON b.v = s.v",
+        f"{source}q": f"SELECT *, min(span) OVER (PARTITION BY v ORDER BY oa, ob ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS least FROM {source}p WHERE span >= 70 AND NOT ({_dimer})",
+        f"{source}b": f"SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY v ORDER BY span) AS last FROM (SELECT *, row_number() OVER (PARTITION BY v ORDER BY oa, ob) AS rec FROM {source}q WHERE least IS NULL OR span < least) x WHERE rec <= 3) y WHERE last = 1",
+        f"{source}o": f"SELECT {', '.join('s.' + k for k in keys.split(', '))}, coalesce(b.l, 'N') AS \"left\", coalesce({_rc('b.r')}, 'N') AS \"right\", coalesce(cast(b.span AS varchar), 'N') AS length, CASE WHEN b.v IS NULL THEN 'N' ELSE s.context END AS context FROM {source} s LEFT JOIN {source}b b ON b.v = s.v",
     }
 
 
