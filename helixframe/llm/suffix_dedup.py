@@ -1,8 +1,8 @@
 """Exact removal of repeated substrings: every byte inside a string of ``length`` bytes that starts anywhere else too.
 
 The strings that decide are compared by merging Burrows-Wheeler transforms of shards by iterative interleave
-refinement: an interleave of all suffixes, first shard after shard, is refined by a stable distribution on the
-character in front of each suffix. After h rounds it is ordered by the first h characters; a boundary that appears
+refinement: each shard's suffixes are sorted once, and an interleave of the shards, first one after the other, is refined by a stable distribution on the
+transforms' characters; suffixes of different shards are never sorted together. After h rounds it is ordered by the first h characters; a boundary that appears
 in round h is a common prefix of h - 1. Suffixes that no boundary parts in the last round form the repeated intervals.
 
 Only strings that can repeat enter the merge. The texts are sampled by content:
@@ -44,8 +44,8 @@ WINDOW = 64  # no more: a number of starts takes six bits
 GRAM = 8
 #: Bytes of text that are sampled at once; bounds the memory of the vectorised steps.
 CHUNK = 1 << 21
-#: Strings in one merge, small cores together.
-MERGE = 4096
+#: Strings in one merge, small cores together, and shards whose transforms are merged.
+MERGE, SHARDS = 4096, 4
 #: Starts with fewer bytes before (or behind) the core are merged apart: all others are told apart by so many bytes there.
 EDGE = 4
 
@@ -157,13 +157,39 @@ def part_strings(raw: bytes, lo: int, count: int, at: int, length: int) -> Itera
             yield k, core - high, b - a + 1, raw[core - high : inner], raw[inner:outer], raw[outer : stop + WINDOW - 1 - low]
 
 
+def shard_transform(character: np.ndarray, begin: np.ndarray, sentinel: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(suffix array, Burrows-Wheeler transform) of one shard's strings, which lie end to end.
+
+    Every string's sentinel is a character of its own, less than all others and the less the earlier its string. Suffixes are sorted by
+    doubling: by their first character, then by ranks of the first and the second half of twice as many, until no two are equal. The transform's
+    character of a string's first suffix is its own sentinel, 0.
+    """
+    n = len(character)
+    rank = character.astype(np.int64) + len(begin)
+    rank[sentinel] = np.arange(len(begin))
+    width = 1
+    while True:
+        behind = np.zeros(n, np.int64)
+        behind[: n - width] = rank[width:] + 1
+        key = rank * (int(behind.max(initial=0)) + 1) + behind
+        order = np.argsort(key, kind="stable")
+        new = np.concatenate([[0], np.cumsum(key[order][1:] != key[order][:-1])])
+        rank[order] = new
+        width *= 2
+        if new[-1] == n - 1 or width >= 2 * n:
+            break
+    front = np.concatenate([[0], character[:-1]])
+    front[begin] = 0
+    return order, front[order]
+
+
 def merged_repeats(strings: list[bytes], left: np.ndarray, cores: np.ndarray, shards: np.ndarray, starts: np.ndarray, rounds: int, copies: np.ndarray) -> np.ndarray:
     """For each string, a bit mask of its first ``starts`` places whose ``rounds`` characters occur at another place too, or have copies.
 
-    A string is given without its core, which stands behind ``left`` bytes and is one character of its own.
-    The merge itself: every string ends in a sentinel; suffix j stands at place j of the strings laid end to end, shard by
-    shard, which is the first interleave. Round h brings the suffixes in front of the interleave's suffixes into the order
-    of (their character, the interleave), by one stable distribution; boundaries move with them.
+    A string is given without its core, which stands behind ``left`` bytes and is one character of its own. Each shard's transform is built once. The
+    interleave says, for each place of the merged transform, which shard's next suffix stands there; at first all of one shard's, then the next's. A round
+    takes the characters of all transforms in that order and distributes the shards by them, stably; sentinels keep the first places, in order of
+    their shards. After round h the interleave is ordered by h characters; a boundary that appears in it is a common prefix of h - 1.
     """
     order = np.argsort(shards, kind="stable")
     size = np.array([len(strings[i]) + 2 for i in order])
@@ -173,24 +199,40 @@ def merged_repeats(strings: list[bytes], left: np.ndarray, cores: np.ndarray, sh
     character = text.astype(np.uint16) + 1
     character[begin + left[order]] = 257 + np.unique(cores, return_inverse=True)[1][order]
     character[sentinel] = 0
-    front = np.arange(-1, n - 1, dtype=np.int32)
-    front[begin] = sentinel
+    cuts = [0, *(np.flatnonzero(np.diff(shards[order])) + 1).tolist(), len(order)]
+    suffixes, transforms, counts, own = [], [], [], []
+    for i, j in zip(cuts, cuts[1:], strict=False):
+        first, stop = int(begin[i]), int(ends[j - 1])
+        places, transform = shard_transform(character[first:stop], begin[i:j] - first, sentinel[i:j] - first)
+        suffixes.append(places + first)
+        transforms.append(transform)
+        counts.append(stop - first)
+        own.append(j - i)
+    total = len(order)
+    interleave = np.repeat(np.arange(len(counts), dtype=np.uint8), counts)
+    heads = np.repeat(np.arange(len(counts), dtype=np.uint8), own)
+
     # ``block`` numbers the parts of the interleave in its own order: suffixes of a part agree on their first h characters.
-    interleave, block = np.arange(n, dtype=np.int32), np.zeros(n, np.int32)
+    block = np.zeros(n, np.int32)
     new = np.empty(n, bool)
     for _ in range(rounds):
-        before = front[interleave]
-        c = character[before]
+        c = np.empty(n, np.uint16)
+        for k, transform in enumerate(transforms):
+            c[interleave == k] = transform
         move = np.argsort(c, kind="stable")
-        interleave, c, old = before[move], c[move], block[move]
+        interleave, c, old = interleave[move], c[move], block[move]
+        interleave[:total] = heads
         new[0] = True
         np.not_equal(c[1:], c[:-1], out=new[1:])
         new[1:] |= old[1:] != old[:-1]
         new |= c == 0
         block = np.cumsum(new, dtype=np.int32)
+    suffix = np.empty(n, np.int64)
+    for k, places in enumerate(suffixes):
+        suffix[interleave == k] = places
     repeated = np.empty(n, bool)
     weight = np.repeat(copies[order], size)
-    repeated[interleave] = (np.bincount(block, weight[interleave]) > 1)[block]
+    repeated[suffix] = (np.bincount(block, weight[suffix]) > 1)[block]
     masks = np.zeros(len(strings), np.uint64)
     for i, at in zip(order, begin.tolist(), strict=True):
         k = int(starts[i])
@@ -259,7 +301,7 @@ def repeated_ranges(texts: DataFrame, length: int) -> DataFrame:
             both = [bytes(a) + bytes(b) for a, b in zip(x["left"][own], x["right"][own], strict=True)]
             starts = np.array([len(b) for b in both]) + 2 - rounds
             core = pd.factorize(pd.Series(list(map(bytes, x["core"][own]))))[0]
-            masks = merged_repeats(both, left, core, x["s1"][own] & 7, starts, rounds, np.minimum(x["copies"][own], 2))
+            masks = merged_repeats(both, left, core, x["s1"][own] & SHARDS - 1, starts, rounds, np.minimum(x["copies"][own], 2))
             string, start = np.nonzero(np.unpackbits(masks.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little"))
             out.append(pd.DataFrame({"s1": x["s1"][own][string], "s2": x["s2"][own][string], "start": start.astype(np.int32)}))
         return pd.concat(out)
