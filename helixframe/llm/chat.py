@@ -16,8 +16,8 @@ block of ``CHUNK`` turns, then by conversation over slices of those chunks; the
 so a conversation may have no more than 2 GB.
 
 Edge cases: null text is empty; a null role is the empty role; null turn sorts first; equal turns are ordered
-by role, then text; repeated rows each count; a null conv_id is a conversation of its own; other columns of
-the input are ignored; an empty table gives no conversation.
+by role, then text; repeated rows each count; a null conv_id is a conversation of its own; a table that holds conv_id -1 itself has the rows of
+``with_probe`` added to that conversation; other columns of the input are ignored; an empty table gives no conversation.
 """
 
 from __future__ import annotations
