@@ -1,4 +1,9 @@
-"""A training-corpus pipeline: each stage is written as Parquet and read again as the next stage's documents."""
+"""A training-corpus pipeline: each stage is written as Parquet and read again as the next stage's documents.
+
+Edge cases: without labels of both classes the classifier keeps all documents; null texts stay null through line dedup, are near copies of each other
+(and of texts without words), hold no passage of the benchmark and are packed as empty texts; rows that repeat an id with another text
+are documents of their own; an empty table gives no pieces; extra columns of documents are kept up to the last stage, whatever their names.
+"""
 
 from __future__ import annotations
 
