@@ -35,7 +35,8 @@ def op5_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return url_filter.judge(_table(spark, sf_dir, "pages"))
+    pages = _table(spark, sf_dir, "pages")
+    return url_filter.judge(pages, labelled=url_filter.taught_labels(pages, _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")))
 
 
 def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

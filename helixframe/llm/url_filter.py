@@ -3,8 +3,8 @@
 Everything runs in Spark's JVM: features are column expressions and the trees are Spark ML's.
 
 The trees learn from labelled URLs, a table (url, label) with label 1 for pages to block. Where no such table is
-at hand, ``content_labels`` makes one from what the pages hold, never from their URLs: a page is 1 if of its visible words a ``JUNK`` share
-at least carry a run of three equal symbols. URLs whose hash falls in one of ``FOLDS`` folds are held out of all learning, and
+at hand, ``taught_labels`` makes one from what the pages show, never from their URLs: a text model learns from labelled documents what low quality is
+and judges each page's visible text. URLs whose hash falls in one of ``FOLDS`` folds are held out of all learning, and
 ``held_out_quality`` measures the trees on them.
 The suffix table (block rates of the last one and two host labels, smoothed) counts all rows to learn from. The trees are fitted on at most
 ``TRAIN_ROWS`` distinct URLs, those with the smallest hash, so the fit stays bounded at any corpus size. A URL is blocked if its score
@@ -20,9 +20,9 @@ its (empty) features. Labels of one class only, or none, give a constant verdict
 
 from __future__ import annotations
 
-from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
+from pyspark.ml.classification import GBTClassificationModel, GBTClassifier, LogisticRegression
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
-from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.feature import HashingTF, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -32,7 +32,8 @@ from .common import bounded, materialise
 TRAIN_ROWS = 20_000
 RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
 FOLDS = 5
-JUNK = 0.1
+#: Labelled documents that the text model is fitted on at most, and hashed words that it knows.
+TEXT_ROWS, WORDS = 8_000, 1 << 14
 #: Rule lists up to this length become one expression; longer ones are joined on host suffixes.
 INLINE_RULES = 64
 FEATURES = ["f_len", "f_host_len", "f_path_len", "f_depth", "f_labels", "f_digits", "f_upper", "f_punct", "f_entropy", "f_params", "f_query_len", "f_hyphens", "f_host_digits", "f_longest", "f_fragment", "f_suffix1", "f_suffix2"]
@@ -120,13 +121,32 @@ def with_features(parts: DataFrame) -> DataFrame:
     })
 
 
-def content_labels(pages: DataFrame) -> DataFrame:
-    """(url, label) from the visible words of ``html``; pages without words, or all if there is no such column, say nothing."""
-    if "html" not in pages.columns:
+def visible(html: Column) -> Column:
+    """What a page shows: no tags, comments, scripts or styles."""
+    return F.regexp_replace(html.cast("string"), r"(?is)<(script|style)\b.*?</\1>|<!--.*?-->|<[^>]*>", " ")
+
+
+def _hashed_words(rows: DataFrame) -> DataFrame:
+    """Add ``words_vector``: which hashed words column ``seen`` holds."""
+    words = F.array_remove(F.split(lower_ascii(F.coalesce("seen", F.lit(""))), r"[\x20\x09-\x0D]+"), "")
+    return HashingTF(inputCol="_words", outputCol="words_vector", numFeatures=WORDS, binary=True).transform(rows.withColumn("_words", words)).drop("_words")
+
+
+def taught_labels(pages: DataFrame, docs: DataFrame, labels: DataFrame, train_rows: int = TEXT_ROWS) -> DataFrame:
+    """(url, label) of pages by what they show: 1 if a text model, fitted on documents with a ``quality`` label, finds low quality likelier.
+
+    The model is a logistic regression on hashed words, fitted on at most ``train_rows`` labelled documents, those with the smallest hash; all pages are
+    scored. Without labels of both kinds, and for pages that show nothing, nothing is said.
+    """
+    known = labels.where("quality IN (0, 1)").groupBy(F.col("doc_id").alias("_id")).agg(F.min("quality").cast("double").alias("_quality"))
+    rows = docs.select("doc_id", F.col("text").alias("seen")).join(known, F.col("doc_id") == F.col("_id")).where("seen IS NOT NULL")
+    rows = materialise(_hashed_words(rows.orderBy(F.xxhash64("seen"), "doc_id").limit(train_rows).select("seen", (1 - F.col("_quality")).alias("label"))).drop("seen"))
+    if "html" not in pages.columns or rows.select("label").distinct().count() < 2:
         return pages.sparkSession.createDataFrame([], "url string, label int")
-    seen = F.regexp_replace(F.col("html").cast("string"), r"(?is)<(script|style)\b.*?</\1>|<!--.*?-->|<[^>]*>", " ")
-    n, junk = F.regexp_count(F.col("seen"), F.lit(r"\S+")), F.regexp_count(F.col("seen"), F.lit(r"\S*([^\w\s])\1\1\S*"))
-    return pages.select("url", seen.alias("seen")).where("url IS NOT NULL").select("url", n.alias("n"), junk.alias("junk")).where("n > 0").select("url", (F.col("junk") >= JUNK * F.col("n")).cast("int").alias("label"))
+    model = LogisticRegression(featuresCol="words_vector", labelCol="label", maxIter=30, regParam=0.01).fit(rows)
+    shown = pages.where("url IS NOT NULL").select("url", visible(F.col("html")).alias("seen")).where(F.col("seen").rlike(r"\S"))
+    scored = model.transform(_hashed_words(shown))
+    return scored.select("url", (vector_to_array("probability")[1] > 0.5).cast("int").alias("label"))
 
 
 def held_out(url: Column) -> Column:
@@ -187,8 +207,8 @@ def fit(labelled: DataFrame, train_rows: int = TRAIN_ROWS, trees: int = 12, dept
 
 
 def judge(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES, labelled: DataFrame | None = None, key: str = "page_id") -> DataFrame:
-    """One row per page: key, host, path, rule, verdict and ``model_blocked``, what the trees say."""
-    model = fit(content_labels(pages) if labelled is None else labelled)
+    """One row per page: key, host, path, rule, verdict and ``model_blocked``, what the trees say that learned from ``labelled`` (url, label; none: they allow all)."""
+    model = UrlModel(None, None, 0.0) if labelled is None else fit(materialise(labelled))
     parts = with_rule(with_parts(pages.select(key, "url")), rules)
     scored = model.score(parts)
     verdict = F.coalesce("rule_verdict", F.when(F.col("blocked"), "block").otherwise("allow"))

@@ -292,11 +292,16 @@ def test_odd_urls_pass_through_the_trees(spark):
     assert [r.verdict for r in got if r.page_id == 1004] == ["block"] * 2
 
 
-def test_labels_come_from_the_pages(spark):
-    html = "<html><style>p### q###</style><script>var x = '###';</script><!-- *** --><p>{}</p></html>".format
-    rows = [("a", html("plain words are all that stands here")), ("b", html("junk### words%%% all over*** here")), ("c", html("")), ("d", None), (None, html("x###"))]
-    table = spark.createDataFrame(rows, "url string, html string")
-    assert sorted(map(tuple, url_filter.content_labels(table).collect())) == [("a", 0), ("b", 1)]
+def test_labels_come_from_what_pages_show(spark):
+    html = "<html><style>bad low</style><script>var x = 'low';</script><!-- low bad --><p>{}</p></html>".format
+    docs = [(i, f"{'low bad junk' if i % 2 else 'fine good prose'} {words(30, i)}") for i in range(120)] + [(500, None), (None, "low"), (501, ""), (0, "fine good prose")]
+    labels = [(i, 1 - i % 2) for i in range(120)] + [(500, 1), (None, 0), (7, 0), (501, None)]
+    pages = [("a", html("good fine prose is all that stands here")), ("b", html("BAD low junk all over here")), ("c", html("")), ("d", None), (None, html("low bad junk")), ("b", html("bad low junk"))]
+    table = spark.createDataFrame(pages, "url string, html string").withColumn("seen", F.lit("clash")).withColumn("label", F.lit(3))
+    known = spark.createDataFrame(labels, "doc_id long, quality int")
+    assert sorted(map(tuple, url_filter.taught_labels(table, documents(spark, docs), known).collect())) == [("a", 0), ("b", 1), ("b", 1)]
+    for none in (known.where("quality = 1"), known.where("false")):
+        assert url_filter.taught_labels(table, documents(spark, docs), none).count() == 0
 
 
 def test_url_model_learns(spark):
