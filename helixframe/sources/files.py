@@ -2,15 +2,12 @@
 
 from __future__ import annotations
 
-import lzma
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from helixframe.functions.seq import chr_key, plain_chr
 from helixframe.operators.reference import CHUNK, OVERLAP, chunks_of, plain_bases
+from helixframe.sources.xz import xz_lines
 
 #: Splits of plain files up to which their line counts are broadcast.
 SPLITS = 1_000_000
@@ -44,23 +41,10 @@ def numbered_lines(spark: SparkSession, path: str, glob: str) -> DataFrame:
 def read_fastq(spark: SparkSession, path: str, sample: str) -> DataFrame:
     """sample and seq of FASTQ files: the second line of every four. Plain, gz, bz2 and xz files may be mixed.
 
-    Plain and bz2 files are read by their splits. Files of xz, which Spark does not open, are decompressed as a stream by one task each.
+    Plain and bz2 files are read by their splits, xz files by their blocks (see ``sources.xz``); a gz file is one stream.
     """
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import io
-        from itertools import islice
-
-        for batch in batches:
-            for raw in batch["content"]:
-                with lzma.open(io.BytesIO(bytes(raw)), "rt", encoding="ascii", errors="replace") as lines:
-                    second = islice(lines, 1, None, 4)
-                    while part := list(islice(second, 100_000)):
-                        yield pd.DataFrame({"sample": sample, "seq": [x.strip() for x in part]})
-
-    text = numbered_lines(spark, path, "*{q,.gz,.bz2}").where("n % 4 = 1").select(F.lit(sample).alias("sample"), F.trim("value").alias("seq"))
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.xz").option("recursiveFileLookup", "true").load(path)
-    return text.unionByName(files.select("content").mapInPandas(run, "sample string, seq string"))
+    lines = numbered_lines(spark, path, "*{q,.gz,.bz2}").unionByName(xz_lines(spark, path))
+    return lines.where("n % 4 = 1").select(F.lit(sample).alias("sample"), F.trim("value").alias("seq"))
 
 
 def fasta_pieces(spark: SparkSession, path: str, names: list[str] | None = None, skip: str | None = None) -> DataFrame:

@@ -342,6 +342,40 @@ def test_fastq_cut_at_many_places(spark, tmp_path):
         spark.conf.unset("spark.sql.files.openCostInBytes")
 
 
+@pytest.mark.parametrize("ending", [b"\n", b""])
+def test_xz_is_read_by_blocks(spark, tmp_path, ending):
+    """Streams of one block each, cut anywhere: in lines, at their ends, blocks without a line break, empty ones, with padding."""
+    from helixframe.sources import xz
+
+    rng = random.Random(len(ending))
+    lines = [genome(rng.choice([0, 1, 7, 60, 300]), i) for i in range(400)]
+    text = "\n".join(lines).encode() + ending
+    cuts = sorted({0, len(text), *(rng.randrange(len(text)) for _ in range(30)), *(text.index(b"\n", i) + d for i in (100, 5000, 9000) for d in (0, 1)), *range(2000, 2010)})
+    filters = [{"id": lzma.FILTER_DELTA, "dist": 2}, {"id": lzma.FILTER_LZMA2, "preset": 1}]
+    data = b"".join(lzma.compress(text[a:b], filters=filters if a % 2 else None) + bytes(4 * (a % 3)) for a, b in zip(cuts, cuts[1:]))
+    data += lzma.compress(b"")
+    (tmp_path / "a.xz").write_bytes(data)
+    read = lambda at, n: data[at : at + n]
+    places = xz.blocks(read, len(data))
+    assert len(places) == len(cuts) - 1 and b"".join(b"".join(xz.decompressed(read, *p)) for p in places) == text
+    found = xz.xz_lines(spark, str(tmp_path))
+    want = lines if lines[-1] or ending else lines[:-1]
+    assert [r["value"] for r in sorted(found.collect(), key=lambda r: r["n"])] == want and {r["n"] for r in found.collect()} == set(range(len(want)))
+    assert "content" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_xz_blocks_of_the_command(spark, tmp_path):
+    import shutil
+    import subprocess
+
+    if not shutil.which("xz"):
+        pytest.skip("no xz")
+    want = [genome(50, i) for i in range(2000)]
+    (tmp_path / "r.fastq").write_text("".join(f"@r\n{s}\n+\n{'I' * 50}\n" for s in want))
+    subprocess.run(["xz", "--block-size=10000", str(tmp_path / "r.fastq")], check=True)
+    assert sorted(r["seq"] for r in files.read_fastq(spark, str(tmp_path), "s").collect()) == sorted(want)
+
+
 def test_catalog_names_run_on_over_several_files(spark, tmp_path):
     (tmp_path / "1.fa").write_text(">x\nAC\n>y\nGG\n")
     (tmp_path / "2.fa").write_text(">z\nTT\n>w\nCC\n")
