@@ -35,6 +35,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import bounded, shuffle_width, stored
 
@@ -129,12 +130,13 @@ def _matrix(vectors) -> np.ndarray:
     return np.stack([np.asarray(v, np.float32) for v in vectors])
 
 
-def _raws(raws) -> np.ndarray:
-    return np.stack([np.frombuffer(r, np.float32) for r in raws])
+def _raws(raws, dims: int) -> np.ndarray:
+    """Vectors as they were given: floats of four or of eight bytes."""
+    return np.stack([np.frombuffer(r, np.float32 if len(r) == 4 * dims else np.float64) for r in raws])
 
 
 def build_index(vectors: DataFrame, asked: Column, k: int = 20, sample: int = SAMPLE, target: float = TARGET) -> tuple[Index | None, DataFrame | None]:
-    """The fitted index and its table: row (a number), vec_id, cell, codes, error, raw (the vector's floats as bytes), asked."""
+    """The fitted index and its table: row (a number), vec_id, cell, codes, error, raw (the vector's floats or doubles as bytes), asked."""
     rows = usable(vectors).withColumn("asked", F.coalesce(asked, F.lit(False)))
     picked = rows.select("vec_id", "vector").orderBy(F.xxhash64("vec_id", "vector"), "vec_id").limit(sample).collect()
     if not picked:
@@ -149,8 +151,9 @@ def build_index(vectors: DataFrame, asked: Column, k: int = 20, sample: int = SA
             if len(batch):
                 x = _matrix(batch["vector"])
                 cell, codes, error = shared.value.encode(x)
-                yield pd.DataFrame({"row": batch["row"], "vec_id": batch["vec_id"], "cell": cell.astype(np.int32), "codes": [c.tobytes() for c in codes], "error": error.astype(np.float32), "raw": [v.tobytes() for v in x], "asked": batch["asked"]})
+                yield pd.DataFrame({"row": batch["row"], "vec_id": batch["vec_id"], "cell": cell.astype(np.int32), "codes": [c.tobytes() for c in codes], "error": error.astype(np.float32), "raw": [np.asarray(v, kind).tobytes() for v in batch["vector"]], "asked": batch["asked"]})
 
+    kind = np.float32 if rows.schema["vector"].dataType.elementType == T.FloatType() else np.float64
     numbered = rows.withColumn("row", F.monotonically_increasing_id())
     return index, stored(numbered.mapInPandas(run, INDEX), "ann-index")
 
@@ -195,7 +198,7 @@ def scan(shared, table: DataFrame, asked: DataFrame, k: int, margin: float, seed
             for i in range(0, len(batch), 512):
                 own = batch.iloc[i : i + 512]
                 bar = own["bar"].to_numpy(float)
-                at, cells = np.nonzero(probed(index, _raws(own["raw"]), bar, rows))
+                at, cells = np.nonzero(probed(index, _raws(own["raw"], index.centroids.shape[1]).astype(np.float32), bar, rows))
                 at, step = np.repeat(at, number[cells]), np.concatenate([np.arange(n) for n in number[cells]]) if len(cells) else at
                 pairs = np.unique(np.stack([at, np.repeat(first[cells], number[cells]) + step], axis=1), axis=0)
                 picked = own.iloc[pairs[:, 0]]
@@ -240,10 +243,11 @@ class Block:
         self.index, self.row, self.ids, self.cell = index, rows["row"].to_numpy(), rows["vec_id"].to_numpy(), rows["cell"].to_numpy()
         self.error = rows["error"].to_numpy(np.float32) * np.float32(margin / math.sqrt(index.centroids.shape[1]))
         self.codes = np.stack([np.frombuffer(c, np.uint8) for c in rows["codes"]])
-        self.vectors = _raws(rows["raw"]).astype(np.float64)
+        self.vectors = _raws(rows["raw"], index.centroids.shape[1]).astype(np.float64)
 
     def best(self, asked: pd.DataFrame, k: int) -> pd.DataFrame:
-        q = _raws(asked["raw"])
+        exact = _raws(asked["raw"], self.index.centroids.shape[1]).astype(np.float64)
+        q = exact.astype(np.float32)
         near = self.index.distances(q, self.cell, self.codes)
         near[asked["row"].to_numpy()[:, None] == self.row[None, :]] = -np.inf
         slack = self.error[None, :] * np.sqrt((q * q).sum(axis=1, keepdims=True))
@@ -254,7 +258,7 @@ class Block:
         out = []
         for j, (query, query_id) in enumerate(zip(asked["row"], asked["vec_id"], strict=True)):
             found = np.flatnonzero(open_[j])
-            score = (self.vectors[found] * q[j].astype(np.float64)).sum(axis=1)
+            score = (self.vectors[found] * exact[j]).sum(axis=1)
             top = np.lexsort((self.ids[found], -score))[:k]
             out.append((np.full(len(top), query), np.full(len(top), query_id), self.row[found][top], self.ids[found][top], score[top]))
         return pd.DataFrame({c: np.concatenate([o[i] for o in out]) for i, c in enumerate(["query", "query_id", "row", "vec_id", "score"])})

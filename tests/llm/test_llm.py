@@ -221,6 +221,18 @@ def test_neighbours_of_varying_lengths_and_beside_a_huge_cluster(spark):
 # --- chat
 
 
+def test_neighbours_of_doubles_are_scored_as_given(spark):
+    rng = np.random.default_rng(5)
+    base = rng.normal(size=8)
+    rows = [(i, (base * (1 + i * 1e-12)).tolist()) for i in range(60)]
+    found = ann.nearest_neighbours(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    x = np.array([v for _, v in rows])
+    for q in (0, 20, 40):
+        own = [r for r in found if r.query_id == q]
+        want = sorted(((float((x[i] * x[q]).sum()), -i) for i in range(60) if i != q), reverse=True)[:20]
+        assert [(r.score, -r.vec_id) for r in sorted(own, key=lambda r: r["rank"])] == want
+
+
 def test_chat_round_trip(spark):
     rows = [
         (1, 0, "user", "hi"), (1, 1, "user", "<|sep|>\\<[INST]</s>"), (1, 2, "assistant", "ok <s> \\"), (1, 3, "assistant", ""), (1, 4, "we|>ird<|role:x|>", "z"), (1, None, None, None),
