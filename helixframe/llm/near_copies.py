@@ -34,36 +34,36 @@ CHUNK = 1024
 LARGE = 16
 
 
-def _minima(hashes: np.ndarray) -> np.ndarray:
+def _minima(hashes: np.ndarray, count: int) -> np.ndarray:
     rng = np.random.default_rng(SEED)
-    flips, factors = rng.integers(0, 1 << 64, (2, ROWS * BANDS, 1), np.uint64)
+    flips, factors = rng.integers(0, 1 << 64, (2, count, 1), np.uint64)
     factors |= np.uint64(1)
-    out = np.full(ROWS * BANDS, np.iinfo(np.uint64).max, np.uint64)
+    out = np.full(count, np.iinfo(np.uint64).max, np.uint64)
     for i in range(0, len(hashes), 2048):
         out = np.minimum(out, ((hashes[None, i : i + 2048] ^ flips) * factors).min(axis=1))
     return out
 
 
-def signature(hashes: np.ndarray) -> np.ndarray:
+def signature(hashes: np.ndarray, rows: int = ROWS, bands: int = BANDS) -> np.ndarray:
     """Name of a set of shingle hashes, and its bands (none for the empty set), as signed 64-bit integers."""
     from xxhash import xxh64_intdigest
 
     names = [xxh64_intdigest(hashes.tobytes(), SEED)]
     if len(hashes):
-        low = _minima(hashes)
-        names += [xxh64_intdigest(low[b * ROWS : (b + 1) * ROWS].tobytes(), b) for b in range(BANDS)]
+        low = _minima(hashes, rows * bands)
+        names += [xxh64_intdigest(low[b * rows : (b + 1) * rows].tobytes(), b) for b in range(bands)]
     return np.array(names, np.uint64).view(np.int64)
 
 
-def with_signature(keyed: DataFrame, shingle: int) -> DataFrame:
+def with_signature(keyed: DataFrame, shingle: int, rows: int = ROWS, bands: int = BANDS) -> DataFrame:
     """doc_id, text_key, node and bands of rows (doc_id, text_key, text)."""
 
     @F.pandas_udf("array<long>")
     def signed(texts: pd.Series) -> pd.Series:
-        return pd.Series([signature(np.unique(shingle_hashes(t if isinstance(t, str) else None, shingle))) for t in texts])
+        return pd.Series([signature(np.unique(shingle_hashes(t if isinstance(t, str) else None, shingle)), rows, bands) for t in texts])
 
     found = keyed.select("doc_id", "text_key", signed("text").alias("names"))
-    return found.select("doc_id", "text_key", F.get("names", F.lit(0)).alias("node"), F.slice("names", 2, BANDS).alias("bands"))
+    return found.select("doc_id", "text_key", F.get("names", F.lit(0)).alias("node"), F.slice("names", 2, bands).alias("bands"))
 
 
 def shingle_sets(keyed: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
