@@ -6,7 +6,10 @@ if their sets, compared in full, are similar enough; groups are the connected co
 
 Pairs inside one component need no comparison, so a large group of near copies never becomes all its pairs: first each
 bucket's least and greatest node are compared with all others, then, in large buckets, the node that most of these linked to; last,
-every candidate pair whose nodes still lie in different components. That last step is whole, whatever the first ones found.
+the nodes of a bucket that still lie in different components, a pair of blocks of about ``BLOCK`` at a time. That last step is whole,
+whatever the first ones found. A task of it reads *sketches*, a byte of each of the node's min-hashes, and names the pairs that agree in so many
+of them as a pair of the least similarity does but for a probability of ``MISS``; only those are compared in full. So what is shuffled
+grows with the nodes of a bucket and not with its pairs.
 
 Pairs are compared by streaming: a task holds the set of one node and reads the other sets of its pairs one by one; a node with
 many pairs is dealt over several places of about ``CHUNK`` pairs.
@@ -18,6 +21,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from fractions import Fraction
+from math import comb
 
 import numpy as np
 import pandas as pd
@@ -26,10 +30,12 @@ from pyspark.sql import functions as F
 
 from .common import bounded, materialise, shuffle_width, stored
 from .graph import components
-from .simhash import SEED, shingle_hashes
+from .simhash import SEED, by_key, shingle_hashes
 
 ROWS, BANDS = 5, 27
 CHUNK = 1024
+BLOCK = 1024
+MISS = 1e-6
 #: Buckets of more nodes are compared with a third node before all pairs that are left.
 LARGE = 16
 
@@ -44,26 +50,38 @@ def _minima(hashes: np.ndarray, count: int) -> np.ndarray:
     return out
 
 
-def signature(hashes: np.ndarray, rows: int = ROWS, bands: int = BANDS) -> np.ndarray:
-    """Name of a set of shingle hashes, and its bands (none for the empty set), as signed 64-bit integers."""
+def signature(hashes: np.ndarray, rows: int = ROWS, bands: int = BANDS) -> tuple[np.ndarray, bytes]:
+    """Name of a set of shingle hashes, and its bands, as signed 64-bit integers; a byte of each min-hash. The empty set has neither bands nor bytes."""
     from xxhash import xxh64_intdigest
 
-    names = [xxh64_intdigest(hashes.tobytes(), SEED)]
+    names, sketch = [xxh64_intdigest(hashes.tobytes(), SEED)], b""
     if len(hashes):
         low = _minima(hashes, rows * bands)
         names += [xxh64_intdigest(low[b * rows : (b + 1) * rows].tobytes(), b) for b in range(bands)]
-    return np.array(names, np.uint64).view(np.int64)
+        sketch = low.astype(np.uint8).tobytes()
+    return np.array(names, np.uint64).view(np.int64), sketch
 
 
 def with_signature(keyed: DataFrame, shingle: int, rows: int = ROWS, bands: int = BANDS) -> DataFrame:
-    """doc_id, text_key, node and bands of rows (doc_id, text_key, text)."""
+    """doc_id, text_key, node, bands and sketch of rows (doc_id, text_key, text)."""
 
-    @F.pandas_udf("array<long>")
-    def signed(texts: pd.Series) -> pd.Series:
-        return pd.Series([signature(np.unique(shingle_hashes(t if isinstance(t, str) else None, shingle)), rows, bands) for t in texts])
+    @F.pandas_udf("names array<long>, sketch binary")
+    def signed(texts: pd.Series) -> pd.DataFrame:
+        found = [signature(np.unique(shingle_hashes(t if isinstance(t, str) else None, shingle)), rows, bands) for t in texts]
+        return pd.DataFrame({"names": [names for names, _ in found], "sketch": [sketch for _, sketch in found]})
 
-    found = keyed.select("doc_id", "text_key", signed("text").alias("names"))
-    return found.select("doc_id", "text_key", F.get("names", F.lit(0)).alias("node"), F.slice("names", 2, bands).alias("bands"))
+    found = keyed.select("doc_id", "text_key", signed("text").alias("signed")).select("doc_id", "text_key", "signed.*")
+    return found.select("doc_id", "text_key", F.get("names", F.lit(0)).alias("node"), F.slice("names", 2, bands).alias("bands"), "sketch")
+
+
+def fewest(count: int, similarity: float, miss: float = MISS) -> int:
+    """In so many of ``count`` min-hashes sets of the given similarity agree, but for a probability of ``miss`` at most."""
+    below = 0.0
+    for k in range(count):
+        below += comb(count, k) * similarity**k * (1 - similarity) ** (count - k)
+        if below > miss:
+            return k
+    return count
 
 
 def shingle_sets(keyed: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
@@ -106,6 +124,44 @@ def similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     return materialise(rows.mapInPandas(compare, "u long, v long"))
 
 
+def likely(left: DataFrame, sketches: DataFrame, similarity: float, block: int = BLOCK) -> DataFrame:
+    """Pairs (u, v), u < v, of one bucket and two roots whose sketches agree often enough. ``left``: bucket, node, root and n, the bucket's nodes.
+
+    The nodes of a bucket are dealt to blocks by their hash; each pair of blocks, and each block with itself, is one place.
+    """
+    blocks = F.ceil(F.col("n") / F.lit(block)).cast("int")
+    own = left.withColumn("blocks", blocks).withColumn("mine", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
+    sent = own.select("bucket", "node", "root", "mine", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    place = F.xxhash64("bucket", F.least("mine", "other"), F.greatest("mine", "other"))
+    away = F.col("mine") > F.col("other")
+    rows = sent.select(place.alias("place"), "node", "root", away.alias("away"), (F.col("mine") == F.col("other")).alias("within"))
+    rows = rows.join(bounded(sketches.withColumnRenamed("node", "_node")), F.col("node") == F.col("_node")).drop("_node")
+
+    def compare(x: dict[str, np.ndarray]) -> pd.DataFrame | None:
+        away, within = x["away"].astype(bool), x["within"].astype(bool)
+        node, root = x["node"], x["root"]
+        sketch = np.frombuffer(b"".join(x["sketch"]), np.uint8).reshape(len(node), -1)
+        least = fewest(sketch.shape[1], similarity)
+        theirs = np.flatnonzero(away | within)
+        found = []
+        mine = np.flatnonzero(~away)
+        step = max(1, (16 << 20) // max(1, len(theirs) * sketch.shape[1]))
+        for i in range(0, len(mine), step):
+            at = mine[i : i + step]
+            a, b = np.nonzero(root[at, None] != root[None, theirs])
+            if not len(a):
+                continue
+            agree = (sketch[at, None, :] == sketch[None, theirs, :]).sum(axis=2)
+            a, b = at[a], theirs[b]
+            # Inside a block each pair is met from both its nodes.
+            keep = (agree[root[at, None] != root[None, theirs]] >= least) & ((node[a] < node[b]) | ~within[b])
+            found.append(np.stack([node[a[keep]], node[b[keep]]]))
+        pairs = np.concatenate(found, axis=1) if found else np.zeros((2, 0), np.int64)
+        return pd.DataFrame({"u": pairs.min(axis=0), "v": pairs.max(axis=0)}) if pairs.shape[1] else None
+
+    return by_key(rows, ["place"], compare, "u long, v long").distinct()
+
+
 def _with_root(members: DataFrame, found: DataFrame) -> DataFrame:
     """Members with the root of their component, of buckets that hold several components."""
     known = components(found).withColumnRenamed("node", "_node")
@@ -116,7 +172,7 @@ def _with_root(members: DataFrame, found: DataFrame) -> DataFrame:
 
 
 def groups(keyed: DataFrame, nodes: DataFrame, similarity: float, shingle: int, alike: DataFrame | None = None) -> DataFrame:
-    """(node, root) of the nodes that link to another. ``nodes``: node, bands, and doc_id and text_key of one of its rows; ``alike``: pairs (u, v) that are compared too, before others."""
+    """(node, root) of the nodes that link to another. ``nodes``: node, bands, sketch, and doc_id and text_key of one of its rows; ``alike``: pairs (u, v) that are compared too, before others."""
     buckets = nodes.select("node", F.explode("bands").alias("bucket"))
     shared = buckets.groupBy("bucket").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low <> high")
     members = materialise(buckets.join(shared, "bucket"))
@@ -133,17 +189,17 @@ def groups(keyed: DataFrame, nodes: DataFrame, similarity: float, shingle: int,
     members = members.select("bucket", "node")
 
     degree = found.groupBy("v").agg(F.count("*").alias("links"))
-    large = materialise(_with_root(members, found).where(F.col("n") > LARGE))
+    left = materialise(_with_root(members, found))
+    large = left.where(F.col("n") > LARGE)
     if not large.isEmpty():
         hubs = large.join(degree, large["node"] == degree["v"]).groupBy("bucket").agg(F.max_by(F.struct("node", "root"), F.struct("links", "node")).alias("hub"))
         met = large.join(hubs, "bucket").where("hub.root <> root").select(F.col("hub.node").alias("u"), F.col("node").alias("v")).distinct()
         met = materialise(met.join(tried, ["u", "v"], "left_anti"))
         found = found.unionByName(similar(met, sets, similarity))
         tried = tried.unionByName(met)
+        left = _with_root(members, found)
 
-    left = _with_root(members, found).select("bucket", "node", "root")
-    other = left.select("bucket", F.col("node").alias("v"), F.col("root").alias("v_root"))
-    pairs = left.join(other, "bucket").where("root <> v_root AND node < v").select(F.col("node").alias("u"), "v").distinct()
+    pairs = likely(left, wanted.select("node", "sketch"), similarity)
     done = tried.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
     pairs = materialise(pairs.join(done, ["u", "v"], "left_anti"))
     if not pairs.isEmpty():

@@ -235,12 +235,12 @@ def keep_one(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, radius:
     texts = keyed.select("doc_id", F.col(key).alias("text_key"), "text")
     signed = materialise(near_copies.with_signature(texts, shingle))
     least = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "text_key")
-    nodes = materialise(signed.groupBy("node").agg(F.min(least).alias("least"), F.first("bands").alias("bands"), F.count("*").alias("rows")))
+    nodes = materialise(signed.groupBy("node").agg(F.min(least).alias("least"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"), F.count("*").alias("rows")))
     # The links of fingerprints go first, so their groups need few of the bands' comparisons.
     first = keyed.join(bounded(nodes.select("node", F.col("least.doc_id").alias("_id"), F.col("least.text_key").alias("_key"))), keyed["doc_id"].eqNullSafe(F.col("_id")) & (keyed[key] == F.col("_key")))
     prints = stored(_printed(first.select("node", "text"), "node", "node"), "fingerprints")
     alike = _linked(prints, radius)
-    found = near_copies.groups(texts, nodes.select("node", "bands", "least.doc_id", "least.text_key"), similarity, shingle, alike)
+    found = near_copies.groups(texts, nodes.select("node", "bands", "sketch", "least.doc_id", "least.text_key"), similarity, shingle, alike)
     # Nodes of one row that link to no other are left out: their rows stay.
     rooted = nodes.join(found.withColumnRenamed("node", "_node"), F.col("node") == F.col("_node"), "left").where("root IS NOT NULL OR rows > 1")
     rooted = rooted.select("node", "least", F.coalesce("root", "node").alias("root"))

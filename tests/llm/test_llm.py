@@ -1,5 +1,7 @@
 import hashlib
+import itertools
 import json
+import math
 import random
 import re
 import zlib
@@ -657,6 +659,47 @@ def test_keep_one_gathers_no_place_and_links_copies_by_their_original(spark, mon
     assert kept == {1} | {600 + i for i in range(100)}
 
 
+def test_fewest_agreements_of_min_hashes():
+    assert near_copies.fewest(135, 1.0) == 135 and near_copies.fewest(135, 0.0) == 0
+    for similarity in (0.5, 0.8, 0.95):
+        chance = lambda k: math.comb(135, k) * similarity**k * (1 - similarity) ** (135 - k)
+        least = near_copies.fewest(135, similarity)
+        assert sum(map(chance, range(least))) <= near_copies.MISS < sum(map(chance, range(least + 1)))
+
+
+@pytest.mark.parametrize("block", [1, 7, 1024])
+def test_likely_pairs_of_buckets_by_brute_force(spark, block):
+    rng = np.random.default_rng(5)
+    base = rng.integers(0, 256, 135, np.uint8)
+    nodes = []
+    for i in range(60):  # two nodes of a bucket agree in 40 to 135 of 135 bytes
+        own = base.copy()
+        places = rng.choice(135, int(rng.integers(0, 70)), replace=False)
+        own[places] = rng.integers(0, 256, len(places), np.uint8)
+        nodes.append((int(rng.integers(-(2**62), 2**62)), bytearray(own.tobytes())))
+    left = [(b, nodes[i][0], nodes[i // 3][0]) for b, ids in ((1, range(60)), (2, range(20)), (3, [4, 50])) for i in ids]
+    sizes = Counter(b for b, _, _ in left)
+    frame = spark.createDataFrame([(b, n, r, sizes[b]) for b, n, r in left], "bucket long, node long, root long, n long")
+    got = near_copies.likely(frame, spark.createDataFrame(nodes, "node long, sketch binary"), 0.8, block).collect()
+    sketch = {n: np.frombuffer(bytes(s), np.uint8) for n, s in nodes}
+    least = near_copies.fewest(135, 0.8)
+    want = {(u, v) for b, u, r in left for c, v, q in left if b == c and u < v and r != q and (sketch[u] == sketch[v]).sum() >= least}
+    assert len(want) > 20 and Counter(map(tuple, got)) == Counter(want)
+
+
+def test_sketches_leave_no_near_copy_out():
+    base = words(300, 8, 10**6)
+    sets = [np.unique(simhash.shingle_hashes(edited(base, set(range(k, 300, 100)), f"e{k}"), 5)) for k in range(40)]
+    marks = [np.frombuffer(near_copies.signature(x)[1], np.uint8) for x in sets]
+    near = 0
+    for i, j in itertools.combinations(range(40), 2):
+        common = len(np.intersect1d(sets[i], sets[j]))
+        if common / (len(sets[i]) + len(sets[j]) - common) >= 0.8:
+            near += 1
+            assert (marks[i] == marks[j]).sum() >= near_copies.fewest(135, 0.8)
+    assert near > 300
+
+
 def test_components_of_a_path_and_a_star(spark):
     edges = [(i, i + 1) for i in range(200)] + [(1000, 1000 + i) for i in range(1, 300)] + [(5000, 5000)]
     got = {r.node: r.root for r in graph.components(spark.createDataFrame(edges, "u long, v long")).collect()}
