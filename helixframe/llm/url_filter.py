@@ -132,6 +132,17 @@ def _hashed_words(rows: DataFrame) -> DataFrame:
     return HashingTF(inputCol="_words", outputCol="words_vector", numFeatures=WORDS, binary=True).transform(rows.withColumn("_words", words)).drop("_words")
 
 
+def chosen_texts(docs: DataFrame, known: DataFrame, most: int) -> DataFrame:
+    """seen (the text) and _quality of the documents that ``known`` (_id, _quality) holds, ``most`` of them, those with the smallest hash.
+
+    They are chosen by id and hash, so only the chosen ones' texts move. Equal rows that a key brings back together are cut once more.
+    """
+    texts = docs.select("doc_id", F.col("text").alias("seen")).where("seen IS NOT NULL").withColumn("_hash", F.xxhash64("seen"))
+    keys = texts.select(F.col("doc_id").alias("_id"), F.col("_hash").alias("_key")).join(known, "_id").orderBy("_key", "_id").limit(most).distinct()
+    met = texts.join(F.broadcast(materialise(keys)), (F.col("doc_id") == F.col("_id")) & (F.col("_hash") == F.col("_key")))
+    return met.orderBy("_hash", "doc_id").limit(most).select("seen", "_quality")
+
+
 def taught_labels(pages: DataFrame, docs: DataFrame, labels: DataFrame, train_rows: int = TEXT_ROWS) -> DataFrame:
     """(url, label) of pages by what they show: 1 if a text model, fitted on documents with a ``quality`` label, finds low quality likelier.
 
@@ -139,8 +150,8 @@ def taught_labels(pages: DataFrame, docs: DataFrame, labels: DataFrame, train_ro
     scored. Without labels of both kinds, and for pages that show nothing, nothing is said.
     """
     known = labels.where("quality IN (0, 1)").groupBy(F.col("doc_id").alias("_id")).agg(F.min("quality").cast("double").alias("_quality"))
-    rows = docs.select("doc_id", F.col("text").alias("seen")).join(known, F.col("doc_id") == F.col("_id")).where("seen IS NOT NULL")
-    rows = materialise(_hashed_words(rows.orderBy(F.xxhash64("seen"), "doc_id").limit(train_rows).select("seen", (1 - F.col("_quality")).alias("label"))).drop("seen"))
+    rows = chosen_texts(docs, known, train_rows)
+    rows = materialise(_hashed_words(rows.select("seen", (1 - F.col("_quality")).alias("label"))).drop("seen"))
     if "html" not in pages.columns or rows.select("label").distinct().count() < 2:
         return pages.sparkSession.createDataFrame([], "url string, label int")
     model = LogisticRegression(featuresCol="words_vector", labelCol="label", maxIter=30, regParam=0.01).fit(rows)

@@ -318,6 +318,19 @@ def test_labels_come_from_what_pages_show(spark):
         assert url_filter.taught_labels(table, documents(spark, docs), none).count() == 0
 
 
+def test_documents_to_learn_from_are_chosen_without_moving_texts(spark):
+    rows = [(i, f"text {i % 7} {i}") for i in range(40)] + [(3, "text 3 3")] * 5 + [(5, None)]
+    known = spark.createDataFrame([(i, float(i % 2)) for i in range(0, 40, 3)], "_id long, _quality double")
+    docs = documents(spark, rows)
+    plain = docs.join(known, F.col("doc_id") == F.col("_id")).where("text IS NOT NULL").orderBy(F.xxhash64("text"), "doc_id").select("text", "_quality")
+    for most in (4, 9, 1000):
+        found = url_filter.chosen_texts(docs, known, most)
+        assert list(map(tuple, found.collect())) == list(map(tuple, plain.limit(most).collect()))
+        plan = found._sc._jvm.PythonSQLUtils.explainString(found._jdf.queryExecution(), "formatted")
+        moved = [block for block in plan.split("\n\n") if "Exchange" in block.split("\n")[0] and "seen#" in block and "RoundRobin" not in block]
+        assert not moved
+
+
 def test_url_model_learns(spark):
     rng = random.Random(2)
     rows = []
