@@ -166,7 +166,7 @@ class Engine:
         uniq, ref20, chunks = self.uniq(), self.ref20(), self.chunks(most)
         genome = "ref_chunks_wide" if "ref_chunks_wide" in self.keys else "ref_chunks"
         sides = ("target", "control", length, control_length)
-        headed = self.once("headed", lambda: align.with_head(align.seed_pairs(align.head_seeds(uniq, ref20, "target"), ref20), chunks, length), "reads_uniq", "ref20", genome)
+        headed = self.once("headed", lambda: align.aligned(uniq, ref20, chunks, "target", length), "reads_uniq", "ref20", genome)
         snps = self.once("snps", lambda: align.align_snps(headed), "headed")
         events = self.once("events", lambda: align.sv_junctions(headed, chunks, length), "headed")
         support = self.once("snp_support", lambda: align.snp_support(snps), "snps")

@@ -1,7 +1,10 @@
 import bz2
+import collections
 import gzip
+import itertools
 import lzma
 import random
+import re
 
 import pyarrow as pa
 import pytest
@@ -10,7 +13,9 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from helixframe.functions import seq
+from helixframe.functions.seq import BASES, K, packed_runs, with_text
 from helixframe.operators import align, kmer, primer, reads, reference, tools, vcf, verify
+from helixframe.plans.queries import PLANS, Run
 from helixframe.sources import files
 
 TURN = str.maketrans("ACGT", "TGCA")
@@ -570,3 +575,51 @@ def test_fasta_and_catalog(spark, tmp_path):
     assert files.chromosome_names(catalog, "G") == ["1", "2", "X", "NOP"]
     assert files.chromosome_names(catalog, "W") == ["I", "II"]
     assert files.chromosome_names(catalog, "none") == []
+
+
+def test_runs_hold_every_kmer_once(spark):
+    rng = random.Random(4)
+    seqs = ["".join(rng.choice("ACGT") for _ in range(n)) for n in (0, 19, 20, 21, 29, 30, 100, 300)] + ["A" * 60, "ACGTACGTRACGT" * 6, "ACGT" * 12]
+    runs = packed_runs(pa.array(seqs), pa.array([False] * len(seqs))).to_pylist()
+    for seq, own in zip(seqs, runs, strict=True):
+        spelt = []
+        for r in own:
+            size = (r & 15) + K
+            spelt += ["".join(BASES[(r >> 5) >> 2 * (size - 1 - i) & 3] for i in range(size))[j : j + K] for j in range((r & 15) + 1)]
+        assert spelt == [seq[i : i + K] for i in range(len(seq) - K + 1) if set(seq[i : i + K]) <= set(BASES)]
+
+
+def test_kmer_counts_of_odd_letters_palindromes_and_both_strands(spark):
+    turn = lambda s: "".join(dict(zip("ACGT", "TGCA")).get(b, "N") for b in reversed(s))
+    rng = random.Random(5)
+    half = "".join(rng.choice("ACGT") for _ in range(30))
+    base = "".join(rng.choice("ACGT") for _ in range(200))
+    seqs = [base[i : i + 60] for i in range(0, 140, 7)] + [turn(base[i : i + 60]) for i in range(0, 140, 11)] + [half + turn(half), base[:25] + "R" + base[26:70], half[:10] + turn(half[:10]) + "C", "A" * 40, "ACGT" * 9]
+    uniq = reads.both_strands(frame(spark, [("s", s) for s in seqs], "sample string, seq string"))
+    wanted = collections.Counter(s[i : i + K] for s in {x for q in seqs for x in (q, turn(q))} if "N" not in s for i in range(len(s) - K + 1) if set(s[i : i + K]) <= set(BASES))
+    assert {r["kmer"]: r["cnt"] for r in with_text(kmer.kmer_count(uniq), "code", "kmer").collect()} == dict(wanted)
+
+
+@pytest.mark.parametrize("name", ["kmer_join", "kmer_map", "cnv_counts", "head_seed_map", "snp_genotypes", "kmer_genotypes"])
+def test_tables_of_kmers_and_windows_are_not_broadcast(spark, name):
+    df = PLANS[name](Run(spark, "/root/testdata/sf0.001"))
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    sent = [line for line in plan.split("\n") if "BroadcastHashJoin [" in line and not re.search(r"BroadcastHashJoin \[(chr#\d+, hap#\d+\]|chr#\d+\]|chr_id#\d+\])", line)]
+    assert "SortMergeJoin" in plan and not sent
+
+
+def test_reads_like_the_genome_go_before_seeding_and_no_alignment_is_lost(spark):
+    text = genome(9000, 8)
+    chunks = reference.ref_chunks(frame(spark, [("1", text), ("2", genome(5000, 9) + text[:50])], "chr string, seq string"))
+    like = [text[i : i + 100] for i in range(0, 8900, 37)] + [rc(text[i : i + 100]) for i in range(5, 8900, 61)]
+    mutant = [s[:k] + s[k].translate(TURN) + s[k + 1 :] for s, k in zip(like, itertools.cycle((3, 25, 50, 97)))]
+    joined = [text[i : i + 50] + rc(text[i + 700 : i + 750]) for i in range(0, 4000, 301)]
+    odd = [text[40:90] + "R" + text[91:140], text[4000:4050] + rc(text[4000:4050]), "A" * 100]
+    uniq = reads.both_strands(frame(spark, [("t", s) for s in like + mutant + joined + odd], "sample string, seq string"))
+    ref20 = reference.ref20_unique(chunks)
+    plain = align.with_head(align.seed_pairs(align.head_seeds(uniq, ref20, "t"), ref20), chunks)
+    found = align.aligned(uniq, ref20, chunks, "t")
+    rows = lambda df: sorted(map(tuple, df.select("seq", "m", "hchr", "head_pos", "tchr", "tail_pos", "tail_dir", "head").collect()))
+    assert rows(found) == rows(plain) and len(rows(plain)) > 300
+    kept = {r["seq"] for r in align.unlike(uniq, ref20, chunks, "t").collect()}
+    assert not kept & set(like[1:200]) and set(mutant) | set(joined) <= kept
