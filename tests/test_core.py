@@ -623,3 +623,30 @@ def test_reads_like_the_genome_go_before_seeding_and_no_alignment_is_lost(spark)
     assert rows(found) == rows(plain) and len(rows(plain)) > 300
     kept = {r["seq"] for r in align.unlike(uniq, ref20, chunks, "t").collect()}
     assert not kept & set(like[1:200]) and set(mutant) | set(joined) <= kept
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.one_of(st.text("ACGT", max_size=30), st.text("ACGTNacé", max_size=12)), max_size=12))
+def test_packed_reads_come_back(texts):
+    plain = lambda s: set(s) <= set("ACGT")
+    back = seq.unpacked_reads(seq.packed_reads(pa.array(texts, pa.string())))[0]
+    assert back.to_pylist() == texts
+    least, own = (seq.packed_reads(pa.array(texts, pa.string()), **{how: True}) for how in ("least", "own"))
+    folded, ends, paired = seq.unpacked_reads(least, strands=True)
+    wanted = [sorted({s, rc(s)}) if plain(s) else [s] for s in texts]
+    assert [folded.to_pylist()[a:b] for a, b in itertools.pairwise(ends)] == wanted
+    assert paired.tolist() == [len(w) == 2 for w in wanted]
+    assert [p is None for p in own.to_pylist()] == [plain(s) and rc(s) < s for s in texts]
+
+
+def test_reads_travel_once_for_both_strands_and_packed(spark):
+    """Reads, odd ones too, are one short row for both strands; probes of two samples meet them in one."""
+    texts = [genome(100, i) for i in range(6)] + [rc(genome(100, 3)), "A" * 50 + "T" * 50, "x" + genome(99, 9), "NA", None]
+    one = reads.one_strand(frame(spark, [("t", s) for s in texts] + [("c", texts[0])], "sample string, seq string"))
+    packs = [bytes(r["pack"]) for r in one.collect()]
+    assert len(packs) == 10 and sorted(map(len, packs)) == [26] * 8 + [101] * 2
+    both = {(r["sample"], r["seq"]) for r in reads.expanded(one).collect()}
+    assert both == {("t", y) for s in texts[:8] for y in (s, rc(s))} | {("t", texts[8]), ("t", rc(texts[8])[:-1] + "N")} | {("c", texts[0]), ("c", rc(texts[0]))}
+    wins = frame(spark, [(1, "w", texts[0]), (1, "w", texts[0]), (1, "m", rc(texts[1])), (2, "w", genome(100, 77))], "id int, tag string, seq string")
+    hits = verify.window_hits(wins, ["id"], one, {"t": "t", "c": "c"})
+    assert sorted((r["id"], r["tag"]) for r in hits.collect()) == [(1, "cw"), (1, "cw"), (1, "tm"), (1, "tw"), (1, "tw")]
