@@ -650,3 +650,14 @@ def test_reads_travel_once_for_both_strands_and_packed(spark):
     wins = frame(spark, [(1, "w", texts[0]), (1, "w", texts[0]), (1, "m", rc(texts[1])), (2, "w", genome(100, 77))], "id int, tag string, seq string")
     hits = verify.window_hits(wins, ["id"], one, {"t": "t", "c": "c"})
     assert sorted((r["id"], r["tag"]) for r in hits.collect()) == [(1, "cw"), (1, "cw"), (1, "tm"), (1, "tw"), (1, "tw")]
+
+
+def test_no_chunk_goes_to_python_with_a_read(spark):
+    """The piece of a chunk that a read is compared with is cut before; the rows that wait for Python hold no chunk."""
+    chunks = reference.ref_chunks(frame(spark, [("1", genome(5000, 5))], "chr string, seq string"))
+    one = reads.one_strand(frame(spark, [("t", genome(100, 6))], "sample string, seq string"))
+    plan = align.unlike(one, reference.ref20_unique(chunks), chunks, "t")._jdf.queryExecution().optimizedPlan().toString()
+    lines = plan.splitlines()
+    at = [i for i, x in enumerate(lines) if "ArrowEvalPython [same_bases" in x]
+    assert len(at) == 1 and "_seq" not in lines[at[0]]
+    assert lines[at[0] + 1].strip(" +-:").startswith("Generate explode(array(struct(there")
