@@ -661,3 +661,30 @@ def test_no_chunk_goes_to_python_with_a_read(spark):
     at = [i for i, x in enumerate(lines) if "ArrowEvalPython [same_bases" in x]
     assert len(at) == 1 and "_seq" not in lines[at[0]]
     assert lines[at[0] + 1].strip(" +-:").startswith("Generate explode(array(struct(there")
+
+
+def test_unique_20mers_of_one_strand_are_those_of_both(spark):
+    """One row stands for both strands; palindromes, which occur on both, are never unique. Alignment by them loses and adds nothing."""
+    text = genome(6000, 21)
+    other = genome(300, 22) + "ACGTACGTAC" + rc("ACGTACGTAC") + genome(300, 23) + text[100:150] + rc(text[700:760]) + "N" + genome(80, 24)
+    chunks = reference.ref_chunks(frame(spark, [("1", text), ("2", other)], "chr string, seq string"))
+    counts, places = collections.Counter(), {}
+    for name, s in (("1", text), ("2", other)):
+        for i in range(len(s) - 19):
+            for word, pos, way in ((s[i : i + 20], i + 1, "f"), (rc(s[i : i + 20]), i + 20, "r")):
+                if "N" not in word:
+                    counts[word] += 1
+                    places[word] = (name, pos, way)
+    wanted = {w: places[w] for w, n in counts.items() if n == 1}
+    least = reference.ref20_least(chunks)
+    got = {r["kmer"]: (r["chr"], r["pos"], r["dir"]) for r in seq.with_text(reference.ref20_unique(chunks), "code", "kmer").collect()}
+    assert got == wanted and least.count() * 2 == len(wanted)
+    odd = [text[40:90] + "R" + text[91:140], "ACR", text[4000:4050] + rc(text[4000:4050])]
+    texts = [text[i : i + 50] + text[i + 50].translate(TURN) + text[i + 51 : i + 100] for i in range(0, 5000, 97)] + [text[i : i + 50] + rc(other[i : i + 50]) for i in range(0, 500, 41)] + odd
+    one = reads.one_strand(frame(spark, [("t", s) for s in texts] + [("t", rc(s)) for s in texts[:9]], "sample string, seq string"))
+    rows = lambda ref20: sorted(map(tuple, align.aligned(one, ref20, chunks, "t").collect()))
+    both = reads.expanded(one)
+    plain = align.with_head(align.seed_pairs(align.head_seeds(both, least, "t"), least), chunks).select(*align.aligned(one, least, chunks, "t").columns)
+    assert rows(least) == rows(reference.ref20_unique(chunks)) == sorted(map(tuple, plain.collect())) and len(rows(least)) > 100
+    keys = re.findall(r"SortMergeJoin \[(code#\d+L?|tail#\d+L?)\]", align.aligned(one, least, chunks, "t")._jdf.queryExecution().executedPlan().toString())
+    assert len(keys) == 3, "the 20-mers are dealt by code alone, once for all joins"
