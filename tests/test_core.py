@@ -688,3 +688,25 @@ def test_unique_20mers_of_one_strand_are_those_of_both(spark):
     assert rows(least) == rows(reference.ref20_unique(chunks)) == sorted(map(tuple, plain.collect())) and len(rows(least)) > 100
     keys = re.findall(r"SortMergeJoin \[(code#\d+L?|tail#\d+L?)\]", align.aligned(one, least, chunks, "t")._jdf.queryExecution().executedPlan().toString())
     assert len(keys) == 3, "the 20-mers are dealt by code alone, once for all joins"
+
+
+def test_pivot_and_join_of_reads_are_those_of_counted_kmers(spark):
+    rng = random.Random(12)
+    half = "".join(rng.choice("ACGT") for _ in range(30))
+    base = "".join(rng.choice("ACGT") for _ in range(200))
+    seqs = [base[i : i + 60] for i in range(0, 140, 7)] + [rc(base[i : i + 60]) for i in range(0, 140, 11)] + [half + rc(half), base[:25] + "R" + base[26:70], half[:10] + rc(half[:10]) + "C", base[:20], "A" * 40, "ACGT" * 9]
+    one = reads.one_strand(frame(spark, [(s, q) for s in "tcx" for q in seqs[ord(s) % 3 :: 2]], "sample string, seq string"))
+    pivot = kmer.last_base_pivot(kmer.kmer_count(one))
+    found = kmer.pivot_of_reads(one)
+    assert found.columns == pivot.columns and sorted(map(tuple, found.collect())) == sorted(map(tuple, pivot.collect()))
+    joined, wanted = kmer.join_of_reads(one, "t", "c"), kmer.kmer_join(pivot, "t", "c")
+    rows = sorted(map(tuple, joined.collect()))
+    assert joined.columns == wanted.columns and rows and rows == sorted(map(tuple, wanted.collect()))
+
+
+def test_last_bases_move_once_and_meet_without_a_join(spark):
+    run = Run(spark, "/root/testdata/sf0.001")
+    reads_plan, lbc, joined = (df._jdf.queryExecution().executedPlan().toString() for df in (run.one, run.lbc, run.joined))
+    deals = lambda plan: len(re.findall(r"\bExchange hashpartitioning", plan))
+    assert deals(lbc) - deals(reads_plan) == 2 and deals(joined) - deals(reads_plan) == 2
+    assert joined.count("SortMergeJoin") == reads_plan.count("SortMergeJoin")
