@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -51,6 +52,20 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def freed(df: DataFrame, *spent: DataFrame) -> DataFrame:
+    """The stored table ``df``, when what was needed only to make it leaves the disk: the files of tables of ``stored`` that no later step reads, and shuffle files.
+
+    Spark removes a shuffle's files once the driver has collected the objects that name it; a driver with little to do does not do so for many steps.
+    """
+    for table in spent:
+        for path in {os.path.dirname(f) for f in table.inputFiles()}:
+            where = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
+    gc.collect()
+    df.sparkSession._jvm.System.gc()
+    return df
+
+
 def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

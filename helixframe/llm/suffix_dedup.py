@@ -36,7 +36,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded, stored
+from .common import bounded, freed, stored
 from .simhash import by_key
 
 LENGTH = 200
@@ -262,17 +262,18 @@ def repeated_ranges(texts: DataFrame, length: int) -> DataFrame:
     # ``at`` packs the first start, the anchor behind it and the number of starts less one: both of these are below 2 * WINDOW and WINDOW.
     entries = texts.mapInPandas(entry_rows, "core long, b1 long, b2 long, row long, at long")
     # Cores and blocks that repeat grow with the input, so these joins are shuffled; a core or block of very many entries is split as a skewed join is.
-    met = stored(entries.join(stored(cores, "cores"), "core", "left_semi"), "entries")
+    cores = freed(stored(cores, "cores"))
+    met = freed(stored(entries.join(cores, "core", "left_semi"), "entries"), cores)
     block = ["core", "b1", "b2"]
-    blocks = stored(met.groupBy(*block).agg(F.count("*").alias("n")), "blocks")
+    blocks = freed(stored(met.groupBy(*block).agg(F.count("*").alias("n")), "blocks"))
     open_cores = blocks.groupBy("core").agg(F.count("*").alias("kinds"), F.min("n").alias("least")).where("kinds > 1 AND least = 1").select("core", F.lit(True).alias("is_open"))
-    known = blocks.join(bounded(stored(open_cores, "open-cores")), "core", "left").where("n > 1 OR is_open")
-    met = stored(met.join(known, block), "entries-known")
+    known = blocks.join(bounded(freed(stored(open_cores, "open-cores"))), "core", "left").where("n > 1 OR is_open")
+    met = freed(stored(met.join(known, block), "entries-known"), met, blocks)
     whole = met.where("n > 1").select("row", _first().alias("first"), (_first() + F.col("at").bitwiseAND(F.lit(63)) + length).alias("stop"), F.lit(False).alias("merged"))
     opened = met.where("is_open").select(*block, "row", "at")
     one = opened.groupBy(*block).agg(F.count("*").alias("n"), F.min(F.struct("row", "at")).alias("e"))
     asked = one.select(F.col("e.row").alias("row"), F.struct("e.at", F.least("n", F.lit(2)).alias("copies")).alias("e")).groupBy("row").agg(F.collect_list("e").alias("entries"))
-    asked = stored(asked, "open-entries")
+    asked = freed(stored(asked, "open-entries"))
 
     def send(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from xxhash import xxh3_128_digest
@@ -289,7 +290,7 @@ def repeated_ranges(texts: DataFrame, length: int) -> DataFrame:
             if found:
                 yield pd.DataFrame(found, columns=[*names, "copies", "s1", "s2", "place"])
 
-    strings = stored(texts.join(bounded(asked), "row").select("row", "raw", "entries").mapInPandas(send, "row long, part int, first int, rounds int, left binary, core binary, right binary, copies long, s1 long, s2 long, place long"), "open-strings")
+    strings = freed(stored(texts.join(bounded(asked), "row").select("row", "raw", "entries").mapInPandas(send, "row long, part int, first int, rounds int, left binary, core binary, right binary, copies long, s1 long, s2 long, place long"), "open-strings"), asked)
     distinct = strings.groupBy("s1", "s2").agg(*[F.first(c).alias(c) for c in ("place", "part", "rounds", "left", "core", "right")], F.sum("copies").alias("copies"))
 
     def merge(x: dict[str, np.ndarray]) -> pd.DataFrame | None:
@@ -306,11 +307,19 @@ def repeated_ranges(texts: DataFrame, length: int) -> DataFrame:
             out.append(pd.DataFrame({"s1": x["s1"][own][string], "s2": x["s2"][own][string], "start": start.astype(np.int32)}))
         return pd.concat(out)
 
-    hits = stored(by_key(distinct, ["place"], merge, "s1 long, s2 long, start int", at_once=MERGE), "repeated-starts")
+    hits = freed(stored(by_key(distinct, ["place"], merge, "s1 long, s2 long, start int", at_once=MERGE), "repeated-starts"))
     found = strings.select("row", "first", "s1", "s2").join(bounded(hits), ["s1", "s2"]).select("row", (F.col("first") + F.col("start")).alias("first"))
     return whole.unionByName(found.select("row", "first", (F.col("first") + length).alias("stop"), F.lit(True).alias("merged")))
 
 
+def runs_of(ranges: np.ndarray) -> np.ndarray:
+    """Ranges (first << 32 | stop) in order, where those that overlap or touch are one."""
+    ranges = np.sort(ranges)
+    first, reach = ranges >> 32, np.maximum.accumulate(ranges & 0xFFFFFFFF)
+    opens = np.flatnonzero(np.concatenate([[True], first[1:] > reach[:-1]]))
+    return first[opens] << 32 | reach[np.append(opens[1:], len(ranges)) - 1]
+
+
 def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and kept (the remaining bytes) of every document."""
     if length < 3 * WINDOW + GRAM - 3:
@@ -318,8 +327,14 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     texts = docs.select("doc_id", F.monotonically_increasing_id().alias("row"), F.encode(F.coalesce(F.col("text"), F.lit("")), "utf-8").alias("raw"))
     texts = stored(texts, "suffix-texts")
     ranges = repeated_ranges(texts.select("row", "raw"), length).select("row", F.shiftleft(F.col("first").cast("long"), 32).bitwiseOR(F.col("stop").cast("long")).alias("range"))
-    # A text has no more ranges than bytes.
-    ranges = stored(ranges.groupBy("row").agg(F.collect_list("range").alias("ranges")), "repeated-ranges")
+
+    def joined_up(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield batch.assign(ranges=[runs_of(np.asarray(r, np.int64)) for r in batch["ranges"]])
+
+    # A text has no more ranges than bytes, and far fewer when those that overlap or touch are one. So few may be broadcast, and then no text moves.
+    ranges = ranges.groupBy("row").agg(F.collect_list("range").alias("ranges")).mapInPandas(joined_up, "row long, ranges array<long>")
+    ranges = freed(stored(ranges, "repeated-ranges"))
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -336,7 +351,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
                 rows.append((doc_id, size, n_removed, runs, hashlib.sha256(raw).hexdigest(), raw))
             yield pd.DataFrame(rows, columns=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"]).astype({"doc_id": "Int64"})
 
-    joined = texts.join(ranges, "row", "left").select("doc_id", "raw", "ranges")
+    joined = texts.join(bounded(ranges), "row", "left").select("doc_id", "raw", "ranges")
     return joined.mapInPandas(cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
 
 

@@ -2,6 +2,7 @@ import hashlib
 import itertools
 import json
 import math
+import os
 import random
 import re
 import zlib
@@ -826,3 +827,27 @@ def test_every_query_is_registered():
     assert {f"op{n}" for n in range(1, 11)} <= {n.split("_")[0] for n in names} and "pipeline" in names
     assert set(entry.oracle_sql()) <= set(names)
     assert json.dumps(entry.oracle_sql())
+
+
+def test_ranges_that_overlap_or_touch_are_one():
+    rng = random.Random(3)
+    for _ in range(200):
+        ranges = [(a, a + rng.randint(1, 9)) for a in (rng.randint(0, 60) for _ in range(rng.randint(1, 12)))]
+        gone = sorted({i for a, b in ranges for i in range(a, b)})
+        wanted = [(a, next(b for b in range(a + 1, 99) if b not in gone)) for a in gone if a - 1 not in gone]
+        found = suffix_dedup.runs_of(np.array([a << 32 | b for a, b in ranges], np.int64))
+        assert [(int(x) >> 32, int(x) & 0xFFFFFFFF) for x in found] == wanted
+
+
+def test_spent_tables_of_suffix_dedup_leave_the_disk_and_texts_stay(spark):
+    rng = random.Random(8)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(7)) for _ in range(400)]
+    some = [" ".join(rng.choice(words) for _ in range(90)) for _ in range(30)]
+    docs = spark.createDataFrame([(i, some[i % 30] + " ".join(rng.choice(words) for _ in range(60))) for i in range(60)], "doc_id long, text string")
+    shared = spark.conf.get("spark.checkpoint.dir")
+    before = set(os.listdir(shared))
+    found = suffix_dedup.digest(suffix_dedup.remove_repeats(docs))
+    left = {name.rsplit("-", 1)[0] for name in set(os.listdir(shared)) - before}
+    assert not left & {"cores", "entries", "blocks", "open-entries"} and "suffix-texts" in left
+    assert found.agg(F.sum("n_removed")).first()[0] > 0
+    assert "Exchange hashpartitioning" not in found._jdf.queryExecution().executedPlan().toString()
