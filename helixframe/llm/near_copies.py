@@ -28,7 +28,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded, materialise, shuffle_width, stored
+from .common import bounded, freed, materialise, shuffle_width, stored
 from .graph import components
 from .simhash import SEED, by_key, shingle_hashes
 
@@ -121,7 +121,7 @@ def similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
                         found.append((u, v))
             yield pd.DataFrame(found, columns=["u", "v"], dtype="int64")
 
-    return materialise(rows.mapInPandas(compare, "u long, v long"))
+    return freed(materialise(rows.mapInPandas(compare, "u long, v long")))
 
 
 def likely(left: DataFrame, sketches: DataFrame, similarity: float, block: int = BLOCK) -> DataFrame:
@@ -175,13 +175,13 @@ def groups(keyed: DataFrame, nodes: DataFrame, similarity: float, shingle: int,
     """(node, root) of the nodes that link to another. ``nodes``: node, bands, sketch, and doc_id and text_key of one of its rows; ``alike``: pairs (u, v) that are compared too, before others."""
     buckets = nodes.select("node", F.explode("bands").alias("bucket"))
     shared = buckets.groupBy("bucket").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low <> high")
-    members = materialise(buckets.join(shared, "bucket"))
+    members = freed(materialise(buckets.join(shared, "bucket")))
     asked = members.select("node")
     if alike is not None:
-        alike = materialise(alike)
+        alike = freed(materialise(alike))
         asked = asked.unionByName(alike.select(F.explode(F.array("u", "v")).alias("node")))
     wanted = nodes.join(bounded(asked.distinct()), "node", "left_semi")
-    sets = stored(shingle_sets(keyed, wanted, shingle), "shingle-sets")
+    sets = freed(stored(shingle_sets(keyed, wanted, shingle), "shingle-sets"))
 
     ends = members.select(F.explode(F.array("low", "high")).alias("u"), F.col("node").alias("v"))
     tried = materialise((ends if alike is None else ends.unionByName(alike)).where("u <> v").distinct())
@@ -189,7 +189,7 @@ def groups(keyed: DataFrame, nodes: DataFrame, similarity: float, shingle: int,
     members = members.select("bucket", "node")
 
     degree = found.groupBy("v").agg(F.count("*").alias("links"))
-    left = materialise(_with_root(members, found))
+    left = freed(materialise(_with_root(members, found)))
     large = left.where(F.col("n") > LARGE)
     if not large.isEmpty():
         hubs = large.join(degree, large["node"] == degree["v"]).groupBy("bucket").agg(F.max_by(F.struct("node", "root"), F.struct("links", "node")).alias("hub"))
@@ -201,7 +201,7 @@ def groups(keyed: DataFrame, nodes: DataFrame, similarity: float, shingle: int,
 
     pairs = likely(left, wanted.select("node", "sketch"), similarity)
     done = tried.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
-    pairs = materialise(pairs.join(done, ["u", "v"], "left_anti"))
+    pairs = freed(materialise(pairs.join(done, ["u", "v"], "left_anti")))
     if not pairs.isEmpty():
         found = found.unionByName(similar(pairs, sets, similarity))
     return components(found)

@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded, free_name, materialise, shuffle_width, stored
+from .common import bounded, free_name, freed, materialise, shuffle_width, stored
 from .graph import components
 
 SEED = 42
@@ -235,7 +235,7 @@ def keep_one(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, radius:
     texts = keyed.select("doc_id", F.col(key).alias("text_key"), "text")
     signed = materialise(near_copies.with_signature(texts, shingle))
     least = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "text_key")
-    nodes = materialise(signed.groupBy("node").agg(F.min(least).alias("least"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"), F.count("*").alias("rows")))
+    nodes = freed(materialise(signed.groupBy("node").agg(F.min(least).alias("least"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"), F.count("*").alias("rows"))))
     # The links of fingerprints go first, so their groups need few of the bands' comparisons.
     first = keyed.join(bounded(nodes.select("node", F.col("least.doc_id").alias("_id"), F.col("least.text_key").alias("_key"))), keyed["doc_id"].eqNullSafe(F.col("_id")) & (keyed[key] == F.col("_key")))
     prints = stored(_printed(first.select("node", "text"), "node", "node"), "fingerprints")
@@ -245,7 +245,7 @@ def keep_one(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, radius:
     rooted = nodes.join(found.withColumnRenamed("node", "_node"), F.col("node") == F.col("_node"), "left").where("root IS NOT NULL OR rows > 1")
     rooted = rooted.select("node", "least", F.coalesce("root", "node").alias("root"))
     firsts = rooted.groupBy("root").agg(F.min("least").alias("first"))
-    ids = materialise(rooted.join(bounded(materialise(firsts)), "root").select("node", "first"))
+    ids = freed(materialise(rooted.join(bounded(materialise(firsts)), "root").select("node", "first")))
     return _only_first(keyed, key, signed.join(bounded(ids), "node")).select(*docs.columns)
 
 

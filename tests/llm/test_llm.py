@@ -851,3 +851,15 @@ def test_spent_tables_of_suffix_dedup_leave_the_disk_and_texts_stay(spark):
     assert not left & {"cores", "entries", "blocks", "open-entries"} and "suffix-texts" in left
     assert found.agg(F.sum("n_removed")).first()[0] > 0
     assert "Exchange hashpartitioning" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_near_dedup_frees_the_disk_after_each_comparison(spark, monkeypatch):
+    calls = []
+    monkeypatch.setattr(near_copies, "freed", lambda df, *spent: calls.append(df.columns) or common.freed(df, *spent))
+    words = [f"w{i}" for i in range(60)]
+    docs = spark.createDataFrame([(i, " ".join([*words, "end" * (i % 2)])) for i in range(4)] + [(9, "something else")], "doc_id long, text string")
+    assert simhash.keep_one(docs).count() == 2
+    assert ["u", "v"] in calls and ["node", "shingles"] in calls
+    kept, spent = common.stored(docs, "kept-table"), common.stored(docs, "spent-table")
+    assert common.freed(kept, spent).count() == 5
+    assert not any(name.startswith("spent-table") for name in os.listdir(spark.conf.get("spark.checkpoint.dir")))
