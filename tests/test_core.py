@@ -710,3 +710,45 @@ def test_last_bases_move_once_and_meet_without_a_join(spark):
     deals = lambda plan: len(re.findall(r"\bExchange hashpartitioning", plan))
     assert deals(lbc) - deals(reads_plan) == 2 and deals(joined) - deals(reads_plan) == 2
     assert joined.count("SortMergeJoin") == reads_plan.count("SortMergeJoin")
+
+
+@settings(max_examples=50, deadline=None)
+@given(st.lists(st.text("ACGTNR", max_size=40), min_size=1, max_size=8), st.integers(1, 12))
+def test_names_of_windows_tell_texts_of_either_strand(texts, size):
+    texts = texts + [rc(t) for t in texts if set(t) <= set("ACGT")]
+    least = lambda w: min(w, rc(w)) if set(w) <= set("ACGT") else None
+    found = seq.named_windows(pa.array(texts), size).to_pylist()
+    assert [len(x) for x in found] == [max(0, len(t) - size + 1) for t in texts]
+    seen = {(least(t[i : i + size]), name) for t, names in zip(texts, found) for i, name in enumerate(names) if least(t[i : i + size])}
+    assert len(seen) == len({a for a, _ in seen}) == len({b for _, b in seen})
+    whole = seq.named_windows(pa.array(texts)).to_pylist()
+    assert [x[0] for x, t in zip(whole, texts) if t] == [seq.named_windows(pa.array([t]), len(t)).to_pylist()[0][0] for t in texts if t]
+
+
+def test_long_reads_by_name_have_all_alignments_and_hits(spark):
+    text = genome(6000, 11)
+    rng = random.Random(3)
+    changed = "".join(rng.choice("ACGTR") if rng.random() < 0.004 else b for b in text)
+    starts = range(0, 5700, 40)
+    mine = [changed[i : i + 300] if k % 2 else rc(changed[i : i + 300].replace("R", "A")) for k, i in enumerate(starts)] + [text[700:1000], changed[900:1050] + changed[3000:3150], changed[:30]]
+    rows = [("t", s) for s in mine] + [("c", text[i : i + 300]) for i in range(0, 5700, 30)] + [("c", mine[0]), ("t", mine[0]), ("x", mine[4])]
+    chunks = reference.ref_chunks(frame(spark, [("1", text)], "chr string, seq string"))
+    table, least = frame(spark, rows, "sample string, seq string"), reference.ref20_least(chunks)
+    one, named = reads.one_strand(table), reads.named(table, ["t", "c"])
+    old, new = align.aligned(one, least, chunks, "t", 300), align.aligned_by_name(named, least, chunks, 1, 300)
+    assert sorted(map(tuple, old.collect())) == sorted(map(tuple, new.select(*old.columns).collect()))
+    support = [align.snp_support(align.align_snps(x)) for x in (old, new)]
+    assert len({tuple(sorted(map(tuple, s.collect()))) for s in support}) == 1
+    got = [verify.snp_genotypes(support[0], chunks, one, "t", "c", 300, 300), verify.snp_genotypes_by_name(support[1], chunks, named, 300)]
+    a, b = (sorted(map(tuple, g.collect())) for g in got)
+    assert a == b and len(a) > 10
+
+
+def test_long_reads_do_not_travel_with_their_seeds(spark):
+    plan = Run(spark, "/root/testdata/sf0.001", 600).bi_snp._jdf.queryExecution().optimizedPlan().toString()
+    joins = [line for line in plan.splitlines() if "Join Inner" in line and re.search(r"code#\d+L? = _code#|tail#\d+L? = _code#", line)]
+    assert joins
+    rows = plan.splitlines()
+    for line in joins:
+        below = rows[rows.index(line) + 1]
+        assert "pack" not in below and "seq" not in below, below
