@@ -752,3 +752,26 @@ def test_long_reads_do_not_travel_with_their_seeds(spark):
     for line in joins:
         below = rows[rows.index(line) + 1]
         assert "pack" not in below and "seq" not in below, below
+
+
+def test_copy_numbers_of_places_are_those_of_counted_kmers(spark):
+    rng = random.Random(9)
+    text = genome(9000, 12) + "N" + genome(60, 13) + genome(9000, 12)[4000:4300] + "ACGT" * 12
+    odd = genome(40, 14) + "R" + genome(59, 15)
+    texts = {"1": text, "X": genome(500, 16) + odd.replace("R", "A") + rc(text[200:260])}
+    chunks = reference.ref_chunks(frame(spark, list(texts.items()), "chr string, seq string"))
+    place = lambda n: rng.randrange(len(text) - n)
+    mine = [(s, text[i : i + 100]) for s in "tttccx" for i in (place(100) for _ in range(150))]
+    mine = [(s, q if rng.random() < 0.5 or "N" in q else rc(q)) for s, q in mine] + [("t", odd), ("c", odd), ("t", text[4090:4110] + rc(text[4090:4110])), ("t", text[50:69]), ("c", "ACGT" * 20), ("t", texts["X"][480:560])]
+    one = reads.one_strand(frame(spark, mine, "sample string, seq string"))
+    want = kmer.cnv_counts(kmer.kmer_count(one), reference.ref20_unique(chunks), "t", "c")
+    least = kmer.cnv_counts(kmer.kmer_count(one), reference.ref20_least(chunks), "t", "c")
+    got = kmer.cnv_spread(kmer.cnv_places(one, chunks, "t", "c"))
+    rows = lambda df: sorted(map(tuple, df.select("chr", "pos", "dir", "target_cnt", "control_cnt").collect()))
+    assert rows(got) == rows(want) == rows(least) and len(rows(want)) > 9000
+
+
+def test_copy_numbers_move_as_runs(spark):
+    plan = PLANS["cnv_counts"](Run(spark, "/root/testdata/sf0.001"))._jdf.queryExecution().executedPlan().toString()
+    dealt = re.findall(r"Exchange hashpartitioning\(([^)]*)\)", plan)
+    assert any("core" in keys for keys in dealt) and not any("code" in keys or "run" in keys for keys in dealt)
