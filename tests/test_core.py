@@ -775,3 +775,12 @@ def test_copy_numbers_move_as_runs(spark):
     plan = PLANS["cnv_counts"](Run(spark, "/root/testdata/sf0.001"))._jdf.queryExecution().executedPlan().toString()
     dealt = re.findall(r"Exchange hashpartitioning\(([^)]*)\)", plan)
     assert any("core" in keys for keys in dealt) and not any("code" in keys or "run" in keys for keys in dealt)
+
+
+def test_ranks_of_chromosomes_with_large_and_negative_numbers(spark):
+    rng = random.Random(6)
+    rows = [(rng.choice(["-300000", "-7", "0", "3", "262144", "262145", "999999999", "99999999999", "X"]), rng.choice([0, 5, 1 << 40, (1 << 44) + rng.randrange(3)]), rng.choice("fr"), i, 0) for i in range(400)]
+    got = kmer.cnv_sorted(frame(spark, rows, "chr string, pos long, dir string, target_cnt long, control_cnt long").repartition(3)).collect()
+    number = lambda c: int(c) if re.fullmatch(r"-?[0-9]+", c) and abs(int(c)) < 1 << 31 else 0
+    key = lambda r: (number(r[0]), r[1], r[0], r[2])
+    assert [key(r) for r in sorted(got, key=lambda r: r["place"])] == sorted(map(key, rows))
