@@ -784,3 +784,40 @@ def test_ranks_of_chromosomes_with_large_and_negative_numbers(spark):
     number = lambda c: int(c) if re.fullmatch(r"-?[0-9]+", c) and abs(int(c)) < 1 << 31 else 0
     key = lambda r: (number(r[0]), r[1], r[0], r[2])
     assert [key(r) for r in sorted(got, key=lambda r: r["place"])] == sorted(map(key, rows))
+
+
+def test_edges_are_looked_up_in_20mers_of_one_strand(spark):
+    text = genome(6000, 21)
+    changed = "".join(b.translate(str.maketrans("ACGT", "CGTA")) if i % 300 == 150 else b for i, b in enumerate(text))
+    rows = [(s, q[i : i + 80] if i % 4 else rc(q[i : i + 80])) for s, q in (("c", text), ("t", changed)) for i in range(0, 5900, 7)]
+    chunks = reference.ref_chunks(frame(spark, [("1", text)], "chr string, seq string"))
+    edges = kmer.kmer_edges(kmer.join_of_reads(reads.one_strand(frame(spark, rows, "sample string, seq string")), "t", "c"))
+    one, both = (kmer.kmer_map(edges, t) for t in (reference.ref20_least(chunks), reference.ref20_unique(chunks)))
+    got = sorted(map(tuple, one.collect()))
+    assert got == sorted(map(tuple, both.collect())) and len(got) > 20
+    at, base = one.columns.index("pos"), one.columns.index("ref_base")
+    assert all(text[r[at] - 1] == r[base] for r in got)
+
+
+@settings(max_examples=10, deadline=None)
+@given(st.lists(st.lists(st.sampled_from([0, 1, 2, 3, 9, 20, 100, 101]), min_size=8, max_size=8), min_size=1, max_size=40))
+def test_edge_rule_by_brute_force(spark, counts):
+    def rule(c, t):
+        allele = lambda x: 3 <= x <= 100
+        a, b = ([allele(x) for x in side] for side in (c, t))
+        gone, come = (sum(allele(x) and y <= 1 for x, y in zip(p, q)) for p, q in ((c, t), (t, c)))
+        few = lambda side: sum(x <= 1 for x in side)
+        if a == b or not any(a) or not any(b) or max(c + t) > 100 or few(c) < 2 or few(t) < 2 or 1 not in (gone, come):
+            return None
+        one, two = ("".join(n for n, x in zip("ACGT", side) if 4 * x > sum(side)) for side in (c, t))
+        return (one, two) if one != two else None
+
+    df = frame(spark, [(i, *c) for i, c in enumerate(counts)], "prefix19 long, ca long, cc long, cg long, ct long, ta long, tc long, tg long, tt long")
+    want = {i: found for i, c in enumerate(counts) if (found := rule(c[:4], c[4:]))}
+    assert {r["prefix19"]: (r["cont"], r["alt"]) for r in kmer.kmer_edges(df).collect()} == want
+
+
+def test_mapped_edges_are_made_once_and_the_genome_is_not_dealt_by_prefixes(spark):
+    dealt = lambda name: re.findall(r"Exchange hashpartitioning\(([^)]*)\)", PLANS[name](Run(spark, "/root/testdata/sf0.001"))._jdf.queryExecution().executedPlan().toString())
+    assert len([keys for keys in dealt("kmer_map") if "prefix19" in keys]) == 1
+    assert not [keys for keys in dealt("kmer_genotypes") if "prefix19" in keys]
